@@ -134,11 +134,10 @@ def nearest(
     first = Window.partitionBy("vector").orderBy("id")
     # a row more than a result can name, since a query's own row is left out
     top = valid.withColumn("nth", F.dense_rank().over(first)).where(F.col("nth") <= k + 1)
-    classes = written(top.groupBy("vector").agg(F.sort_array(F.collect_set("id")).alias("ids")).select(F.element_at("ids", 1).alias("cls"), F.size("ids").alias("n"), "ids", "vector"), "classes")
-    # a repeated id with two vectors is in two classes; classes are told apart by a number of their own
-    classes = classes.withColumn("cls", F.xxhash64("vector"))
-    queries = written(valid.where(F.col("id") % every == 0).distinct().withColumn("cls", F.xxhash64("vector")), "queries")
-    asked = queries.select("cls", "vector").distinct()
+    classes = written(top.groupBy("vector").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    chosen = valid.where(F.col("id") % every == 0).distinct()
+    asked = written(chosen.select("vector").distinct().withColumn("cls", F.monotonically_increasing_id()), "asked")
+    queries = chosen.join(asked, "vector").select("id", "cls")
 
     index = classes.select("cls", "vector").mapInArrow(hashed(1, tables, functions, seed), "key bigint, cls bigint").withColumnRenamed("cls", "c")
     probed = asked.mapInArrow(hashed(probes, tables, functions, seed), "key bigint, cls bigint").withColumnRenamed("cls", "q").distinct()
