@@ -2,8 +2,8 @@
 
 A document is the weighted set of its 5-word shingles (lower case, cut at ASCII
 characters other than letters and digits; a shorter document is one shingle).  A
-shingle's weight is its count in the document times the logarithm of the inverse of
-its document frequency over all documents.  Document frequencies come from a table of
+shingle's weight is its count in the document times its smoothed inverse document
+frequency over all documents (see ``Idf``).  Document frequencies come from a table of
 ``1 << DF_BITS`` hashed counts: its size is fixed whatever the corpus, each task fills
 one before anything is shuffled, and a shingle's frequency is overestimated by at most
 what shares its place, a constant share of the documents.
@@ -13,13 +13,14 @@ what shares its place, a constant share of the documents.
    samples in a whole band make a bucket.
 2. Documents with the same word sequence (128-bit key) are one node, so that copies cost
    a row each and no pair.
-3. Each node is compared with the first node of each of its buckets, and the verified
-   links (weighted Jaccard of the texts >= the threshold) joined into components.
-4. Buckets whose nodes are then in different components have all pairs across those
-   components compared, so that no link is lost; a group of copies is one component
-   by then and makes no pairs.
-5. Components are found by label propagation on tables; nothing of the size of the
-   corpus reaches the driver.
+3. In each of a few rounds a bucket's nodes are compared with one of them, its pivot of
+   the round, unless both are in one part already.  Verified links (weighted Jaccard of
+   the whole texts >= the threshold) join parts.
+4. When few pairs across parts are left (or after ``PIVOTS`` rounds), all of those are
+   compared, so that no link is lost.  A group of near copies is one part by then and
+   makes no pairs.
+5. Parts are joined by large-star and small-star steps on tables; nothing of the size of
+   the corpus reaches the driver.
 
 Null ids and texts without words take part as documents of their own, without a class
 mate.  Repeated rows are one row each.  Extra columns are ignored, an empty table
@@ -42,6 +43,8 @@ from larkspur.llm.textblock import PUNCT, Block, Words, document_keys, mix, shin
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
+#: Rounds in which each bucket is compared with one of its nodes, before all pairs that are left are.
+PIVOTS = 8
 DF_BITS = 20
 CHUNK = 1 << 14
 #: Quantile tables of the samples' random numbers.
@@ -94,10 +97,15 @@ def summed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Idf:
-    """Weights of shingles: ln((1 + N) / (1 + df)) + a little, so that none is zero."""
+    """Weights of shingles: 1 + ln((1 + N) / (1 + df)) / ln(1 + N), so from 1 (in all documents) to 2.
+
+    The smoothing keeps a large group of copies together: its shared shingles are frequent
+    because of the group, and must not weigh next to nothing against single edits.
+    """
 
     def __init__(self, docs: int, table: np.ndarray):
-        self.weights = (np.log((1 + docs) / (1 + np.minimum(table, docs))) + 0.1).astype(np.float32)
+        every = np.log(1.0 + max(docs, 1))
+        self.weights = (1 + np.log((1 + docs) / (1 + np.minimum(table, docs))) / every).astype(np.float32)
 
     def of(self, h: np.ndarray, count: np.ndarray) -> np.ndarray:
         return self.weights[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)] * count.astype(np.float32)
@@ -191,6 +199,36 @@ def links_of(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> Da
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(verified(shared, threshold), "a string, b string")
 
 
+def joined_parts(buckets: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
+    """node and part (the smallest node that it is linked to, over any number of links) of all nodes in buckets."""
+    parts = buckets.select("node").distinct().withColumn("part", F.col("node"))
+    for turn in range(PIVOTS + 1):
+        placed = buckets.join(parts, "node")
+        by_part = placed.groupBy("band", "key", "part").agg(F.count("*").alias("n"))
+        sizes = by_part.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("parts")).where("parts > 1")
+        open_buckets = written(sizes, "open-buckets")
+        left = open_buckets.agg(F.sum(F.expr("(n * n - within) div 2")).alias("pairs"), F.sum("n").alias("members")).first()
+        if not left.pairs:
+            break
+        last = turn == PIVOTS or 2 * left.pairs <= left.members
+        member = written(placed.join(open_buckets.select("band", "key"), ["band", "key"]), "open-members")
+        if last:
+            one, two = (member.select("band", "key", F.col("node").alias(k), F.col("part").alias(f"part_{k}")) for k in "ab")
+            pairs = one.join(two, ["band", "key"]).where("part_a < part_b").select("a", "b")
+        else:
+            pivots = member.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("pivot"), F.col("part").alias("pivot_part"))).alias("p")).select("band", "key", "p.pivot", "p.pivot_part")
+            pairs = member.join(pivots, ["band", "key"]).where("part <> pivot_part").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = links_of(pairs, texts, shared, threshold)
+        for k in "ab":
+            links = links.join(parts.select(F.col("node").alias(k), F.col("part").alias(f"part_{k}")), k)
+        label = components(links.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
+        parts = written(parts.join(label.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("label", "part").alias("part")), "parts")
+        if last:
+            break
+    return parts
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its group, its own if alone; null for a null id) and n_members of every row."""
     spark = docs.sparkSession
@@ -201,30 +239,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
     nodes = rows.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("bands").alias("bands"))
     members = nodes.select("node", "id", F.posexplode("bands").alias("band", "key"))
-    pivots = members.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    buckets = written(members.join(pivots.drop("n"), ["band", "key"]), "buckets")  # node, id, band, key, pivot
+    several = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+    buckets = written(members.join(several, ["band", "key"]), "buckets")
 
     wanted = buckets.select("node", "id").distinct()
-    with_text = written(texts.join(wanted, "id").select("node", "id", "text"), "bucket-texts")
     # an id may be repeated with other texts: the text must have the node's key
-    with_text = with_text.mapInArrow(keyed, "node string, text string").dropDuplicates(["node"])
-
-    star = buckets.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = written(links_of(star, with_text, shared, threshold), "links")
-    label = components(links)
-    placed = buckets.select("node", "band", "key").join(label, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
-    spread = placed.groupBy("band", "key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("band", "key")
-    left = written(placed.join(spread, ["band", "key"]), "spread")
-    if left.limit(1).count():
-        one, two = (left.select("band", "key", F.col("node").alias(k), F.col("part").alias(f"part_{k}")) for k in "ab")
-        across = one.join(two, ["band", "key"]).where("part_a < part_b").select("a", "b").distinct()
-        tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        more = written(links_of(across, with_text, shared, threshold), "more-links")
-        if more.limit(1).count():
-            label = components(links.unionByName(more))
-
-    classed = nodes.select("node", "id").join(label, "node", "left").select("node", "id", F.coalesce("label", "node").alias("part"))
+    with_text = texts.join(wanted, "id").select("node", "text").mapInArrow(keyed, "node string, text string")
+    with_text = written(with_text.dropDuplicates(["node"]), "bucket-texts")
+    parts = joined_parts(buckets.select("node", "band", "key"), with_text, shared, threshold)
+
+    classed = nodes.select("node", "id").join(parts, "node", "left").select("node", "id", F.coalesce("part", "node").alias("part"))
     first = classed.groupBy("part").agg(F.min("id").alias("class_id"))
     of_node = classed.join(first, "part").select("node", "part", "class_id")
     out = rows.select("id", "node").join(of_node, "node", "left").withColumn("class_id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")))
