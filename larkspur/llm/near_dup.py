@@ -15,10 +15,13 @@ what shares its place, a constant share of the documents.
    a row each and no pair.
 3. In each of a few rounds a bucket's nodes are compared with one of them, its pivot of
    the round, unless both are in one part already.  Verified links (weighted Jaccard of
-   the whole texts >= the threshold) join parts.
-4. When few pairs across parts are left (or after ``PIVOTS`` rounds), all of those are
-   compared, so that no link is lost.  A group of near copies is one part by then and
-   makes no pairs.
+   the whole texts >= the threshold) join parts.  After the first round the buckets
+   left have the shingles counted that only one of their nodes has; the weight of the
+   others bounds the similarity of a pair from above, so that nodes and pairs that can't
+   reach the threshold aren't compared, and the nodes with the least of their own, which
+   are near to most others, become the pivots.
+4. All pairs across the parts that are left and that the bounds allow are compared, so
+   that no link is lost.  A group of near copies is one part by then, and makes no pairs.
 5. Parts are joined by large-star and small-star steps on tables; nothing of the size of
    the corpus reaches the driver.
 
@@ -44,7 +47,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 #: Rounds in which each bucket is compared with one of its nodes, before all pairs that are left are.
-PIVOTS = 8
+PIVOTS = 3
 DF_BITS = 20
 CHUNK = 1 << 14
 #: Quantile tables of the samples' random numbers.
@@ -199,26 +202,64 @@ def links_of(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> Da
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(verified(shared, threshold), "a string, b string")
 
 
+def weights_of(shared):
+    """Each distinct shingle of each text, with its weight and the first half of the node's key."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            _, _, h, doc, count = shingled(text_bytes(part.column("text"), lower=True))
+            key = np.array([int(n[:16], 16) for n in part.column("node").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key[doc]), pa.array(shared.value.of(h, count))], ["h", "k", "w"])
+
+    return run
+
+
+def common_weights(texts: DataFrame, shared) -> DataFrame:
+    """node, its weight and how much of it lies on shingles that other nodes of the table have too.
+
+    Two nodes have at most the smaller of their common weights in common, which bounds
+    their similarity from above without looking at the pair.
+    """
+    rows = texts.mapInArrow(weights_of(shared), "h bigint, k bigint, w float")
+    alone = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.min("w").alias("w")).where("n = 1").groupBy("k").agg(F.sum(F.col("w").cast("double")).alias("alone"))
+    total = rows.groupBy("k").agg(F.sum(F.col("w").cast("double")).alias("weight"))
+    key = F.conv(F.substring("node", 1, 16), 16, -10).cast("bigint").alias("k")
+    found = texts.select("node", key).join(total, "k").join(alone, "k", "left")
+    return found.select("node", "weight", (F.col("weight") - F.coalesce("alone", F.lit(0.0))).alias("common"))
+
+
 def joined_parts(buckets: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
     """node and part (the smallest node that it is linked to, over any number of links) of all nodes in buckets."""
     parts = buckets.select("node").distinct().withColumn("part", F.col("node"))
+    least = F.least("common_a", "common_b")
+    possible = least >= (threshold - 1e-6) * (F.col("weight_a") + F.col("weight_b") - least)
+    weighed = buckets.withColumns({"weight": F.lit(1.0), "common": F.lit(1.0)})
     for turn in range(PIVOTS + 1):
-        placed = buckets.join(parts, "node")
+        placed = weighed.join(parts, "node")
         by_part = placed.groupBy("band", "key", "part").agg(F.count("*").alias("n"))
         sizes = by_part.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("parts")).where("parts > 1")
         open_buckets = written(sizes, "open-buckets")
         left = open_buckets.agg(F.sum(F.expr("(n * n - within) div 2")).alias("pairs"), F.sum("n").alias("members")).first()
         if not left.pairs:
             break
-        last = turn == PIVOTS or 2 * left.pairs <= left.members
         member = written(placed.join(open_buckets.select("band", "key"), ["band", "key"]), "open-members")
+        if turn == 1:
+            some = texts.join(member.select("node").distinct(), "node")
+            common = written(common_weights(some, shared), "common-weights").where(F.col("common") >= (threshold - 1e-6) * F.col("weight"))
+            weighed = written(member.select("node", "band", "key").join(common, "node"), "weighed")
+            member = weighed.join(parts, "node")
+        last = turn == PIVOTS or 2 * left.pairs <= left.members
+        one, two = (member.select("band", "key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "part", "weight", "common")]) for k in "ab")
         if last:
-            one, two = (member.select("band", "key", F.col("node").alias(k), F.col("part").alias(f"part_{k}")) for k in "ab")
-            pairs = one.join(two, ["band", "key"]).where("part_a < part_b").select("a", "b")
+            pairs = one.join(two, ["band", "key"]).where((F.col("part_a") < F.col("part_b")) & possible)
         else:
-            pivots = member.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("pivot"), F.col("part").alias("pivot_part"))).alias("p")).select("band", "key", "p.pivot", "p.pivot_part")
-            pairs = member.join(pivots, ["band", "key"]).where("part <> pivot_part").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            # in the first round any node; then those with the least of their own, which are near to most others
+            order = F.struct(F.when(F.lit(turn == 0), F.xxhash64("node_b")).otherwise(F.lit(0)), F.col("common_b") / F.col("weight_b"), "node_b", "part_b", "weight_b", "common_b")
+            best = two.groupBy("band", "key").agg(F.max(order).alias("p"))
+            pairs = one.join(best.select("band", "key", "p.node_b", "p.part_b", "p.weight_b", "p.common_b"), ["band", "key"]).where((F.col("part_a") != F.col("part_b")) & possible)
+            if turn:  # a pivot of one round is none of the next
+                weighed = written(weighed.join(best.select("band", "key", F.col("p.node_b").alias("node")), ["band", "key", "node"], "left_anti"), "weighed")
+        pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
         links = links_of(pairs, texts, shared, threshold)
         for k in "ab":
             links = links.join(parts.select(F.col("node").alias(k), F.col("part").alias(f"part_{k}")), k)
