@@ -228,7 +228,7 @@ def common_weights(texts: DataFrame, shared) -> DataFrame:
     return found.select("node", "weight", (F.col("weight") - F.coalesce("alone", F.lit(0.0))).alias("common"))
 
 
-def joined_parts(buckets: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
+def joined_parts(buckets: DataFrame, bands: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
     """node and part (the smallest node that it is linked to, over any number of links) of all nodes in buckets."""
     parts = buckets.select("node").distinct().withColumn("part", F.col("node"))
     least = F.least("common_a", "common_b")
@@ -251,7 +251,10 @@ def joined_parts(buckets: DataFrame, texts: DataFrame, shared, threshold: float)
         last = turn == PIVOTS or 2 * left.pairs <= left.members
         one, two = (member.select("band", "key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "part", "weight", "common")]) for k in "ab")
         if last:
-            pairs = one.join(two, ["band", "key"]).where((F.col("part_a") < F.col("part_b")) & possible)
+            # a pair that meets in several bands is made in the first of them
+            one, two = (x.join(bands.select(F.col("node").alias(f"node_{k}"), F.col("bands").alias(f"bands_{k}")), f"node_{k}") for x, k in ((one, "a"), (two, "b")))
+            first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1
+            pairs = one.join(two, ["band", "key"]).where((F.col("part_a") < F.col("part_b")) & possible & first)
         else:
             # in the first round any node; then those with the least of their own, which are near to most others
             order = F.struct(F.when(F.lit(turn == 0), F.xxhash64("node_b")).otherwise(F.lit(0)), F.col("common_b") / F.col("weight_b"), "node_b", "part_b", "weight_b", "common_b")
@@ -287,7 +290,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     # an id may be repeated with other texts: the text must have the node's key
     with_text = texts.join(wanted, "id").select("node", "text").mapInArrow(keyed, "node string, text string")
     with_text = written(with_text.dropDuplicates(["node"]), "bucket-texts")
-    parts = joined_parts(buckets.select("node", "band", "key"), with_text, shared, threshold)
+    parts = joined_parts(buckets.select("node", "band", "key"), nodes.select("node", "bands"), with_text, shared, threshold)
 
     classed = nodes.select("node", "id").join(parts, "node", "left").select("node", "id", F.coalesce("part", "node").alias("part"))
     first = classed.groupBy("part").agg(F.min("id").alias("class_id"))
