@@ -1,9 +1,340 @@
-"""The registered queries of the schema engine."""
+"""The registered queries of the schema engine, each with its DuckDB counterpart.
 
+Fixtures are ``VALUES`` lists that both engines read.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.functions import fragments, identifiers, types
+from larkspur.operators import diff, drift, scope, state
+from larkspur.plans import ddl, ordering
+from larkspur.sources import catalog
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+REFERENCES = [("nation", "region"), ("customer", "nation"), ("supplier", "nation"), ("orders", "customer"), ("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier"), ("labels", "documents")]
+
+#: dialect, declared type, length, precision, scale, fractional digits, unsigned
+TYPES = """VALUES
+('postgres','integer',NULL,NULL,NULL,NULL,false), ('postgres','bigint',NULL,NULL,NULL,NULL,false), ('postgres','smallint',NULL,NULL,NULL,NULL,false),
+('postgres','character varying',80,NULL,NULL,NULL,false), ('postgres','text',NULL,NULL,NULL,NULL,false), ('postgres','numeric',NULL,12,2,NULL,false),
+('postgres','numeric',NULL,NULL,NULL,NULL,false), ('postgres','timestamp with time zone',NULL,NULL,NULL,6,false), ('postgres','timestamp without time zone',NULL,NULL,NULL,3,false),
+('postgres','boolean',NULL,NULL,NULL,NULL,false), ('postgres','uuid',NULL,NULL,NULL,NULL,false), ('postgres','jsonb',NULL,NULL,NULL,NULL,false), ('postgres','bytea',NULL,NULL,NULL,NULL,false),
+('postgres','double precision',NULL,NULL,NULL,NULL,false), ('postgres','date',NULL,NULL,NULL,NULL,false), ('postgres','bit',8,NULL,NULL,NULL,false), ('postgres','xml',NULL,NULL,NULL,NULL,false),
+('mssql','nvarchar',4000,NULL,NULL,NULL,false), ('mssql','nvarchar',-1,NULL,NULL,NULL,false), ('mssql','nvarchar',6000,NULL,NULL,NULL,false), ('mssql','varchar',8001,NULL,NULL,NULL,false),
+('mssql','datetime2',NULL,NULL,NULL,7,false), ('mssql','datetimeoffset',NULL,NULL,NULL,0,false), ('mssql','uniqueidentifier',NULL,NULL,NULL,NULL,false), ('mssql','bit',NULL,NULL,NULL,NULL,false),
+('mssql','money',NULL,19,4,NULL,false), ('mssql','timestamp',NULL,NULL,NULL,NULL,false), ('mssql','nchar',10,NULL,NULL,NULL,false), ('mssql','varbinary',-1,NULL,NULL,NULL,false), ('mssql','binary',300,NULL,NULL,NULL,false),
+('mysql','int unsigned',NULL,NULL,NULL,NULL,true), ('mysql','bigint',NULL,NULL,NULL,NULL,true), ('mysql','tinyint(1)',NULL,NULL,NULL,NULL,false), ('mysql','mediumtext',16777215,NULL,NULL,NULL,false),
+('mysql','decimal',NULL,65,30,NULL,false), ('mysql','datetime',NULL,NULL,NULL,0,false), ('mysql','time',NULL,NULL,NULL,NULL,false), ('mysql','bit',1,NULL,NULL,NULL,false), ('mysql','bit',12,NULL,NULL,NULL,false),
+('mysql','json',NULL,NULL,NULL,NULL,false), ('mysql','longblob',4294967295,NULL,NULL,NULL,false), ('mysql','float',NULL,NULL,NULL,NULL,false), ('mysql','char',300,NULL,NULL,NULL,false),
+('sqlite','INTEGER',NULL,NULL,NULL,NULL,false), ('sqlite','REAL',NULL,NULL,NULL,NULL,false), ('sqlite','TEXT',NULL,NULL,NULL,NULL,false)"""
+TYPE_COLUMNS = ["dialect", "data_type", "length", "prec", "scale", "fsp", "unsigned"]
+
+SNAPSHOTS = {
+    "old": """VALUES ('users','id','bigint',0,false,false,'',1), ('users','username','varchar',40,false,false,'',2), ('users','active','bit',0,false,true,'((0))',3), ('users','legacy_code','varchar',10,true,false,'',4),
+('orders','id','bigint',0,false,false,'',1), ('orders','note','text',0,true,true,' x ',2), ('Items','id','int',0,false,false,'',1)""",
+    "new": """VALUES ('users','id','bigint',0,false,false,'',9), ('users','username','varchar',80,false,false,'',2), ('users','active','bit',0,false,true,'((1))',3), ('users','nickname','varchar',60,true,false,'',4),
+('audit_log','id','bigint',0,false,false,'',1), ('orders','id','bigint',0,false,false,'',1), ('orders','note','text',0,true,true,'x',2), ('items','id','int',0,false,false,'',1)""",
+}
+SNAPSHOT_COLUMNS = ["table_name", "column_name", "data_type", "max_length", "is_nullable", "has_default", "default_expr", "ordinal"]
+
+LIVE = {
+    "source": """VALUES ('users','Id','bigint',0,0,0,false,false,true,''), ('users','Code','nvarchar',20,0,0,false,false,false,''), ('users','Ref','uniqueidentifier',0,0,0,true,false,false,'uuid_gen'),
+('users','At','datetimeoffset',0,0,0,true,false,false,'current_dt'), ('users','Price','decimal',0,12,2,true,false,false,''), ('users','Calc','int',0,0,0,true,true,false,''), ('users','Gone','int',0,0,0,true,false,false,'')""",
+    "target": """VALUES ('USERS','id','bigint',0,0,0,false,false,false,''), ('users','code','character varying',40,0,0,true,false,false,''), ('users','ref','uuid',36,0,0,true,false,false,'uuid_gen'),
+('users','at','timestamp',0,0,0,true,false,false,'constant''x'''), ('users','price','numeric',0,12,4,true,false,false,''), ('users','calc','int',0,0,0,false,false,false,''), ('users','more','int',0,0,0,true,false,false,'')""",
+}
+LIVE_COLUMNS = ["table_name", "column_name", "data_type", "max_length", "precision", "scale", "is_nullable", "is_computed", "is_identity", "default_class"]
+
+INDEXES = """VALUES ('a', 'users', 'Email', true, 'Name,Age', true), ('b', 'users', 'tenant_id,Email', false, '', false), ('c', 'orders', 'Status', false, '', true)"""
+LIVE_INDEXES = """VALUES ('x', 'USERS', 'email', true, 'age,name', true), ('y', 'users', 'email,tenant_id', false, '', false), ('z', 'orders', 'status', false, '', true)"""
+STATEMENTS = """VALUES ('drop table','orders','','orders','data-loss','drop orders','DROP TABLE orders'), ('create table','audit','','audit','safe','create audit','CREATE TABLE audit (id int)'),
+('change table','users','drop column','legacy','data-loss','drop legacy','ALTER TABLE users DROP COLUMN legacy'), ('change table','users','add column','nick','safe','add nick','ALTER TABLE users ADD nick text'),
+('change table','users','change column','name','rebuild','widen name','ALTER TABLE users ALTER name TYPE text'), ('add foreign key','audit','','fk','blocking','key','ALTER TABLE audit ADD FOREIGN KEY (id) REFERENCES users(id)'),
+('drop foreign key','orders','','fk','safe','key','ALTER TABLE orders DROP CONSTRAINT fk'), ('create index','audit','','ix','odd','index','CREATE INDEX ix ON audit (id)')"""
+STATEMENT_COLUMNS = ["phase", "table_name", "step", "object_name", "risk", "description", "sql"]
+DEFAULTS = ["getdate()", "(GETUTCDATE())", "CURRENT_TIMESTAMP", "now()", "((0))", "1", "'x'", "N'it''s'", "('A')::text", "newid()", "gen_random_uuid()", "CAST(getdate() AS date)", "curdate()", "NULL", "", "nextval('s')", "-5", "lower('A')", "pending"]
+
+
+def fixture(spark: SparkSession, values: str, columns: list[str]) -> DataFrame:
+    return spark.sql(f"SELECT * FROM ({values}) AS t({', '.join(f'`{c}`' for c in columns)})")
+
+
+def _duck(values: str, columns: list[str]) -> str:
+    return f"(SELECT * FROM ({values}) AS t({', '.join(columns)}))"
+
+
+def introspect_columns(spark, sf_dir):
+    return catalog.parquet_columns(spark, sf_dir, TABLES).select("table_name", "ordinal", "column_name", "data_type")
+
+
+def row_count_exact(spark, sf_dir):
+    return catalog.row_counts(spark, sf_dir, TABLES)
+
+
+def row_size_estimate(spark, sf_dir):
+    return catalog.sizes(catalog.parquet_columns(spark, sf_dir, TABLES), catalog.row_counts(spark, sf_dir, TABLES)).select("table_name", F.col("row_bytes").cast("bigint").alias("row_bytes"), "n_columns", "row_count", F.col("table_bytes").cast("bigint").alias("table_bytes"))
+
+
+def row_size_average(spark, sf_dir):
+    return catalog.weighted_row_bytes(row_size_estimate(spark, sf_dir))
+
+
+def _typed(spark) -> DataFrame:
+    t = fixture(spark, TYPES, TYPE_COLUMNS)
+    return t.withColumns({"kind": types.kind(F.col("data_type"), F.col("dialect"), F.col("length")), "tz": types.zoned(F.col("data_type")), "national": types.national(F.col("data_type"))})
+
+
+def canonical_kinds(spark, sf_dir):
+    return _typed(spark).select("dialect", "data_type", "length", "kind")
+
+
+def _rendered(t: DataFrame, target: str):
+    return types.render(target, *[F.col(c) for c in ("kind", "length", "prec", "scale", "unsigned", "tz", "national", "fsp")])
+
+
+def _map_to(target: str):
+    def query(spark, sf_dir):
+        t = _typed(spark)
+        return t.select("dialect", "data_type", "length", "prec", "scale", "fsp", _rendered(t, target).alias("type_text"))
+
+    return query
+
+
+def map_types(spark, sf_dir):
+    """Every column of every table with its type on each target."""
+    none, no = F.lit(None).cast("int"), F.lit(False)
+    c = catalog.parquet_columns(spark, sf_dir, TABLES)
+    inner = F.regexp_extract("data_type", r"^array<(.*)>$", 1)
+    c = c.withColumns({"kind": types.kind(F.col("data_type"), F.lit("spark"), none), "element_kind": types.kind(inner, F.lit("spark"), none)})
+    rest = (none, none, none, no, no, no, none)
+    out = [types.render(t, F.col("kind"), *rest, types.render(t, F.col("element_kind"), *rest)).alias(t) for t in types.TARGETS]
+    return c.select("table_name", "column_name", "kind", *out)
+
+
+def mapping_warnings(spark, sf_dir):
+    out = None
+    for target in types.TARGETS:
+        one = _typed(spark).select("dialect", "data_type", F.lit(target).alias("target"), F.posexplode(types.losses(target, F.col("kind"), F.col("prec"), F.col("fsp"), F.col("unsigned"))).alias("place", "reason"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def ident_fold(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey"), F.concat("p_name", F.lit(" #"), "p_brand").alias("name"))
+    return parts.select("p_partkey", identifiers.folded(F.col("name")).alias("folded"), identifiers.valid(F.col("name")).alias("valid"))
+
+
+def ident_collisions(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.explode(F.array(F.col("p_brand"), F.lower("p_brand"), F.replace("p_brand", F.lit("#"), F.lit("_")))).alias("name"))
+    return identifiers.collisions(parts, [], "name")
+
+
+def scope_filter(spark, sf_dir):
+    tables = spark.createDataFrame([(t,) for t in TABLES], "table_name string")
+    return scope.in_scope(tables, ["[c-n]*", "P*"], ["*s", "nat?on"])
+
+
+def managed_set(spark, sf_dir):
+    live, source, mine = (spark.createDataFrame([(x,) for x in xs], "table_name string") for xs in (["a", "b", "c", "d"], ["a", "b", "c"], ["a"]))
+    return scope.managed(live, source, mine)
+
+
+def _snapshots(spark):
+    return (fixture(spark, SNAPSHOTS[k], SNAPSHOT_COLUMNS).drop("ordinal") for k in ("old", "new"))
+
+
+def snapshot_diff_columns(spark, sf_dir):
+    return diff.column_changes(*_snapshots(spark))
+
+
+def snapshot_diff_tables(spark, sf_dir):
+    return diff.table_changes(*_snapshots(spark))
+
+
+def snapshot_diff_summary(spark, sf_dir):
+    return diff.summary(diff.column_changes(*_snapshots(spark)))
+
+
+def snapshot_backfill(spark, sf_dir):
+    old = spark.sql("SELECT * FROM VALUES (1,'t','a',false,0,CAST(NULL AS INT)), (2,'t','b',false,0,CAST(NULL AS INT)), (3,'t','c',false,0,2), (4,'t','d',false,0,3), (1,'t','gone',false,0,CAST(NULL AS INT)) AS t(version, table_name, column_name, is_unsigned, display_width, datetime_precision)")
+    now = spark.sql("SELECT * FROM VALUES ('t','a',true,1,6), ('t','b',true,1,6), ('t','c',true,1,6), ('t','d',true,1,6) AS t(table_name, column_name, is_unsigned, display_width, datetime_precision)")
+    return diff.backfilled(old, now)
+
+
+def index_changes(spark, sf_dir):
+    old, new = (fixture(spark, v, ["index_name", "table_name", "cols", "is_unique", "inc", "filtered"]) for v in (INDEXES, LIVE_INDEXES.replace("'x'", "'a'").replace("'z'", "'c'")))
+    same = (F.col("old.cols") == F.col("new.cols")) & (F.col("old.is_unique") == F.col("new.is_unique")) & (F.col("old.inc") == F.col("new.inc"))
+    return diff.object_changes(old, new, ("index_name",), same)
+
+
+def drift_dimensions(spark, sf_dir):
+    return drift.column_deltas(fixture(spark, LIVE["source"], LIVE_COLUMNS), fixture(spark, LIVE["target"], LIVE_COLUMNS), "mssql", "postgres")
+
+
+def _signed(spark, values):
+    t = fixture(spark, values, ["index_name", "table_name", "cols", "is_unique", "inc", "filtered"])
+    include = F.filter(F.split("inc", ","), lambda x: x != "")
+    return t.select(F.lower("table_name").alias("table_name"), drift.index_signature(F.split("cols", ","), F.col("is_unique"), include, F.col("filtered")).alias("signature"))
+
+
+def index_signatures(spark, sf_dir):
+    return _signed(spark, INDEXES)
+
+
+def signature_diff(spark, sf_dir):
+    return drift.signature_changes(_signed(spark, INDEXES), _signed(spark, LIVE_INDEXES), ["table_name", "signature"])
+
+
+KEYS = "VALUES ('a,B','x,Y','Orders','CASCADE',''), ('a','x','t','no action','RESTRICT'), ('b','y','t',' set null ',NULL)"
+
+
+def key_signatures(spark, sf_dir):
+    t = fixture(spark, KEYS, ["cols", "refs", "ref_table", "on_delete", "on_update"])
+    return t.select(drift.key_signature(F.split("cols", ","), F.split("refs", ","), F.col("ref_table"), F.col("on_delete"), F.col("on_update")).alias("signature"))
+
+
+def pk_set_compare(spark, sf_dir):
+    t = spark.sql("SELECT * FROM VALUES (1,'a,b','B,a'), (2,'a','a,b'), (3,'id','ID') AS t(n, one, two)")
+    return t.select("n", drift.same_key_set(F.split("one", ","), F.split("two", ",")).alias("same_set"), (F.split("one", ",") == F.split("two", ",")).alias("same_order"))
+
+
+def drop_order(spark, sf_dir):
+    return spark.createDataFrame(ordering.drop_levels(TABLES, REFERENCES), "table_name string, level int")
+
+
+def _statements(spark):
+    return fixture(spark, STATEMENTS, STATEMENT_COLUMNS)
+
+
+def risk_filter(spark, sf_dir):
+    return scope.at_most(_statements(spark), "blocking").select("phase", "object_name", "risk")
+
+
+def risk_counts(spark, sf_dir):
+    return scope.risk_counts(_statements(spark))
+
+
+def plan_order(spark, sf_dir):
+    placed = ordering.ordered(_statements(spark))
+    return placed.select("phase", "table_name", "step", "object_name", "phase_no", "step_no")
+
+
+def plan_script(spark, sf_dir):
+    return ordering.script(_statements(spark))
+
+
+def _events(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(F.col("event_id").alias("id"), F.col("event_type").alias("source_type"), F.when(F.col("user_id") % 3 == 0, "").otherwise(F.col("user_id").cast("string")).alias("source_identity"), F.col("ts").alias("captured_at"))
+
+
+def latest_snapshot(spark, sf_dir):
+    return state.latest_snapshot(_events(spark, sf_dir), "click", "7").select("id", "source_identity", "captured_at")
+
+
+def list_snapshots(spark, sf_dir):
+    return state.list_snapshots(_events(spark, sf_dir)).select("id", "captured_at")
+
+
+def _runs(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(F.col("user_id").alias("run_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, "running").otherwise("success").alias("status"), F.when(F.col("event_id") % 5 == 0, "boom").alias("error"))
+
+
+def current_runs(spark, sf_dir):
+    return state.current_runs(_runs(spark, sf_dir))
+
+
+def recent_runs(spark, sf_dir):
+    return state.recent_runs(current_runs(spark, sf_dir)).select("run_id", "at")
+
+
+def reconcile_runs(spark, sf_dir):
+    return state.reconciled(current_runs(spark, sf_dir), F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("run_id", "status", "error")
+
+
+def schema_fingerprint(spark, sf_dir):
+    c = introspect_columns(spark, sf_dir)
+    line = F.concat_ws("|", "table_name", F.col("ordinal").cast("string"), "column_name", "data_type")
+    return c.groupBy("table_name").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", line.alias("line")))), lambda x: x["line"]), "\n"), 256).alias("fingerprint"))
+
+
+def default_labels(spark, sf_dir):
+    return spark.createDataFrame([(d, fragments.label(d)) for d in DEFAULTS], "fragment string, label string")
+
+
+CHECKS = {
+    "priority": ("orders", "[o_orderpriority] LIKE '[1-3]-%'"),
+    "status": ("orders", "(\"o_orderstatus\")::text = ANY (ARRAY['F'::text, 'O'::text])"),
+    "price": ("orders", "`o_totalprice` BETWEEN 1000 AND 200000"),
+    "quantity": ("lineitem", "l_quantity > 5 AND NOT (l_discount >= 0.05 OR l_tax IN (0.01, 0.02))"),
+    "name": ("customer", "c_name ~ '^Customer#0+[1-9]'"),
+    "sum": ("lineitem", "[l_extendedprice] * (1 - [l_discount]) - l_tax <> 0 AND l_returnflag IS NOT NULL"),
+}
+
+
+def check_violations(spark, sf_dir):
+    """Rows that violate each check, translated to Spark (a null result doesn't violate)."""
+    out = None
+    for name, (table, check) in sorted(CHECKS.items()):
+        bad = F.expr(f"NOT ({fragments.render(fragments.parse(check), 'spark')})")
+        one = spark.read.parquet(f"{sf_dir}/{table}.parquet").agg(F.count_if(bad).alias("violations")).select(F.lit(name).alias("name"), "violations")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def create_table_ddl(spark, sf_dir):
+    """CREATE TABLE of every table on every dialect; the first column is the key."""
+    out = None
+    mapped = map_types(spark, sf_dir).join(introspect_columns(spark, sf_dir).select("table_name", "column_name", "ordinal"), ["table_name", "column_name"])
+    for t in types.TARGETS:
+        key = F.when(F.col("ordinal") == 1, 1)
+        c = mapped.select("table_name", "column_name", "ordinal", key.alias("key_position"), ddl.column_definition(F.col("column_name"), F.col(t), F.col("ordinal") > 1, F.lit(None).cast("string"), t).alias("definition"))
+        one = ddl.create_tables(c, t).select(F.lit(t).alias("target"), "table_name", "sql")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def foreign_key_ddl(spark, sf_dir):
+    """ADD CONSTRAINT of every reference."""
+    t = spark.createDataFrame([(f"fk_{a}_{b}", a, [f"{b}key"], b, [f"{b}key"], "CASCADE" if a == "lineitem" else None, None) for a, b in REFERENCES], "constraint_name string, table_name string, columns array<string>, ref_table string, ref_columns array<string>, on_delete string, on_update string")
+    out = [t.select(F.lit(d).alias("target"), ddl.add_constraint("foreign_key", d, "app").alias("sql")) for d in ("postgres", "mssql", "mysql")]
+    return out[0].unionAll(out[1]).unionAll(out[2])
+
+
+def index_ddl(spark, sf_dir):
+    t = fixture(spark, INDEXES, ["index_name", "table_name", "cols", "is_unique", "inc", "filtered"])
+    t = t.select("index_name", "table_name", F.split("cols", ",").alias("columns"), "is_unique", F.filter(F.split("inc", ","), lambda x: x != "").alias("include_cols"), F.when(F.col("filtered"), "x > 0").alias("filter"))
+    out = [t.select(F.lit(d).alias("target"), ddl.create_index(d, "app").alias("sql")) for d in ("postgres", "mssql", "mysql", "sqlite")]
+    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
+
+
+def capabilities(spark, sf_dir):
+    """What every dialect lacks of what any has."""
+    rows = [(d, c) for d, cs in ddl.CAPABILITIES.items() for c in cs.split()]
+    have = spark.createDataFrame(rows, "target string, capability string")
+    every = have.select("capability").distinct()
+    wanted = spark.createDataFrame([(d, [c for c in sorted({c for _, c in rows})]) for d in ddl.CAPABILITIES], "target string, capabilities array<string>").select("target", F.explode("capabilities").alias("capability"))
+    return wanted.join(every, "capability", "left_semi").join(have, ["target", "capability"], "left_anti")
+
+
+_PLAIN = [
+    introspect_columns, row_count_exact, row_size_estimate, row_size_average, canonical_kinds, map_types, mapping_warnings, ident_fold, ident_collisions, scope_filter, managed_set, snapshot_diff_columns, snapshot_diff_tables,
+    snapshot_diff_summary, snapshot_backfill, index_changes, drift_dimensions, index_signatures, signature_diff, key_signatures, pk_set_compare, drop_order, risk_filter, risk_counts, plan_order, plan_script, latest_snapshot, list_snapshots,
+    current_runs, recent_runs, reconcile_runs, schema_fingerprint, default_labels, check_violations, create_table_ddl, foreign_key_ddl, index_ddl, capabilities,
+]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _PLAIN} | {f"map_to_{t}": _map_to(t) for t in types.TARGETS}
+
+
+def oracle_sql() -> dict[str, str]:
+    from larkspur import catalog_sql
+
+    return catalog_sql.oracle_sql()

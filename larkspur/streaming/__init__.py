@@ -1,0 +1 @@
+"""Streaming: the engine has no streaming operators; tables are read in batch."""
