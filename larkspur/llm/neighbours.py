@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.store import arrow_rows, written
 
-TABLES, FUNCTIONS, PROBES = 24, 2, 24
+TABLES, FUNCTIONS, PROBES = 48, 2, 56
 BLOCKS = 64
+#: The query vectors are sent to every task if they hold at most so many numbers, else joined.
+MOST_SENT = 2_000_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -126,11 +128,12 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest rows found for every row whose id is divisible by ``every``."""
     arrow_rows(rows.sparkSession, 5000)
-    vectors = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("id is not null and vector is not null")
+    vectors = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector")).where("id is not null and vector is not null")
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = vectors.where(~bad & F.exists("vector", lambda x: x != 0))
-    # adding 0 makes -0 and 0 one value
-    valid = valid.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
+    kind = vectors.schema["vector"].dataType.elementType  # type: ignore[attr-defined]
+    # -0 and 0 are one value
+    valid = valid.withColumn("vector", F.transform("vector", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x)))
     first = Window.partitionBy("vector").orderBy("id")
     # a row more than a result can name, since a query's own row is left out
     top = valid.withColumn("nth", F.dense_rank().over(first)).where(F.col("nth") <= k + 1)
@@ -146,6 +149,8 @@ def nearest(
     def best(pairs: DataFrame, asked: DataFrame) -> DataFrame:
         """The k + 1 nearest (score, id) of each query class."""
         q, c = asked.select(F.col("cls").alias("q"), F.col("vector").alias("qv")), classes.select(F.col("cls").alias("c"), F.col("vector").alias("cv"), "ids")
+        numbers = asked.agg(F.sum(F.size("vector"))).first()[0] or 0
+        q = F.broadcast(q) if numbers <= MOST_SENT else q
         got = pairs.join(c.select("c", "cv"), "c").join(q, "q").where(F.size("qv") == F.size("cv")).select("q", "c", "qv", "cv").mapInArrow(scored, "q bigint, c bigint, score double")
         near = got.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).where(F.col("nth") <= 4 * (k + 1))
         # classes with equal scores compete by their ids, so ties at the end are kept
