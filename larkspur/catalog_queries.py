@@ -314,6 +314,21 @@ def index_ddl(spark, sf_dir):
     return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
 
 
+NEW_DEFAULTS = [("users", "active", "((1))"), ("or'ders", "at", "getdate()"), ("items", "code", "'x'")]
+
+
+def alter_default_ddl(spark, sf_dir):
+    """The statements that set each default and those that drop it."""
+    out = None
+    for d in ("postgres", "mssql", "mysql"):
+        rows = [(t, c, fragments.render(fragments.parse_default(x), d)) for t, c, x in NEW_DEFAULTS]
+        t = spark.createDataFrame(rows, "table_name string, column_name string, default string")
+        put = t.select(F.lit(d).alias("target"), F.lit("set").alias("action"), "table_name", F.posexplode(ddl.set_default(d, "app")).alias("place", "sql"))
+        one = put.unionAll(t.select(F.lit(d), F.lit("drop"), "table_name", F.lit(0), ddl.drop_default(d, "app")))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 def capabilities(spark, sf_dir):
     """What every dialect lacks of what any has."""
     rows = [(d, c) for d, cs in ddl.CAPABILITIES.items() for c in cs.split()]
@@ -326,7 +341,7 @@ def capabilities(spark, sf_dir):
 _PLAIN = [
     introspect_columns, row_count_exact, row_size_estimate, row_size_average, canonical_kinds, map_types, mapping_warnings, ident_fold, ident_collisions, scope_filter, managed_set, snapshot_diff_columns, snapshot_diff_tables,
     snapshot_diff_summary, snapshot_backfill, index_changes, drift_dimensions, index_signatures, signature_diff, key_signatures, pk_set_compare, drop_order, risk_filter, risk_counts, plan_order, plan_script, latest_snapshot, list_snapshots,
-    current_runs, recent_runs, reconcile_runs, schema_fingerprint, default_labels, check_violations, create_table_ddl, foreign_key_ddl, index_ddl, capabilities,
+    current_runs, recent_runs, reconcile_runs, schema_fingerprint, default_labels, check_violations, create_table_ddl, foreign_key_ddl, index_ddl, alter_default_ddl, capabilities,
 ]
 
 

@@ -136,6 +136,49 @@ def _create(target: str) -> str:
     return f"SELECT '{target}' AS target, table_name, 'CREATE TABLE {a}' || table_name || '{b} (' || chr(10) || string_agg({line}, ',' || chr(10) ORDER BY ordinal) || {tail} AS sql FROM {_SCHEMA} GROUP BY table_name"
 
 
+def _foreign_keys() -> str:
+    rows = ", ".join(f"('{a}', '{b}')" for a, b in REFERENCES)
+    parts = []
+    for target, (a, b) in {"postgres": '""', "mssql": "[]", "mysql": "``"}.items():
+        text = f"ALTER TABLE {a}app{b}.{a}{{0}}{b} ADD CONSTRAINT {a}fk_{{0}}_{{1}}{b} FOREIGN KEY ({a}{{1}}key{b}) REFERENCES {a}app{b}.{a}{{1}}{b} ({a}{{1}}key{b})"
+        parts.append(f"SELECT '{target}' AS target, format('{text}', a, b) || CASE WHEN a = 'lineitem' THEN ' ON DELETE CASCADE' ELSE '' END AS sql FROM (VALUES {rows}) AS t(a, b)")
+    return " UNION ALL ".join(parts)
+
+
+def _indexes() -> str:
+    parts = []
+    for target, (a, b) in {"postgres": '""', "mssql": "[]", "mysql": "``", "sqlite": '""'}.items():
+        names = lambda c, a=a, b=b: f"'{a}' || replace({c}, ',', '{b}, {a}') || '{b}'"
+        schema = "" if target == "sqlite" else f"{a}app{b}."
+        include = f"CASE WHEN inc <> '' THEN ' INCLUDE (' || {names('inc')} || ')' ELSE '' END" if target in ("postgres", "mssql") else "''"
+        where = "CASE WHEN filtered THEN ' WHERE x > 0' ELSE '' END" if target != "mysql" else "''"
+        parts.append(f"SELECT '{target}' AS target, 'CREATE ' || CASE WHEN is_unique THEN 'UNIQUE ' ELSE '' END || 'INDEX ' || {names('index_name')} || ' ON {schema}' || {names('table_name')} || ' (' || {names('cols')} || ')' || {include} || {where} AS sql FROM {_duck(INDEXES, ['index_name', 'table_name', 'cols', 'is_unique', 'inc', 'filtered'])}")
+    return " UNION ALL ".join(parts)
+
+
+#: What each dialect lacks, by hand.
+_LACKS = {
+    "postgres": "index_prefix",
+    "mssql": "cascade index_expression index_prefix",
+    "mysql": "cascade index_filter index_include",
+    "sqlite": "alter_column cascade check computed drop_constraint drop_schema index_expression index_include index_prefix schema standalone_key unique",
+    "clickhouse": "alter_column cascade check computed default drop_constraint drop_index identity index index_expression index_filter index_include index_prefix standalone_key unique",
+}
+
+
+def _alter_defaults() -> str:
+    rows = [("users", "active", {"postgres": "1", "mssql": "1", "mysql": "1"}), ("or'ders", "at", {"postgres": "CURRENT_TIMESTAMP", "mssql": "SYSDATETIME()", "mysql": "CURRENT_TIMESTAMP"}), ("items", "code", {"postgres": "'x'", "mssql": "'x'", "mysql": "'x'"})]
+    found = []
+    for t, c, text in rows:
+        for target, (a, b) in {"postgres": '""', "mysql": "``"}.items():
+            head = f"ALTER TABLE {a}app{b}.{a}{t}{b} ALTER COLUMN {a}{c}{b} "
+            found += [(target, "set", t, 0, head + "SET DEFAULT " + text[target]), (target, "drop", t, 0, head + "DROP DEFAULT")]
+        inside = t.replace("'", "''")
+        drop = f"DECLARE @sql nvarchar(max) = (SELECT N'ALTER TABLE [app].[{inside}] DROP CONSTRAINT ' + QUOTENAME(d.name) FROM sys.default_constraints d JOIN sys.columns c ON c.object_id = d.parent_object_id AND c.column_id = d.parent_column_id WHERE d.parent_object_id = OBJECT_ID(N'[app].[{inside}]') AND c.name = N'{c}'); IF @sql IS NOT NULL EXEC sp_executesql @sql"
+        found += [("mssql", "set", t, 0, drop), ("mssql", "drop", t, 0, drop), ("mssql", "set", t, 1, f"ALTER TABLE [app].[{t}] ADD CONSTRAINT [df_{t}_{c}] DEFAULT {text['mssql']} FOR [{c}]")]
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{k}', {_quote(t)}, {n}, {_quote(q)})" for d, k, t, n, q in found) + ") AS t(target, action, table_name, place, sql)"
+
+
 def oracle_sql() -> dict[str, str]:
     mapped = ", ".join(f"{_native(t)} AS {t}" for t in _SQL_TYPES)
     kinds = "CASE data_type WHEN 'int' THEN 'integer' WHEN 'string' THEN 'text' WHEN 'timestamp_ntz' THEN 'timestamp' WHEN 'array<float>' THEN 'array' ELSE data_type END"
@@ -176,5 +219,9 @@ def oracle_sql() -> dict[str, str]:
         "default_labels": "SELECT * FROM (VALUES " + ", ".join(f"({_quote(d)}, {_quote(w)})" for d, w in zip(DEFAULTS, _LABELS)) + ") AS t(fragment, label)",
         "check_violations": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) FILTER ({_VIOLATIONS[n]}) AS violations FROM {t}" for n, (t, _) in CHECKS.items()),
         "create_table_ddl": " UNION ALL ".join(map(_create, _SQL_TYPES)),
+        "foreign_key_ddl": _foreign_keys(),
+        "index_ddl": _indexes(),
+        "alter_default_ddl": _alter_defaults(),
+        "capabilities": "SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{c}')" for d, cs in _LACKS.items() for c in cs.split()) + ") AS t(target, capability)",
     }
     return out | {f"map_to_{t}": f"SELECT dialect, data_type, length, prec, scale, fsp, {m} AS type_text FROM {_TYPED}" for t, m in _MAP.items()}

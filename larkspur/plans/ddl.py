@@ -133,3 +133,31 @@ def alter_nullability(target: str, schema: str = "") -> Column:
         return F.concat(F.lit("ALTER TABLE "), table, F.lit(" ALTER COLUMN "), name, F.when(F.col("is_nullable"), " DROP NOT NULL").otherwise(" SET NOT NULL"))
     verb = " ALTER COLUMN " if target == "mssql" else " MODIFY COLUMN "
     return F.concat(F.lit("ALTER TABLE "), table, F.lit(verb), name, F.lit(" "), F.col("type_text"), F.when(F.col("is_nullable"), " NULL").otherwise(" NOT NULL"))
+
+
+def _text(value: Column) -> Column:
+    """A SQL Server string of the value."""
+    return F.concat(F.lit("N'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
+
+
+def drop_default(target: str, schema: str = "") -> Column:
+    """Drops the default of column_name.  SQL Server's defaults are constraints, found by the column at run time."""
+    need(target, "alter_column")
+    table, name = qualified(schema, F.col("table_name"), target), quoted(F.col("column_name"), target)
+    if target != "mssql":
+        return F.concat(F.lit("ALTER TABLE "), table, F.lit(" ALTER COLUMN "), name, F.lit(" DROP DEFAULT"))
+    return F.concat(
+        F.lit("DECLARE @sql nvarchar(max) = (SELECT "), _text(F.concat(F.lit("ALTER TABLE "), table, F.lit(" DROP CONSTRAINT "))),
+        F.lit(" + QUOTENAME(d.name) FROM sys.default_constraints d JOIN sys.columns c ON c.object_id = d.parent_object_id AND c.column_id = d.parent_column_id WHERE d.parent_object_id = OBJECT_ID("),
+        _text(table), F.lit(") AND c.name = "), _text(F.col("column_name")), F.lit("); IF @sql IS NOT NULL EXEC sp_executesql @sql"),
+    )
+
+
+def set_default(target: str, schema: str = "") -> Column:
+    """The statements, in order, that make ``default`` the default of column_name."""
+    need(target, "alter_column")
+    table, name = qualified(schema, F.col("table_name"), target), quoted(F.col("column_name"), target)
+    if target != "mssql":
+        return F.array(F.concat(F.lit("ALTER TABLE "), table, F.lit(" ALTER COLUMN "), name, F.lit(" SET DEFAULT "), F.col("default")))
+    constraint = quoted(F.concat_ws("_", F.lit("df"), F.col("table_name"), F.col("column_name")), target)
+    return F.array(drop_default(target, schema), F.concat(F.lit("ALTER TABLE "), table, F.lit(" ADD CONSTRAINT "), constraint, F.lit(" DEFAULT "), F.col("default"), F.lit(" FOR "), name))
