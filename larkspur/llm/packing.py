@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.pretokens import IdCache, Pieces, char_classes, supported
+from larkspur.llm.pretokens import IdCache, Pieces, char_classes, id_cache, supported
 from larkspur.llm.store import arrow_rows, written
 from larkspur.llm.textblock import slices, text_bytes
 
@@ -37,14 +37,11 @@ PACKED = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, s
 def document_ids(texts: list[bytes], cache: IdCache, specials: list[tuple[str, int]], classes: np.ndarray) -> list[np.ndarray]:
     """The token ids of each text."""
     found = Pieces(texts, specials, classes)
-    ids = cache.of(found.distinct())
-    sizes = np.array([len(x) for x in ids], np.int64)
-    flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
-    begin = np.cumsum(sizes) - sizes
+    begin, sizes = cache.of(found.distinct())
     each = sizes[found.which]
     ends = np.cumsum(each)
     index = np.repeat(begin[found.which] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)
-    every = flat[index]
+    every = cache.flat[index]
     # ids before each segment
     cut = np.searchsorted(found.segment, np.arange(len(found.special) + 1))
     at = np.append(0, ends)[cut]
@@ -64,7 +61,7 @@ def pieces_of(path: str, capacity: int, end_id: int):
     specials = supported(path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, numbers, classes = IdCache(path), np.zeros(capacity + 1, np.int64), char_classes(path)
+        cache, numbers, classes = id_cache(path), np.zeros(capacity + 1, np.int64), char_classes(path)
         task = TaskContext.get().partitionId()
         end = np.array([end_id], np.uint32)
         for part in slices(batches, "text"):

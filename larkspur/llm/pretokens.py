@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -181,20 +182,39 @@ def _spans(block: Block, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class IdCache:
-    """Token ids of pre-tokens, from the library; a bounded number of them is kept."""
-
-    def __init__(self, path: str, limit: int = 300_000):
-        self.library, self.limit, self.ids = tokenizer(path), limit, {}
-
-    def of(self, pieces: list[bytes]) -> list[np.ndarray]:
-        have = self.ids
-        new = [p for p in pieces if p not in have]
+    """Token ids of pre-tokens, from the library; a bounded number of them is kept, back to back in one array."""
+
+    def __init__(self, path: str, limit: int = 500_000):
+        self.library, self.limit = tokenizer(path), limit
+        self.index: dict[bytes, int] = {}
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``flat`` the ids of each piece begin, and how many they are.  A later call may move them."""
+        new = [p for p in pieces if p not in self.index]
+        if len(self.index) + len(new) > self.limit:
+            self._keep([p for p in pieces if p in self.index])
         if new:
-            if len(have) + len(new) > self.limit:
-                have = self.ids = {p: have[p] for p in pieces if p in have}
-            for p, e in zip(new, self.library.encode_batch([p.decode() for p in new], add_special_tokens=False)):
-                have[p] = np.array(e.ids, np.uint32)
-        return [have[p] for p in pieces]
+            self._add(new, [e.ids for e in self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)])
+        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        return self.ends[at], self.ends[at + 1] - self.ends[at]
+
+    def _add(self, pieces: list[bytes], ids: list[list[int]]) -> None:
+        self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces))))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+
+    def _keep(self, pieces: list[bytes]) -> None:
+        ids = [self.flat[self.ends[i] : self.ends[i + 1]].tolist() for i in map(self.index.__getitem__, pieces)]
+        self.index, self.flat, self.ends = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self._add(pieces, ids)
+
+
+@lru_cache(2)
+def id_cache(path: str) -> IdCache:
+    """One for all tasks that a Python worker runs."""
+    return IdCache(path)
 
 
 def string_array(pieces: list[bytes]) -> pa.Array:
