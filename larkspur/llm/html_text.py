@@ -209,6 +209,10 @@ def main_text(pages: DataFrame, min_pages: int = 5, id_col: str = "page_id", url
     subtrees = parsed.select("row", "host", "content", F.explode(chains).alias("subtree"))
     templates = subtrees.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     gone = subtrees.join(templates.select("host", "subtree"), ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
-    joined = parsed.join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<bigint>")))
+    none = F.array().cast("array<bigint>")
+    # a page without candidates can lose nothing: its text needs no shuffle
+    has_candidates = F.exists("blocks", lambda b: F.size(b["chain"]) > 0)
+    joined = parsed.where(has_candidates).join(gone, "row", "left").withColumn("gone", F.coalesce("gone", none))
+    joined = joined.unionByName(parsed.where(~has_candidates).withColumn("gone", none))
     text = F.array_join(F.transform(F.filter("blocks", lambda b: ~F.arrays_overlap(b["chain"], F.col("gone"))), lambda b: b["text"]), " ")
     return joined.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("bigint"))
