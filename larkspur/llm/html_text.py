@@ -1,11 +1,12 @@
 """Main text of web pages by site template removal.
 
-1. Each page is parsed into an element tree.  Elements that are never main text by
-   their kind (scripts, menus, forms, ...) or by what their class, id or role says
-   (adverts, cookie notices, comments, ...) are left out.  If the page has ``article``
-   elements, or else a ``main`` element, only their text is kept.
-2. Every other container element gets a hash of its subtree.  Spark counts, per host,
+1. Each page is parsed into an element tree.  Every block element with text, menus,
+   adverts and footers included, gets a hash of its subtree.  Spark counts, per host,
    the different page contents in which a subtree occurs; copies of one page count once.
+2. As an addition to the counts, which say nothing on a host with few pages, elements that
+   are never main text by their kind (scripts, menus, forms, ...) or by what their class,
+   id or role says (adverts, cookie notices, comments, ...) are left out, and if the page
+   has ``article`` elements, or else a ``main`` element, only their text is kept.
 3. Subtrees that recur in at least ``min_pages`` contents of the host are the site's
    template and are deleted from its pages.  Paragraphs, headings and the like inside
    an article are prose, which pages quote from each other: they aren't candidates.
@@ -42,6 +43,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never main text.
 GONE = frozenset("script style noscript template head title nav aside footer form button select option textarea input iframe object embed svg canvas dialog menu map audio video noembed noframes".split())
+#: Holds no text of the page, so nothing to count.
+UNSEEN = frozenset("script style template head title noscript iframe noembed noframes textarea".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody thead figcaption br hr".split()) | INLINE
 ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split())
@@ -63,11 +66,11 @@ HINTS = frozenset(
     "search login complementary contentinfo skip copyright".split()
 )
 ROOTS = frozenset(["article", "main"])
-PARSED = "row bigint, page_id bigint, url string, host string, content bigint, blocks array<struct<text:string,chain:array<bigint>>>"
+PARSED = "row bigint, page_id bigint, url string, host string, content bigint, blocks array<struct<text:string,chain:array<bigint>>>, subtrees array<bigint>"
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "sum", "gone", "root", "hash", "candidate")
+    __slots__ = ("tag", "parent", "sum", "gone", "root", "hash", "candidate", "filled")
 
     def __init__(self, tag: str, parent: _Node | None, label: str, gone: bool):
         self.tag, self.parent = tag, parent
@@ -75,7 +78,8 @@ class _Node:
         self.root = tag if tag in ROOTS else parent.root if parent else None
         if parent and parent.root == "article":
             self.root = "article"
-        self.candidate = tag not in ("html", "body", "article", "main") and not (tag in PROSE and self.root)
+        self.candidate = tag not in ("html", "body", "article", "main") and tag not in INLINE and tag not in UNSEEN and not (tag in PROSE and self.root)
+        self.filled = False
         self.sum = hashlib.blake2b(f"<{tag} {label}>".encode("utf-8", "replace"), digest_size=8)
         self.hash = 0
 
@@ -95,10 +99,16 @@ def _marked(tag: str, attributes: str, inside_root: bool) -> tuple[str, bool]:
 
 def blocks_of(page: str) -> list[tuple[str, list[int]]]:
     """The blocks of text that a page keeps by itself, in order, each with the hashes of its candidate elements."""
+    return parsed_page(page)[0]
+
+
+def parsed_page(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
+    """``blocks_of`` the page, and the hashes of all its candidate elements with text, kept or not."""
     stack: list[_Node] = [_Node("html", None, "", False)]
     open_tags: Counter[str] = Counter()
     kept: list[tuple[str, _Node]] = []
     text: list[str] = []
+    subtrees: dict[int, None] = {}
 
     def flush() -> None:
         if text:
@@ -112,11 +122,17 @@ def blocks_of(page: str) -> list[tuple[str, list[int]]]:
         open_tags[node.tag] -= 1
         node.hash = int.from_bytes(node.sum.digest(), "little", signed=True)
         stack[-1].sum.update(node.hash.to_bytes(8, "little", signed=True))
+        if node.filled and node.tag not in UNSEEN:
+            stack[-1].filled = True
+            if node.candidate:
+                subtrees[node.hash] = None
 
     def say(piece: str) -> None:
         if piece:
             piece = entities.unescape(piece)
-            stack[-1].sum.update(" ".join(piece.split()).encode("utf-8", "replace"))
+            words = " ".join(piece.split())
+            stack[-1].sum.update(words.encode("utf-8", "replace"))
+            stack[-1].filled = stack[-1].filled or bool(words)
             if not stack[-1].gone:
                 text.append(piece)
 
@@ -184,18 +200,19 @@ def blocks_of(page: str) -> list[tuple[str, list[int]]]:
                 chain.append(node.hash)
             node = node.parent
         out.append((block, chain))
-    return out
+    return out, list(subtrees)
 
 
 def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = pa.struct([("text", pa.string()), ("chain", pa.list_(pa.int64()))])
     for batch in slices(batches, "html"):
-        found = [blocks_of(h or "") for h in batch.column("html").to_pylist()]
+        pages = [parsed_page(h or "") for h in batch.column("html").to_pylist()]
+        found = [f for f, _ in pages]
         content = [int.from_bytes(hashlib.blake2b("\n".join(t for t, _ in f).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for f in found]
         blocks = pa.array([[{"text": t, "chain": c} for t, c in f] for f in found], pa.list_(block))
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("row", "page_id", "url", "host")), pa.array(content, pa.int64()), blocks],
-            ["row", "page_id", "url", "host", "content", "blocks"],
+            [*(batch.column(c) for c in ("row", "page_id", "url", "host")), pa.array(content, pa.int64()), blocks, pa.array([s for _, s in pages], pa.list_(pa.int64()))],
+            ["row", "page_id", "url", "host", "content", "blocks", "subtrees"],
         )
 
 
@@ -205,10 +222,12 @@ def main_text(pages: DataFrame, min_pages: int = 5, id_col: str = "page_id", url
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
     numbered = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     parsed = written(numbered.mapInArrow(parse, PARSED), "parsed-pages")
-    chains = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["chain"])))
-    subtrees = parsed.select("row", "host", "content", F.explode(chains).alias("subtree"))
+    subtrees = parsed.select("host", "content", F.explode("subtrees").alias("subtree"))
     templates = subtrees.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    gone = subtrees.join(templates.select("host", "subtree"), ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
+    # only subtrees around text that the page keeps can take any from it
+    chains = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["chain"])))
+    around = parsed.select("row", "host", F.explode(chains).alias("subtree"))
+    gone = around.join(templates.select("host", "subtree"), ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
     none = F.array().cast("array<bigint>")
     # a page without candidates can lose nothing: its text needs no shuffle
     has_candidates = F.exists("blocks", lambda b: F.size(b["chain"]) > 0)

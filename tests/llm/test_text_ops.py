@@ -380,3 +380,13 @@ def test_site_templates_are_deleted_per_host(spark):
     assert all(got[200 + i] == [f"quoted by all own {i}"] for i in range(12))
     assert got[300] == [""] and got[None] == [""] and got[301] == ["solo", "solo"]
     assert html_text.main_text(table.limit(0)).count() == 0
+
+
+def test_menus_and_footers_are_counted(spark):
+    # the list is in the menu of most pages, and outside any listed element on the others
+    menu = "<ul class='m'><li>Home</li><li>News</li></ul>"
+    pages = [(i, f"http://a.example/{i}", f"<nav>{menu}</nav><article><p>own {i}</p></article><footer>Foot</footer>") for i in range(8)]
+    pages += [(100, "http://a.example/x", f"<article>{menu}<p>odd one</p></article>"), (101, "http://b.example/x", f"<article>{menu}<p>odd one</p></article>")]
+    got = {x.page_id: x.text for x in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"own {i}" for i in range(8))
+    assert got[100] == "odd one" and got[101] == "Home News odd one"
