@@ -7,8 +7,9 @@
    are never main text by their kind (scripts, menus, forms, ...) or by what their class,
    id or role says (adverts, cookie notices, comments, ...) are left out, and if the page
    has ``article`` elements, or else a ``main`` element, only their text is kept.
-3. Subtrees that recur in at least ``min_pages`` contents of the host are the site's
-   template and are deleted from its pages.  Paragraphs, headings and the like inside
+3. Subtrees that recur in at least ``min_share`` of the host's different contents, and in
+   ``min_pages`` of them, are the site's template and are deleted from its pages: many
+   pages of a host means the same share of it at every size.  Paragraphs, headings and the like inside
    an article are prose, which pages quote from each other: they aren't candidates.
 
 Character references are decoded, white space inside a block becomes one space, and
@@ -216,7 +217,7 @@ def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def main_text(pages: DataFrame, min_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, min_share: float = 0.1, min_pages: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     arrow_rows(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
@@ -224,6 +225,9 @@ def main_text(pages: DataFrame, min_pages: int = 5, id_col: str = "page_id", url
     parsed = written(numbered.mapInArrow(parse, PARSED), "parsed-pages")
     subtrees = parsed.select("host", "content", F.explode("subtrees").alias("subtree"))
     templates = subtrees.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    # the host's contents, of the hosts that can have templates only
+    hosts = parsed.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("contents")).where(F.col("contents") >= min_pages)
+    templates = templates.join(hosts, "host").where(F.col("pages") >= F.col("contents") * min_share)
     # only subtrees around text that the page keeps can take any from it
     chains = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["chain"])))
     around = parsed.select("row", "host", F.explode(chains).alias("subtree"))

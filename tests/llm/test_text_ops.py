@@ -390,3 +390,14 @@ def test_menus_and_footers_are_counted(spark):
     got = {x.page_id: x.text for x in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"own {i}" for i in range(8))
     assert got[100] == "odd one" and got[101] == "Home News odd one"
+
+
+def test_recurrence_is_judged_by_the_share_of_the_host(spark):
+    page = "<article><p>own %s</p><div>%s</div></article>"
+    pages = [(i, f"http://large.example/{i}", page % (i, "quoted" if i < 6 else "all" if i < 20 else f"d{i}")) for i in range(100)]
+    pages += [(1000 + i, f"http://small.example/{i}", page % (i, "all")) for i in range(3)]
+    pages += [(2000 + i, f"http://two.example/{i}", page % (i, "all")) for i in range(2)]
+    got = {x.page_id: x.text for x in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"own {i} quoted" for i in range(6)) and all(got[i] == f"own {i}" for i in range(6, 20))
+    assert got[50] == "own 50 d50"
+    assert all(got[1000 + i] == f"own {i}" for i in range(3)) and got[2000] == "own 0 all"
