@@ -6,7 +6,10 @@
 2. As an addition to the counts, which say nothing on a host with few pages, elements that
    are never main text by their kind (scripts, menus, forms, ...) or by what their class,
    id or role says (adverts, cookie notices, comments, ...) are left out, and if the page
-   has ``article`` elements, or else a ``main`` element, only their text is kept.
+   has ``article`` elements, or else a ``main`` element, only their text is kept.  Words
+   say nothing of prose elements, of ``article`` and ``main`` and what they are in, of what
+   holds a paragraph or heading inside an article, and of what holds most of the text of a
+   page: there only the counts decide.
 3. Subtrees that recur in at least ``min_share`` of the host's different contents, and in
    ``min_pages`` of them, are the site's template and are deleted from its pages: many
    pages of a host means the same share of it at every size.  Paragraphs, headings and the like inside
@@ -48,6 +51,7 @@ GONE = frozenset("script style noscript template head title nav aside footer for
 UNSEEN = frozenset("script style template head title noscript iframe noembed noframes textarea".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody thead figcaption br hr".split()) | INLINE
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split())
 #: What an opening tag closes, and the elements beyond which it closes nothing.
 CLOSES = {
@@ -71,9 +75,9 @@ PARSED = "row bigint, page_id bigint, url string, host string, content bigint, b
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "sum", "gone", "root", "hash", "candidate", "filled")
+    __slots__ = ("tag", "parent", "sum", "gone", "root", "hash", "candidate", "filled", "hinted", "holds")
 
-    def __init__(self, tag: str, parent: _Node | None, label: str, gone: bool):
+    def __init__(self, tag: str, parent: _Node | None, label: str, gone: bool, hinted: bool = False):
         self.tag, self.parent = tag, parent
         self.gone = gone or bool(parent and parent.gone)
         self.root = tag if tag in ROOTS else parent.root if parent else None
@@ -81,21 +85,49 @@ class _Node:
             self.root = "article"
         self.candidate = tag not in ("html", "body", "article", "main") and tag not in INLINE and tag not in UNSEEN and not (tag in PROSE and self.root)
         self.filled = False
+        self.hinted = hinted and tag not in PROSE and tag not in ROOTS
+        self.holds = False  # an article or main
         self.sum = hashlib.blake2b(f"<{tag} {label}>".encode("utf-8", "replace"), digest_size=8)
         self.hash = 0
 
 
-def _marked(tag: str, attributes: str, inside_root: bool) -> tuple[str, bool]:
-    """The class and id of a tag, and whether they or its kind say that it isn't main text."""
+def _marked(tag: str, attributes: str, inside_root: bool) -> tuple[str, bool, bool]:
+    """The class and id of a tag, whether its kind or hiding says that it isn't main text, and whether a word of its class, id or role does."""
     gone = tag in GONE or tag == "header" and not inside_root
     if not attributes.strip(" /\t\r\n"):
-        return "", gone
+        return "", gone, False
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
     label = f"{found.get('class', '')} {found.get('id', '')}"
+    hinted = False
     if tag not in ("html", "body", "main"):
         words = re.split(r"[^a-z0-9]+", f"{label} {found.get('role', '')}".lower())
-        gone = gone or not HINTS.isdisjoint(words) or "hidden" in found or found.get("aria-hidden") == "true"
-    return label, gone
+        hinted = not HINTS.isdisjoint(words)
+        gone = gone or "hidden" in found or found.get("aria-hidden") == "true"
+    return label, gone, hinted
+
+
+def _unhinted(kept: list[tuple[str, _Node]]) -> list[tuple[str, _Node]]:
+    """The blocks that aren't in an element whose words count against it."""
+    size: Counter[int] = Counter()
+    prose: set[int] = set()
+    inside: list[list[_Node]] = []
+    for text, node in kept:
+        hinted, paragraph = [], False
+        while node:
+            paragraph = paragraph or node.tag in PARAGRAPHS
+            if node.hinted and not node.holds:
+                hinted.append(node)
+                size[id(node)] += len(text)
+                if paragraph:
+                    prose.add(id(node))
+            node = node.parent
+        inside.append(hinted)
+    every = sum(len(t) for t, _ in kept)
+
+    def against(node: _Node) -> bool:
+        return id(node) not in prose if node.root == "article" else 2 * size[id(node)] <= every
+
+    return [x for x, hinted in zip(kept, inside) if not any(against(n) for n in hinted)]
 
 
 def blocks_of(page: str) -> list[tuple[str, list[int]]]:
@@ -175,10 +207,13 @@ def parsed_page(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
                 flush()
             if tag in ("html", "body") or tag in VOID:
                 continue
-            label, gone = _marked(tag, m[3] or m[5] or "", stack[-1].root is not None)
+            label, gone, hinted = _marked(tag, m[3] or m[5] or "", stack[-1].root is not None)
             if tag == "body":
                 continue
-            stack.append(_Node(tag, stack[-1], label, gone))
+            stack.append(_Node(tag, stack[-1], label, gone, hinted))
+            if tag in ROOTS:
+                for n in stack[:-1]:
+                    n.holds = True
             open_tags[tag] += 1
             if tag in RAW:
                 stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -189,6 +224,7 @@ def parsed_page(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     flush()
     while len(stack) > 1:
         close()
+    kept = _unhinted(kept)
     for root in ("article", "main"):
         if any(n.root == root for _, n in kept):
             kept = [(t, n) for t, n in kept if n.root == root or root == "main" and n.root]

@@ -401,3 +401,18 @@ def test_recurrence_is_judged_by_the_share_of_the_host(spark):
     assert all(got[i] == f"own {i} quoted" for i in range(6)) and all(got[i] == f"own {i}" for i in range(6, 20))
     assert got[50] == "own 50 d50"
     assert all(got[1000 + i] == f"own {i}" for i in range(3)) and got[2000] == "own 0 all"
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<div id='content' class='with-sidebar'><article><p>a</p></article></div>", "a"),
+        ("<div id='content' class='with-sidebar'><p>a long paragraph</p><p>another</p></div><div class='ad'>Buy</div>", "a long paragraph another"),
+        ("<article class='post comments-open'><p>a</p></article>", "a"),
+        ("<article><h2 id='related-work'>Related work</h2><p class='notice'>b</p></article>", "Related work b"),
+        ("<article><section id='search-methods'><h2>Search</h2><p>b</p></section><div class='share'>Share</div></article>", "Search b"),
+        ("<article hidden><p>a</p></article><p>b</p>", "b"),
+    ],
+)
+def test_words_of_classes_do_not_drop_prose(page, text):
+    assert " ".join(t for t, _ in html_text.blocks_of(page)) == text
