@@ -116,11 +116,12 @@ def hashed(probes: int, tables: int, functions: int, seed: int):
 def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cosines of pairs of vectors."""
     for batch in batches:
+        first = batch.column("first")
         for (rows, a), (_, b) in zip(matrices(batch, "qv"), matrices(batch, "cv")):
             with np.errstate(over="ignore", invalid="ignore"):
                 cosine = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
             at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("q").take(at), batch.column("c").take(at), pa.array(cosine)], ["q", "c", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("q").take(at), batch.column("c").take(at), first.take(at), pa.array(cosine)], ["q", "c", "first", "score"])
 
 
 def nearest(
@@ -148,12 +149,12 @@ def nearest(
 
     def best(pairs: DataFrame, asked: DataFrame) -> DataFrame:
         """The k + 1 nearest (score, id) of each query class."""
-        q, c = asked.select(F.col("cls").alias("q"), F.col("vector").alias("qv")), classes.select(F.col("cls").alias("c"), F.col("vector").alias("cv"), "ids")
+        q, c = asked.select(F.col("cls").alias("q"), F.col("vector").alias("qv")), classes.select(F.col("cls").alias("c"), F.col("vector").alias("cv"), F.col("ids")[0].alias("first"), "ids")
         numbers = asked.agg(F.sum(F.size("vector"))).first()[0] or 0
         q = F.broadcast(q) if numbers <= MOST_SENT else q
-        got = pairs.join(c.select("c", "cv"), "c").join(q, "q").where(F.size("qv") == F.size("cv")).select("q", "c", "qv", "cv").mapInArrow(scored, "q bigint, c bigint, score double")
-        near = got.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).where(F.col("nth") <= 4 * (k + 1))
-        # classes with equal scores compete by their ids, so ties at the end are kept
+        got = pairs.join(c.select("c", "cv", "first"), "c").join(q, "q").where(F.size("qv") == F.size("cv")).select("q", "c", "first", "qv", "cv").mapInArrow(scored, "q bigint, c bigint, first bigint, score double")
+        near = got.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "first", "c"))).where(F.col("nth") <= k + 1)
+        # each class before another in this order has an id before all of the other's: so k + 1 classes hold the k + 1 nearest ids
         named = near.join(c.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("id"))
         return named.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("nth") <= k + 1)
 

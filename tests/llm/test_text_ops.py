@@ -416,3 +416,19 @@ def test_recurrence_is_judged_by_the_share_of_the_host(spark):
 )
 def test_words_of_classes_do_not_drop_prose(page, text):
     assert " ".join(t for t, _ in html_text.blocks_of(page)) == text
+
+
+def test_ties_of_many_classes_go_to_the_smallest_ids(spark):
+    # a hundred different vectors of each of two directions: scores are 1 or 0
+    ids = list(range(1, 201))
+    random.Random(4).shuffle(ids)
+    rows = [(i, [float(2**j), 0.0] if j < 100 else [0.0, float(2 ** (j - 100))]) for j, i in enumerate(ids)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    by_axis = [sorted(i for i, v in rows if v[axis]) for axis in (0, 1)]
+    got = collections.defaultdict(list)
+    for x in sorted(neighbours.nearest(table, every=7).collect(), key=lambda x: (x.query_id, x["rank"])):
+        got[x.query_id].append((x.vec_id, x.score))
+    assert set(got) == {i for i, _ in rows if i % 7 == 0}
+    for q, found in got.items():
+        same = next(a for a in by_axis if q in a)
+        assert found == [(i, 1.0) for i in same if i != q][:5]
