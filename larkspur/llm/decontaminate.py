@@ -15,7 +15,8 @@ once per block.  Usual benchmarks are one block.
 
 Null and empty texts are clean.  Repeated rows are judged each, null ids stay null,
 extra columns are ignored, an empty table gives no rows, an empty benchmark leaves all
-documents clean.
+documents clean.  Items with a null id contaminate like others: they are one null, the
+last, among the items found.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ FOUND = [T.StructField("_items", T.ArrayType(T.LongType())), T.StructField("_cov
 class Benchmark:
     """One block of items, with their seeds."""
 
-    def __init__(self, items: list[tuple[int, bytes]], seed: int):
+    def __init__(self, items: list[tuple[int | None, bytes]], seed: int):
         words = Words(Block([t for _, t in items]), PUNCT)
         hashes = words.hashes()
         self.seed = seed
@@ -132,7 +133,7 @@ def judge(shared, threshold: float):
             most = np.zeros(part.num_rows)
             for d, covered in found.items():
                 most[d] = max(covered.values())
-                items[d] = sorted(benchmark.ids[k] for k, c in covered.items() if c >= threshold)
+                items[d] = sorted((benchmark.ids[k] for k, c in covered.items() if c >= threshold), key=lambda i: (i is None, i or 0))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names), pa.array(items, pa.list_(pa.int64())), pa.array(most)], [*part.schema.names, "_items", "_coverage"])
 
     return run
@@ -140,9 +141,9 @@ def judge(shared, threshold: float):
 
 def blocks(benchmark: DataFrame, block_words: int, seed: int, id_col: str, text_col: str) -> Iterator[Benchmark]:
     """The benchmark in blocks; the driver holds one at a time."""
-    held: list[tuple[int, bytes]] = []
+    held: list[tuple[int | None, bytes]] = []
     size = 0
-    rows = benchmark.select(F.col(id_col).cast("bigint").alias("id"), F.lower(text_col).alias("text")).where("id is not null and text is not null")
+    rows = benchmark.select(F.col(id_col).cast("bigint").alias("id"), F.lower(text_col).alias("text")).where("text is not null")
     for row in rows.orderBy("id", "text").toLocalIterator():
         text = text_bytes(pa.array([row.text]), lower=True)[0]
         n = len(Words(Block([text]), PUNCT))

@@ -432,3 +432,13 @@ def test_ties_of_many_classes_go_to_the_smallest_ids(spark):
     for q, found in got.items():
         same = next(a for a in by_axis if q in a)
         assert found == [(i, 1.0) for i in same if i != q][:5]
+
+
+def test_items_without_id_contaminate(spark):
+    items = ["one two three four five six seven", "a b c d e f g h", "never found in any of them"]
+    bench = spark.createDataFrame([(None, items[0]), (None, items[1]), (3, items[1]), (None, items[2])], "item_id long, text string")
+    table = docs(spark, [f"x {items[0]} y", f"{items[0]} z {items[1]}", "clean"])
+    for size in (5, 10**6):
+        got = {x.doc_id: x for x in decontaminate.decontaminate(table, bench, block_words=size).collect()}
+        assert [got[i]["items"] for i in range(3)] == [[None], [3, None], []] and [got[i].contaminated for i in range(3)] == [True, True, False]
+    assert [x.doc_id for x in decontaminate.clean(table, bench).collect()] == [2]
