@@ -24,7 +24,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"), passages=licenses.PASSAGES)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

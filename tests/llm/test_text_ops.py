@@ -442,3 +442,27 @@ def test_items_without_id_contaminate(spark):
         got = {x.doc_id: x for x in decontaminate.decontaminate(table, bench, block_words=size).collect()}
         assert [got[i]["items"] for i in range(3)] == [[None], [3, None], []] and [got[i].contaminated for i in range(3)] == [True, True, False]
     assert [x.doc_id for x in decontaminate.clean(table, bench).collect()] == [2]
+
+
+def test_licenses_in_longer_lines_and_texts(spark):
+    words = "some prose of the document that says nothing of it"
+    body = licenses.PASSAGES["MIT"][1]
+    bsd = licenses.PASSAGES["BSD-3-Clause"][0]
+    cases = [
+        (f"{words} Released under the MIT License. {words}", "MIT"),
+        (f"{words}\nThis work is licensed under the GNU\nGeneral Public License, version 3. {words}", "GPL-3.0"),
+        ("The MIT License (MIT)\n\nCopyright (c) 2020 A. Writer\n\n" + body.replace(", ", ",\n"), "MIT"),
+        ("Copyright (c) 2020, A. Writer. All rights reserved.\n\n" + bsd.replace("copyright holder", "University"), "BSD-3-Clause"),
+        (licenses.PASSAGES["BSD-2-Clause"][0] + f"\n{words}", "BSD-2-Clause"),
+        ("# " + licenses.PASSAGES["GPL-2.0"][1].replace(" the ", "\n# the "), "GPL-2.0"),
+        (licenses.PASSAGES["LGPL-3.0"][0], "LGPL-3.0"),
+        (f"{words} {words}", None),
+        (None, None),
+        ("", None),
+        ("one", None),
+        ("license", None),
+        ("All rights reserved.", "Proprietary"),
+    ]
+    got = {x.doc_id: x for x in licenses.scan(docs(spark, [t for t, _ in cases]), passages=licenses.PASSAGES).collect()}
+    assert [got[i].license for i in range(len(cases))] == [x for _, x in cases]
+    assert all((got[i].score is None) == (x is None) and (got[i].n_matches == 0) == (x is None) for i, (_, x) in enumerate(cases))
