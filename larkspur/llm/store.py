@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,13 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    """The folder named in spark.checkpoint.dir; where it is unset, as in tests, one of our own.
+
+    A folder of our own is on this machine, so that it is refused unless all tasks run here.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("larkspur.own.folder", None)
-        if not folder:
-            folder = f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
-            spark.conf.set("larkspur.own.folder", folder)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share; the master is {master}")
+        own = tempfile.mkdtemp(prefix="larkspur-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
+        spark.conf.set("larkspur.own.folder", folder)
     return folder.rstrip("/")
 
 
@@ -28,9 +38,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path  # for ``forget``
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table of a frame that ``written`` made and that nothing reads any more."""
+    path = vars(df).pop("_folder", None)
+    if path:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, so that long texts don't add up in a Python worker."""
+    """Arrow batches of at most so many rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
