@@ -3,17 +3,22 @@
 1. Each page is parsed into an element tree.  Every block element with text, menus,
    adverts and footers included, gets a hash of its subtree.  Spark counts, per host,
    the different page contents in which a subtree occurs; copies of one page count once.
-2. As an addition to the counts, which say nothing on a host with few pages, elements that
-   are never main text by their kind (scripts, menus, forms, ...) or by what their class,
-   id or role says (adverts, cookie notices, comments, ...) are left out, and if the page
-   has ``article`` elements, or else a ``main`` element, only their text is kept.  Words
-   say nothing of prose elements, of ``article`` and ``main`` and what they are in, of what
-   holds a paragraph or heading inside an article, and of what holds most of the text of a
-   page: there only the counts decide.
-3. Subtrees that recur in at least ``min_share`` of the host's different contents, and in
-   ``min_pages`` of them, are the site's template and are deleted from its pages: many
-   pages of a host means the same share of it at every size.  Paragraphs, headings and the like inside
-   an article are prose, which pages quote from each other: they aren't candidates.
+2. Subtrees that recur in at least ``min_share`` of the host's different contents, and in
+   ``min_pages`` of them, are the site's template: many pages of a host means the same
+   share of it at every size.  A host has at most as many of them as a page has subtrees,
+   divided by that share.  Paragraphs, headings and the like inside an article are prose,
+   which pages quote from each other: they aren't candidates.
+3. Each page is parsed again next to its host's template hashes, and what is in a
+   template subtree is deleted.  Nothing but hashes is shuffled for the counts; the pages
+   themselves are moved only where the templates of all hosts are too many to be sent to
+   every task (``MOST_SENT``).
+4. What recurs too little to be counted, as on a host with few pages, is left to lists:
+   elements that are never main text by their kind (scripts, menus, forms, ...) or by what
+   their class, id or role says (adverts, cookie notices, comments, ...) are left out, and
+   if the page has ``article`` elements, or else a ``main`` element, only their text is
+   kept.  Words say nothing of prose elements, of ``article`` and ``main`` and what they
+   are in, of what holds a paragraph or heading inside an article, and of what holds most
+   of the text of a page: there only the counts decide.
 
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined in page order by one space.  Tags that are cut off or unclosed end
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.store import arrow_rows, written
+from larkspur.llm.store import forget, written
 from larkspur.llm.textblock import slices
 
 TAG = re.compile(
@@ -71,15 +76,20 @@ HINTS = frozenset(
     "search login complementary contentinfo skip copyright".split()
 )
 ROOTS = frozenset(["article", "main"])
-PARSED = "row bigint, page_id bigint, url string, host string, content bigint, blocks array<struct<text:string,chain:array<bigint>>>, subtrees array<bigint>"
+#: The templates of all hosts are sent to every task if they are at most so many hashes, else joined.
+MOST_SENT = 2_000_000
+COUNTED = "host string, content bigint, subtrees array<bigint>"
+EXTRACTED = "page_id bigint, url string, text string, n_chars bigint, n_template_blocks int"
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "sum", "gone", "root", "hash", "candidate", "filled", "hinted", "holds")
+    __slots__ = ("tag", "parent", "sum", "gone", "silent", "root", "hash", "candidate", "filled", "hinted", "holds")
 
     def __init__(self, tag: str, parent: _Node | None, label: str, gone: bool, hinted: bool = False):
         self.tag, self.parent = tag, parent
         self.gone = gone or bool(parent and parent.gone)
+        # no block of its own to be counted: what isn't text of the page, and inline elements that are left out
+        self.silent = bool(parent and parent.silent) or tag in UNSEEN or gone and tag in INLINE
         self.root = tag if tag in ROOTS else parent.root if parent else None
         if parent and parent.root == "article":
             self.root = "article"
@@ -130,13 +140,8 @@ def _unhinted(kept: list[tuple[str, _Node]]) -> list[tuple[str, _Node]]:
     return [x for x, hinted in zip(kept, inside) if not any(against(n) for n in hinted)]
 
 
-def blocks_of(page: str) -> list[tuple[str, list[int]]]:
-    """The blocks of text that a page keeps by itself, in order, each with the hashes of its candidate elements."""
-    return parsed_page(page)[0]
-
-
-def parsed_page(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """``blocks_of`` the page, and the hashes of all its candidate elements with text, kept or not."""
+def parsed_page(page: str) -> tuple[list[tuple[str, _Node]], list[int]]:
+    """The blocks of text of a page, in order, each with its element, and the hashes of all candidate elements with text."""
     stack: list[_Node] = [_Node("html", None, "", False)]
     open_tags: Counter[str] = Counter()
     kept: list[tuple[str, _Node]] = []
@@ -166,7 +171,7 @@ def parsed_page(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             words = " ".join(piece.split())
             stack[-1].sum.update(words.encode("utf-8", "replace"))
             stack[-1].filled = stack[-1].filled or bool(words)
-            if not stack[-1].gone:
+            if not stack[-1].silent:
                 text.append(piece)
 
     def end(tags, beyond=frozenset()) -> None:
@@ -224,54 +229,78 @@ def parsed_page(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     flush()
     while len(stack) > 1:
         close()
-    kept = _unhinted(kept)
+    return kept, list(subtrees)
+
+
+def in_templates(node: _Node | None, templates: frozenset[int] | set[int]) -> bool:
+    while node:
+        if node.candidate and node.hash in templates:
+            return True
+        node = node.parent
+    return False
+
+
+def main_blocks(kept: list[tuple[str, _Node]]) -> list[str]:
+    """Of the blocks that no template has, the texts that kinds, words and ``article`` or ``main`` leave."""
+    kept = _unhinted([(t, n) for t, n in kept if not n.gone])
     for root in ("article", "main"):
         if any(n.root == root for _, n in kept):
             kept = [(t, n) for t, n in kept if n.root == root or root == "main" and n.root]
             break
-    out = []
-    for block, node in kept:
-        chain = []
-        while node:
-            if node.candidate:
-                chain.append(node.hash)
-            node = node.parent
-        out.append((block, chain))
-    return out, list(subtrees)
+    return [t for t, _ in kept]
+
 
+def blocks_of(page: str) -> list[str]:
+    """The blocks of text that a page keeps by itself, in order."""
+    return main_blocks(parsed_page(page)[0])
 
-def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = pa.struct([("text", pa.string()), ("chain", pa.list_(pa.int64()))])
+
+def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, a hash of the main text, and the candidate subtrees of each page."""
     for batch in slices(batches, "html"):
         pages = [parsed_page(h or "") for h in batch.column("html").to_pylist()]
-        found = [f for f, _ in pages]
-        content = [int.from_bytes(hashlib.blake2b("\n".join(t for t, _ in f).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for f in found]
-        blocks = pa.array([[{"text": t, "chain": c} for t, c in f] for f in found], pa.list_(block))
+        content = [int.from_bytes(hashlib.blake2b("\n".join(main_blocks(kept)).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for kept, _ in pages]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(content, pa.int64()), pa.array([s for _, s in pages], pa.list_(pa.int64()))], ["host", "content", "subtrees"])
+
+
+def extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The main text of each page, and how many blocks the host's templates took from it."""
+    for batch in slices(batches, "html"):
+        known: dict[str, frozenset[int]] = {}
+        texts, gone = [], []
+        templates = batch.column("templates")
+        for i, (host, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())):
+            if host not in known:
+                known[host] = frozenset(templates[i].as_py() or ())
+            blocks, _ = parsed_page(page or "")
+            left = [(t, n) for t, n in blocks if not in_templates(n, known[host])] if known[host] else blocks
+            gone.append(len(blocks) - len(left))
+            texts.append(" ".join(main_blocks(left)))
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("row", "page_id", "url", "host")), pa.array(content, pa.int64()), blocks, pa.array([s for _, s in pages], pa.list_(pa.int64()))],
-            ["row", "page_id", "url", "host", "content", "blocks", "subtrees"],
+            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(gone, pa.int32())],
+            ["page_id", "url", "text", "n_chars", "n_template_blocks"],
         )
 
 
-def main_text(pages: DataFrame, min_share: float = 0.1, min_pages: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
-    arrow_rows(pages.sparkSession)
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
-    numbered = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
-    parsed = written(numbered.mapInArrow(parse, PARSED), "parsed-pages")
-    subtrees = parsed.select("host", "content", F.explode("subtrees").alias("subtree"))
-    templates = subtrees.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    # the host's contents, of the hosts that can have templates only
-    hosts = parsed.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("contents")).where(F.col("contents") >= min_pages)
-    templates = templates.join(hosts, "host").where(F.col("pages") >= F.col("contents") * min_share)
-    # only subtrees around text that the page keeps can take any from it
-    chains = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["chain"])))
-    around = parsed.select("row", "host", F.explode(chains).alias("subtree"))
-    gone = around.join(templates.select("host", "subtree"), ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
-    none = F.array().cast("array<bigint>")
-    # a page without candidates can lose nothing: its text needs no shuffle
-    has_candidates = F.exists("blocks", lambda b: F.size(b["chain"]) > 0)
-    joined = parsed.where(has_candidates).join(gone, "row", "left").withColumn("gone", F.coalesce("gone", none))
-    joined = joined.unionByName(parsed.where(~has_candidates).withColumn("gone", none))
-    text = F.array_join(F.transform(F.filter("blocks", lambda b: ~F.arrays_overlap(b["chain"], F.col("gone"))), lambda b: b["text"]), " ")
-    return joined.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+def site_templates(pages: DataFrame, min_share: float, min_pages: int) -> DataFrame:
+    """host and ``templates``, the hashes of the subtrees that recur on it; ``pages`` has host and html."""
+    contents = written(pages.select("host", "html").mapInArrow(counted, COUNTED).groupBy("host", "content").agg(F.min("subtrees").alias("subtrees")), "page-subtrees")
+    # the hosts that can have templates only
+    hosts = contents.groupBy("host").agg(F.count("*").alias("contents")).where(F.col("contents") >= min_pages)
+    found = contents.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    many = found.join(hosts, "host").where(F.col("pages") >= F.col("contents") * min_share)
+    out = written(many.groupBy("host").agg(F.collect_list("subtree").alias("templates")), "templates")
+    forget(contents)
+    return out
+
+
+def main_text(pages: DataFrame, min_share: float = 0.01, min_pages: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id, url, text, n_chars and n_template_blocks (blocks that the host's templates took) of every page."""
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+    rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").alias("url"), host.alias("host"), F.col(f"`{html_col}`").alias("html"))
+    templates = site_templates(rows, min_share, min_pages)
+    size = templates.agg(F.sum(F.size("templates") + 1)).first()[0] or 0
+    # each page's host has one row; beyond the bound a hot host's pages are split by the skew join
+    joined = rows.join(F.broadcast(templates) if size <= MOST_SENT else templates, "host", "left")
+    out = joined.select("page_id", "url", "host", "html", "templates").mapInArrow(extracted, EXTRACTED)
+    return out.withColumnsRenamed({"page_id": id_col, "url": url_col})
