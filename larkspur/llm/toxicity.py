@@ -8,10 +8,15 @@ later model sees earlier predictions as good as those that it gets at scoring ti
 
 Features are the distinct words of a text (lower case, cut at ASCII characters other
 than letters and digits) and their first 4 and 6 bytes, hashed to ``1 << BITS`` places.
-A model keeps the places whose rates differ most between its two classes.
+A model keeps the places whose rates differ most between its two classes (at most
+``MOST``, of at least ``LEAST_DOCS`` documents, by at least ``LEAST_Z`` standard errors).
 
 The models are fitted on a bounded sample: the ``sample`` labelled documents with the
-smallest hashes of their ids.  All documents are scored, over their whole texts.
+smallest hashes of their ids.  Spark counts places by category, fold and label; only
+counts and the chosen places of the sample reach the driver.  Folds go by a hash of a
+document's features, so that copies are in one fold and no prediction called out-of-fold
+comes from a model that has seen the document.  All documents are scored, over their
+whole texts.
 
 Null and empty texts get the probabilities of a text without features.  Repeated rows
 are scored each, null ids stay null, extra columns are ignored, an empty table gives no
@@ -31,11 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.store import arrow_rows
+from larkspur.llm.store import forget, written
 from larkspur.llm.textblock import PUNCT, Block, Words, mix, slices, span_hashes, text_bytes
 
 BITS = 18
 FOLDS = 3
+#: Of each model: the most places, the fewest documents of a place, and the least standard errors between its two rates.
+MOST, LEAST_DOCS, LEAST_Z = 4000, 5, 4.0
 #: Categories in chain order, as expressions over the labels.
 CHAIN = {"low_quality": "1 - quality", "toxic": "toxic"}
 
@@ -53,12 +60,34 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """labels, the places of the text's features, and a hash of them."""
     for part in slices(batches, "text"):
         doc, place = features(text_bytes(part.column("text"), lower=True))
         offsets = np.zeros(part.num_rows + 1, np.int32)
         np.cumsum(np.bincount(doc, minlength=part.num_rows), out=offsets[1:])
+        sums = np.zeros(len(place) + 1, np.uint64)
+        np.cumsum(mix(place.astype(np.uint64) + np.uint64(1)), out=sums[1:])
+        content = mix(sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(place.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([part.column("labels"), lists], ["labels", "places"])
+        yield pa.RecordBatch.from_arrays([part.column("labels"), lists, pa.array(content)], ["labels", "places", "content"])
+
+
+def narrowed(chosen):
+    """The places of ``chosen`` only, by their numbers in it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.full(1 << BITS, -1, np.int32)
+        number[chosen] = np.arange(len(chosen), dtype=np.int32)
+        for batch in batches:
+            lists = batch.column("places")
+            got = number[lists.flatten().to_numpy(zero_copy_only=False)]
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            offsets = np.zeros(batch.num_rows + 1, np.int32)
+            np.cumsum(np.bincount(row[got >= 0], minlength=batch.num_rows), out=offsets[1:])
+            kept = pa.ListArray.from_arrays(pa.array(offsets), pa.array(got[got >= 0]))
+            yield pa.RecordBatch.from_arrays([batch.column("labels"), kept, batch.column("content")], ["labels", "places", "content"])
+
+    return run
 
 
 @dataclass
@@ -71,89 +100,120 @@ class Model:
         return np.clip(sums + self.bias + (before @ self.earlier if len(self.earlier) else 0), -12, 12)
 
 
+class Counts:
+    """Documents of the sample with a label 1 and with a label 0, by category and fold: of all and of each place."""
+
+    def __init__(self, n: np.ndarray, of_place: np.ndarray):
+        self.n, self.of_place = n, of_place  # (category, fold, label) and (place, category, fold, label)
+
+    def telling(self, k: int, without: int | None) -> np.ndarray:
+        """The places whose rates differ most between the classes of category ``k``, outside one fold.
+
+        At most ``MOST`` places, of at least ``LEAST_DOCS`` documents, whose rates differ by at least ``LEAST_Z``
+        standard errors.
+        """
+        folds = [f for f in range(self.n.shape[1]) if f != without]
+        n0, n1 = (float(self.n[k, folds, label].sum()) for label in (0, 1))
+        if not n0 or not n1:
+            return np.zeros(0, np.int64)
+        b, a = (self.of_place[:, k, folds, label].sum(1, dtype=np.int64) for label in (0, 1))
+        p = (a + b + 1) / (n1 + n0 + 2)
+        z = np.abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+        z[a + b < LEAST_DOCS] = 0
+        chosen = np.argsort(-z, kind="stable")[:MOST]
+        return chosen[z[chosen] >= LEAST_Z]
+
+
 class Sample:
-    """Labelled documents as a sparse binary matrix."""
+    """Labelled documents as a sparse binary matrix over the chosen places."""
 
-    def __init__(self, places: list[np.ndarray]):
-        self.n = len(places)
-        self.ptr = np.cumsum([0, *map(len, places)])
-        self.place = np.concatenate([*places, np.zeros(0, np.int32)]).astype(np.int64)
-        self.doc = np.repeat(np.arange(self.n), np.diff(self.ptr))
+    def __init__(self, chosen: np.ndarray, ptr: np.ndarray, place: np.ndarray):
+        self.n, self.chosen, self.place = len(ptr) - 1, chosen, place
+        self.doc = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(ptr))
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.doc, weights[self.place], self.n)
 
-    def fit(self, rows: np.ndarray, y: np.ndarray, before: np.ndarray, most: int = 4000, least_z: float = 4.0, steps: int = 150, penalty: float = 1e-4) -> Model:
-        """A logistic model of ``y`` for the given rows, on the places that tell its classes apart best."""
-        size, bias = 1 << BITS, 0.0
-        n1, n0 = float(y[rows].sum()), float((1 - y[rows]).sum())
+    def fit(self, telling: np.ndarray, mine: np.ndarray, y: np.ndarray, before: np.ndarray, steps: int = 150, penalty: float = 1e-4) -> tuple[np.ndarray, float, np.ndarray]:
+        """Weights (by number in ``chosen``), bias and weights of ``before`` of a logistic model of ``y``, on the rows ``mine``."""
+        n1, n0 = float(y[mine].sum()), float((1 - y[mine]).sum())
+        weights, extra = np.zeros(len(self.chosen)), np.zeros(before.shape[1])
         if not n1 or not n0:
             share = n1 / max(n1 + n0, 1)
-            return Model(np.zeros(size), float(np.log((share + 1e-9) / (1 - share + 1e-9))), np.zeros(before.shape[1]))
-        mine = np.zeros(self.n, bool)
-        mine[rows] = True
-        use = mine[self.doc]
-        place, doc = self.place[use], self.doc[use]
-        a = np.bincount(place, y[doc], size)
-        b = np.bincount(place, 1.0 - y[doc], size)
-        p = (a + b + 1) / (n1 + n0 + 2)
-        z = np.abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-        z[a + b < 5] = 0
-        chosen = np.argsort(-z, kind="stable")[:most]
-        chosen = chosen[z[chosen] >= least_z]
-        index = np.full(size, -1)
-        index[chosen] = np.arange(len(chosen))
-        at = index[place] >= 0
-        col, row = index[place[at]], doc[at]
-        w, extra = np.zeros(len(chosen)), np.zeros(before.shape[1])
-        bias = float(np.log(n1 / n0))
-        g2w, g2e, g2b = np.full(len(chosen), 1e-8), np.full(len(extra), 1e-8), 1e-8
+            return weights, float(np.log((share + 1e-9) / (1 - share + 1e-9))), extra
+        index = np.full(len(self.chosen), -1, np.int32)
+        index[np.searchsorted(self.chosen, telling)] = np.arange(len(telling), dtype=np.int32)
+        at = mine[self.doc]
+        at &= index[self.place] >= 0
+        col, row = index[self.place[at]], self.doc[at]
+        del at
+        w, bias = np.zeros(len(telling)), float(np.log(n1 / n0))
+        g2w, g2e, g2b = np.full(len(telling), 1e-8), np.full(len(extra), 1e-8), 1e-8
         for _ in range(steps):  # full-batch AdaGrad
             raw = np.bincount(row, w[col], self.n) + bias + before @ extra
             error = np.where(mine, 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y, 0.0) / (n1 + n0)
-            gw = np.bincount(col, error[row], len(chosen)) + penalty * w
+            gw = np.bincount(col, error[row], len(telling)) + penalty * w
             ge = before.T @ error + penalty * extra
             gb = error.sum()
             g2w, g2e, g2b = g2w + gw**2, g2e + ge**2, g2b + gb**2
             w, extra, bias = w - 0.5 * gw / np.sqrt(g2w), extra - 0.1 * ge / np.sqrt(g2e), bias - 0.1 * gb / np.sqrt(g2b)
-        weights = np.zeros(size)
-        weights[chosen] = w
-        return Model(weights, bias, extra)
+        weights[np.searchsorted(self.chosen, telling)] = w
+        return weights, bias, extra
 
 
-def fit_chain(places: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS) -> list[Model]:
+def fit_chain(counts: Counts, sample: Sample, labels: np.ndarray, fold: np.ndarray) -> list[Model]:
     """One model for each column of ``labels`` (NaN: unknown), in order."""
-    sample, before, chain = Sample(places), np.zeros((len(places), 0)), []
-    fold = np.arange(len(places)) % folds
+    before, chain = np.zeros((sample.n, 0)), []
     for k in range(labels.shape[1]):
         known = ~np.isnan(labels[:, k])
         y = np.where(known, labels[:, k], 0.0)
-        outside = np.zeros(len(places))
-        for f in range(folds):
-            model = sample.fit(np.flatnonzero(known & (fold != f)), y, before)
-            outside[fold == f] = model.logit(sample.sums(model.weights), before)[fold == f]
-        chain.append(sample.fit(np.flatnonzero(known), y, before))
+        outside = np.zeros(sample.n)
+        if k + 1 < labels.shape[1]:  # nothing reads the last category's predictions
+            for f in range(FOLDS):
+                weights, bias, extra = sample.fit(counts.telling(k, f), known & (fold != f), y, before)
+                outside[fold == f] = Model(weights, bias, extra).logit(sample.sums(weights), before)[fold == f]
+        weights, bias, extra = sample.fit(counts.telling(k, None), known, y, before)
+        dense = np.zeros(1 << BITS)
+        dense[sample.chosen] = weights
+        chain.append(Model(dense, bias, extra))
         before = np.column_stack([before, outside])
     return chain
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CHAIN, sample: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> list[Model]:
     """The chain of models, fitted on a bounded sample of the labelled documents."""
-    arrow_rows(docs.sparkSession)
+    n = len(categories)
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.array(*[F.max(F.expr(e)).cast("double") for e in categories.values()]).alias("labels"))
     # `sample` rows of an id and a few numbers: small enough to be sent to every task
     drawn = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(sample))
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(drawn, "id").select("labels", "text").mapInArrow(featured, "labels array<double>, places array<int>").toArrow()
-    if not rows.num_rows:
-        return fit_chain([], np.zeros((0, len(categories))))
-    order = np.array([[np.nan if x is None else x for x in r] for r in rows.column("labels").to_pylist()], float)
-    lists = rows.column("places").combine_chunks()
-    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-    places = [values[a:b] for a, b in zip(offsets, offsets[1:])]
-    # the order in which rows arrive must not matter
-    by = sorted(range(len(places)), key=lambda i: (places[i].tobytes(), order[i].tobytes()))
-    return fit_chain([places[i] for i in by], order[by])
+    rows = written(texts.join(drawn, "id").select("labels", "text").mapInArrow(featured, "labels array<double>, places array<int>, content bigint"), "toxicity-sample")
+    rows = rows.withColumn("fold", F.pmod("content", F.lit(FOLDS)).cast("int"))
+
+    # counts by place, category, fold and label: at most 1 << BITS rows of a few integers reach the driver
+    cells = [(k, f, v) for k in range(n) for f in range(FOLDS) for v in (0, 1)]
+    sums = [F.count_if((F.get("labels", F.lit(k)) == v) & (F.col("fold") == f)).cast("int").alias(f"c{i}") for i, (k, f, v) in enumerate(cells)]
+    every = rows.agg(*sums).first()
+    of_place = np.zeros((1 << BITS, n, FOLDS, 2), np.int32)
+    frequent = rows.select("labels", "fold", F.explode("places").alias("place")).groupBy("place").agg(*sums, F.count("*").alias("docs")).where(F.col("docs") >= LEAST_DOCS)
+    for batch in frequent.drop("docs").toArrow().to_batches():
+        at = batch.column("place").to_numpy()
+        for i, (k, f, v) in enumerate(cells):
+            of_place[at, k, f, v] = batch.column(f"c{i}").to_numpy()
+    counts = Counts(np.array([every[f"c{i}"] or 0 for i in range(len(cells))], np.int64).reshape(n, FOLDS, 2), of_place)
+    chosen = np.unique(np.concatenate([counts.telling(k, f) for k in range(n) for f in (None, *range(FOLDS))]))
+
+    got = rows.select("labels", "places", "content").mapInArrow(narrowed(chosen), "labels array<double>, places array<int>, content bigint").orderBy("content", "labels").toArrow()
+    known_labels = np.array([[np.nan if x is None else x for x in r] for r in got.column("labels").to_pylist()], float).reshape(-1, n)
+    lists = got.column("places").combine_chunks()
+    if got.num_rows:
+        ptr, place = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        ptr, place = ptr - ptr[0], place[ptr[0] : ptr[-1]]
+    else:
+        ptr, place = np.zeros(1, np.int32), np.zeros(0, np.int32)
+    fold = np.array(got.column("content").to_pylist(), np.int64) % FOLDS
+    forget(rows)
+    return fit_chain(counts, Sample(chosen, ptr, place), known_labels, fold)
 
 
 def scorer(shared, n: int):
@@ -177,7 +237,6 @@ def scorer(shared, n: int):
 
 def probabilities(docs: DataFrame, chain: list[Model], text: Column, keep: list[Column]) -> DataFrame:
     """The kept columns, the text and a probability ``_p0``, ``_p1``, ... for each category."""
-    arrow_rows(docs.sparkSession)
     rows = docs.select(*keep, text.alias("text"))
     schema = T.StructType([*rows.schema, *(T.StructField(f"_p{i}", T.DoubleType()) for i in range(len(chain)))])
     return rows.mapInArrow(scorer(docs.sparkSession.sparkContext.broadcast(chain), len(chain)), schema)
