@@ -11,8 +11,9 @@ error over the corpus's own keys:
 
 A candidate is listed if the first level that rejects it is an odd one.  Candidates
 that level 0 rejects never leave their task, so that what is shuffled to build a
-level is its false positives and not the key universe.  The levels are literals of a
-size fixed by the number of rules, which ``max_rules`` bounds; a longer list is refused.
+level is its false positives and not the key universe.  A level is one literal of a
+size fixed by the number of rules (16 bits a rule at level 0), which ``max_rules``
+bounds, as the list itself is held by the driver; a longer list is refused.
 
 Null urls and those without ``://`` have an empty host and path and fit no rule.
 Repeated rows are judged each; other columns are ignored; an empty table gives no
@@ -21,9 +22,13 @@ rows.  Two rules with one key: a block wins.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.store import forget, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HASHES = 4
 MOST_LEVELS = 40
@@ -57,7 +62,7 @@ def candidates(shapes: list[tuple[int, int]]) -> Column:
 
 
 class Level:
-    """A Bloom filter as an array literal of 64-bit words."""
+    """A Bloom filter as one literal: an array of 64-bit words, read from text when the query is planned."""
 
     def __init__(self, keys: DataFrame, count: int, bits_per_key: int, salt: int):
         self.bits = max(64, -(-count * bits_per_key // 64) * 64)
@@ -67,15 +72,15 @@ class Level:
         self.words = [0] * (self.bits // 64)
         for row in words.toLocalIterator():  # at most bits / 64 rows
             self.words[row.w] = row.v
+        self.literal = F.split(F.lit(" ".join(map(str, self.words))), " ").cast("array<bigint>")
 
     def places(self, key: Column) -> list[Column]:
         return [F.pmod(F.xxhash64(key, F.lit(self.salt * HASHES + i)), F.lit(self.bits)) for i in range(HASHES)]
 
     def holds(self, key: Column) -> Column:
-        words = F.array(*[F.lit(w).cast("bigint") for w in self.words])
         found = F.lit(True)
         for at in self.places(key):
-            found = found & (F.getbit(F.get(words, F.floor(at / 64).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1)
+            found = found & (F.getbit(F.get(self.literal, F.floor(at / 64).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1)
         return found
 
 
@@ -103,12 +108,14 @@ def cascade(rules: DataFrame, universe: DataFrame, bits_per_key: int = 16) -> li
         passed = levels[i].holds(F.col("key"))
         if i % 2 == 0:
             kept = outside.where(passed)
-            outside = (kept.distinct().join(rules.select("key"), "key", "left_anti") if i == 0 else kept).persist()
+            kept = written(kept.distinct().join(rules.select("key"), "key", "left_anti") if i == 0 else kept, "false-positives")
+            forget(outside)
+            outside = kept
         else:
             inside = inside.where(passed)
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_rules: int = 100_000) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_rules: int = 1_000_000) -> DataFrame:
     """page_id, host, path, rule (the longest that fits, else null) and verdict of every row."""
     spark = pages.sparkSession
     verdicts: dict[str, str] = {}
@@ -127,7 +134,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: st
     universe = urls.select(F.explode(keys).alias("k")).select(F.col("k.key").alias("key"))
 
     def table(keys: list[str]) -> DataFrame:
-        return spark.createDataFrame([(k,) for k in keys], "key string")
+        """The keys as rows of one literal: no Python worker makes them."""
+        return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(keys)), "array<string>")).alias("key"))
 
     every = cascade(table(sorted(verdicts)), universe)
     blocked = [k for k, v in sorted(verdicts.items()) if v == "block"]
