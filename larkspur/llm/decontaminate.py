@@ -10,8 +10,9 @@ passages that were cut up and reordered count too.  An item with fewer than ``se
 words is one seed by itself; items without words match nothing.
 
 The benchmark is handled in blocks of at most ``block_words`` words: each block's seeds
-and texts are broadcast, which bounds what an executor holds, and the documents are read
-once per block.  Usual benchmarks are one block.
+and texts are broadcast, which bounds what an executor holds, and what one block found is
+written before the next begins.  Usual benchmarks are one block.  Documents and items are
+lower-cased by the same function, character by character.
 
 Null and empty texts are clean.  Repeated rows are judged each, null ids stay null,
 extra columns are ignored, an empty table gives no rows, an empty benchmark leaves all
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.store import arrow_rows
+from larkspur.llm.store import written
 from larkspur.llm.textblock import PUNCT, Block, Words, slices, text_bytes, window_hashes
 
 SEED = 5
@@ -40,47 +41,45 @@ FOUND = [T.StructField("_items", T.ArrayType(T.LongType())), T.StructField("_cov
 
 
 class Benchmark:
-    """One block of items, with their seeds."""
+    """One block of items, with their seeds in sorted arrays."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], seed: int):
-        words = Words(Block([t for _, t in items]), PUNCT)
+        self.words = words = Words(Block([t for _, t in items]), PUNCT)
         hashes = words.hashes()
-        self.seed = seed
         self.ids = [i for i, _ in items]
-        self.words = [hashes[a:b] for a, b in zip(words.ptr, words.ptr[1:])]
-        self.spelled = [[words.block.data[s : s + n].tobytes() for s, n in zip(words.start[a:b], words.length[a:b])] for a, b in zip(words.ptr, words.ptr[1:])]
-        self.where: dict[int, list[tuple[int, int]]] = defaultdict(list)  # seed -> items and places
-        self.sizes = sorted({min(seed, len(w)) for w in self.words if len(w)})
-        for k, w in enumerate(self.words):
-            if len(w):
-                for j, h in enumerate(window_hashes(w, min(seed, len(w))).tolist()):
-                    self.where[h].append((k, j))
-        self.seeds = np.array(sorted(self.where), np.uint64)
-
-    def coverage(self, words: Words, hashes: np.ndarray, doc: np.ndarray) -> dict[int, dict[int, float]]:
-        """For each document the items that it shares seeds with, and the share of their words under tiles."""
-        shared: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for size in self.sizes:
+        self.n_words = np.diff(words.ptr)
+        self.size = np.minimum(self.n_words, seed)  # of an item's seeds
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # size -> hashes, sorted, and the words that they begin at
+        for size in np.unique(self.size[self.size > 0]).tolist():
             runs = window_hashes(hashes, size)
-            if not len(runs):
-                continue
-            at = np.minimum(np.searchsorted(self.seeds, runs), len(self.seeds) - 1)
-            hit = np.flatnonzero((self.seeds[at] == runs) & (doc[: len(runs)] == doc[size - 1 :]))
-            for i in hit.tolist():
-                for k, j in self.where[int(runs[i])]:
-                    if min(self.seed, len(self.words[k])) == size:
-                        shared[int(doc[i]), k].append((i, j))
+            at = np.flatnonzero((words.doc[: len(runs)] == words.doc[size - 1 :]) & (self.size[words.doc[: len(runs)]] == size))
+            at = at[np.argsort(runs[at], kind="stable")]
+            self.seeds[size] = runs[at], at
+
+    def coverage(self, words: Words, hashes: np.ndarray) -> dict[int, dict[int, float]]:
+        """For each document the items that it shares seeds with, and the share of their words under tiles."""
         out: dict[int, dict[int, float]] = defaultdict(dict)
-        for (d, k), pairs in shared.items():
-            size = min(self.seed, len(self.words[k]))
-            spelled = self.spelled[k]
-            raw, start, length = words.block.data, words.start, words.length
-            same = [(i, j) for i, j in pairs if all(length[i + x] == len(spelled[j + x]) and raw[start[i + x] : start[i + x] + length[i + x]].tobytes() == spelled[j + x] for x in range(size))]
-            if same:
-                out[d][k] = sum(n for _, _, n in tiles(same, size)) / len(spelled)
+        mine = self.words
+        for size, (seeds, begin) in self.seeds.items():
+            runs = window_hashes(hashes, size)
+            first, last = np.searchsorted(seeds, runs), np.searchsorted(seeds, runs, side="right")
+            hit = np.flatnonzero((last > first) & (words.doc[: len(runs)] == words.doc[size - 1 :]))
+            n = last[hit] - first[hit]
+            at = np.repeat(hit, n)
+            seed = begin[np.repeat(first[hit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            shared: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+            for d, k, i, j in zip(words.doc[at].tolist(), mine.doc[seed].tolist(), at.tolist(), seed.tolist()):
+                if all(word(words, i + x) == word(mine, j + x) for x in range(size)):
+                    shared[d, k].append((i, j))
+            for (d, k), pairs in shared.items():
+                out[d][k] = sum(n for _, _, n in tiles(pairs, size)) / int(self.n_words[k])
         return out
 
 
+def word(words: Words, i: int) -> bytes:
+    return words.block.data[words.start[i] : words.start[i] + words.length[i]].tobytes()
+
+
 def tiles(seeds: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling from all common runs of ``size`` words (place in text, place in pattern).
 
@@ -128,7 +127,7 @@ def judge(shared, threshold: float):
         benchmark: Benchmark = shared.value
         for part in slices(batches, "text"):
             words = Words(Block(text_bytes(part.column("text"), lower=True)), PUNCT)
-            found = benchmark.coverage(words, words.hashes(), words.doc)
+            found = benchmark.coverage(words, words.hashes())
             items: list[list[int]] = [[] for _ in range(part.num_rows)]
             most = np.zeros(part.num_rows)
             for d, covered in found.items():
@@ -143,7 +142,7 @@ def blocks(benchmark: DataFrame, block_words: int, seed: int, id_col: str, text_
     """The benchmark in blocks; the driver holds one at a time."""
     held: list[tuple[int | None, bytes]] = []
     size = 0
-    rows = benchmark.select(F.col(id_col).cast("bigint").alias("id"), F.lower(text_col).alias("text")).where("text is not null")
+    rows = benchmark.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     for row in rows.orderBy("id", "text").toLocalIterator():
         text = text_bytes(pa.array([row.text]), lower=True)[0]
         n = len(Words(Block([text]), PUNCT))
@@ -162,11 +161,14 @@ def contamination(
 ) -> DataFrame:
     """The kept columns, the text, ``_items`` (ids of the items found, sorted) and ``_coverage`` (the largest) of every document."""
     spark = docs.sparkSession
-    arrow_rows(spark)
     rows = docs.select(*keep, text.alias("text"), F.array().cast("array<bigint>").alias("_items0"), F.lit(0.0).alias("_coverage0"))
+    judged = None
     for part in blocks(benchmark, block_words, seed, item_col, item_text):
-        shared = spark.sparkContext.broadcast(part)
-        rows = rows.mapInArrow(judge(shared, threshold), T.StructType([*rows.schema, *FOUND]))
+        if judged:  # the block before: no task holds two
+            rows = written(rows, "block-judged")
+            judged.destroy()
+        judged = spark.sparkContext.broadcast(part)
+        rows = rows.mapInArrow(judge(judged, threshold), T.StructType([*rows.schema, *FOUND]))
         rows = rows.withColumns({"_items0": F.array_sort(F.array_union("_items0", "_items")), "_coverage0": F.greatest("_coverage0", "_coverage")}).drop("_items", "_coverage")
     return rows.withColumnsRenamed({"_items0": "_items", "_coverage0": "_coverage"})
 
