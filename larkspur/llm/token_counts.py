@@ -4,10 +4,11 @@
    made in each task, so a frequent pre-token is a row per task before the shuffle.
 2. The library counts the pieces of each distinct pre-token once.
 3. A second pass makes per-document pre-token frequencies.  The most frequent
-   pre-tokens (``head_rows`` of them, of at most 16 bytes each: a fixed bound of
-   some 4 MB) are summed on the spot from a broadcast table; the others leave as
-   (row, pre-token, frequency), are joined to the counted vocabulary and summed.
-   The head decides where a sum is made, never its value.
+   pre-tokens (``head_rows`` of at most 16 bytes each, and a tenth of that of at most
+   ``LONGEST`` bytes, such as ruled lines: a fixed bound of some 9 MB) are summed on the
+   spot from a broadcast table; the others leave as (row, pre-token, frequency), are
+   joined to the counted vocabulary and summed; a pre-token that is hot and longer
+   still is split by the skew join.  The head decides where a sum is made, never its value.
 
 No token ids are kept for any document.
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.pretokens import Pieces, char_classes, string_array, supported, tokenizer
-from larkspur.llm.store import arrow_rows, written
+from larkspur.llm.store import written
 from larkspur.llm.textblock import slices, span_hashes, span_keys, text_bytes
 
 VOCABULARY = "token string, n bigint"
@@ -35,6 +36,8 @@ COUNTED = "token string, n bigint, pieces int"
 FREQUENCIES = "row bigint, id bigint, n_bytes bigint, n_head bigint, tail array<struct<token:string,n:bigint>>"
 #: Distinct pre-tokens that a task holds before it passes them on.
 HELD = 400_000
+#: Bytes of the longest pre-token of the head.
+LONGEST = 512
 
 
 def vocabulary_of(path: str):
@@ -77,12 +80,15 @@ def count_pieces(path: str):
 
 
 class Head:
-    """Pre-tokens of at most 16 bytes with their piece counts, found by exact bytes."""
+    """Pre-tokens with their piece counts, found by exact bytes."""
 
     def __init__(self, rows: list[tuple[str, int]]):
         from larkspur.llm.textblock import Block
 
-        block = Block([t.encode() for t, _ in rows])
+        every = [(t.encode(), p) for t, p in rows]
+        short = [(t, p) for t, p in every if len(t) <= 16]
+        self.long = {t: p for t, p in every if len(t) > 16}
+        block = Block([t for t, _ in short])
         length = np.diff(block.ptr) - 1
         start = block.ptr[:-1]
         h = span_hashes(block, start, length)
@@ -92,18 +98,21 @@ class Head:
         new[1:] = h[order][1:] != h[order][:-1]  # of two with one hash, one goes the other way
         order = order[new]
         self.hash, self.k1, self.k2, self.length = h[order], k1[order], k2[order], length[order]
-        self.pieces = np.array([p for _, p in rows], np.int64)[order] if rows else np.zeros(0, np.int64)
+        self.pieces = np.array([p for _, p in short], np.int64)[order] if short else np.zeros(0, np.int64)
 
     def counts(self, found: Pieces) -> np.ndarray:
         """Piece counts of the distinct pre-tokens; -1 for those that aren't in the head."""
         out = np.full(len(found.at), -1, np.int64)
-        if not len(self.hash) or not len(out):
-            return out
-        start, length, h = found.start[found.at], found.length[found.at], found.hash[found.at]
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        k1, k2 = span_keys(found.block, start, np.minimum(length, 16))
-        same = (self.hash[at] == h) & (self.length[at] == length) & (self.k1[at] == k1) & (self.k2[at] == k2)
-        out[same] = self.pieces[at[same]]
+        length = found.length[found.at]
+        if len(self.hash) and len(out):
+            start, h = found.start[found.at], found.hash[found.at]
+            at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            k1, k2 = span_keys(found.block, start, np.minimum(length, 16))
+            same = (self.hash[at] == h) & (self.length[at] == length) & (self.k1[at] == k1) & (self.k2[at] == k2)
+            out[same] = self.pieces[at[same]]
+        if self.long:
+            for i in np.flatnonzero((length > 16) & (length <= LONGEST)).tolist():
+                out[i] = self.long.get(found.bytes(int(found.at[i])), -1)
         return out
 
 
@@ -143,12 +152,15 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every text."""
     spark = docs.sparkSession
     path = os.path.abspath(path)
-    arrow_rows(spark)
     texts = docs.select(F.col(text_col).alias("text"))
     found = texts.mapInArrow(vocabulary_of(path), VOCABULARY).groupBy("token").agg(F.sum("n").alias("n"))
     counted = written(found.mapInArrow(count_pieces(path), COUNTED), "pieces")
-    head = counted.where(F.octet_length("token") <= 16).orderBy(F.desc("n"), "token").limit(head_rows).select("token", "pieces")
-    shared = spark.sparkContext.broadcast(Head([(r.token, r.pieces) for r in head.toLocalIterator()]))
+    size = F.octet_length("token")
+    # bounded by rows times bytes
+    short = counted.where(size <= 16).orderBy(F.desc("n"), "token").limit(head_rows)
+    long = counted.where((size > 16) & (size <= LONGEST) & (F.col("n") > 1)).orderBy(F.desc("n"), "token").limit(head_rows // 10)
+    rows = [(r.token, r.pieces) for some in (short, long) for r in some.select("token", "pieces").toLocalIterator()]
+    shared = spark.sparkContext.broadcast(Head(rows))
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     rows = written(numbered.mapInArrow(frequencies(path, shared), FREQUENCIES), "frequencies")
     tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.token", "t.n")
