@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.store import written
+from larkspur.llm.store import forget, written
 
 MOST_ROUNDS = 60
 
@@ -16,7 +16,8 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # written, so that both sides of the join are plain shuffles: the centre of a large star is split by the skew join
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     joined = both.join(least, "a")
     if larger:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -40,5 +41,6 @@ def components(links: DataFrame) -> DataFrame:
         if not twice and not after.join(after.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
             centres = after.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("label"))
             return after.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(centres)
+        forget(edges)
         edges = after
     raise RuntimeError("the components did not settle")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.store import written
+from larkspur.llm.store import arrow_rows, written
 from larkspur.llm.textblock import PUNCT, Block, Words, slices, text_bytes, window_hashes
 
 SEED = 5
@@ -161,6 +161,7 @@ def contamination(
 ) -> DataFrame:
     """The kept columns, the text, ``_items`` (ids of the items found, sorted) and ``_coverage`` (the largest) of every document."""
     spark = docs.sparkSession
+    arrow_rows(spark)
     rows = docs.select(*keep, text.alias("text"), F.array().cast("array<bigint>").alias("_items0"), F.lit(0.0).alias("_coverage0"))
     judged = None
     for part in blocks(benchmark, block_words, seed, item_col, item_text):

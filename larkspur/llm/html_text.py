@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.store import forget, written
+from larkspur.llm.store import arrow_rows, forget, written
 from larkspur.llm.textblock import slices
 
 TAG = re.compile(
@@ -296,6 +296,7 @@ def site_templates(pages: DataFrame, min_share: float, min_pages: int) -> DataFr
 
 def main_text(pages: DataFrame, min_share: float = 0.01, min_pages: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars and n_template_blocks (blocks that the host's templates took) of every page."""
+    arrow_rows(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
     rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").alias("url"), host.alias("host"), F.col(f"`{html_col}`").alias("html"))
     templates = site_templates(rows, min_share, min_pages)

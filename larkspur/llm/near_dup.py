@@ -3,10 +3,11 @@
 A document is the weighted set of its 5-word shingles (lower case, cut at ASCII
 characters other than letters and digits; a shorter document is one shingle).  A
 shingle's weight is its count in the document times its smoothed inverse document
-frequency over all documents (see ``Idf``).  Document frequencies come from a table of
-``1 << DF_BITS`` hashed counts: its size is fixed whatever the corpus, each task fills
-one before anything is shuffled, and a shingle's frequency is overestimated by at most
-what shares its place, a constant share of the documents.
+frequency over all documents (see ``Idf``), which goes by the share of the documents
+that hold it and not by their number: a pair weighs the same in a small corpus and in a
+large one of the same make.  Document frequencies come from a table of ``1 << DF_BITS``
+hashed counts: its size is fixed whatever the corpus, and each task fills one before
+anything is shuffled.  What other shingles add to a place on average is taken off.
 
 1. Every document gets ``BANDS * ROWS`` consistent weighted samples.  Two documents
    agree in a sample with a probability of their weighted Jaccard similarity.  Equal
@@ -26,7 +27,8 @@ what shares its place, a constant share of the documents.
    the corpus reaches the driver.
 
 Null ids and texts without words take part as documents of their own, without a class
-mate.  Repeated rows are one row each.  Extra columns are ignored, an empty table
+mate.  Repeated rows are one row each.  An id that is repeated with other texts is a
+document for each of them.  Extra columns are ignored, an empty table
 gives no rows.
 """
 
@@ -38,9 +40,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.llm.components import components
-from larkspur.llm.store import arrow_rows, written
+from larkspur.llm.store import arrow_rows, forget, written
 from larkspur.llm.textblock import PUNCT, Block, Words, document_keys, mix, shingles, slices, text_bytes, weighted
 
 SHINGLE = 5
@@ -49,6 +52,8 @@ BANDS, ROWS = 10, 3
 #: Rounds in which each bucket is compared with one of its nodes, before all pairs that are left are.
 PIVOTS = 3
 DF_BITS = 20
+#: Share of the documents below which a shingle counts as rare.
+FLOOR = 1 / 1024
 CHUNK = 1 << 14
 #: Quantile tables of the samples' random numbers.
 SIZE = 1 << 16
@@ -100,15 +105,20 @@ def summed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Idf:
-    """Weights of shingles: 1 + ln((1 + N) / (1 + df)) / ln(1 + N), so from 1 (in all documents) to 2.
+    """Weights of shingles: 1 + ln((1 + FLOOR) / (share + FLOOR)) / ln((1 + FLOOR) / FLOOR), so from 1 (in all documents) to 2 (in next to none).
 
     The smoothing keeps a large group of copies together: its shared shingles are frequent
-    because of the group, and must not weigh next to nothing against single edits.
+    because of the group, and must not weigh next to nothing against single edits.  Below
+    a share of FLOOR weights change little, so that what is left of the error of a count
+    matters little: it is about the square root of the table's load a place, and its share
+    of the documents falls as they grow.
     """
 
     def __init__(self, docs: int, table: np.ndarray):
-        every = np.log(1.0 + max(docs, 1))
-        self.weights = (1 + np.log((1 + docs) / (1 + np.minimum(table, docs))) / every).astype(np.float32)
+        size = len(table)
+        own = (table - table.sum() / size) * (size / (size - 1))
+        share = np.clip(own, 1, max(docs, 1)) / max(docs, 1)
+        self.weights = (1 + np.log((1 + FLOOR) / (share + FLOOR)) / np.log((1 + FLOOR) / FLOOR)).astype(np.float32)
 
     def of(self, h: np.ndarray, count: np.ndarray) -> np.ndarray:
         return self.weights[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)] * count.astype(np.float32)
@@ -258,7 +268,8 @@ def joined_parts(buckets: DataFrame, bands: DataFrame, texts: DataFrame, shared,
         else:
             # in the first round any node; then those with the least of their own, which are near to most others
             order = F.struct(F.when(F.lit(turn == 0), F.xxhash64("node_b")).otherwise(F.lit(0)), F.col("common_b") / F.col("weight_b"), "node_b", "part_b", "weight_b", "common_b")
-            best = two.groupBy("band", "key").agg(F.max(order).alias("p"))
+            # written, so that both sides of the join are plain shuffles: a hot bucket is split by the skew join
+            best = written(two.groupBy("band", "key").agg(F.max(order).alias("p")), "pivots")
             pairs = one.join(best.select("band", "key", "p.node_b", "p.part_b", "p.weight_b", "p.common_b"), ["band", "key"]).where((F.col("part_a") != F.col("part_b")) & possible)
             if turn:  # a pivot of one round is none of the next
                 weighed = written(weighed.join(best.select("band", "key", F.col("p.node_b").alias("node")), ["band", "key", "node"], "left_anti"), "weighed")
@@ -273,15 +284,15 @@ def joined_parts(buckets: DataFrame, bands: DataFrame, texts: DataFrame, shared,
     return parts
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its group, its own if alone; null for a null id) and n_members of every row."""
+def _classed(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """id, node, ``first`` (smallest (id, node) of the group) and n_members of every row; first is null for a null id or a text without words."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
     shared = spark.sparkContext.broadcast(inverse_frequencies(texts))
     rows = written(texts.mapInArrow(sampled(shared), "id bigint, node string, bands array<bigint>"), "samples")
 
-    nodes = rows.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("bands").alias("bands"))
+    nodes = rows.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min("bands").alias("bands"))
     members = nodes.select("node", "id", F.posexplode("bands").alias("band", "key"))
     several = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
     buckets = written(members.join(several, ["band", "key"]), "buckets")
@@ -291,14 +302,31 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     with_text = texts.join(wanted, "id").select("node", "text").mapInArrow(keyed, "node string, text string")
     with_text = written(with_text.dropDuplicates(["node"]), "bucket-texts")
     parts = joined_parts(buckets.select("node", "band", "key"), nodes.select("node", "bands"), with_text, shared, threshold)
+    forget(with_text)
+
+    placed = nodes.select("node", "id", "n").join(parts, "node", "left").select("node", "id", "n", F.coalesce("part", "node").alias("part"))
+    # written, so that both sides of the join are plain shuffles: a hot part is split by the skew join
+    classes = written(placed.groupBy("part").agg(F.min(F.struct("id", "node")).alias("first"), F.sum("n").alias("n_members")), "classes")
+    of_node = placed.select("node", "part").join(classes, "part").select("node", "first", "n_members")
+    known = rows.where("node is not null and id is not null").select("id", "node").join(of_node, "node")
+    # rows of no node don't meet in a join
+    others = rows.where("node is null or id is null").select("id", "node", F.lit(None).cast(of_node.schema["first"].dataType).alias("first"), F.lit(1).cast("bigint").alias("n_members"))
+    return known.select("id", "node", "first", "n_members").unionByName(others)
 
-    classed = nodes.select("node", "id").join(parts, "node", "left").select("node", "id", F.coalesce("part", "node").alias("part"))
-    first = classed.groupBy("part").agg(F.min("id").alias("class_id"))
-    of_node = classed.join(first, "part").select("node", "part", "class_id")
-    out = rows.select("id", "node").join(of_node, "node", "left").withColumn("class_id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")))
-    sizes = rows.where("id is not null").join(of_node, "node").groupBy("part").agg(F.count("*").alias("n_members"))
-    out = out.join(sizes, "part", "left")
-    return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("n_members", F.lit(1).cast("bigint")).alias("n_members"))
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its group, its own if alone; null for a null id) and n_members of every row."""
+    classed = _classed(docs, threshold, id_col, text_col)
+    return classed.select(F.col("id").alias(id_col), F.coalesce("first.id", "id").alias("class_id"), "n_members")
+
+
+def noded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the keys of their word sequences, which are null without words."""
+    for part in slices(batches, "text"):
+        words = Words(Block(text_bytes(part.column("text"), lower=True)), PUNCT)
+        k1, k2 = document_keys(words, words.hashes())
+        nodes = [f"{a:016x}{b:016x}" if n else None for a, b, n in zip(k1.tolist(), k2.tolist(), np.diff(words.ptr).tolist())]
+        yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("id"), pa.array(nodes, pa.string())], ["doc", "id", "node"])
 
 
 def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,10 +339,13 @@ def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, without those whose group has a smaller id.
+    """The documents, with all their columns, without those whose group has a smaller one, by id and then by the key of the words.
 
-    Of rows with one id and one text all stay: they are one document.  Rows with a null id stay.
+    Of rows with one id and one word sequence all stay or go: they are one document.  Rows
+    with a null id and texts without words stay.
     """
-    classes = near_duplicates(docs, threshold, id_col, text_col)
-    gone = classes.where("class_id <> " + f"`{id_col}`").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    gone = _classed(docs, threshold, id_col, text_col).where(F.struct("id", "node") != F.col("first")).select("id", "node").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    schema = T.StructType([rows.schema["doc"], T.StructField("id", T.LongType()), T.StructField("node", T.StringType())])
+    kept = rows.mapInArrow(noded, schema).join(gone, ["id", "node"], "left_anti")
+    return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])

@@ -2,10 +2,17 @@
 
 A hash function applies a pseudo-random rotation (three times random signs and a fast
 Hadamard transform) to the unit vector and takes the nearest signed axis.  A table's
-key joins ``FUNCTIONS`` such axes.  Rows are put under one key in each of ``TABLES``
-tables; a query also looks under the ``PROBES`` next best keys of each table.  The
-candidates found are ranked by their exact cosine in double precision, on the original
-vectors.  Queries that found fewer than ``k`` other rows are compared with all rows, in
+key joins several such axes.  Rows are put under one key in each of ``TABLES`` tables; a
+query also looks under the next best keys of each table (multiprobe).  The candidates
+found are ranked by their exact cosine in double precision, on the original vectors.
+
+Buckets keep their expected size whatever the number of rows n: a table has about
+``KEYS`` n keys.  Each function names a signed axis; the last one looks at the first few
+coordinates only, as many as it takes to come to that number of keys.  The probes grow as n to the power ``GROWTH``: near neighbours agree
+in more axes than others, so that a query takes a share of the rows that falls as n grows.
+
+Queries that found fewer than ``k`` other rows, though there are more, probe 8 times as
+many keys, then 64 times; those that still find too few are compared with all rows, in
 blocks.
 
 Equal vectors are one class, represented by its smallest ids (as many as a result can
@@ -20,6 +27,7 @@ Extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,10 +37,18 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.store import arrow_rows, written
 
-TABLES, FUNCTIONS, PROBES = 48, 2, 56
+TABLES = 64
+#: Keys that a query looks under in each table, of ``AT`` rows, and how they grow with the rows.
+PROBES, AT, GROWTH = 34, 10_000, 0.35
+#: Keys of a table for each row.
+KEYS = 3
 BLOCKS = 64
-#: The query vectors are sent to every task if they hold at most so many numbers, else joined.
+#: The query vectors are sent to every task if they hold at most so many numbers, else joined to each pair.
 MOST_SENT = 2_000_000
+#: Queries that one row of a candidate lists at most, about.
+LISTED = 4096
+#: Pairs that are compared at a time.
+AT_ONCE = 50_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -66,26 +82,33 @@ def axes(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, -x], 1)
 
 
-def keys(vectors: np.ndarray, probes: int, tables: int, functions: int, seed: int) -> np.ndarray:
-    """Keys (row, table, probe), the best first; ``probes`` = 1 gives the row's own keys."""
+def keys(vectors: np.ndarray, probes: int, tables: int, wanted: float, seed: int) -> np.ndarray:
+    """Keys (row, table, probe) out of about ``wanted``, the best ones (fewer if there are no more); one probe gives the row's own keys."""
     x = unit(vectors)
     n, d = x.shape
+    functions = []  # the signed axes that each tells apart
+    while wanted > 1.4:
+        functions.append(min(2 * d, 2 * max(1, round(wanted / 2))))
+        wanted /= functions[-1]
+    probes = min(probes, math.prod(functions))
     out = np.zeros((n, tables, probes), np.int64)
-    each = min(2 * d, probes) if functions > 1 else min(2 * d, probes)
     for t in range(tables):
         total = np.zeros((n, 1))
-        key = np.full((n, 1), t * 64 + vectors.shape[1] * 64 * 1024, np.int64)
-        for f in range(functions):
-            scores = axes(rotated(x, t, f, seed))
-            best = np.argsort(-scores, 1, kind="stable")[:, :each] if each > 1 else scores.argmax(1)[:, None]
-            loss = (np.take_along_axis(scores, best[:, :1], 1) - np.take_along_axis(scores, best, 1)) ** 2
+        key = np.full((n, 1), vectors.shape[1] * tables + t, np.int64)
+        for f, m in enumerate(functions):
+            scores = axes(rotated(x, t, f, seed)[:, : m // 2])
+            most = min(scores.shape[1], probes)
+            if most < scores.shape[1]:
+                best = np.argpartition(-scores, most - 1, 1)[:, :most] if most > 1 else scores.argmax(1)[:, None]
+            else:
+                best = np.broadcast_to(np.arange(most), scores.shape)
+            loss = (scores.max(1, keepdims=True) - np.take_along_axis(scores, best, 1)) ** 2
             total = (total[:, :, None] + loss[:, None, :]).reshape(n, -1)
-            key = (key[:, :, None] * (2 * d) + best[:, None, :]).reshape(n, -1)
+            key = (key[:, :, None] * m + best[:, None, :]).reshape(n, -1)
             if total.shape[1] > probes:
-                keep = np.argsort(total, 1, kind="stable")[:, :probes]
+                keep = np.argpartition(total, probes - 1, 1)[:, :probes]
                 total, key = np.take_along_axis(total, keep, 1), np.take_along_axis(key, keep, 1)
-        out[:, t, : key.shape[1]] = key
-        out[:, t, key.shape[1] :] = key[:, :1]
+        out[:, t] = key
     return out
 
 
@@ -100,36 +123,94 @@ def matrices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, n
         yield rows, flat[begin[rows][:, None] + np.arange(d)]
 
 
-def hashed(probes: int, tables: int, functions: int, seed: int):
+def hashed(probes: int, tables: int, wanted: float, seed: int):
+    rows_at_once = max(1, 30_000 // probes)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("cls").to_numpy()
             for rows, vectors in matrices(batch, "vector"):
-                for a in range(0, len(rows), 2000):
-                    got = keys(vectors[a : a + 2000], probes, tables, functions, seed).reshape(-1)
-                    who = np.repeat(ids[rows[a : a + 2000]], tables * probes)
-                    yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(who)], ["key", "cls"])
+                for a in range(0, len(rows), rows_at_once):
+                    got = keys(vectors[a : a + rows_at_once], probes, tables, wanted, seed)
+                    who = np.repeat(ids[rows[a : a + rows_at_once]], got.shape[1] * got.shape[2])
+                    yield pa.RecordBatch.from_arrays([pa.array(got.reshape(-1)), pa.array(who)], ["key", "cls"])
 
     return run
 
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the rows of two matrices, pair by pair: a pair's value does not depend on the others."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
+
+
 def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cosines of pairs of vectors."""
     for batch in batches:
-        first = batch.column("first")
         for (rows, a), (_, b) in zip(matrices(batch, "qv"), matrices(batch, "cv")):
-            with np.errstate(over="ignore", invalid="ignore"):
-                cosine = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
             at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("q").take(at), batch.column("c").take(at), first.take(at), pa.array(cosine)], ["q", "c", "first", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in ("q", "c", "first")), pa.array(cosines(a, b))], ["q", "c", "first", "score"])
+
+
+def best_of(q: np.ndarray, c: np.ndarray, first: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """The ``most`` best rows of each query."""
+    order = np.lexsort((c, first, -score, q))
+    nth = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+    at = order[nth < most]
+    return q[at], c[at], first[at], score[at]
+
+
+def scored_lists(shared, most: int):
+    """Cosines of candidates and the queries that they list; of each Arrow batch the ``most`` best of each query."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, place, vectors = shared.value
+        for batch in batches:
+            lists = batch.column("qs")
+            n = lists.value_lengths().to_numpy(zero_copy_only=False)
+            # places of the queries in the order of their ids, and each pair's row
+            q = np.searchsorted(ids, lists.flatten().to_numpy(zero_copy_only=False))
+            row = np.repeat(np.arange(batch.num_rows), n)
+            c, first = (batch.column(k).to_numpy() for k in ("c", "first"))
+            found = []
+            for rows, mine in matrices(batch, "cv"):
+                width = mine.shape[1]
+                if width not in vectors:
+                    continue
+                local = np.full(batch.num_rows, -1)
+                local[rows] = np.arange(len(rows))
+                pairs = np.flatnonzero((local[row] >= 0) & (place[q, 0] == width))
+                for a in range(0, len(pairs), AT_ONCE):
+                    some = pairs[a : a + AT_ONCE]
+                    score = cosines(vectors[width][place[q[some], 1]], mine[local[row[some]]])
+                    found.append(best_of(q[some], c[row[some]], first[row[some]], score, most))
+            if found:
+                q, c, first, score = best_of(*(np.concatenate(x) for x in zip(*found)), most)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[q], c, first, score)], ["q", "c", "first", "score"])
+
+    return run
+
+
+def sent_queries(asked: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """The ids of the query classes, sorted; of each its vector's length and place among those of that length; the vectors by length."""
+    batch = asked.select("cls", "vector").orderBy("cls").toArrow().combine_chunks()
+    ids = batch.column("cls").to_numpy()
+    place = np.zeros((len(ids), 2), np.int64)
+    vectors = {}
+    for part in batch.to_batches()[:1]:
+        for rows, some in matrices(part, "vector"):
+            vectors[some.shape[1]] = some
+            place[rows] = np.stack([np.full(len(rows), some.shape[1]), np.arange(len(rows))], 1)
+    return ids, place, vectors
 
 
 def nearest(
-    rows: DataFrame, k: int = 5, every: int = 50, tables: int = TABLES, functions: int = FUNCTIONS, probes: int = PROBES, seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding"
+    rows: DataFrame, k: int = 5, every: int = 50, tables: int = TABLES, probes: int = PROBES, growth: float = GROWTH, seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest rows found for every row whose id is divisible by ``every``."""
-    arrow_rows(rows.sparkSession, 5000)
-    vectors = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector")).where("id is not null and vector is not null")
+    spark = rows.sparkSession
+    arrow_rows(spark)
+    vectors = rows.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").alias("vector")).where("id is not null and vector is not null")
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = vectors.where(~bad & F.exists("vector", lambda x: x != 0))
     kind = vectors.schema["vector"].dataType.elementType  # type: ignore[attr-defined]
@@ -143,29 +224,55 @@ def nearest(
     asked = written(chosen.select("vector").distinct().withColumn("cls", F.monotonically_increasing_id()), "asked")
     queries = chosen.join(asked, "vector").select("id", "cls")
 
-    index = classes.select("cls", "vector").mapInArrow(hashed(1, tables, functions, seed), "key bigint, cls bigint").withColumnRenamed("cls", "c")
-    probed = asked.mapInArrow(hashed(probes, tables, functions, seed), "key bigint, cls bigint").withColumnRenamed("cls", "q").distinct()
-    pairs = probed.join(index, "key").select("q", "c").distinct()
+    n = classes.count()
+    in_all = KEYS * n
+    index = classes.select("cls", "vector").mapInArrow(hashed(1, tables, in_all, seed), "key bigint, cls bigint").withColumnRenamed("cls", "c")
+    numbers = asked.agg(F.sum(F.size("vector"))).first()[0] or 0
+    n_asked = asked.count()
+    of_class = classes.select(F.col("cls").alias("c"), F.col("vector").alias("cv"), F.col("ids")[0].alias("first"))
+    sent = spark.sparkContext.broadcast(sent_queries(asked)) if numbers <= MOST_SENT else None
+    pair_score = "q bigint, c bigint, first bigint, score double"
 
-    def best(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    def met(some: DataFrame, probes: int) -> DataFrame:
+        """The pairs of classes that share a key, with repeats."""
+        probed = some.select("cls", "vector").mapInArrow(hashed(probes, tables, in_all, seed), "key bigint, cls bigint").withColumnRenamed("cls", "q")
+        return probed.join(index, "key").select("q", "c")
+
+    def best(pairs: DataFrame, some: DataFrame) -> DataFrame:
         """The k + 1 nearest (score, id) of each query class."""
-        q, c = asked.select(F.col("cls").alias("q"), F.col("vector").alias("qv")), classes.select(F.col("cls").alias("c"), F.col("vector").alias("cv"), F.col("ids")[0].alias("first"), "ids")
-        numbers = asked.agg(F.sum(F.size("vector"))).first()[0] or 0
-        q = F.broadcast(q) if numbers <= MOST_SENT else q
-        got = pairs.join(c.select("c", "cv", "first"), "c").join(q, "q").where(F.size("qv") == F.size("cv")).select("q", "c", "first", "qv", "cv").mapInArrow(scored, "q bigint, c bigint, first bigint, score double")
+        if sent is not None:
+            group = F.pmod(F.xxhash64("q"), F.lit(n_asked // LISTED + 1))
+            lists = pairs.groupBy("c", group.alias("part")).agg(F.collect_set("q").alias("qs"))
+            got = lists.join(of_class, "c").select("c", "first", "qs", "cv").mapInArrow(scored_lists(sent, k + 1), pair_score)
+        else:
+            q = some.select(F.col("cls").alias("q"), F.col("vector").alias("qv"))
+            got = pairs.distinct().join(of_class, "c").join(q, "q").where(F.size("qv") == F.size("cv")).select("q", "c", "first", "qv", "cv").mapInArrow(scored, pair_score)
         near = got.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "first", "c"))).where(F.col("nth") <= k + 1)
         # each class before another in this order has an id before all of the other's: so k + 1 classes hold the k + 1 nearest ids
-        named = near.join(c.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("id"))
-        return named.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("nth") <= k + 1)
-
-    found = written(best(pairs, asked), "found")
-    enough = found.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") > k)
-    few = written(asked.join(enough.select(F.col("q").alias("cls")), "cls", "left_anti"), "few")
-    if few.limit(1).count():
-        block = F.pmod(F.xxhash64("cls"), F.lit(BLOCKS))
-        spread = few.select(F.col("cls").alias("q"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BLOCKS - 1).cast("bigint"))).alias("block"))
-        every_pair = spread.join(classes.select(F.col("cls").alias("c"), block.alias("block")), "block").select("q", "c")
-        found = found.join(few.select(F.col("cls").alias("q")), "q", "left_anti").unionByName(best(every_pair, few))
+        named = near.join(classes.select(F.col("cls").alias("c"), "ids"), "c").select("q", "score", F.explode("ids").alias("id"))
+        return written(named.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("nth") <= k + 1), "found")
+
+    probes = max(1, round(probes * (n / AT) ** growth))
+    found = best(met(asked, probes), asked)
+    # the ids that there are for vectors of each length
+    by_size = classes.groupBy(F.size("vector").alias("size")).agg(F.sum(F.size("ids")).alias("ids"))
+    wanted = asked.withColumn("size", F.size("vector")).join(by_size, "size").select("cls", "vector", F.least(F.lit(k + 1), "ids").alias("wanted"))
+    for times in (8, 64, None):
+        counts = found.groupBy(F.col("q").alias("cls")).agg(F.count("*").alias("n"))
+        few = written(wanted.join(counts, "cls", "left").where(F.coalesce("n", F.lit(0)) < F.col("wanted")).select("cls", "vector", "wanted"), "few")
+        if few.isEmpty():
+            break
+        if times is None or probes * times >= in_all:
+            block = F.pmod(F.xxhash64("cls"), F.lit(BLOCKS))
+            spread = few.select(F.col("cls").alias("q"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BLOCKS - 1).cast("bigint"))).alias("block"))
+            pairs = spread.join(classes.select(F.col("cls").alias("c"), block.alias("block")), "block").select("q", "c")
+            times = None
+        else:
+            pairs = met(few, probes * times)
+        found = found.join(few.select(F.col("cls").alias("q")), "q", "left_anti").unionByName(best(pairs, few))
+        if times is None:
+            break
+        wanted = few
     named = queries.select(F.col("id").alias("query_id"), F.col("cls").alias("q")).join(found.select("q", "score", "id"), "q").where("query_id <> id")
     ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

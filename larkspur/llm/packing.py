@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.pretokens import IdCache, Pieces, char_classes, id_cache, supported
-from larkspur.llm.store import written
+from larkspur.llm.store import arrow_rows, written
 from larkspur.llm.textblock import slices, text_bytes
 
 PIECES = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, nth bigint"
@@ -147,6 +147,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every document."""
     spark = docs.sparkSession
     path = os.path.abspath(path)
+    arrow_rows(spark)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     pieces = written(texts.mapInArrow(pieces_of(path, capacity, end_id), PIECES), "packed-pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))

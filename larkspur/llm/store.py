@@ -53,5 +53,11 @@ def forget(df: DataFrame) -> None:
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Arrow batches of at most so many rows, so that they don't add up in a Python worker.
+
+    Spark has no such setting for a single plan.  All operators ask for the same number
+    and none raises it, so that it makes no difference which of them asked last.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

@@ -30,14 +30,15 @@ import hashlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.store import arrow_rows
-from larkspur.llm.textblock import WHITE, Block, Words, mix, window_hashes
+from larkspur.llm.textblock import WHITE, Block, Words, mix, text_bytes, window_hashes
 
 K = 35
 MINIMISER = 3
@@ -45,7 +46,7 @@ MINIMISER = 3
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 PACKED = "bucket bigint, block bigint, packed binary"
 ANSWER = "block bigint, bucket bigint, marks binary"
-KEPT = "id bigint, rest string, n_words bigint, n_removed bigint, kept string, kept_sha256 string"
+KEPT = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("kept_sha256", T.StringType())]
 
 
 def sliding_minimum(x: np.ndarray, n: int) -> np.ndarray:
@@ -196,59 +197,55 @@ def differing(words: Words, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(different)
 
 
-def block_texts(rows: pd.DataFrame) -> tuple[pd.DataFrame, list[bytes]]:
+def block_texts(rows: pa.Table) -> tuple[pa.Table, list[bytes]]:
     """The block's rows in an order of their own, so that both steps see the same one."""
-    texts = [t.encode() if isinstance(t, str) else b"" for t in rows["text"]]
-    ids = [0 if pd.isna(i) else int(i) for i in rows["id"]]
-    order = sorted(range(len(rows)), key=lambda i: (ids[i], texts[i]))
-    return rows.iloc[order], [texts[i] for i in order]
+    texts, ids = text_bytes(rows.column("text")), pc.fill_null(rows.column("id"), 0).to_pylist()
+    order = sorted(range(rows.num_rows), key=lambda i: (ids[i], texts[i]))
+    return rows.take(pa.array(order, pa.int64())), [texts[i] for i in order]
 
 
-def sender(k: int, buckets: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def sender(k: int, buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
         packed = SuperKmers(block_texts(rows)[1], k, buckets).packed()
-        return pd.DataFrame({"bucket": [b for b, _ in packed], "block": key[0], "packed": [p for _, p in packed]})
+        return pa.table([pa.array([b for b, _ in packed], pa.int64()), pa.array([key[0].as_py()] * len(packed), pa.int64()), pa.array([p for _, p in packed], pa.binary())], ["bucket", "block", "packed"])
 
     return run
 
 
-def counter(k: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def counter(k: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
         plain = zstandard.ZstdDecompressor()
-        parts = [plain.decompress(p).split(b"\n") for p in rows["packed"]]
+        parts = [plain.decompress(p).split(b"\n") for p in rows.column("packed").to_pylist()]
         lines = [line for part in parts for line in part]
         counts, marks = repeated_windows([x[1:] for x in lines], np.array([x[:1] == b"2" for x in lines], bool), k)
         ends = np.append(0, np.cumsum(counts))
         out, at = [], 0
         squeeze = zstandard.ZstdCompressor(level=3)
-        for block, part in zip(rows["block"], parts):
+        for block, part in zip(rows.column("block").to_pylist(), parts):
             mine = marks[ends[at] : ends[at + len(part)]]
             at += len(part)
             if mine.any():
-                out.append((block, key[0], squeeze.compress(np.packbits(mine).tobytes())))
-        return pd.DataFrame(out, columns=["block", "bucket", "marks"])
+                out.append((block, squeeze.compress(np.packbits(mine).tobytes())))
+        return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array([key[0].as_py()] * len(out), pa.int64()), pa.array([m for _, m in out], pa.binary())], ["block", "bucket", "marks"])
 
     return run
 
 
-def keeper(k: int, buckets: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(key: tuple, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+def keeper(k: int, buckets: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         rows, texts = block_texts(rows)
         found = SuperKmers(texts, k, buckets)
         words = found.words
-        gone = found.repeated(dict(zip(answers["bucket"], answers["marks"])))
+        gone = found.repeated(dict(zip(answers.column("bucket").to_pylist(), answers.column("marks").to_pylist())))
         kept = texts_of(words, ~gone)
-        same = np.diff(np.append(0, np.cumsum(gone))[words.ptr]) == 0
         removed = np.append(0, np.cumsum(gone))
-        return pd.DataFrame(
-            {
-                "id": rows["id"].array,
-                "rest": rows["rest"].array,
-                "n_words": np.diff(words.ptr),
-                "n_removed": removed[words.ptr[1:]] - removed[words.ptr[:-1]],
-                "kept": [old if whole else t.decode("utf-8", "replace") for old, whole, t in zip(rows["text"], same.tolist(), kept)],
-                "kept_sha256": [hashlib.sha256(t).hexdigest() for t in kept],
-            }
+        n_removed = removed[words.ptr[1:]] - removed[words.ptr[:-1]]
+        old = rows.column("text").to_pylist()
+        new = [t if n == 0 else t_kept.decode("utf-8", "replace") for t, n, t_kept in zip(old, n_removed.tolist(), kept)]
+        columns = [c for c in rows.column_names if c not in ("text", "block")]
+        return pa.table(
+            [*(rows.column(c) for c in columns), pa.array(np.diff(words.ptr)), pa.array(n_removed), pa.array(new, pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string())],
+            [*columns, "n_words", "n_removed", "kept", "kept_sha256"],
         )
 
     return run
@@ -267,15 +264,18 @@ def texts_of(words: Words, kept: np.ndarray) -> list[bytes]:
 
 
 def _removed(docs: DataFrame, k: int, id_col: str, text_col: str, rest: list[str]) -> DataFrame:
-    """id, the struct ``rest`` of the named columns, n_words, n_removed, kept and kept_sha256."""
+    """id, the struct ``rest`` of the named columns (if any), n_words, n_removed, kept and kept_sha256."""
     arrow_rows(docs.sparkSession)
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("rest"))
+    more = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), *more, F.col(f"`{text_col}`").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = size // BLOCK_BYTES + 1, 3 * size // BUCKET_BYTES + 1
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
-    sent = dealt.groupBy("block").applyInPandas(sender(k, buckets), PACKED)
-    answers = sent.groupBy("bucket").applyInPandas(counter(k), ANSWER)
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(keeper(k, buckets), KEPT)
+    # rows without an id may all be alike, and are dealt by their place
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64(F.coalesce("id", -1 - F.monotonically_increasing_id()), "text"), F.lit(blocks)))
+    sent = dealt.groupBy("block").applyInArrow(sender(k, buckets), PACKED)
+    answers = sent.groupBy("bucket").applyInArrow(counter(k), ANSWER)
+    schema = T.StructType([*[f for f in texts.schema if f.name != "text"], *KEPT])
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(keeper(k, buckets), schema)
 
 
 def remove_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,8 +294,6 @@ def strip_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col:
     found = _removed(docs, k, id_col, text_col, [c for c in names if c != text_col])
     found = found.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0))
     types = {f.name: f.dataType for f in docs.schema}
-    rest = F.from_json("rest", T.StructType([T.StructField(c, types[c]) for c in names if c != text_col]))
-    found = found.withColumn("rest", rest)
 
     def column(c: str):
         if c == text_col:

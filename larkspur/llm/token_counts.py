@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.pretokens import Pieces, char_classes, string_array, supported, tokenizer
-from larkspur.llm.store import written
+from larkspur.llm.store import arrow_rows, written
 from larkspur.llm.textblock import slices, span_hashes, span_keys, text_bytes
 
 VOCABULARY = "token string, n bigint"
@@ -152,6 +152,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every text."""
     spark = docs.sparkSession
     path = os.path.abspath(path)
+    arrow_rows(spark)
     texts = docs.select(F.col(text_col).alias("text"))
     found = texts.mapInArrow(vocabulary_of(path), VOCABULARY).groupBy("token").agg(F.sum("n").alias("n"))
     counted = written(found.mapInArrow(count_pieces(path), COUNTED), "pieces")

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.store import forget, written
+from larkspur.llm.store import arrow_rows, forget, written
 from larkspur.llm.textblock import PUNCT, Block, Words, mix, slices, span_hashes, text_bytes
 
 BITS = 18
@@ -183,6 +183,7 @@ def fit_chain(counts: Counts, sample: Sample, labels: np.ndarray, fold: np.ndarr
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CHAIN, sample: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> list[Model]:
     """The chain of models, fitted on a bounded sample of the labelled documents."""
     n = len(categories)
+    arrow_rows(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.array(*[F.max(F.expr(e)).cast("double") for e in categories.values()]).alias("labels"))
     # `sample` rows of an id and a few numbers: small enough to be sent to every task
     drawn = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(sample))
@@ -237,6 +238,7 @@ def scorer(shared, n: int):
 
 def probabilities(docs: DataFrame, chain: list[Model], text: Column, keep: list[Column]) -> DataFrame:
     """The kept columns, the text and a probability ``_p0``, ``_p1``, ... for each category."""
+    arrow_rows(docs.sparkSession)
     rows = docs.select(*keep, text.alias("text"))
     schema = T.StructType([*rows.schema, *(T.StructField(f"_p{i}", T.DoubleType()) for i in range(len(chain)))])
     return rows.mapInArrow(scorer(docs.sparkSession.sparkContext.broadcast(chain), len(chain)), schema)

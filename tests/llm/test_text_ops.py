@@ -1,4 +1,5 @@
 import collections
+import datetime
 import hashlib
 import random
 import re
@@ -69,6 +70,17 @@ def test_repeats_over_blocks_and_stripping(spark, monkeypatch):
     assert substrings.remove_repeats(rows.limit(0)).count() == 0
 
 
+def test_stripping_keeps_other_columns(spark):
+    when = datetime.datetime(2020, 1, 2, 3, 4, 5, 123456)
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [(1, f"a {passage}", when, {1: "x"}, "r", 0), (2, f"{passage} b", when, None, None, 0), (3, "c", None, {2: None}, "r", 5), (None, None, when, {}, "r", None), (None, None, when, {}, "r", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, block timestamp_ntz, rest map<int,string>, kept string, n_chars int").repartition(2)
+    got = substrings.strip_repeats(table)
+    assert got.schema == table.schema
+    want = [(1, "a", *rows[0][2:5], 1), (2, "b", *rows[1][2:5], 1), *rows[2:]]
+    assert sorted(map(str, (tuple(x) for x in got.collect()))) == sorted(map(str, want))
+
+
 def test_colliding_word_hashes_are_told_apart(monkeypatch):
     monkeypatch.setattr(substrings.Words, "hashes", lambda self: np.zeros(len(self), np.uint64))
     counts, marks = substrings.repeated_windows([b"a b c", b"a b d", b"x a b c"], np.zeros(3, bool), 3)
@@ -242,6 +254,58 @@ def test_components_of_chains_and_stars(spark):
     assert set(got.values()) == {"a0000", "b0", "d"} and len(got) == 301 + 50 + 2
 
 
+def test_classes_equal_brute_force(spark):
+    r = random.Random(21)
+    texts = []
+    for _ in range(25):
+        base = some_words(r, r.randint(30, 120), 3000)
+        for _ in range(r.choice([1, 2, 4])):
+            w = list(base)
+            for _ in range(r.randint(0, 6)):
+                w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    texts += [texts[0].upper(), " ".join(some_words(r, 20_000, 50_000)), "one two", "One  two", "", None]
+    table = docs(spark, texts)
+    idf = near_dup.inverse_frequencies(table)
+    _, _, h, doc, count = near_dup.shingled([(t or "").lower().encode() for t in texts])
+    weight = idf.of(h, count)
+    assert 1 <= weight[count == 1].min() and weight[count == 1].max() <= 2
+    sets = [dict(zip(h[doc == d].tolist(), weight[doc == d].tolist())) for d in range(len(texts))]
+
+    def alike(a, b):
+        both = sum(min(w, b[x]) for x, w in a.items() if x in b)
+        return bool(a) and both >= 0.8 * (sum(a.values()) + sum(b.values()) - both) - 1e-6
+
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    got = {x.doc_id: x for x in near_dup.near_duplicates(table).collect()}
+    assert [got[i].class_id for i in range(len(texts))] == label
+    assert [got[i].n_members for i in range(len(texts))] == [label.count(x) for x in label]
+
+
+def test_weights_depend_on_shares_and_not_on_the_number_of_documents():
+    r = np.random.default_rng(3)
+    weights = []
+    for docs_, load in ((40_000, 15), (12_000_000, 4460)):
+        table = r.poisson(load, 1 << near_dup.DF_BITS)
+        table[:3] = [docs_, docs_ // 100, 1 + load]
+        weights.append(near_dup.Idf(docs_, table).weights[:3])
+    assert np.abs(weights[0] - weights[1]).max() < 0.03
+
+
+def test_unique_texts_of_a_repeated_id_stay(spark):
+    w, u = "a b c d e f g h i j k l", "z y x w v u t s r q p o"
+    rows = [(1, w, "g", 1, "n", {1: "a"}), (5, w, "g", 2, "n", None), (5, u, "g", 3, "n", {2: None}), (None, w, "g", 4, "n", None), (7, None, "g", 5, "n", None), (8, " ", "g", 6, "n", None), (9, u, "g", 7, "n", None), (1, w, "g", 8, "n", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _gone string, id int, node string, first map<int,string>")
+    kept = near_dup.one_of_each(table)
+    assert kept.schema == table.schema
+    assert sorted(x.id for x in kept.collect()) == [1, 3, 4, 5, 6, 8]
+
+
 def test_near_duplicates_have_one_class(spark):
     r = random.Random(8)
     texts, group = [], []
@@ -296,7 +360,10 @@ def test_samples_agree_as_often_as_sets_are_alike():
 # nearest neighbours
 
 
-def test_neighbours_are_exact_in_form_and_near_in_rank(spark):
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_neighbours_are_exact_in_form_and_near_in_rank(spark, monkeypatch, sent):
+    monkeypatch.setattr(neighbours, "MOST_SENT", sent)
+    monkeypatch.setattr(neighbours, "AT_ONCE", 100)
     r = np.random.default_rng(2)
     centres = r.normal(size=(20, 32))
     rows = [(i, [float(x) for x in np.float32(centres[i % 20] + 0.4 * r.normal(size=32))], "x", 1) for i in range(1500)]
@@ -352,14 +419,14 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
     ],
 )
 def test_blocks_of_pages(article, text):
-    assert " ".join(t for t, _ in html_text.blocks_of(PAGE % article)) == text
+    assert " ".join(html_text.blocks_of(PAGE % article)) == text
 
 
 def test_odd_pages_do_not_break():
     for page in ["", "<", "<p", "</", "<!--", "<!-- x", "<script>x", "a<b", "<a href=\"x", "&", "<p>x</p", "<div>" * 3000 + "deep", "</div>" * 100, "<article><p>cut &am", "\x00<p>\x00"]:
         html_text.blocks_of(page)
-    assert [t for t, _ in html_text.blocks_of("<div>" * 3000 + "deep")] == ["deep"]
-    assert [t for t, _ in html_text.blocks_of("<article><p>cut")] == ["cut"]
+    assert html_text.blocks_of("<div>" * 3000 + "deep") == ["deep"]
+    assert html_text.blocks_of("<article><p>cut") == ["cut"]
 
 
 def test_site_templates_are_deleted_per_host(spark):
@@ -392,12 +459,40 @@ def test_menus_and_footers_are_counted(spark):
     assert got[100] == "odd one" and got[101] == "Home News odd one"
 
 
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_templates_equal_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(html_text, "MOST_SENT", sent)
+    r = random.Random(8)
+    parts = [f"<nav><ul><li>{w}</li></ul></nav>" for w in "abc"] + [f"<div class='{w}'>box {w}</div>" for w in "xyz"] + ["<section><p>related</p></section>", "<p>quoted</p>", "<aside>side</aside>"]
+    pages = []
+    for i in range(300):
+        host = r.choice(["h.example"] * 4 + ["I.Example", "i.example", "few.example"])
+        body = "".join(r.sample(parts, 3)) + r.choice(["<article>%s</article>", "%s"]) % (f"<p>own {r.randrange(200)}</p>" + r.choice(parts))
+        pages.append((i, f"http://{host}/{i}", body))
+    pages += [(i + 1000, u, h) for i, u, h in pages[:20]] + [(2000, "http://long.example/", "<article>" + "<p>long text</p>" * 20_000 + "</article>")]
+
+    found = [(u.split("/")[2].lower(), *html_text.parsed_page(h)) for _, u, h in pages]
+    by_host = collections.defaultdict(dict)
+    for host, kept, subtrees in found:
+        content = tuple(html_text.main_blocks(kept))
+        by_host[host][content] = min(subtrees, by_host[host].get(content, subtrees))
+    want = {}
+    for (i, _, _), (host, kept, _) in zip(pages, found):
+        every = list(by_host[host].values())
+        site = {x for some in every for x in some if (n := sum(x in y for y in every)) >= 3 and n >= 0.05 * len(every)}
+        left = [(t, n) for t, n in kept if not html_text.in_templates(n, site)]
+        want[i] = (" ".join(html_text.main_blocks(left)), len(kept) - len(left))
+    got = {x.page_id: (x.text, x.n_template_blocks) for x in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"), min_share=0.05).collect()}
+    assert {i: got[i][0] for i in want} == {i: t for i, (t, _) in want.items()}
+    assert sum(n for _, n in got.values()) > 300 and got[2000][0] == " ".join(["long text"] * 20_000)
+
+
 def test_recurrence_is_judged_by_the_share_of_the_host(spark):
     page = "<article><p>own %s</p><div>%s</div></article>"
     pages = [(i, f"http://large.example/{i}", page % (i, "quoted" if i < 6 else "all" if i < 20 else f"d{i}")) for i in range(100)]
     pages += [(1000 + i, f"http://small.example/{i}", page % (i, "all")) for i in range(3)]
     pages += [(2000 + i, f"http://two.example/{i}", page % (i, "all")) for i in range(2)]
-    got = {x.page_id: x.text for x in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    got = {x.page_id: x.text for x in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"), min_share=0.1).collect()}
     assert all(got[i] == f"own {i} quoted" for i in range(6)) and all(got[i] == f"own {i}" for i in range(6, 20))
     assert got[50] == "own 50 d50"
     assert all(got[1000 + i] == f"own {i}" for i in range(3)) and got[2000] == "own 0 all"
@@ -415,7 +510,7 @@ def test_recurrence_is_judged_by_the_share_of_the_host(spark):
     ],
 )
 def test_words_of_classes_do_not_drop_prose(page, text):
-    assert " ".join(t for t, _ in html_text.blocks_of(page)) == text
+    assert " ".join(html_text.blocks_of(page)) == text
 
 
 def test_ties_of_many_classes_go_to_the_smallest_ids(spark):
@@ -434,6 +529,17 @@ def test_ties_of_many_classes_go_to_the_smallest_ids(spark):
         assert found == [(i, 1.0) for i in same if i != q][:5]
 
 
+def test_capitals_of_other_scripts_and_long_texts(spark):
+    items = ["ΟΔΥΣΣΕΥΣ ΕΙΣ ΤΗΝ ΠΟΛΙΝ ΤΗΣ ΙΘΑΚΗΣ ΗΛΘΕΝ", "İSTANBUL IŞIK İLE DOLU BİR ŞEHİR OLDU"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    long = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
+    table = docs(spark, [items[0], items[1], items[0].lower(), f"{long} {items[0]} {long}", long, items[0]], [(0, items[0])])
+    for size in (7, 10**6):
+        got = sorted((x.doc_id, x["items"], x.coverage) for x in decontaminate.decontaminate(table, bench, block_words=size).collect())
+        assert [(i, k) for i, k, _ in got] == [(0, [0]), (0, [0]), (1, [1]), (2, got[3][1]), (3, [0]), (4, []), (5, [0])]
+        assert all(c == 1.0 for i, _, c in got if i in (0, 1, 3, 5))
+
+
 def test_items_without_id_contaminate(spark):
     items = ["one two three four five six seven", "a b c d e f g h", "never found in any of them"]
     bench = spark.createDataFrame([(None, items[0]), (None, items[1]), (3, items[1]), (None, items[2])], "item_id long, text string")
