@@ -236,7 +236,8 @@ def nearest(
     def met(some: DataFrame, probes: int) -> DataFrame:
         """The pairs of classes that share a key, with repeats."""
         probed = some.select("cls", "vector").mapInArrow(hashed(probes, tables, in_all, seed), "key bigint, cls bigint").withColumnRenamed("cls", "q")
-        return probed.join(index, "key").select("q", "c")
+        # never broadcast: the keys of either side are many times the rows
+        return probed.hint("merge").join(index, "key").select("q", "c")
 
     def best(pairs: DataFrame, some: DataFrame) -> DataFrame:
         """The k + 1 nearest (score, id) of each query class."""

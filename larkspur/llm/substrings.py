@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.store import arrow_rows
-from larkspur.llm.textblock import WHITE, Block, Words, mix, text_bytes, window_hashes
+from larkspur.llm.textblock import WHITE, Block, Words, mix, release, text_bytes, window_hashes
 
 K = 35
 MINIMISER = 3
 #: Text bytes of a block, and of the strings in a bucket, about.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 3 << 20, 5 << 20
 PACKED = "bucket bigint, block bigint, packed binary"
 ANSWER = "block bigint, bucket bigint, marks binary"
 KEPT = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("kept_sha256", T.StringType())]
@@ -207,6 +207,7 @@ def block_texts(rows: pa.Table) -> tuple[pa.Table, list[bytes]]:
 def sender(k: int, buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         packed = SuperKmers(block_texts(rows)[1], k, buckets).packed()
+        release()
         return pa.table([pa.array([b for b, _ in packed], pa.int64()), pa.array([key[0].as_py()] * len(packed), pa.int64()), pa.array([p for _, p in packed], pa.binary())], ["bucket", "block", "packed"])
 
     return run
@@ -219,6 +220,7 @@ def counter(k: int) -> Callable[[tuple, pa.Table], pa.Table]:
         lines = [line for part in parts for line in part]
         counts, marks = repeated_windows([x[1:] for x in lines], np.array([x[:1] == b"2" for x in lines], bool), k)
         ends = np.append(0, np.cumsum(counts))
+        release()
         out, at = [], 0
         squeeze = zstandard.ZstdCompressor(level=3)
         for block, part in zip(rows.column("block").to_pylist(), parts):

@@ -12,6 +12,7 @@ the callers compare the texts themselves, or 128 bits for whole documents.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 PAD = 16
 
 #: Bytes that end a word: space and the ASCII controls 0x09 to 0x0D.
@@ -78,6 +79,16 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             stop = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
+    release()
+
+
+def release() -> None:
+    """Give freed memory back, which a worker that is used again would keep beside what its next task needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 class Words:
@@ -197,13 +208,3 @@ def document_keys(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
         np.cumsum(term, out=sums[1:])
         out.append(mix(sums[words.ptr[1:]] - sums[words.ptr[:-1]] + np.diff(words.ptr).astype(np.uint64)))
     return out[0], out[1]
-
-
-def column(values, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, kind)
-
-
-def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema)]
-    arrays = [a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays]
-    return pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, schema)], schema=schema)
