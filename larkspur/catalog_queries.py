@@ -346,10 +346,12 @@ _PLAIN = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _PLAIN} | {f"map_to_{t}": _map_to(t) for t in types.TARGETS}
+    from larkspur import reader_queries
+
+    return {f.__name__: f for f in _PLAIN} | {f"map_to_{t}": _map_to(t) for t in types.TARGETS} | reader_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from larkspur import catalog_sql
+    from larkspur import catalog_sql, reader_queries
 
-    return catalog_sql.oracle_sql()
+    return catalog_sql.oracle_sql() | reader_queries.oracle_sql()
