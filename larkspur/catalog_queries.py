@@ -35,27 +35,17 @@ TYPES = """VALUES
 TYPE_COLUMNS = ["dialect", "data_type", "length", "prec", "scale", "fsp", "unsigned"]
 
 SNAPSHOTS = {
-    "old": """VALUES ('users','id','bigint',0,false,false,'',1), ('users','username','varchar',40,false,false,'',2), ('users','active','bit',0,false,true,'((0))',3), ('users','legacy_code','varchar',10,true,false,'',4),
-('orders','id','bigint',0,false,false,'',1), ('orders','note','text',0,true,true,' x ',2), ('Items','id','int',0,false,false,'',1)""",
-    "new": """VALUES ('users','id','bigint',0,false,false,'',9), ('users','username','varchar',80,false,false,'',2), ('users','active','bit',0,false,true,'((1))',3), ('users','nickname','varchar',60,true,false,'',4),
-('audit_log','id','bigint',0,false,false,'',1), ('orders','id','bigint',0,false,false,'',1), ('orders','note','text',0,true,true,'x',2), ('items','id','int',0,false,false,'',1)""",
+    "old": """VALUES ('reader','no','bigint',0,false,false,'',1), ('reader','card','varchar',12,false,false,'',2), ('reader','barred','bit',0,false,true,'((1))',3), ('reader','pager','varchar',15,true,false,'',4),
+('loan','no','bigint',0,false,false,'',1), ('loan','remark','text',0,true,true,' x ',2), ('Shelf','no','int',0,false,false,'',1)""",
+    "new": """VALUES ('reader','no','bigint',0,false,false,'',9), ('reader','card','varchar',16,false,false,'',2), ('reader','barred','bit',0,false,true,'((0))',3), ('reader','pen_name','varchar',90,true,false,'',4),
+('fine','no','bigint',0,false,false,'',1), ('loan','no','bigint',0,false,false,'',1), ('loan','remark','text',0,true,true,'x',2), ('shelf','no','int',0,false,false,'',1)""",
 }
 SNAPSHOT_COLUMNS = ["table_name", "column_name", "data_type", "max_length", "is_nullable", "has_default", "default_expr", "ordinal"]
 
-LIVE = {
-    "source": """VALUES ('users','Id','bigint',0,0,0,false,false,true,''), ('users','Code','nvarchar',20,0,0,false,false,false,''), ('users','Ref','uniqueidentifier',0,0,0,true,false,false,'uuid_gen'),
-('users','At','datetimeoffset',0,0,0,true,false,false,'current_dt'), ('users','Price','decimal',0,12,2,true,false,false,''), ('users','Calc','int',0,0,0,true,true,false,''), ('users','Gone','int',0,0,0,true,false,false,'')""",
-    "target": """VALUES ('USERS','id','bigint',0,0,0,false,false,false,''), ('users','code','character varying',40,0,0,true,false,false,''), ('users','ref','uuid',36,0,0,true,false,false,'uuid_gen'),
-('users','at','timestamp',0,0,0,true,false,false,'constant''x'''), ('users','price','numeric',0,12,4,true,false,false,''), ('users','calc','int',0,0,0,false,false,false,''), ('users','more','int',0,0,0,true,false,false,'')""",
-}
-LIVE_COLUMNS = ["table_name", "column_name", "data_type", "max_length", "precision", "scale", "is_nullable", "is_computed", "is_identity", "default_class"]
-
-INDEXES = """VALUES ('a', 'users', 'Email', true, 'Name,Age', true), ('b', 'users', 'tenant_id,Email', false, '', false), ('c', 'orders', 'Status', false, '', true)"""
-LIVE_INDEXES = """VALUES ('x', 'USERS', 'email', true, 'age,name', true), ('y', 'users', 'email,tenant_id', false, '', false), ('z', 'orders', 'status', false, '', true)"""
-STATEMENTS = """VALUES ('drop table','orders','','orders','data-loss','drop orders','DROP TABLE orders'), ('create table','audit','','audit','safe','create audit','CREATE TABLE audit (id int)'),
-('change table','users','drop column','legacy','data-loss','drop legacy','ALTER TABLE users DROP COLUMN legacy'), ('change table','users','add column','nick','safe','add nick','ALTER TABLE users ADD nick text'),
-('change table','users','change column','name','rebuild','widen name','ALTER TABLE users ALTER name TYPE text'), ('add foreign key','audit','','fk','blocking','key','ALTER TABLE audit ADD FOREIGN KEY (id) REFERENCES users(id)'),
-('drop foreign key','orders','','fk','safe','key','ALTER TABLE orders DROP CONSTRAINT fk'), ('create index','audit','','ix','odd','index','CREATE INDEX ix ON audit (id)')"""
+STATEMENTS = """VALUES ('drop table','loan','','loan','data-loss','drop loan','DROP TABLE loan'), ('create table','fine','','fine','safe','create fine','CREATE TABLE fine (id int)'),
+('change table','reader','drop column','pager','data-loss','drop pager','ALTER TABLE reader DROP COLUMN pager'), ('change table','reader','add column','pen','safe','add pen','ALTER TABLE reader ADD pen text'),
+('change table','reader','change column','card','rebuild','widen card','ALTER TABLE reader ALTER card TYPE text'), ('add foreign key','fine','','fk','blocking','key','ALTER TABLE fine ADD FOREIGN KEY (id) REFERENCES reader(id)'),
+('drop foreign key','loan','','fk','safe','key','ALTER TABLE loan DROP CONSTRAINT fk'), ('create index','fine','','ix','odd','index','CREATE INDEX ix ON fine (id)')"""
 STATEMENT_COLUMNS = ["phase", "table_name", "step", "object_name", "risk", "description", "sql"]
 DEFAULTS = ["getdate()", "(GETUTCDATE())", "CURRENT_TIMESTAMP", "now()", "((0))", "1", "'x'", "N'it''s'", "('A')::text", "newid()", "gen_random_uuid()", "CAST(getdate() AS date)", "curdate()", "NULL", "", "nextval('s')", "-5", "lower('A')", "pending"]
 
@@ -166,38 +156,6 @@ def snapshot_backfill(spark, sf_dir):
     return diff.backfilled(old, now)
 
 
-def index_changes(spark, sf_dir):
-    old, new = (fixture(spark, v, ["index_name", "table_name", "cols", "is_unique", "inc", "filtered"]) for v in (INDEXES, LIVE_INDEXES.replace("'x'", "'a'").replace("'z'", "'c'")))
-    same = (F.col("old.cols") == F.col("new.cols")) & (F.col("old.is_unique") == F.col("new.is_unique")) & (F.col("old.inc") == F.col("new.inc"))
-    return diff.object_changes(old, new, ("index_name",), same)
-
-
-def drift_dimensions(spark, sf_dir):
-    return drift.column_deltas(fixture(spark, LIVE["source"], LIVE_COLUMNS), fixture(spark, LIVE["target"], LIVE_COLUMNS), "mssql", "postgres")
-
-
-def _signed(spark, values):
-    t = fixture(spark, values, ["index_name", "table_name", "cols", "is_unique", "inc", "filtered"])
-    include = F.filter(F.split("inc", ","), lambda x: x != "")
-    return t.select(F.lower("table_name").alias("table_name"), drift.index_signature(F.split("cols", ","), F.col("is_unique"), include, F.col("filtered")).alias("signature"))
-
-
-def index_signatures(spark, sf_dir):
-    return _signed(spark, INDEXES)
-
-
-def signature_diff(spark, sf_dir):
-    return drift.signature_changes(_signed(spark, INDEXES), _signed(spark, LIVE_INDEXES), ["table_name", "signature"])
-
-
-KEYS = "VALUES ('a,B','x,Y','Orders','CASCADE',''), ('a','x','t','no action','RESTRICT'), ('b','y','t',' set null ',NULL)"
-
-
-def key_signatures(spark, sf_dir):
-    t = fixture(spark, KEYS, ["cols", "refs", "ref_table", "on_delete", "on_update"])
-    return t.select(drift.key_signature(F.split("cols", ","), F.split("refs", ","), F.col("ref_table"), F.col("on_delete"), F.col("on_update")).alias("signature"))
-
-
 def pk_set_compare(spark, sf_dir):
     t = spark.sql("SELECT * FROM VALUES (1,'a,b','B,a'), (2,'a','a,b'), (3,'id','ID') AS t(n, one, two)")
     return t.select("n", drift.same_key_set(F.split("one", ","), F.split("two", ",")).alias("same_set"), (F.split("one", ",") == F.split("two", ",")).alias("same_order"))
@@ -307,14 +265,7 @@ def foreign_key_ddl(spark, sf_dir):
     return out[0].unionAll(out[1]).unionAll(out[2])
 
 
-def index_ddl(spark, sf_dir):
-    t = fixture(spark, INDEXES, ["index_name", "table_name", "cols", "is_unique", "inc", "filtered"])
-    t = t.select("index_name", "table_name", F.split("cols", ",").alias("columns"), "is_unique", F.filter(F.split("inc", ","), lambda x: x != "").alias("include_cols"), F.when(F.col("filtered"), "x > 0").alias("filter"))
-    out = [t.select(F.lit(d).alias("target"), ddl.create_index(d, "app").alias("sql")) for d in ("postgres", "mssql", "mysql", "sqlite")]
-    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
-
-
-NEW_DEFAULTS = [("users", "active", "((1))"), ("or'ders", "at", "getdate()"), ("items", "code", "'x'")]
+NEW_DEFAULTS = [("reader", "barred", "((1))"), ("lo'an", "at", "getdate()"), ("shelf", "code", "'x'")]
 
 
 def alter_default_ddl(spark, sf_dir):
@@ -340,18 +291,18 @@ def capabilities(spark, sf_dir):
 
 _PLAIN = [
     introspect_columns, row_count_exact, row_size_estimate, row_size_average, canonical_kinds, map_types, mapping_warnings, ident_fold, ident_collisions, scope_filter, managed_set, snapshot_diff_columns, snapshot_diff_tables,
-    snapshot_diff_summary, snapshot_backfill, index_changes, drift_dimensions, index_signatures, signature_diff, key_signatures, pk_set_compare, drop_order, risk_filter, risk_counts, plan_order, plan_script, latest_snapshot, list_snapshots,
-    current_runs, recent_runs, reconcile_runs, schema_fingerprint, default_labels, check_violations, create_table_ddl, foreign_key_ddl, index_ddl, alter_default_ddl, capabilities,
+    snapshot_diff_summary, snapshot_backfill, pk_set_compare, drop_order, risk_filter, risk_counts, plan_order, plan_script, latest_snapshot, list_snapshots,
+    current_runs, recent_runs, reconcile_runs, schema_fingerprint, default_labels, check_violations, create_table_ddl, foreign_key_ddl, alter_default_ddl, capabilities,
 ]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from larkspur import reader_queries
+    from larkspur import drift_queries, reader_queries
 
-    return {f.__name__: f for f in _PLAIN} | {f"map_to_{t}": _map_to(t) for t in types.TARGETS} | reader_queries.queries()
+    return {f.__name__: f for f in _PLAIN} | {f"map_to_{t}": _map_to(t) for t in types.TARGETS} | drift_queries.queries() | reader_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from larkspur import catalog_sql, reader_queries
+    from larkspur import catalog_sql, drift_queries, reader_queries
 
-    return catalog_sql.oracle_sql() | reader_queries.oracle_sql()
+    return catalog_sql.oracle_sql() | drift_queries.oracle_sql() | reader_queries.oracle_sql()

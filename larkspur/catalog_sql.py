@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.catalog_queries import CHECKS, DEFAULTS, INDEXES, KEYS, LIVE, LIVE_COLUMNS, LIVE_INDEXES, REFERENCES, SNAPSHOT_COLUMNS, SNAPSHOTS, STATEMENT_COLUMNS, STATEMENTS, TABLES, TYPE_COLUMNS, TYPES, _duck
+from larkspur.catalog_queries import CHECKS, DEFAULTS, REFERENCES, SNAPSHOT_COLUMNS, SNAPSHOTS, STATEMENT_COLUMNS, STATEMENTS, TABLES, TYPE_COLUMNS, TYPES, _duck
 
 _NAMES = ", ".join(f"'{t}'" for t in TABLES)
 _SCHEMA = f"""(SELECT table_name, ordinal_position::INT AS ordinal, column_name,
@@ -68,32 +68,12 @@ _CHANGES = f"""(SELECT coalesce(o.table_name, n.table_name) AS table_name, coale
     CASE WHEN o.is_nullable <> n.is_nullable THEN 'is_nullable' END, CASE WHEN o.has_default <> n.has_default OR trim(o.default_expr) <> trim(n.default_expr) THEN 'default' END) END AS facts
   FROM {_OLD} o FULL JOIN {_NEW} n ON o.table_name = n.table_name AND o.column_name = n.column_name
   WHERE o.table_name IS NULL OR n.table_name IS NULL OR o.data_type <> n.data_type OR o.max_length <> n.max_length OR o.is_nullable <> n.is_nullable OR o.has_default <> n.has_default OR trim(o.default_expr) <> trim(n.default_expr))"""
-_INDEX_COLUMNS = ["index_name", "table_name", "cols", "is_unique", "inc", "filtered"]
-
-
-def _signatures(values: str) -> str:
-    return f"""(SELECT lower(table_name) AS table_name, CASE WHEN is_unique THEN 'unique:' ELSE '' END || lower(cols) || CASE WHEN inc <> '' THEN '/include:' || array_to_string(list_sort(string_split(lower(inc), ',')), ',') ELSE '' END
-  || CASE WHEN filtered THEN '/filtered' ELSE '' END AS signature FROM {_duck(values, _INDEX_COLUMNS)})"""
-
-
-_ONE, _TWO = _signatures(INDEXES), _signatures(LIVE_INDEXES)
 _EVENTS = "(SELECT event_id AS id, event_type AS source_type, CASE WHEN user_id % 3 = 0 THEN '' ELSE user_id::VARCHAR END AS source_identity, ts AS captured_at FROM events)"
 _LAST = """(SELECT user_id AS run_id, ts AS "at", event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'running' ELSE 'success' END AS status, CASE WHEN event_id % 5 = 0 THEN 'boom' END AS error FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"""
 _RANK = "CASE risk WHEN 'safe' THEN 0 WHEN 'blocking' THEN 1 WHEN 'rebuild' THEN 2 ELSE 3 END"
 _PHASE = "CASE phase WHEN 'create table' THEN 0 WHEN 'drop foreign key' THEN 1 WHEN 'change table' THEN 2 WHEN 'create index' THEN 3 WHEN 'create check' THEN 4 WHEN 'add foreign key' THEN 5 ELSE 6 END"
 _STEP = "CASE step WHEN 'drop check' THEN 0 WHEN 'drop index' THEN 1 WHEN 'add column' THEN 2 WHEN 'change column' THEN 3 WHEN 'drop column' THEN 4 WHEN 'add index' THEN 5 WHEN 'add check' THEN 6 ELSE 7 END"
 _PLAN = _duck(STATEMENTS, STATEMENT_COLUMNS)
-_DRIFT = f"""WITH s AS (SELECT *, lower(table_name) AS t, lower(column_name) AS c FROM {_duck(LIVE["source"], LIVE_COLUMNS)}), g AS (SELECT *, lower(table_name) AS t, lower(column_name) AS c FROM {_duck(LIVE["target"], LIVE_COLUMNS)}),
-j AS (SELECT s.t, s.c, s.*, g.data_type AS g_type, g.max_length AS g_length, g.precision AS g_p, g.scale AS g_s, g.is_nullable AS g_null, g.is_computed AS g_comp, g.is_identity AS g_id, g.default_class AS g_def,
-  s.data_type IN ('uniqueidentifier', 'uuid') AND g.data_type = 'uuid' AS fixed, s.is_computed OR g.is_computed AS computed FROM s JOIN g ON s.t = g.t AND s.c = g.c)
-SELECT s.t AS table_name, s.c AS column_name, 'missing' AS criterion FROM s ANTI JOIN g ON s.t = g.t AND s.c = g.c
-UNION ALL SELECT g.t, g.c, 'extra' FROM g ANTI JOIN s ON s.t = g.t AND s.c = g.c
-UNION ALL SELECT t, c, 'computed' FROM j WHERE is_computed <> g_comp UNION ALL SELECT t, c, 'identity' FROM j WHERE is_identity <> g_id
-UNION ALL SELECT t, c, 'tz_class' FROM j WHERE data_type = 'datetimeoffset' AND g_type = 'timestamp'
-UNION ALL SELECT t, c, 'nullability' FROM j WHERE NOT computed AND is_nullable <> g_null
-UNION ALL SELECT t, c, 'length' FROM j WHERE NOT computed AND NOT fixed AND greatest(max_length, 0) <> greatest(g_length, 0)
-UNION ALL SELECT t, c, CASE WHEN precision <> g_p THEN 'precision' ELSE 'scale' END FROM j WHERE NOT computed AND data_type = 'decimal' AND (precision <> g_p OR scale <> g_s)
-UNION ALL SELECT t, c, 'default' FROM j WHERE NOT computed AND NOT is_identity AND NOT g_id AND default_class <> g_def"""
 _DROP = f"""WITH RECURSIVE t(name) AS (SELECT unnest([{_NAMES}])), e(child, parent) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in REFERENCES)}),
 d(name, level) AS (SELECT name, 0 FROM t UNION ALL SELECT e.parent, d.level + 1 FROM d JOIN e ON e.child = d.name) SELECT name AS table_name, max(level)::INT AS level FROM d GROUP BY name"""
 _VIOLATIONS = {
@@ -145,17 +125,6 @@ def _foreign_keys() -> str:
     return " UNION ALL ".join(parts)
 
 
-def _indexes() -> str:
-    parts = []
-    for target, (a, b) in {"postgres": '""', "mssql": "[]", "mysql": "``", "sqlite": '""'}.items():
-        names = lambda c, a=a, b=b: f"'{a}' || replace({c}, ',', '{b}, {a}') || '{b}'"
-        schema = "" if target == "sqlite" else f"{a}app{b}."
-        include = f"CASE WHEN inc <> '' THEN ' INCLUDE (' || {names('inc')} || ')' ELSE '' END" if target in ("postgres", "mssql") else "''"
-        where = "CASE WHEN filtered THEN ' WHERE x > 0' ELSE '' END" if target != "mysql" else "''"
-        parts.append(f"SELECT '{target}' AS target, 'CREATE ' || CASE WHEN is_unique THEN 'UNIQUE ' ELSE '' END || 'INDEX ' || {names('index_name')} || ' ON {schema}' || {names('table_name')} || ' (' || {names('cols')} || ')' || {include} || {where} AS sql FROM {_duck(INDEXES, ['index_name', 'table_name', 'cols', 'is_unique', 'inc', 'filtered'])}")
-    return " UNION ALL ".join(parts)
-
-
 #: What each dialect lacks, by hand.
 _LACKS = {
     "postgres": "index_prefix",
@@ -167,7 +136,7 @@ _LACKS = {
 
 
 def _alter_defaults() -> str:
-    rows = [("users", "active", {"postgres": "1", "mssql": "1", "mysql": "1"}), ("or'ders", "at", {"postgres": "CURRENT_TIMESTAMP", "mssql": "SYSDATETIME()", "mysql": "CURRENT_TIMESTAMP"}), ("items", "code", {"postgres": "'x'", "mssql": "'x'", "mysql": "'x'"})]
+    rows = [("reader", "barred", {"postgres": "1", "mssql": "1", "mysql": "1"}), ("lo'an", "at", {"postgres": "CURRENT_TIMESTAMP", "mssql": "SYSDATETIME()", "mysql": "CURRENT_TIMESTAMP"}), ("shelf", "code", {"postgres": "'x'", "mssql": "'x'", "mysql": "'x'"})]
     found = []
     for t, c, text in rows:
         for target, (a, b) in {"postgres": '""', "mysql": "``"}.items():
@@ -196,14 +165,8 @@ def oracle_sql() -> dict[str, str]:
         "managed_set": "SELECT * FROM (VALUES ('a'), ('d')) AS t(table_name)",
         "snapshot_diff_columns": f"SELECT * FROM {_CHANGES}",
         "snapshot_diff_tables": f"SELECT DISTINCT table_name, 'added' AS change FROM {_NEW} WHERE table_name NOT IN (SELECT table_name FROM {_OLD}) UNION ALL SELECT DISTINCT table_name, 'removed' FROM {_OLD} WHERE table_name NOT IN (SELECT table_name FROM {_NEW})",
-        "snapshot_diff_summary": f"SELECT change, count(*) AS n FROM {_CHANGES} GROUP BY change",
+        "snapshot_diff_summary": f"SELECT change, count(*) AS n, change = 'removed' AS is_destructive FROM {_CHANGES} GROUP BY change",
         "snapshot_backfill": "SELECT * FROM (VALUES (1,'t','a',true,1,6), (2,'t','b',false,1,6), (3,'t','c',false,1,2), (4,'t','d',false,0,3), (1,'t','gone',false,0,NULL)) AS t(version, table_name, column_name, is_unsigned, display_width, datetime_precision)",
-        "index_changes": "SELECT * FROM (VALUES ('a','removed'), ('a','added'), ('b','removed'), ('y','added'), ('c','removed'), ('c','added')) AS t(index_name, change)",
-        "drift_dimensions": _DRIFT,
-        "index_signatures": f"SELECT * FROM {_ONE}",
-        "signature_diff": f"SELECT *, 'missing' AS change FROM {_ONE} a WHERE NOT EXISTS (SELECT 1 FROM {_TWO} b WHERE a.table_name = b.table_name AND a.signature = b.signature) UNION ALL SELECT *, 'extra' FROM {_TWO} a WHERE NOT EXISTS (SELECT 1 FROM {_ONE} b WHERE a.table_name = b.table_name AND a.signature = b.signature)",
-        "key_signatures": f"""SELECT (SELECT string_agg(lower(c) || ':' || lower(r), ',' ORDER BY i) FROM (SELECT unnest(string_split(cols, ',')) AS c, unnest(string_split(refs, ',')) AS r, unnest(range(len(string_split(cols, ',')))) AS i)) || '->' || lower(ref_table) || '|' ||
-  CASE WHEN upper(trim(coalesce(on_delete, ''))) IN ('', 'NO ACTION', 'RESTRICT') THEN 'noaction' ELSE lower(trim(on_delete)) END || '|' || CASE WHEN upper(trim(coalesce(on_update, ''))) IN ('', 'NO ACTION', 'RESTRICT') THEN 'noaction' ELSE lower(trim(on_update)) END AS signature FROM {_duck(KEYS, ["cols", "refs", "ref_table", "on_delete", "on_update"])}""",
         "pk_set_compare": "SELECT n, list_sort(string_split(lower(one), ',')) = list_sort(string_split(lower(two), ',')) AS same_set, one = two AS same_order FROM (VALUES (1,'a,b','B,a'), (2,'a','a,b'), (3,'id','ID')) AS t(n, one, two)",
         "drop_order": _DROP,
         "risk_filter": f"SELECT phase, object_name, risk FROM {_PLAN} WHERE {_RANK} <= 1",
@@ -220,7 +183,6 @@ def oracle_sql() -> dict[str, str]:
         "check_violations": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) FILTER ({_VIOLATIONS[n]}) AS violations FROM {t}" for n, (t, _) in CHECKS.items()),
         "create_table_ddl": " UNION ALL ".join(map(_create, _SQL_TYPES)),
         "foreign_key_ddl": _foreign_keys(),
-        "index_ddl": _indexes(),
         "alter_default_ddl": _alter_defaults(),
         "capabilities": "SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{c}')" for d, cs in _LACKS.items() for c in cs.split()) + ") AS t(target, capability)",
     }

@@ -55,6 +55,17 @@ def object_changes(old: DataFrame, new: DataFrame, key: tuple[str, ...], same: C
     return both.select(*[F.coalesce(F.col(f"old.{k}"), F.col(f"new.{k}")).alias(k) for k in key], F.explode(change).alias("change"))
 
 
+def same_index() -> Column:
+    """Whether ``old`` and ``new`` are the same index: lists of flags and lengths count as padded by false and 0, filters as trimmed."""
+
+    def padded(c: str, rest: object) -> Column:
+        return F.forall(F.zip_with(F.col(f"old.{c}"), F.col(f"new.{c}"), lambda x, y: F.coalesce(x, F.lit(rest)) == F.coalesce(y, F.lit(rest))), lambda x: x)
+
+    text = lambda side: F.trim(F.coalesce(F.col(f"{side}.filter"), F.lit("")))
+    plain = [F.col(f"old.{c}") == F.col(f"new.{c}") for c in ("columns", "is_unique", "include_cols")]
+    return reduce(lambda a, b: a & b, [*plain, text("old") == text("new"), padded("exprs", False), padded("prefixes", 0)])
+
+
 #: Facts that a snapshot of an older version doesn't have, by the version that brought them.
 SINCE = {"is_unsigned": 2, "on_update_expr": 2, "enum_values": 2, "datetime_precision": 3, "display_width": 4}
 
@@ -80,5 +91,5 @@ def only_kinds(changes: DataFrame, kinds: list[str], kind: str = "object_kind")
 
 
 def summary(changes: DataFrame) -> DataFrame:
-    """Counts of changes, and whether any removes something."""
-    return changes.groupBy("change").agg(F.count("*").alias("n"))
+    """Counts of changes, and whether they remove something."""
+    return changes.groupBy("change").agg(F.count("*").alias("n")).withColumn("is_destructive", F.col("change") == "removed")

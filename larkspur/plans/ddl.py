@@ -69,10 +69,25 @@ def create_tables(columns: DataFrame, target: str, schema: str = "") -> DataFram
     return parts.select("table_name", F.concat(F.lit("CREATE TABLE "), qualified(schema, F.col("table_name"), target), F.lit(" (\n"), body, inline, F.lit("\n)"), tail).alias("sql"))
 
 
+def index_parts(target: str) -> Column:
+    """The key of an index: expressions in parentheses, names quoted, with the length of a prefix."""
+
+    def part(c: Column, i: Column) -> Column:
+        size = F.coalesce(F.get("prefixes", i), F.lit(0))
+        name = F.concat(quoted(c, target), F.when(size > 0, F.concat(F.lit("("), size.cast("string"), F.lit(")"))).otherwise(""))
+        return F.when(F.coalesce(F.get("exprs", i), F.lit(False)), F.concat(F.lit("("), F.trim(c), F.lit(")"))).otherwise(name)
+
+    lacks = [(kind, found) for kind, found in (("index_expression", F.exists("exprs", lambda x: x)), ("index_prefix", F.exists("prefixes", lambda x: x > 0))) if not supports(target, kind)]
+    out = F.array_join(F.transform("columns", part), ", ")
+    for kind, found in lacks:
+        out = F.when(found, F.raise_error(F.lit(f"{target} does not support {kind}")).cast("string")).otherwise(out)
+    return out
+
+
 def create_index(target: str, schema: str = "") -> Column:
-    """CREATE INDEX of index_name, table_name, columns, is_unique, include_cols and filter."""
+    """CREATE INDEX of index_name, table_name, columns, is_unique, include_cols, filter, exprs (which parts are expressions) and prefixes (their lengths)."""
     need(target, "index")
-    text = F.concat(F.when(F.col("is_unique"), "CREATE UNIQUE INDEX ").otherwise("CREATE INDEX "), quoted(F.col("index_name"), target), F.lit(" ON "), qualified(schema, F.col("table_name"), target), F.lit(" ("), listed(F.col("columns"), target), F.lit(")"))
+    text = F.concat(F.when(F.col("is_unique"), "CREATE UNIQUE INDEX ").otherwise("CREATE INDEX "), quoted(F.col("index_name"), target), F.lit(" ON "), qualified(schema, F.col("table_name"), target), F.lit(" ("), index_parts(target), F.lit(")"))
     if supports(target, "index_include"):
         text = F.concat(text, F.when(F.size("include_cols") > 0, F.concat(F.lit(" INCLUDE ("), listed(F.col("include_cols"), target), F.lit(")"))).otherwise(""))
     if supports(target, "index_filter"):
