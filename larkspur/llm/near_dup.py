@@ -307,7 +307,7 @@ def _classed(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> D
     placed = nodes.select("node", "id", "n").join(parts, "node", "left").select("node", "id", "n", F.coalesce("part", "node").alias("part"))
     # written, so that both sides of the join are plain shuffles: a hot part is split by the skew join
     classes = written(placed.groupBy("part").agg(F.min(F.struct("id", "node")).alias("first"), F.sum("n").alias("n_members")), "classes")
-    of_node = placed.select("node", "part").join(classes, "part").select("node", "first", "n_members")
+    of_node = written(placed.select("node", "part").join(classes, "part").select("node", "first", "n_members"), "classed-nodes")
     known = rows.where("node is not null and id is not null").select("id", "node").join(of_node, "node")
     # rows of no node don't meet in a join
     others = rows.where("node is null or id is null").select("id", "node", F.lit(None).cast(of_node.schema["first"].dataType).alias("first"), F.lit(1).cast("bigint").alias("n_members"))

@@ -43,6 +43,8 @@ BITS = 18
 FOLDS = 3
 #: Of each model: the most places, the fewest documents of a place, and the least standard errors between its two rates.
 MOST, LEAST_DOCS, LEAST_Z = 4000, 5, 4.0
+#: Tasks that count the sample's places, and so tables of counts that the driver adds up one after the other.
+COUNTERS = 4
 #: Categories in chain order, as expressions over the labels.
 CHAIN = {"low_quality": "1 - quality", "toxic": "toxic"}
 
@@ -72,6 +74,31 @@ def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("labels"), lists, pa.array(content)], ["labels", "places", "content"])
 
 
+def place_counts(n: int):
+    """Of a task's documents the counts by category, fold and label, of all (place -1) and of runs of places."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, in_all = np.zeros((n * FOLDS * 2, 1 << BITS), np.int32), np.zeros(n * FOLDS * 2, np.int64)
+        for batch in batches:
+            lists = batch.column("places")
+            place = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            fold = batch.column("content").to_numpy() % FOLDS
+            labels = np.array([[np.nan if x is None else x for x in r] for r in batch.column("labels").to_pylist()], float).reshape(-1, n)
+            for k in range(n):
+                cell = np.where(np.isnan(labels[:, k]), -1, (k * FOLDS + fold) * 2 + (labels[:, k] > 0))
+                for c in np.unique(cell[cell >= 0]).tolist():
+                    in_all[c] += int((cell == c).sum())
+                    table[c] += np.bincount(place[cell[row] == c], minlength=1 << BITS).astype(np.int32)
+        if in_all.any():
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([in_all.astype("<i4").tobytes()], pa.binary())], ["place", "counts"])
+            for a in range(0, 1 << BITS, 1 << 14):
+                raw = np.ascontiguousarray(table[:, a : a + (1 << 14)].T).astype("<i4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([raw], pa.binary())], ["place", "counts"])
+
+    return run
+
+
 def narrowed(chosen):
     """The places of ``chosen`` only, by their numbers in it."""
 
@@ -189,22 +216,21 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CHAIN
     drawn = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(sample))
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     rows = written(texts.join(drawn, "id").select("labels", "text").mapInArrow(featured, "labels array<double>, places array<int>, content bigint"), "toxicity-sample")
-    rows = rows.withColumn("fold", F.pmod("content", F.lit(FOLDS)).cast("int"))
-
-    # counts by place, category, fold and label: at most 1 << BITS rows of a few integers reach the driver
-    cells = [(k, f, v) for k in range(n) for f in range(FOLDS) for v in (0, 1)]
-    sums = [F.count_if((F.get("labels", F.lit(k)) == v) & (F.col("fold") == f)).cast("int").alias(f"c{i}") for i, (k, f, v) in enumerate(cells)]
-    every = rows.agg(*sums).first()
-    of_place = np.zeros((1 << BITS, n, FOLDS, 2), np.int32)
-    frequent = rows.select("labels", "fold", F.explode("places").alias("place")).groupBy("place").agg(*sums, F.count("*").alias("docs")).where(F.col("docs") >= LEAST_DOCS)
-    for batch in frequent.drop("docs").toArrow().to_batches():
-        at = batch.column("place").to_numpy()
-        for i, (k, f, v) in enumerate(cells):
-            of_place[at, k, f, v] = batch.column(f"c{i}").to_numpy()
-    counts = Counts(np.array([every[f"c{i}"] or 0 for i in range(len(cells))], np.int64).reshape(n, FOLDS, 2), of_place)
+    # counts by place, category, fold and label: no more than the sample's places reach the driver
+    of_place, in_all = np.zeros((1 << BITS, n, FOLDS, 2), np.int32), np.zeros((n, FOLDS, 2), np.int64)
+    for row in rows.coalesce(COUNTERS).mapInArrow(place_counts(n), "place int, counts binary").toLocalIterator():
+        part = np.frombuffer(bytes(row.counts), "<i4").reshape(-1, n, FOLDS, 2)
+        if row.place < 0:
+            in_all += part[0]
+        else:
+            of_place[row.place : row.place + len(part)] += part
+    counts = Counts(in_all, of_place)
     chosen = np.unique(np.concatenate([counts.telling(k, f) for k in range(n) for f in (None, *range(FOLDS))]))
 
-    got = rows.select("labels", "places", "content").mapInArrow(narrowed(chosen), "labels array<double>, places array<int>, content bigint").orderBy("content", "labels").toArrow()
+    got = rows.mapInArrow(narrowed(chosen), "labels array<double>, places array<int>, content bigint").toArrow()
+    # the order in which rows arrive must not matter
+    order_keys = list(zip(got.column("content").to_pylist(), map(str, got.column("labels").to_pylist())))
+    got = got.take(pa.array(sorted(range(len(order_keys)), key=order_keys.__getitem__), pa.int64()))
     known_labels = np.array([[np.nan if x is None else x for x in r] for r in got.column("labels").to_pylist()], float).reshape(-1, n)
     lists = got.column("places").combine_chunks()
     if got.num_rows:
