@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 
 from larkspur.llm.components import components
 from larkspur.llm.store import arrow_rows, forget, written
-from larkspur.llm.textblock import PUNCT, Block, Words, document_keys, mix, shingles, slices, text_bytes, weighted
+from larkspur.llm.textblock import PUNCT, Block, Words, document_keys, mix, release, shingles, slices, text_bytes, weighted
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -135,7 +135,10 @@ def inverse_frequencies(texts: DataFrame) -> Idf:
     for r in rows:
         table[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] += np.frombuffer(bytes(r.counts), "<i8")
         docs += r.n
-    return Idf(docs, table)
+    out = Idf(docs, table)
+    del table
+    release()
+    return out
 
 
 def bands_of(h: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int, tables) -> np.ndarray:

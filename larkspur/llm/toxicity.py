@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.store import arrow_rows, forget, written
-from larkspur.llm.textblock import PUNCT, Block, Words, mix, slices, span_hashes, text_bytes
+from larkspur.llm.textblock import PUNCT, Block, Words, mix, release, slices, span_hashes, text_bytes
 
 BITS = 18
 FOLDS = 3
@@ -240,7 +240,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CHAIN
         ptr, place = np.zeros(1, np.int32), np.zeros(0, np.int32)
     fold = np.array(got.column("content").to_pylist(), np.int64) % FOLDS
     forget(rows)
-    return fit_chain(counts, Sample(chosen, ptr, place), known_labels, fold)
+    order_keys = got = lists = of_place = None
+    chain = fit_chain(counts, Sample(chosen, ptr.copy(), place.copy()), known_labels, fold)
+    del counts, ptr, place
+    release()
+    return chain
 
 
 def scorer(shared, n: int):
