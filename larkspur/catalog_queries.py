@@ -106,14 +106,6 @@ def map_types(spark, sf_dir):
     return c.select("table_name", "column_name", "kind", *out)
 
 
-def mapping_warnings(spark, sf_dir):
-    out = None
-    for target in types.TARGETS:
-        one = _typed(spark).select("dialect", "data_type", F.lit(target).alias("target"), F.posexplode(types.losses(target, F.col("kind"), F.col("prec"), F.col("fsp"), F.col("unsigned"))).alias("place", "reason"))
-        out = one if out is None else out.unionAll(one)
-    return out
-
-
 def ident_fold(spark, sf_dir):
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey"), F.concat("p_name", F.lit(" #"), "p_brand").alias("name"))
     return parts.select("p_partkey", identifiers.folded(F.col("name")).alias("folded"), identifiers.valid(F.col("name")).alias("valid"))
@@ -290,19 +282,19 @@ def capabilities(spark, sf_dir):
 
 
 _PLAIN = [
-    introspect_columns, row_count_exact, row_size_estimate, row_size_average, canonical_kinds, map_types, mapping_warnings, ident_fold, ident_collisions, scope_filter, managed_set, snapshot_diff_columns, snapshot_diff_tables,
+    introspect_columns, row_count_exact, row_size_estimate, row_size_average, canonical_kinds, map_types, ident_fold, ident_collisions, scope_filter, managed_set, snapshot_diff_columns, snapshot_diff_tables,
     snapshot_diff_summary, snapshot_backfill, pk_set_compare, drop_order, risk_filter, risk_counts, plan_order, plan_script, latest_snapshot, list_snapshots,
     current_runs, recent_runs, reconcile_runs, schema_fingerprint, default_labels, check_violations, create_table_ddl, foreign_key_ddl, alter_default_ddl, capabilities,
 ]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from larkspur import drift_queries, reader_queries
+    from larkspur import drift_queries, plan_queries, reader_queries
 
-    return {f.__name__: f for f in _PLAIN} | {f"map_to_{t}": _map_to(t) for t in types.TARGETS} | drift_queries.queries() | reader_queries.queries()
+    return {f.__name__: f for f in _PLAIN} | {f"map_to_{t}": _map_to(t) for t in types.TARGETS} | drift_queries.queries() | reader_queries.queries() | plan_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from larkspur import catalog_sql, drift_queries, reader_queries
+    from larkspur import catalog_sql, drift_queries, plan_queries, reader_queries
 
-    return catalog_sql.oracle_sql() | drift_queries.oracle_sql() | reader_queries.oracle_sql()
+    return catalog_sql.oracle_sql() | drift_queries.oracle_sql() | reader_queries.oracle_sql() | plan_queries.oracle_sql()

@@ -44,21 +44,6 @@ _MAP = {
  WHEN 'rowversion' THEN 'FixedString(8)' WHEN 'date' THEN 'Date32' WHEN 'uuid' THEN 'UUID' WHEN 'bitstring' THEN NULL
  WHEN 'timestamp' THEN CASE WHEN fsp = 0 THEN CASE WHEN tz THEN 'DateTime(''UTC'')' ELSE 'DateTime' END ELSE format('DateTime64({}', least(coalesce(fsp, 3), 9)) || CASE WHEN tz THEN ', ''UTC'')' ELSE ')' END END ELSE 'String' END""",
 }
-_LOSS = {
-    "uuid": ("uuid becomes text", ("mysql", "sqlite")),
-    "json": ("json becomes text", ("mssql", "sqlite", "clickhouse")),
-    "xml": ("xml becomes text", ("mssql", "mysql", "sqlite", "clickhouse")),
-    "bitstring": ("bits become bytes", ("mssql", "mysql")),
-    "time": ("time becomes text", ("clickhouse",)),
-}
-
-
-def _warnings() -> str:
-    parts = [f"SELECT dialect, data_type, '{t}' AS target, 0 AS place, '{text}' AS reason FROM {_TYPED} WHERE kind = '{kind}'" for kind, (text, targets) in _LOSS.items() for t in targets]
-    parts += [f"SELECT dialect, data_type, '{t}', 0, 'precision is cut to {p}' FROM {_TYPED} WHERE kind = 'decimal' AND prec > {p}" for t, p in (("mssql", 38),)]
-    parts += [f"SELECT dialect, data_type, '{t}', 0, 'fractional seconds are cut to 6' FROM {_TYPED} WHERE kind = 'timestamp' AND fsp > 6" for t in ("postgres", "mysql")]
-    parts += [f"SELECT dialect, data_type, '{t}', 0, 'unsignedness is lost' FROM {_TYPED} WHERE unsigned" for t in ("postgres", "mssql", "sqlite")]
-    return " UNION ALL ".join(parts)
 
 
 _OLD, _NEW = (_duck(SNAPSHOTS[k], SNAPSHOT_COLUMNS) for k in ("old", "new"))
@@ -158,7 +143,6 @@ def oracle_sql() -> dict[str, str]:
         "row_size_average": f"SELECT (sum(row_bytes * row_count) // sum(row_count))::BIGINT AS avg_row_bytes, (SELECT table_name FROM {_SIZES} ORDER BY row_bytes DESC, table_name DESC LIMIT 1) AS widest FROM {_SIZES}",
         "canonical_kinds": f"SELECT dialect, data_type, length, kind FROM {_TYPED}",
         "map_types": f"SELECT table_name, column_name, {kinds} AS kind, {mapped} FROM {_SCHEMA}",
-        "mapping_warnings": _warnings(),
         "ident_fold": r"SELECT p_partkey, regexp_replace(lower(p_name || ' #' || p_brand), '[^a-z0-9_]', '_', 'g') AS folded, regexp_full_match(p_name || ' #' || p_brand, '[A-Za-z_][A-Za-z0-9_ $#]*') AS valid FROM part",
         "ident_collisions": r"SELECT replace(lower(p_brand), '#', '_') AS folded, count(DISTINCT name) AS names FROM (SELECT p_brand, unnest([p_brand, lower(p_brand), replace(p_brand, '#', '_')]) AS name FROM part) GROUP BY 1 HAVING count(DISTINCT name) > 1",
         "scope_filter": f"SELECT t AS table_name FROM (SELECT unnest([{_NAMES}]) AS t) WHERE (regexp_matches(t, '^[c-n]') OR t LIKE 'p%') AND NOT (t LIKE '%s' OR t LIKE 'nat_on')",

@@ -218,28 +218,80 @@ def with_policy(target: str, rendered: Column, data_type: Column, policy: str =
     return F.coalesce(rendered, F.lit(FALLBACK[target]) if policy == "text_fallback" else data_type)
 
 
-#: Fixed values: (kinds, targets that lose something, what is lost).
-LOSSES = [
-    ("array", ("mssql", "mysql", "sqlite"), "elements become text"),
-    ("enum set", ("postgres", "mssql", "sqlite"), "members aren't enforced"),
-    ("json", ("mssql", "sqlite", "clickhouse"), "json becomes text"),
-    ("uuid", ("mysql", "sqlite"), "uuid becomes text"),
-    ("xml", ("mssql", "mysql", "sqlite", "clickhouse"), "xml becomes text"),
-    ("spatial", ("sqlite", "clickhouse"), "spatial type is lost"),
-    ("bitstring varbitstring", ("mssql", "mysql"), "bits become bytes"),
-    ("time", ("clickhouse",), "time becomes text"),
-]
-
-
-def losses(target: str, kind: Column, precision: Column, fsp: Column, unsigned: Column) -> Column:
-    """What a mapping to the target loses, in order."""
-    most_digits = {"mssql": 38, "mysql": 65, "clickhouse": 76}.get(target)
+WHOLE = ("tinyint", "smallint", "mediumint", "integer", "bigint")
+
+
+def sqlite_kind(declaration: Column) -> Column:
+    """The kind of a SQLite column, which may be declared by any words, or by none.
+
+    Known names first: whole numbers have 64 bits and floating ones 64 whatever they are
+    called.  Other names go by what they contain, in SQLite's order of precedence, so
+    that ``floating point`` is a whole number.
+    """
+    name = F.trim(F.regexp_extract(F.lower(F.trim(declaration)), r"^[^(]*", 0))
+    known = {n: k for k, ns in KINDS.items() for n in ns.split() if n in ("bool", "boolean", "tinyint", "smallint", "int2", "mediumint", "varchar", "nvarchar", "char", "nchar", "character", "date", "datetime", "timestamp")}
+    known |= {n: "bigint" for n in ("integer", "int", "bigint", "int8", "rowid")} | {n: "double" for n in ("real", "double", "double precision", "float")}
+    known |= {"int4": "integer", "decimal": "decimal", "numeric": "decimal", "character varying": "varchar", "varying character": "varchar", "text": "text", "clob": "text", "blob": "blob"}
+    known |= {"time": "time", "uuid": "uuid", "json": "json", "bit": "bitstring", "varbit": "varbitstring", "bit varying": "varbitstring", "": "text"}
+    by_part = _cases(F.lit("raw"), [(name.contains("int"), F.lit("bigint")), (name.rlike("char|clob|text"), F.lit("text")), (name.contains("blob"), F.lit("blob")), (name.rlike("real|floa|doub"), F.lit("double"))])
+    return F.coalesce(_lookup(known, name), by_part)
+
+
+def losses(target: str, f: Facts, utc: Column) -> Column:
+    """What a mapping to the target loses, in order; ``utc`` marks times that the source keeps in UTC."""
+    k, n, p, s, u = f.kind, f.n, f.p, f.s, f.u
+    tz, national = F.coalesce(f.tz, F.lit(False)), F.coalesce(f.national, F.lit(False))
     most_fsp = {"postgres": 6, "mssql": 7, "mysql": 6, "clickhouse": 9}.get(target)
-    found = [F.when(kind.isin(*kinds.split()), text) for kinds, targets, text in LOSSES if target in targets]
-    if most_digits:
-        found.append(F.when((kind == "decimal") & (precision > most_digits), f"precision is cut to {most_digits}"))
-    if most_fsp:
-        found.append(F.when(kind.isin("time", "timestamp") & (fsp > most_fsp), f"fractional seconds are cut to {most_fsp}"))
-    if target in ("postgres", "mssql", "sqlite"):
-        found.append(F.when(kind.isin("tinyint", "smallint", "mediumint", "integer", "bigint") & F.coalesce(unsigned, F.lit(False)), "unsignedness is lost"))
-    return F.array_compact(F.array(*found, F.lit(None).cast("string")))
+    flags = target in ("mysql", "sqlite", "clickhouse")
+    sqlite = [
+        (k.isin("bitstring", "varbitstring"), "no bit strings"),
+        (k.isin(*WHOLE) & u, "no unsigned integers"),
+        (k.isin(*WHOLE[:4]), "integer width isn't enforced"),
+        (k.isin("varchar", "char") & (n > 0), "length isn't enforced"),
+        ((k == "decimal") & (p > 0), "precision and scale aren't enforced"),
+        (k == "real", "stored in 64 bits"),
+        (k.isin("binary", "varbinary") & (n > 0), "length isn't enforced"),
+        (k == "rowversion", "no row versions"),
+        (k.isin("time", "timestamp") & tz, "no time zones"),
+        (k.isin("time", "timestamp") & f.fsp.isNotNull(), "fractional seconds aren't enforced"),
+        (k.isin("uuid", "xml", "array"), "stored as text"),
+        (k == "json", "stored as text, not validated"),
+        (k.isin("enum", "set"), "members aren't enforced"),
+        (k == "spatial", "needs an extension"),
+    ]
+    clickhouse = [
+        (k == "mediumint", "no 24-bit integers"),
+        (k.isin("varchar", "varbinary") & (n > 0), "length isn't enforced"),
+        ((k == "char") & (n <= 0), "no length for a fixed string"),
+        ((k == "char") & (n > 0), "fixed strings count bytes"),
+        (k.isin("varchar", "char") & national, "no national characters"),
+        ((k == "binary") & (n <= 0), "no length for a fixed string"),
+        ((k == "decimal") & (p <= 0), "default precision"),
+        (k == "date", "dates from 1900 to 2299 only"),
+        (k.isin("time", "json", "xml", "set", "spatial"), "stored as a string"),
+        ((k == "timestamp") & f.fsp.isNull(), "default fractional seconds"),
+        ((k == "timestamp") & tz, "zone becomes UTC"),
+        (k == "rowversion", "no row versions"),
+        (k == "enum", "members are unknown, stored as a string"),
+    ]
+    shared = [
+        ((k == "tinyint") & F.lit(target == "postgres"), "no 8-bit integers"),
+        ((k == "mediumint") & F.lit(not flags), "no 24-bit integers"),
+        (k.isin("smallint", "integer", "bigint") & u & F.lit(not flags), "no unsigned integers"),
+        ((k == "decimal") & (p <= 0) & F.lit(target != "postgres"), "no unbounded decimals"),
+        ((k == "decimal") & (p > 65) & F.lit(target == "mysql") | (k == "decimal") & (p > 38) & F.lit(target == "mssql"), "precision is cut"),
+        ((k == "decimal") & (s > 30) & F.lit(target == "mysql") | (k == "decimal") & (s > 38) & F.lit(target == "mssql"), "scale is cut"),
+        ((k == "decimal") & (p > 0) & (s > p), "scale exceeds precision"),
+        (k.isin("decimal", "real", "double") & u & F.lit(target != "mysql"), "no unsigned fractions"),
+        (k.isin("bitstring", "varbitstring") & F.lit(target == "mssql") | ((k == "varbitstring") | (k == "bitstring") & (n > 64)) & F.lit(target == "mysql"), "bits become bytes"),
+        ((k == "timestamp") & tz & F.lit(target == "mysql"), "times from 1970 to 2038 only"),
+        ((k == "time") & tz & F.lit(target in ("mysql", "mssql")), "no time zones"),
+        (k.isin("time", "timestamp") & utc & F.lit(target != "mysql"), "not kept in UTC"),
+        (k.isin("time", "timestamp") & (f.fsp > (most_fsp if most_fsp is not None else 99)), "fractional seconds are cut"),
+        (k.isin("text", "blob") & n.isin(*TIERS.values()) & F.lit(target != "mysql"), "capacity isn't kept"),
+        (k.isin("varchar", "char") & national & (n > 4000) & (n <= 8000) & F.lit(target == "mssql"), "national characters are lost"),
+        ((k == "spatial") & F.lit(target == "postgres"), "needs an extension"),
+        ((k == "array") & F.lit(target not in ("postgres", "clickhouse")), "no arrays"),
+    ]
+    rules = {"sqlite": sqlite, "clickhouse": clickhouse}.get(target, []) + shared
+    return F.array_compact(F.array(*[F.when(when, F.lit(text)) for when, text in rules]))

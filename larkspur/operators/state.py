@@ -36,3 +36,8 @@ def reconciled(runs: DataFrame, before, error: str = "stale run") -> DataFrame:
 
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
+
+
+def run(runs: DataFrame, run_id) -> DataFrame:
+    """The run of an id."""
+    return runs.where(F.col("run_id") == run_id)

@@ -11,6 +11,25 @@ PHASES = ("create table", "drop foreign key", "change table", "create index", "c
 STEPS = ("drop check", "drop index", "add column", "change column", "drop column", "add index", "add check")
 
 
+def drop_actions(tables: list[str], references: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """What drops tables, in order: ("drop table", table, "") and, where only cycles are left,
+    ("drop foreign key", table, key) for the keys among the tables of cycles.  References are (key, from, to)."""
+    left, open_ = set(tables), [r for r in references if r[1] != r[2] and r[1] in tables and r[2] in tables]
+    out: list[tuple[str, str, str]] = []
+    while left:
+        free = sorted(t for t in left if not any(r[2] == t for r in open_))
+        if free:
+            out += [("drop table", t, "") for t in free]
+            left -= set(free)
+            open_ = [r for r in open_ if r[1] not in free]
+        else:
+            inside = _in_cycles(sorted(left), {(a, b) for _, a, b in open_})
+            cut = [r for r in open_ if r[1] in inside and r[2] in inside]
+            out += [("drop foreign key", a, key) for key, a, _ in sorted(cut, key=lambda r: (r[1], r[0]))]
+            open_ = [r for r in open_ if r not in cut]
+    return out
+
+
 def drop_levels(tables: list[str], references: list[tuple[str, str]]) -> list[tuple[str, int]]:
     """Tables with the round in which they are dropped: children before the tables that they reference.
 
@@ -51,23 +70,65 @@ def _in_cycles(tables: list[str], edges: set[tuple[str, str]]) -> set[str]:
 
 
 def ordered(statements: DataFrame) -> DataFrame:
-    """Statements with their place in the plan: by phase, table, step and name."""
+    """Statements with their place in the plan: by phase, ``seq`` (if there), table, step and name.
+
+    ``seq`` puts keys of changed tables before those of new ones, and drops in their order.
+    """
     phase, step = F.lit(len(PHASES)), F.lit(len(STEPS))
     for i, p in enumerate(PHASES):
         phase = F.when(F.col("phase") == p, i).otherwise(phase)
     for i, s in enumerate(STEPS):
         step = F.when(F.col("step") == s, i).otherwise(step)
-    return statements.withColumns({"phase_no": phase, "step_no": step}).orderBy("phase_no", "table_name", "step_no", "object_name")
+    return statements.withColumns({"phase_no": phase, "step_no": step}).orderBy(*_order(statements))
+
+
+def _order(statements: DataFrame) -> list[str]:
+    return [c for c in ("phase_no", "seq", "table_name", "step_no", "object_name", "place") if c in statements.columns or c in ("phase_no", "step_no")]
+
 
+def script(statements: DataFrame, unsupported: DataFrame | None = None) -> DataFrame:
+    """The plan as one text: before each statement a comment with risk and description, its ``note``
+    and its ``warnings`` (if there); then what is ``unsupported`` (table_name, description, reason).
 
-def script(statements: DataFrame) -> DataFrame:
-    """The plan as one text: a comment with risk and description before each statement.  Plans are small."""
+    Plans are small.
+    """
     placed = ordered(statements)
-    text = F.concat(F.lit("-- ["), F.col("risk"), F.lit("] "), F.col("description"), F.lit("\n"), F.col("sql"), F.lit(";\n\n"))
-    rows = placed.select(F.struct("phase_no", "table_name", "step_no", "object_name", text.alias("text")).alias("r"))
-    return rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["text"]), "").alias("script"))
+    head = F.concat(F.lit("-- ["), F.col("risk"), F.lit("] "), F.col("description"), F.lit("\n"))
+    if "note" in statements.columns:
+        head = F.concat(head, _comment("note", "note"))
+    if "warnings" in statements.columns:
+        each = F.transform("warnings", lambda w: F.concat(F.lit("-- warning: "), w, F.lit("\n")))
+        head = F.concat(head, F.coalesce(F.array_join(each, ""), F.lit("")))
+    text = F.concat(head, F.col("sql"), F.lit(";\n\n"))
+    out = placed.select(F.struct(*_order(statements), text.alias("text")).alias("r")).agg(_joined().alias("script"))
+    if unsupported is None:
+        return out
+    parts = out.select(F.lit(0).alias("part"), F.col("script").alias("text"))
+    block = F.concat(F.lit("-- [unsupported] "), F.col("description"), F.lit("\n"), _comment("table", "table_name"), _comment("reason", "reason"), F.lit("\n"))
+    rest = unsupported.select(F.struct("table_name", "description", block.alias("text")).alias("r")).agg(_joined().alias("text"))
+    both = parts.unionAll(rest.select(F.lit(1), "text"))
+    return both.select(F.struct("part", "text").alias("r")).agg(_joined().alias("script"))
+
+
+def _joined():
+    return F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["text"]), "")
+
+
+def _comment(word: str, name: str):
+    return F.when(F.coalesce(F.col(name), F.lit("")) != "", F.concat(F.lit(f"-- {word}: "), F.col(name), F.lit("\n"))).otherwise("")
 
 
 def add_column_risk(nullable, has_default, identity):
     """Adding a column that must have a value, without a default or identity, blocks on rows that exist."""
     return F.when(~nullable & ~has_default & ~identity, "blocking").otherwise("safe")
+
+
+#: Kinds of objects in the order in which a schema is created.
+CREATION = ("schema", "table", "index", "foreign key", "check")
+
+
+def create_order(objects: DataFrame) -> DataFrame:
+    """Objects (kind, source_place, object_name) with their place in the plan that creates them.  Plans are small."""
+    phase = F.array_position(F.array(*map(F.lit, CREATION)), F.col("kind"))
+    rows = objects.agg(F.sort_array(F.collect_list(F.struct(phase.alias("phase"), "source_place", "kind", "object_name"))).alias("all"))
+    return rows.select(F.posexplode("all").alias("place", "r")).select("r.kind", "r.object_name", "place")

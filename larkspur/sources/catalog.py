@@ -55,3 +55,16 @@ def weighted_row_bytes(table_sizes: DataFrame) -> DataFrame:
     """The average row size, weighted by rows, and the table with the widest rows."""
     known = table_sizes.where("row_bytes > 0")
     return known.agg(F.expr("sum(row_bytes * row_count) div sum(row_count)").alias("avg_row_bytes"), F.max_by("table_name", F.struct("row_bytes", "table_name")).alias("widest"))
+
+
+#: Types of keys by which a table can be read in pages.
+PAGED = ("int", "bigint", "smallint", "tinyint", "integer", "serial", "bigserial", "smallserial", "int2", "int4", "int8")
+
+
+def key_facts(columns: DataFrame, counts: DataFrame, threshold: int) -> DataFrame:
+    """Whether each table has a key, of one column, whether it is large, and whether its key allows reading in pages."""
+    keys = columns.groupBy("table_name").agg(F.count("key_position").cast("int").alias("key_size"), F.max(F.when(F.col("key_position").isNotNull(), F.lower("data_type"))).alias("key_type"))
+    single = F.col("key_size") == 1
+    return keys.join(counts, "table_name").select(
+        "table_name", "key_size", (F.col("key_size") > 0).alias("has_key"), single.alias("has_single_key"), (F.col("row_count") > threshold).alias("is_large"), (single & F.coalesce(F.col("key_type").isin(*PAGED), F.lit(False))).alias("supports_keyset")
+    )
