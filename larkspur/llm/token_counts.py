@@ -36,6 +36,8 @@ COUNTED = "token string, n bigint, pieces int"
 FREQUENCIES = "row bigint, id bigint, n_bytes bigint, n_head bigint, tail array<struct<token:string,n:bigint>>"
 #: Distinct pre-tokens that a task holds before it passes them on.
 HELD = 400_000
+#: Characters that the library encodes at once.
+AT_ONCE = 1 << 18
 #: Bytes of the longest pre-token of the head.
 LONGEST = 512
 
@@ -66,14 +68,28 @@ def vocabulary_of(path: str):
     return run
 
 
+def by_size(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of at most ``AT_ONCE`` characters, or of one text: the library keeps some hundred bytes a piece."""
+    some: list[str] = []
+    size = 0
+    for text in texts:
+        if some and size + len(text) > AT_ONCE:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
+
+
 def count_pieces(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = tokenizer(path)
         for batch in batches:
             texts = batch.column("token").to_pylist()
             pieces: list[int] = []
-            for i in range(0, len(texts), 5000):
-                pieces += [len(e.ids) for e in library.encode_batch(texts[i : i + 5000], add_special_tokens=False)]
+            for some in by_size(texts):
+                pieces += [len(e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("n"), pa.array(pieces, pa.int32())], ["token", "n", "pieces"])
 
     return run
