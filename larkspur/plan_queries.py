@@ -11,7 +11,7 @@ from larkspur import catalog_queries
 from larkspur.catalog_queries import TABLES, _duck, fixture
 from larkspur.functions import identifiers, types
 from larkspur.operators import state
-from larkspur.plans import changes, ordering, validation
+from larkspur.plans import api, changes, ordering, validation
 from larkspur.sources import catalog
 
 TARGETS = ("postgres", "mssql", "mysql")
@@ -201,7 +201,7 @@ UNION ALL SELECT 2, 0, table_name, 2, column_name, 0, CASE WHEN is_nullable OR "
 UNION ALL SELECT 2, 0, n.table_name, 3, n.column_name, 0, 'rebuild', 'may rewrite the table; fails on values that can''t be cast', 'change column ' || n.column_name || ' type', 'ALTER TABLE "' || n.table_name || '" ALTER COLUMN "' || n.column_name || '" TYPE ' || n.type_text FROM nc n JOIN oc o USING (table_name, column_name) WHERE n.type_text <> o.type_text
 UNION ALL SELECT 2, 0, table_name, 4, column_name, 0, 'data-loss', 'drops the column''s data', 'drop column ' || column_name, 'ALTER TABLE "' || table_name || '" DROP COLUMN "' || column_name || '"' FROM oc WHERE table_name NOT IN (SELECT * FROM gone) AND (table_name, column_name) NOT IN (SELECT (table_name, column_name) FROM nc)
 UNION ALL SELECT CASE WHEN kind = 'foreign key' THEN 5 WHEN NOT is_new THEN 2 WHEN kind = 'index' THEN 3 ELSE 4 END, CASE WHEN kind = 'foreign key' AND is_new THEN 1 ELSE 0 END, table_name, CASE WHEN kind = 'foreign key' OR is_new THEN 7 WHEN kind = 'index' THEN 5 ELSE 6 END, object_name, 0, 'blocking', NULL, 'add ' || kind || ' ' || object_name, add_sql FROM adds
-UNION ALL SELECT 6, i, t, 7, t, 0, 'data-loss', 'drops the table''s data', 'drop table ' || t, 'DROP TABLE "' || t || '"' FROM (VALUES (0, 'lamp'), (3, 'desk'), (4, 'drawer')) AS l(i, t) WHERE t IN (SELECT * FROM gone)
+UNION ALL SELECT 6, i, t, 7, t, 0, 'data-loss', 'drops the table''s data', 'drop table ' || t, 'DROP TABLE IF EXISTS "' || t || '"' FROM (VALUES (0, 'lamp'), (3, 'desk'), (4, 'drawer')) AS l(i, t) WHERE t IN (SELECT * FROM gone)
 UNION ALL SELECT 6, i, table_name, 7, object_name, 0, 'safe', NULL, 'drop foreign key ' || object_name || ' of a cycle', drop_sql FROM oo JOIN (VALUES (1, 'fk_has'), (2, 'fk_in')) AS c(i, k) ON k = object_name),
 u AS (SELECT table_name, 'change primary key' AS description, 'from (' || o.key || ') to (' || n.key || ')' AS reason FROM (SELECT table_name, string_agg(column_name, ',' ORDER BY key_position) FILTER (key_position > 0) AS key FROM oc GROUP BY 1) o JOIN (SELECT table_name, string_agg(column_name, ',' ORDER BY key_position) FILTER (key_position > 0) AS key FROM nc GROUP BY 1) n USING (table_name) WHERE o.key <> n.key),
 script AS (SELECT (SELECT string_agg('-- [' || risk || '] ' || description || chr(10) || coalesce('-- note: ' || note || chr(10), '') || sql || ';' || chr(10) || chr(10), '' ORDER BY phase_no, seq, table_name, step_no, object_name, place) FROM p) ||
@@ -295,13 +295,60 @@ def normalized_objects(spark, sf_dir):
     return out.withColumn("parts", F.array_join("parts", "|")).drop("exprs")
 
 
+LIVE = "VALUES ('loan', 'due', 'ix_due', 'fk_reader', 'foreign_key', 'app'), ('o''hara', 'a', 'ix', 'pk', 'primary_key', 'it''s')"
+LIVE_COLUMNS = ["table_name", "column_name", "index_name", "constraint_name", "constraint_kind", "schema_name"]
+EVOLVED = [(d, op) for d in ("postgres", "mssql", "mysql") for op in ("create_schema", "drop_schema", "drop_table", "truncate_table", "drop_index", "drop_constraint", "drop_column")] + [("sqlite", op) for op in ("drop_table", "truncate_table", "drop_index", "drop_column")] + [("clickhouse", op) for op in ("drop_schema", "drop_column")]
+
+
+def evolution_batches(spark, sf_dir):
+    """The statements of each operation on each dialect."""
+    registry, t, out = api.Registry(), fixture(spark, LIVE, LIVE_COLUMNS), None
+    for d, op in EVOLVED:
+        one = registry.apply(op, t, d).select(F.lit(d).alias("target"), F.lit(op).alias("operation"), "table_name", "place", "sql", "best_effort")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def _evolution_sql() -> str:
+    marks = {"postgres": '""', "sqlite": '""', "mssql": "[]", "mysql": "``", "clickhouse": "``"}
+    text = lambda c: f"replace({c}, '''', '''''')"
+    parts = []
+    for d, op in EVOLVED:
+        q = lambda c: f"'{marks[d][0]}' || {c} || '{marks[d][1]}'"  # noqa: B023, E731
+        database = "SCHEMA" if d == "postgres" else "DATABASE"
+        sql = {
+            "create_schema": f"'CREATE {database} IF NOT EXISTS ' || {q('schema_name')}",
+            "drop_schema": f"'DROP {database} IF EXISTS ' || {q('schema_name')}",
+            "drop_table": f"'DROP TABLE IF EXISTS ' || {q('table_name')}",
+            "truncate_table": f"'{'DELETE FROM' if d == 'sqlite' else 'TRUNCATE TABLE'} ' || {q('table_name')}",
+            "drop_index": f"'DROP INDEX {'IF EXISTS ' if d == 'sqlite' else ''}' || {q('index_name')}" + (f" || ' ON ' || {q('table_name')}" if d in ("mssql", "mysql") else ""),
+            "drop_constraint": f"'ALTER TABLE ' || {q('table_name')} || ' DROP CONSTRAINT ' || {q('constraint_name')}",
+            "drop_column": f"'ALTER TABLE ' || {q('table_name')} || ' DROP COLUMN {'IF EXISTS ' if d == 'clickhouse' else ''}' || {q('column_name')}",
+        }[op]
+        if (d, op) == ("mysql", "drop_constraint"):
+            sql = f"'ALTER TABLE ' || {q('table_name')} || CASE constraint_kind WHEN 'primary_key' THEN ' DROP PRIMARY KEY' ELSE ' DROP FOREIGN KEY ' || {q('constraint_name')} END"
+        if (d, op) == ("mssql", "create_schema"):
+            sql = f"'IF NOT EXISTS (SELECT 1 FROM sys.schemas WHERE name = N''' || {text('schema_name')} || ''') EXEC(N''CREATE SCHEMA [' || {text('schema_name')} || ']'')'"
+        if (d, op) == ("mssql", "drop_schema"):
+            sql = f"'IF SCHEMA_ID(N''' || {text('schema_name')} || ''') IS NOT NULL EXEC(N''DROP SCHEMA [' || {text('schema_name')} || ']'')'"
+        steps = [sql]
+        if d == "mysql" and op in ("drop_table", "truncate_table"):
+            steps = ["'SET FOREIGN_KEY_CHECKS = 0'", sql, "'SET FOREIGN_KEY_CHECKS = 1'"]
+        if (d, op) == ("sqlite", "drop_table"):
+            steps = ["'PRAGMA foreign_keys = OFF'", sql, "'PRAGMA foreign_keys = ON'"]
+        if (d, op) == ("sqlite", "truncate_table"):
+            steps.append(f"'DELETE FROM sqlite_sequence WHERE name = ''' || {text('table_name')} || ''''")
+        parts += [f"SELECT '{d}' AS target, '{op}' AS operation, table_name, {i} AS place, {s} AS sql, {d == 'sqlite' and op == 'truncate_table' and i == 1} AS best_effort FROM {_duck(LIVE, LIVE_COLUMNS)}" for i, s in enumerate(steps)]
+    return " UNION ALL ".join(parts)
+
+
 def schema_artifact(spark, sf_dir):
     """The columns of each table as JSON."""
     c = catalog_queries.introspect_columns(spark, sf_dir)
     return c.groupBy("table_name").agg(F.to_json(F.sort_array(F.collect_list(F.struct("ordinal", "column_name", "data_type")))).alias("columns"))
 
 
-_QUERIES = [mapping_warnings, sqlite_kinds, column_change_plan, sync_plan, sync_unsupported, sync_script, sync_manifest, create_manifest, create_plan, invalid_definitions, table_predicates, run_by_id, normalized_objects, schema_artifact]
+_QUERIES = [mapping_warnings, sqlite_kinds, column_change_plan, sync_plan, sync_unsupported, sync_script, sync_manifest, create_manifest, create_plan, invalid_definitions, table_predicates, run_by_id, normalized_objects, evolution_batches, schema_artifact]
 
 
 def queries():
@@ -330,5 +377,6 @@ def oracle_sql() -> dict[str, str]:
         "table_predicates": f"SELECT table_name, key_size, key_size > 0 AS has_key, key_size = 1 AS has_single_key, row_count > 1000 AS is_large, key_size = 1 AND first IN ('int', 'bigint') AS supports_keyset FROM (SELECT table_name, any_value(row_count) AS row_count, max(CASE WHEN ordinal = 1 THEN data_type END) AS first, CASE WHEN {_TWO} THEN 2 ELSE 1 END AS key_size FROM {_SCHEMA} s JOIN {_COUNTS} c USING (table_name) GROUP BY table_name)",
         "run_by_id": f'SELECT run_id, "at", status FROM {_LAST} WHERE run_id = 7',
         "normalized_objects": "SELECT * FROM (VALUES ('loan_desk', 'app', 'col_2nd_key', 'a|lower(B)', 'app'), ('reader', NULL, 'größe', 'x_y', NULL)) AS t(table_name, schema_name, object_name, parts, ref_schema)",
+        "evolution_batches": _evolution_sql(),
         "schema_artifact": f"SELECT table_name, to_json(list({{ordinal: ordinal, column_name: column_name, data_type: data_type}} ORDER BY ordinal))::VARCHAR AS columns FROM {_SCHEMA} GROUP BY table_name",
     }

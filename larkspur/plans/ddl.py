@@ -107,21 +107,49 @@ def add_constraint(kind: str, target: str, schema: str = "") -> Column:
     return F.concat(F.lit("ALTER TABLE "), qualified(schema, F.col("table_name"), target), F.lit(" ADD CONSTRAINT "), quoted(F.col("constraint_name"), target), F.lit(" "), rest)
 
 
+def _when_missing(condition: Column, name: Column, sql: Column) -> Column:
+    """SQL Server's statement under a condition on the name's text."""
+    return F.concat(F.lit("IF "), F.replace(condition, F.lit("?"), _text(name)), F.lit(" EXEC("), _text(sql), F.lit(")"))
+
+
+def create_schema(target: str) -> Column:
+    """Creates schema_name unless it is there."""
+    need(target, "schema")
+    name = F.col("schema_name")
+    if target == "mssql":
+        return _when_missing(F.lit("NOT EXISTS (SELECT 1 FROM sys.schemas WHERE name = ?)"), name, F.concat(F.lit("CREATE SCHEMA "), quoted(name, target)))
+    return F.concat(F.lit("CREATE SCHEMA IF NOT EXISTS " if target == "postgres" else "CREATE DATABASE IF NOT EXISTS "), quoted(name, target))
+
+
+#: What MySQL drops for each kind of constraint.
+MYSQL_DROPS = {"primary_key": " DROP PRIMARY KEY", "unique": " DROP INDEX ", "foreign_key": " DROP FOREIGN KEY ", "check": " DROP CHECK "}
+
+
 def drop(kind: str, target: str, schema: str = "") -> Column:
-    """DROP of a table, index, column, constraint or schema."""
+    """DROP of a table, index, column, constraint (for MySQL of a ``constraint_kind``) or schema."""
     need(target, f"drop_{kind}")
     table = qualified(schema, F.col("table_name"), target) if kind != "schema" else None
     if kind == "schema":
-        return F.concat(F.lit("DROP DATABASE " if target in ("mysql", "clickhouse") else "DROP SCHEMA "), quoted(F.col("schema_name"), target))
+        name = F.col("schema_name")
+        if target == "mssql":
+            return _when_missing(F.lit("SCHEMA_ID(?) IS NOT NULL"), name, F.concat(F.lit("DROP SCHEMA "), quoted(name, target)))
+        return F.concat(F.lit("DROP SCHEMA IF EXISTS " if target == "postgres" else "DROP DATABASE IF EXISTS "), quoted(name, target))
     if kind == "table":
-        return F.concat(F.lit("DROP TABLE "), table)
+        return F.concat(F.lit("DROP TABLE IF EXISTS "), table)
     if kind == "column":
-        return F.concat(F.lit("ALTER TABLE "), table, F.lit(" DROP COLUMN "), quoted(F.col("column_name"), target))
+        return F.concat(F.lit("ALTER TABLE "), table, F.lit(" DROP COLUMN IF EXISTS " if target == "clickhouse" else " DROP COLUMN "), quoted(F.col("column_name"), target))
     if kind == "constraint":
-        return F.concat(F.lit("ALTER TABLE "), table, F.lit(" DROP CONSTRAINT "), quoted(F.col("constraint_name"), target))
+        name = quoted(F.col("constraint_name"), target)
+        if target != "mysql":
+            return F.concat(F.lit("ALTER TABLE "), table, F.lit(" DROP CONSTRAINT "), name)
+        what = F.col("constraint_kind")
+        verb = F.raise_error(F.concat(F.lit("MySQL has no constraint of the kind "), what)).cast("string")
+        for k, word in MYSQL_DROPS.items():
+            verb = F.when(what == k, F.lit(word) if k == "primary_key" else F.concat(F.lit(word), name)).otherwise(verb)
+        return F.concat(F.lit("ALTER TABLE "), table, verb)
     if target in ("mssql", "mysql"):
         return F.concat(F.lit("DROP INDEX "), quoted(F.col("index_name"), target), F.lit(" ON "), table)
-    return F.concat(F.lit("DROP INDEX "), qualified(schema, F.col("index_name"), target))
+    return F.concat(F.lit("DROP INDEX IF EXISTS " if target == "sqlite" else "DROP INDEX "), qualified(schema, F.col("index_name"), target))
 
 
 def truncate(target: str, schema: str = "") -> Column:
