@@ -18,9 +18,7 @@ first in alphabetical order), or null.
 
 With ``passages`` (file headers, licence texts or their openings) windows of words of the
 normalised whole text are compared too, so that line ends and the text around don't
-matter.  A window begins with a pair of the template; it has each number of pairs of the
-bounds for templates of at most ``EVERY_SIZE`` pairs, and five numbers spread over the
-bounds for longer ones.  A document with a window that reaches the threshold with a
+matter, of every size that the bounds allow at every place.  A document with a window that reaches the threshold with a
 passage gets the passage with which it has the most pairs in common; else its units
 decide; and one whose units fit nothing gets the best window of a notice.  Null and empty texts have no licence; texts
 of a single word have no pairs and fit none.  Repeated rows are judged each, other
@@ -29,6 +27,7 @@ columns are ignored, an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -77,7 +76,6 @@ PASSAGES = {
     ],
 }
 THRESHOLD = 0.8
-EVERY_SIZE = 24
 
 
 def bigrams_of(text: str) -> list[str]:
@@ -124,30 +122,75 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def best_window(pairs: Column, order: int, name: str, b: list[str], threshold: float) -> Column:
-    """(shared, score, order, name) of the window with the best score of a template, null if none reaches the threshold."""
-    low, high = bounds(len(b), threshold)
+def linked(pairs: Column) -> Column:
+    """The pairs in order, each with its place and the places of the same pair before (-1: none) and after it (null: none)."""
+
+    def beside(ordered: Column) -> Column:
+        def link(x: Column, i: Column) -> Column:
+            # get of a place before the first is null
+            back, on = F.get(ordered, i - 1), F.get(ordered, i + 1)
+            before = F.when(back["pair"] == x["pair"], back["at"]).otherwise(-1)
+            return F.struct(x["at"].alias("at"), x["pair"].alias("pair"), before.alias("before"), F.when(on["pair"] == x["pair"], on["at"]).alias("after"))
+
+        return F.array_sort(F.transform(ordered, link))
+
+    return _bound(F.array_sort(F.transform(pairs, lambda p, i: F.struct(p.alias("pair"), i.alias("at")))), beside)
+
+
+def best_window(text: Column, order: int, name: str, b: list[str], threshold: float) -> Column:
+    """(shared, score, order, name) of the window with the best score of a template, null if none reaches the threshold.
+
+    All windows are judged, in one pass from each start.  A window begins with a pair of the
+    template that it does not hold again: without such a start its score is no lower.  So it
+    ends before the next place of that pair, and before it holds more distinct pairs than the
+    bounds allow: at the latest where the text has that many first places of pairs, counted
+    from a start that is one, or last ones.
+    """
+    _, high = bounds(len(b), threshold)
     n = len(b)
-    sizes = range(low, high + 1) if n <= EVERY_SIZE else sorted({low, (low + n) // 2, n, (n + high) // 2, high})
     template = F.array(*[F.lit(x) for x in b])
 
-    def rated(window: Column) -> Column:
-        shared = F.size(F.array_intersect(window, template))
-        return F.struct((shared * 2.0 / (F.size(window) + F.lit(n))).alias("score"), shared.alias("shared"))
+    def judged(places: Column) -> Column:
+        held = F.filter(places, lambda x: x["held"])
+        return _bound(held, lambda starts: F.array_max(F.transform(starts, lambda s: widened(places, s, F.get(starts, F.size(starts) - 1)["at"] + 1))))
 
-    def at(start: Column) -> Column:
-        windows = F.transform(F.array(*[F.lit(x) for x in sizes]), lambda size: F.array_distinct(F.slice(pairs, start + 1, size)))
-        return F.transform(windows, rated)
+    def widened(places: Column, start: Column, end: Column) -> Column:
+        """(score, shared) of the best window that begins at ``start`` and ends before ``end``."""
+        at = start["at"]
+        by_first = F.when(start["before"] < 0, F.get(text["firsts"], (F.array_position(text["firsts"], at) - 1 + high).cast("int")))
+        by_last = F.when(start["after"].isNull(), F.get(text["lasts"], (F.array_position(text["lasts"], at) - 1 + high).cast("int")))
+        reach = F.slice(places, at + 1, F.least(end, start["after"], by_first, by_last) - at)
 
-    starts = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: F.array_contains(template, F.get(pairs, i)))
-    top = F.array_max(F.flatten(F.transform(starts, at)))
-    named = _bound(top, lambda w: F.when(w["score"] >= threshold, F.struct(w["shared"].alias("shared"), w["score"].alias("score"), F.lit(-order).alias("order"), F.lit(name).alias("name"))))
-    return F.when(F.size(F.array_intersect(pairs, template)) >= low, named)
+        def wider(so_far: Column, x: Column) -> Column:
+            fresh = x["before"] < at
+            size = so_far["size"] + fresh.cast("int")
+            shared = so_far["shared"] + (fresh & x["held"]).cast("int")
+            rated = F.struct((shared * 2.0 / (size + F.lit(n))).alias("score"), shared.alias("shared"))
+            return F.struct(size.alias("size"), shared.alias("shared"), F.greatest(so_far["best"], rated).alias("best"))
+
+        none = F.struct(F.lit(0).alias("size"), F.lit(0).alias("shared"), F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("shared")).alias("best"))
+        return F.aggregate(reach, none, wider, lambda x: x["best"])
+
+    marked = F.transform(text["places"], lambda x: F.struct(x["at"].alias("at"), x["before"].alias("before"), x["after"].alias("after"), F.array_contains(template, x["pair"]).alias("held")))
+    return _bound(_bound(marked, judged), lambda w: F.when(w["score"] >= threshold, F.struct(w["shared"].alias("shared"), w["score"].alias("score"), F.lit(-order).alias("order"), F.lit(name).alias("name"))))
 
 
 def windows_of(pairs: Column, sets: list[tuple[str, list[str]]], threshold: float) -> Column:
-    """The best windows of the templates that reach the threshold with one; ``pairs`` with repeats, in order, a lambda's variable."""
-    return F.array_compact(F.array(*[best_window(pairs, order, name, b, threshold) for order, (name, b) in enumerate(sets)]))
+    """The best windows of the templates that reach the threshold with one, null if too few pairs are shared; ``pairs`` with repeats, in order, a lambda's variable."""
+
+    def tried(shared: Column) -> Column:
+        enough = [F.get(shared, F.lit(i)) >= bounds(len(b), threshold)[0] for i, (_, b) in enumerate(sets)]
+
+        def every(places: Column) -> Column:
+            of = lambda kept: F.transform(F.filter(places, kept), lambda x: x["at"])
+            text = F.struct(places.alias("places"), of(lambda x: x["before"] < 0).alias("firsts"), of(lambda x: x["after"].isNull()).alias("lasts"))
+            return _bound(text, lambda t: F.array_compact(F.array(*[F.when(enough[i], best_window(t, i, name, b, threshold)) for i, (name, b) in enumerate(sets)])))
+
+        return F.when(functools.reduce(Column.__or__, enough), _bound(linked(pairs), every))
+
+    if not sets:
+        return F.lit(None)
+    return _bound(F.array(*[F.size(F.array_intersect(pairs, F.array(*[F.lit(x) for x in b]))) for _, b in sets]), tried)
 
 
 def scan(

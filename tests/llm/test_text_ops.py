@@ -572,3 +572,33 @@ def test_licenses_in_longer_lines_and_texts(spark):
     got = {x.doc_id: x for x in licenses.scan(docs(spark, [t for t, _ in cases]), passages=licenses.PASSAGES).collect()}
     assert [got[i].license for i in range(len(cases))] == [x for _, x in cases]
     assert all((got[i].score is None) == (x is None) and (got[i].n_matches == 0) == (x is None) for i, (_, x) in enumerate(cases))
+
+
+def test_windows_of_every_size_equal_brute_force(spark):
+    r = random.Random(5)
+    passages = {"A": [" ".join(f"a{i % 37}" for i in range(45))], "B": ["licence " + " ".join(f"b{i}" for i in range(30))], "C": ["c d e c d f"]}
+    texts = ["", None, "c", "c d " * 40, "c d e " * 30 + "c d f", "x " * 50 + passages["A"][0] + " x" * 50]
+    for _ in range(90):
+        words = []
+        for _ in range(r.randint(1, 3)):
+            # words put in, left out and said twice: the best windows are of all sizes
+            words += [r.choice("vwxyz") for _ in range(r.randint(0, 8))]
+            for w in r.choice(list(passages.values()))[0].split():
+                words += [w] * (r.random() > 0.04) + ["zz"] * (r.random() < 0.06) + [w] * (r.random() < 0.03)
+        texts.append(r.choice([" ", "\n"]).join(words))
+
+    def best(text):
+        w = re.sub(r"[\W_]+", " ", (text or "").lower()).split()
+        pairs = [f"{a} {b}" for a, b in zip(w, w[1:])]
+        found = []
+        for name, (t,) in passages.items():
+            b = set(licenses.bigrams_of(t))
+            windows = (set(pairs[i:j]) for i in range(len(pairs)) for j in range(i + 1, len(pairs) + 1))
+            score, shared = max(((2 * len(a & b) / (len(a) + len(b)), len(a & b)) for a in windows), default=(0, 0))
+            found += [(shared, score, name)] if score >= 0.8 else []
+        return (max(found)[2], round(max(found)[1], 6), len(found)) if found else (None, None, 0)
+
+    got = {x.doc_id: (x.license, x.score, x.n_matches) for x in licenses.scan(docs(spark, texts), {}, passages=passages).collect()}
+    want = [best(t) for t in texts]
+    assert len({x for _, x, _ in want}) > 20
+    assert [got[i] for i in range(len(texts))] == want
