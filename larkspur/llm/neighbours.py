@@ -11,6 +11,18 @@ Buckets keep their expected size whatever the number of rows n: a table has abou
 coordinates only, as many as it takes to come to that number of keys.  The probes grow as n to the power ``GROWTH``: near neighbours agree
 in more axes than others, so that a query takes a share of the rows that falls as n grows.
 
+Rows that a bucket has beyond ``APART`` don't count for n: near copies need no more keys.
+
+Near copies share a key in most tables.  A bucket of more than ``HEAVY`` rows gets keys of
+its own, by the same functions, of its rows' differences to a centre, about ``KEYS`` for
+each of its rows; a query that probes the bucket looks under ``MORE`` times as many of them as it would in
+a table of that size.  A row has one centre a level: of the rows whose first heavy bucket is
+the same, fitted on at most ``SAMPLE`` of them, and every row is put under the new keys.
+Heavy buckets of these are split again, up to ``LEVELS`` times and while that helps.  A
+query nearer to a centre than ``CENTRAL`` of the sample's mean distance has no direction to
+go by and is compared with the whole bucket; rows in the centre itself (scaled copies) have
+a key of their own, which each query looks under.
+
 Queries that found fewer than ``k`` other rows, though there are more, probe 8 times as
 many keys, then 64 times; those that still find too few are compared with all rows, in
 blocks.
@@ -43,11 +55,19 @@ PROBES, AT, GROWTH = 34, 10_000, 0.35
 #: Keys of a table for each row.
 KEYS = 3
 BLOCKS = 64
+#: Rows of a bucket above which it is split, the rows at most that a centre is fitted on, and splits.
+HEAVY, SAMPLE, LEVELS = 128, 16, 4
+#: Times the probes in a split bucket, as a query doesn't meet all buckets of a group; rows of a bucket that count for the number of keys.
+MORE, APART = 2, 8
+#: Shares of a group's mean distance to its centre, and of a unit vector, under which a query and a row are in the centre.
+CENTRAL, NOTHING = 0.5, 1e-7
 #: The query vectors are sent to every task if they hold at most so many numbers, else joined to each pair.
 MOST_SENT = 2_000_000
 #: Queries that one row of a candidate lists at most, about.
 LISTED = 4096
-#: Pairs that are compared at a time.
+#: Rotations of a level, at least as many as tables.
+TABLES_APART = 1 << 20
+#: Pairs that are compared, and keys that are given out, at a time.
 AT_ONCE = 50_000
 
 
@@ -82,33 +102,45 @@ def axes(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, -x], 1)
 
 
-def keys(vectors: np.ndarray, probes: int, tables: int, wanted: float, seed: int) -> np.ndarray:
-    """Keys (row, table, probe) out of about ``wanted``, the best ones (fewer if there are no more); one probe gives the row's own keys."""
-    x = unit(vectors)
-    n, d = x.shape
-    functions = []  # the signed axes that each tells apart
+def functions_of(wanted: float, d: int) -> list[int]:
+    """The signed axes that each function of a table of about ``wanted`` keys tells apart."""
+    functions = []
     while wanted > 1.4:
         functions.append(min(2 * d, 2 * max(1, round(wanted / 2))))
         wanted /= functions[-1]
+    return functions
+
+
+def best_keys(x: np.ndarray, functions: list[int], table: int, probes: int, seed: int) -> np.ndarray:
+    """The best keys of each row in a table, from 0 to the product of ``functions``."""
+    n = len(x)
     probes = min(probes, math.prod(functions))
-    out = np.zeros((n, tables, probes), np.int64)
+    total = np.zeros((n, 1))
+    key = np.zeros((n, 1), np.int64)
+    for f, m in enumerate(functions):
+        scores = axes(rotated(x, table, f, seed)[:, : m // 2])
+        most = min(scores.shape[1], probes)
+        if most < scores.shape[1]:
+            best = np.argpartition(-scores, most - 1, 1)[:, :most] if most > 1 else scores.argmax(1)[:, None]
+        else:
+            best = np.broadcast_to(np.arange(most), scores.shape)
+        loss = (scores.max(1, keepdims=True) - np.take_along_axis(scores, best, 1)) ** 2
+        total = (total[:, :, None] + loss[:, None, :]).reshape(n, -1)
+        key = (key[:, :, None] * m + best[:, None, :]).reshape(n, -1)
+        if total.shape[1] > probes:
+            keep = np.argpartition(total, probes - 1, 1)[:, :probes]
+            total, key = np.take_along_axis(total, keep, 1), np.take_along_axis(key, keep, 1)
+    return key
+
+
+def keys(vectors: np.ndarray, probes: int, tables: int, wanted: float, seed: int) -> np.ndarray:
+    """Keys (row, table, probe) out of about ``wanted``, the best ones (fewer if there are no more); one probe gives the row's own keys."""
+    x = unit(vectors)
+    functions = functions_of(wanted, x.shape[1])
+    every = math.prod(functions)
+    out = np.zeros((len(x), tables, min(probes, every)), np.int64)
     for t in range(tables):
-        total = np.zeros((n, 1))
-        key = np.full((n, 1), vectors.shape[1] * tables + t, np.int64)
-        for f, m in enumerate(functions):
-            scores = axes(rotated(x, t, f, seed)[:, : m // 2])
-            most = min(scores.shape[1], probes)
-            if most < scores.shape[1]:
-                best = np.argpartition(-scores, most - 1, 1)[:, :most] if most > 1 else scores.argmax(1)[:, None]
-            else:
-                best = np.broadcast_to(np.arange(most), scores.shape)
-            loss = (scores.max(1, keepdims=True) - np.take_along_axis(scores, best, 1)) ** 2
-            total = (total[:, :, None] + loss[:, None, :]).reshape(n, -1)
-            key = (key[:, :, None] * m + best[:, None, :]).reshape(n, -1)
-            if total.shape[1] > probes:
-                keep = np.argpartition(total, probes - 1, 1)[:, :probes]
-                total, key = np.take_along_axis(total, keep, 1), np.take_along_axis(key, keep, 1)
-        out[:, t] = key
+        out[:, t] = (vectors.shape[1] * tables + t) * every + best_keys(x, functions, t, probes, seed)
     return out
 
 
@@ -133,7 +165,80 @@ def hashed(probes: int, tables: int, wanted: float, seed: int):
                 for a in range(0, len(rows), rows_at_once):
                     got = keys(vectors[a : a + rows_at_once], probes, tables, wanted, seed)
                     who = np.repeat(ids[rows[a : a + rows_at_once]], got.shape[1] * got.shape[2])
-                    yield pa.RecordBatch.from_arrays([pa.array(got.reshape(-1)), pa.array(who)], ["key", "cls"])
+                    table = np.broadcast_to(np.arange(tables, dtype=np.int32)[:, None], got.shape)
+                    yield pa.RecordBatch.from_arrays([pa.array(got.reshape(-1)), pa.array(table.reshape(-1)), pa.array(who)], KEYED)
+
+    return run
+
+
+KEYED = ["key", "turn", "cls"]
+
+
+def mixed(*numbers: np.ndarray) -> np.ndarray:
+    """One number for several; two that come out alike only cost comparisons."""
+    out = np.uint64(0)
+    for x in numbers:
+        out = (out ^ np.asarray(x, np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out = out ^ (out >> np.uint64(32))
+    return out.view(np.int64)
+
+
+def centre_of(group: pa.Table) -> pa.Table:
+    """The mean of unit vectors and their mean distance to it."""
+    (batch,) = group.sort_by("first").combine_chunks().to_batches()
+    ((_, vectors),) = matrices(batch, "vector")
+    x = unit(vectors)
+    centre = x.mean(0)
+    return pa.table({"grp": batch.column("grp")[:1], "centre": pa.array([centre[: vectors.shape[1]]]), "radius": pa.array([np.linalg.norm(x - centre, axis=1).mean()])})
+
+
+def keyed_batch(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    found, turn, who = (np.concatenate(x) for x in zip(*parts))
+    return pa.RecordBatch.from_arrays([pa.array(found), pa.array(turn.astype(np.int32)), pa.array(who)], KEYED)
+
+
+def split_keys(probes_of, level: int, seed: int, asked: bool):
+    """The keys in the heavy buckets that each row lists (``held``) of its difference to its centre.
+
+    The turn is the table; it is -1 where a query keeps the bucket's own key.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("held")
+            count = held.value_lengths().to_numpy(zero_copy_only=False)
+            key, turn, size = (held.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            row = np.repeat(np.arange(batch.num_rows), count)
+            ids, grp = (batch.column(k).to_numpy() for k in ("cls", "grp"))
+            radius = batch.column("radius").to_numpy()
+            size = 2 ** np.round(np.log2(size)).astype(np.int64)
+            for (rows, vectors), (_, centres) in zip(matrices(batch, "vector"), matrices(batch, "centre")):
+                x = unit(vectors)
+                x[:, : centres.shape[1]] -= centres
+                away = np.linalg.norm(x, axis=1)
+                local = np.full(batch.num_rows, -1)
+                local[rows] = np.arange(len(rows))
+                mine = np.flatnonzero(local[row] >= 0)
+                at = local[row[mine]]
+                whole = asked & (away[at] < CENTRAL * radius[rows[at]])
+                inside = ~whole if asked else away[at] < NOTHING
+                some = mine[inside]
+                out = [(key[mine[whole]], np.full(whole.sum(), -1), ids[row[mine[whole]]]), (mixed(key[some], grp[row[some]], np.full(len(some), -1)), turn[some], ids[row[some]])]
+                rest = mine[~whole if asked else ~inside]
+                for t, n in np.unique(np.stack([turn[rest], size[rest]]), axis=1).T.tolist():
+                    these = rest[(turn[rest] == t) & (size[rest] == n)]
+                    probes = probes_of(n) if asked else 1
+                    for a in range(0, len(these), max(1, 30_000 // probes)):
+                        part = these[a : a + max(1, 30_000 // probes)]
+                        got = best_keys(x[local[row[part]]], functions_of(KEYS * n, x.shape[1]), TABLES_APART * (level + 1) + t, probes, seed)
+                        each = np.repeat(part, got.shape[1])
+                        out.append((mixed(key[each], grp[row[each]], got.reshape(-1)), turn[each], ids[row[each]]))
+                        if sum(len(y[0]) for y in out) > AT_ONCE:
+                            yield keyed_batch(out)
+                            out = []
+                if out:
+                    yield keyed_batch(out)
 
     return run
 
@@ -224,9 +329,32 @@ def nearest(
     asked = written(chosen.select("vector").distinct().withColumn("cls", F.monotonically_increasing_id()), "asked")
     queries = chosen.join(asked, "vector").select("id", "cls")
 
-    n = classes.count()
+    keyed = "key bigint, turn int, cls bigint"
+    one_table = classes.select("cls", "vector").mapInArrow(hashed(1, 1, KEYS * classes.count(), seed), keyed).groupBy("key").agg(F.count("*").alias("n"))
+    # the rows, without those that a bucket has beyond what rows apart from each other come to
+    n = one_table.agg(F.sum(F.least("n", F.lit(APART)))).first()[0] or 0
     in_all = KEYS * n
-    index = classes.select("cls", "vector").mapInArrow(hashed(1, tables, in_all, seed), "key bigint, cls bigint").withColumnRenamed("cls", "c")
+    index = written(classes.select("cls", "vector").mapInArrow(hashed(1, tables, in_all, seed), keyed), "index")
+    of_vector = classes.select("cls", "vector", F.col("ids")[0].alias("first"))
+    levels = []  # of each the (heavy key, its rows, group) and the groups' centres
+    fresh, before = index, math.inf
+    for level in range(LEVELS):
+        heavy = written(fresh.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY), "heavy")
+        heavy_rows = heavy.agg(F.sum("n")).first()[0]
+        if not heavy_rows or heavy_rows > 0.9 * before:
+            break
+        before = heavy_rows
+        members = fresh.join(heavy, "key").groupBy("cls").agg(F.min("key").alias("grp"), F.collect_list(F.struct("key", "turn", "n")).alias("held"))
+        members = written(members.join(of_vector, "cls"), "members")
+        # one row of each of so many parts of a group
+        part = members.groupBy("grp", F.pmod(F.xxhash64("first"), F.lit(SAMPLE))).agg(F.min(F.struct(F.xxhash64("first", F.lit(level)), "first", "cls")).alias("x"))
+        fitted = part.select("grp", "x.first", "x.cls").join(classes.select("cls", "vector"), "cls")
+        centres = written(fitted.select("grp", "first", "vector").groupBy("grp").applyInArrow(centre_of, "grp bigint, centre array<double>, radius double"), "centres")
+        held = written(members.select("grp", F.explode("held").alias("h")).select("h.key", "h.n", "grp").distinct(), "held")
+        levels.append((held, centres))
+        fresh = written(members.join(centres, "grp").select("cls", "grp", "vector", "centre", "radius", "held").mapInArrow(split_keys(None, level, seed, False), keyed), "split")
+        index = index.unionByName(fresh)
+    index = index.select("key", F.col("cls").alias("c"))
     numbers = asked.agg(F.sum(F.size("vector"))).first()[0] or 0
     n_asked = asked.count()
     of_class = classes.select(F.col("cls").alias("c"), F.col("vector").alias("cv"), F.col("ids")[0].alias("first"))
@@ -235,9 +363,18 @@ def nearest(
 
     def met(some: DataFrame, probes: int) -> DataFrame:
         """The pairs of classes that share a key, with repeats."""
-        probed = some.select("cls", "vector").mapInArrow(hashed(probes, tables, in_all, seed), "key bigint, cls bigint").withColumnRenamed("cls", "q")
+        probed = some.select("cls", "vector").mapInArrow(hashed(probes, tables, in_all, seed), keyed)
+        parts = []
+        for level, (held, centres) in enumerate(levels):
+            probed = written(probed, "probed")
+            parts += [probed.where("turn < 0"), probed.where("turn >= 0").join(held, "key", "left_anti")]
+            asking = probed.where("turn >= 0").join(held, "key").groupBy("cls", "grp").agg(F.collect_list(F.struct("key", "turn", "n")).alias("held"))
+            asking = asking.join(some.select("cls", "vector"), "cls").join(centres, "grp").select("cls", "grp", "vector", "centre", "radius", "held")
+            probed = asking.mapInArrow(split_keys(lambda size: max(1, round(MORE * probes * (size / n) ** growth)), level, seed, True), keyed)
+        for part in parts:
+            probed = probed.unionByName(part)
         # never broadcast: the keys of either side are many times the rows
-        return probed.hint("merge").join(index, "key").select("q", "c")
+        return probed.select("key", F.col("cls").alias("q")).hint("merge").join(index, "key").select("q", "c")
 
     def best(pairs: DataFrame, some: DataFrame) -> DataFrame:
         """The k + 1 nearest (score, id) of each query class."""

@@ -602,3 +602,42 @@ def test_windows_of_every_size_equal_brute_force(spark):
     want = [best(t) for t in texts]
     assert len({x for _, x, _ in want}) > 20
     assert [got[i] for i in range(len(texts))] == want
+
+
+def joined_rows(spark):
+    """The rows that merge joins on keys have made so far."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    total, runs = 0, store.executionsList().iterator()
+    while runs.hasNext():
+        run = runs.next().executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes().iterator()
+        while nodes.hasNext():
+            node = nodes.next()
+            metrics = node.metrics().iterator() if node.name().startswith("SortMergeJoin") and "[key" in node.desc() else None
+            while metrics and metrics.hasNext():
+                metric = metrics.next()
+                value = values.get(metric.accumulatorId()) if metric.name() == "number of output rows" else None
+                total += int(value.get().replace(",", "")) if value and value.isDefined() else 0
+    return total
+
+
+def test_near_copies_are_split_and_found(spark):
+    r = np.random.default_rng(11)
+    near = r.normal(size=64) + 0.1 * r.normal(size=(3000, 64))
+    near[0] = near.mean(0)
+    scaled = r.normal(size=64) * 2.0 ** r.permutation(300)[:, None]
+    m = np.concatenate([near, scaled, r.normal(size=(700, 64))])
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<double>").repartition(5)
+    before = joined_rows(spark)
+    got = collections.defaultdict(list)
+    for x in sorted(neighbours.nearest(table).collect(), key=lambda x: (x.query_id, x["rank"])):
+        got[x.query_id].append((x.vec_id, x.score))
+    # each of the 60 queries of the near copies met all 3,000 of them in most of the 64 tables before
+    assert 0 < joined_rows(spark) - before < 2_000_000
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    score = unit @ unit[::50].T
+    score[np.arange(0, 4000, 50), np.arange(80)] = -2
+    hits = [len({j for j, _ in got[50 * q]} & set(np.argsort(-score[:, q])[:5].tolist())) for q in range(80)]
+    assert sum(hits[:60]) / 300 >= 0.9 and sum(hits[66:]) / 70 >= 0.9 and hits[0] == 5
+    for q in range(3000, 3300, 50):
+        assert [j for j, _ in got[q]] == [j for j in range(3000, 3006) if j != q][:5]
