@@ -13,11 +13,13 @@ in more axes than others, so that a query takes a share of the rows that falls a
 
 Rows that a bucket has beyond ``APART`` don't count for n: near copies need no more keys.
 
-Near copies share a key in most tables.  A bucket of more than ``HEAVY`` rows gets keys of
-its own, by the same functions, of its rows' differences to a centre, about ``KEYS`` for
-each of its rows; a query that probes the bucket looks under ``MORE`` times as many of them as it would in
-a table of that size.  A row has one centre a level: of the rows whose first heavy bucket is
-the same, fitted on at most ``SAMPLE`` of them, and every row is put under the new keys.
+Near copies share a key in most tables.  The rows of buckets of more than ``HEAVY`` rows are
+grouped by the largest such bucket that each is in, which holds nearly all of its near copies.
+A group gets tables of its own, by the same functions, of its rows' differences to a centre,
+about ``KEYS`` keys for each of its rows.  A query that probes heavy buckets of a group in a
+table looks once in the group's table of that number, however many these buckets are, under
+``MORE`` times as many keys as it would in a table of that size.  A centre is fitted on at most
+``SAMPLE`` rows of its group, and every row is put under the new keys.
 Heavy buckets of these are split again, up to ``LEVELS`` times and while that helps.  A
 query nearer to a centre than ``CENTRAL`` of the sample's mean distance has no direction to
 go by and is compared with the whole bucket; rows in the centre itself (scaled copies) have
@@ -44,6 +46,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,12 +188,12 @@ def mixed(*numbers: np.ndarray) -> np.ndarray:
 
 
 def centre_of(group: pa.Table) -> pa.Table:
-    """The mean of unit vectors and their mean distance to it."""
+    """The mean of unit vectors, their mean distance to it and the rows of the group."""
     (batch,) = group.sort_by("first").combine_chunks().to_batches()
     ((_, vectors),) = matrices(batch, "vector")
     x = unit(vectors)
     centre = x.mean(0)
-    return pa.table({"grp": batch.column("grp")[:1], "centre": pa.array([centre[: vectors.shape[1]]]), "radius": pa.array([np.linalg.norm(x - centre, axis=1).mean()])})
+    return pa.table({"grp": batch.column("grp")[:1], "centre": pa.array([centre[: vectors.shape[1]]]), "radius": pa.array([np.linalg.norm(x - centre, axis=1).mean()]), "size": pa.array([pc.sum(batch.column("n")).as_py()])})
 
 
 def keyed_batch(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -199,7 +202,7 @@ def keyed_batch(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
 
 
 def split_keys(probes_of, level: int, seed: int, asked: bool):
-    """The keys in the heavy buckets that each row lists (``held``) of its difference to its centre.
+    """The keys of each row's difference to its centre in the group's tables of the heavy buckets that it lists (``held``).
 
     The turn is the table; it is -1 where a query keeps the bucket's own key.
     """
@@ -208,11 +211,14 @@ def split_keys(probes_of, level: int, seed: int, asked: bool):
         for batch in batches:
             held = batch.column("held")
             count = held.value_lengths().to_numpy(zero_copy_only=False)
-            key, turn, size = (held.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            key, turn = (held.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(2))
             row = np.repeat(np.arange(batch.num_rows), count)
             ids, grp = (batch.column(k).to_numpy() for k in ("cls", "grp"))
             radius = batch.column("radius").to_numpy()
-            size = 2 ** np.round(np.log2(size)).astype(np.int64)
+            size = 2 ** np.round(np.log2(batch.column("size").to_numpy())).astype(np.int64)
+            # the first of several buckets that a row lists in a table
+            once = np.zeros(len(row), bool)
+            once[np.unique(np.stack([row, turn]), axis=1, return_index=True)[1]] = True
             for (rows, vectors), (_, centres) in zip(matrices(batch, "vector"), matrices(batch, "centre")):
                 x = unit(vectors)
                 x[:, : centres.shape[1]] -= centres
@@ -223,17 +229,17 @@ def split_keys(probes_of, level: int, seed: int, asked: bool):
                 at = local[row[mine]]
                 whole = asked & (away[at] < CENTRAL * radius[rows[at]])
                 inside = ~whole if asked else away[at] < NOTHING
-                some = mine[inside]
-                out = [(key[mine[whole]], np.full(whole.sum(), -1), ids[row[mine[whole]]]), (mixed(key[some], grp[row[some]], np.full(len(some), -1)), turn[some], ids[row[some]])]
-                rest = mine[~whole if asked else ~inside]
-                for t, n in np.unique(np.stack([turn[rest], size[rest]]), axis=1).T.tolist():
-                    these = rest[(turn[rest] == t) & (size[rest] == n)]
+                some = mine[inside & once[mine]]
+                out = [(key[mine[whole]], np.full(whole.sum(), -1), ids[row[mine[whole]]]), (mixed(turn[some], grp[row[some]], np.full(len(some), -1)), turn[some], ids[row[some]])]
+                rest = mine[(~whole if asked else ~inside) & once[mine]]
+                for t, n in np.unique(np.stack([turn[rest], size[row[rest]]]), axis=1).T.tolist():
+                    these = rest[(turn[rest] == t) & (size[row[rest]] == n)]
                     probes = probes_of(n) if asked else 1
                     for a in range(0, len(these), max(1, 30_000 // probes)):
                         part = these[a : a + max(1, 30_000 // probes)]
                         got = best_keys(x[local[row[part]]], functions_of(KEYS * n, x.shape[1]), TABLES_APART * (level + 1) + t, probes, seed)
                         each = np.repeat(part, got.shape[1])
-                        out.append((mixed(key[each], grp[row[each]], got.reshape(-1)), turn[each], ids[row[each]]))
+                        out.append((mixed(turn[each], grp[row[each]], got.reshape(-1)), turn[each], ids[row[each]]))
                         if sum(len(y[0]) for y in out) > AT_ONCE:
                             yield keyed_batch(out)
                             out = []
@@ -336,7 +342,7 @@ def nearest(
     in_all = KEYS * n
     index = written(classes.select("cls", "vector").mapInArrow(hashed(1, tables, in_all, seed), keyed), "index")
     of_vector = classes.select("cls", "vector", F.col("ids")[0].alias("first"))
-    levels = []  # of each the (heavy key, its rows, group) and the groups' centres
+    levels = []  # of each the (heavy key, group) and the groups' centres
     fresh, before = index, math.inf
     for level in range(LEVELS):
         heavy = written(fresh.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY), "heavy")
@@ -344,15 +350,15 @@ def nearest(
         if not heavy_rows or heavy_rows > 0.9 * before:
             break
         before = heavy_rows
-        members = fresh.join(heavy, "key").groupBy("cls").agg(F.min("key").alias("grp"), F.collect_list(F.struct("key", "turn", "n")).alias("held"))
+        members = fresh.join(heavy, "key").groupBy("cls").agg(F.max(F.struct("n", "key"))["key"].alias("grp"), F.collect_list(F.struct("key", "turn")).alias("held"))
         members = written(members.join(of_vector, "cls"), "members")
         # one row of each of so many parts of a group
-        part = members.groupBy("grp", F.pmod(F.xxhash64("first"), F.lit(SAMPLE))).agg(F.min(F.struct(F.xxhash64("first", F.lit(level)), "first", "cls")).alias("x"))
-        fitted = part.select("grp", "x.first", "x.cls").join(classes.select("cls", "vector"), "cls")
-        centres = written(fitted.select("grp", "first", "vector").groupBy("grp").applyInArrow(centre_of, "grp bigint, centre array<double>, radius double"), "centres")
-        held = written(members.select("grp", F.explode("held").alias("h")).select("h.key", "h.n", "grp").distinct(), "held")
+        part = members.groupBy("grp", F.pmod(F.xxhash64("first"), F.lit(SAMPLE))).agg(F.min(F.struct(F.xxhash64("first", F.lit(level)), "first", "cls")).alias("x"), F.count("*").alias("n"))
+        fitted = part.select("grp", "n", "x.first", "x.cls").join(classes.select("cls", "vector"), "cls")
+        centres = written(fitted.select("grp", "n", "first", "vector").groupBy("grp").applyInArrow(centre_of, "grp bigint, centre array<double>, radius double, size bigint"), "centres")
+        held = written(members.select("grp", F.explode("held").alias("h")).select("h.key", "grp").distinct(), "held")
         levels.append((held, centres))
-        fresh = written(members.join(centres, "grp").select("cls", "grp", "vector", "centre", "radius", "held").mapInArrow(split_keys(None, level, seed, False), keyed), "split")
+        fresh = written(members.join(centres, "grp").select("cls", "grp", "vector", "centre", "radius", "size", "held").mapInArrow(split_keys(None, level, seed, False), keyed), "split")
         index = index.unionByName(fresh)
     index = index.select("key", F.col("cls").alias("c"))
     numbers = asked.agg(F.sum(F.size("vector"))).first()[0] or 0
@@ -368,8 +374,8 @@ def nearest(
         for level, (held, centres) in enumerate(levels):
             probed = written(probed, "probed")
             parts += [probed.where("turn < 0"), probed.where("turn >= 0").join(held, "key", "left_anti")]
-            asking = probed.where("turn >= 0").join(held, "key").groupBy("cls", "grp").agg(F.collect_list(F.struct("key", "turn", "n")).alias("held"))
-            asking = asking.join(some.select("cls", "vector"), "cls").join(centres, "grp").select("cls", "grp", "vector", "centre", "radius", "held")
+            asking = probed.where("turn >= 0").join(held, "key").groupBy("cls", "grp").agg(F.collect_list(F.struct("key", "turn")).alias("held"))
+            asking = asking.join(some.select("cls", "vector"), "cls").join(centres, "grp").select("cls", "grp", "vector", "centre", "radius", "size", "held")
             probed = asking.mapInArrow(split_keys(lambda size: max(1, round(MORE * probes * (size / n) ** growth)), level, seed, True), keyed)
         for part in parts:
             probed = probed.unionByName(part)

@@ -641,3 +641,36 @@ def test_near_copies_are_split_and_found(spark):
     assert sum(hits[:60]) / 300 >= 0.9 and sum(hits[66:]) / 70 >= 0.9 and hits[0] == 5
     for q in range(3000, 3300, 50):
         assert [j for j, _ in got[q]] == [j for j in range(3000, 3006) if j != q][:5]
+
+
+def split_rows(spark):
+    """The keys that rows and queries got in split buckets so far."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    total, runs = 0, store.executionsList().iterator()
+    while runs.hasNext():
+        run = runs.next().executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes().iterator()
+        while nodes.hasNext():
+            node = nodes.next()
+            metrics = node.metrics().iterator() if node.name().startswith("MapInArrow") and "radius" in node.desc() else None
+            while metrics and metrics.hasNext():
+                metric = metrics.next()
+                value = values.get(metric.accumulatorId()) if metric.name() == "number of output rows" else None
+                total += int(value.get().replace(",", "")) if value and value.isDefined() else 0
+    return total
+
+
+def test_queries_look_once_in_each_table_of_a_group(spark):
+    r = np.random.default_rng(3)
+    m = np.concatenate([r.normal(size=64) + 0.1 * r.normal(size=(1500, 64)), r.normal(size=(500, 64))])
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<double>").repartition(5)
+    before = split_rows(spark)
+    got = collections.defaultdict(set)
+    for x in neighbours.nearest(table).collect():
+        got[x.query_id].add(x.vec_id)
+    # a key for each of 64 tables and 1,500 rows, and about 45 for each of them and of 30 queries of the group
+    assert 96_000 <= split_rows(spark) - before < 64 * (1500 + 30 * 60)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    score = unit @ unit[::50].T
+    score[np.arange(0, 2000, 50), np.arange(40)] = -2
+    assert sum(len(got[50 * q] & set(np.argsort(-score[:, q])[:5].tolist())) for q in range(30)) / 150 >= 0.95
