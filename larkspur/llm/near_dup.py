@@ -23,8 +23,9 @@ anything is shuffled.  What other shingles add to a place on average is taken of
    are near to most others, become the pivots.
 4. All pairs across the parts that are left and that the bounds allow are compared, so
    that no link is lost.  A group of near copies is one part by then, and makes no pairs.
-5. Parts are joined by large-star and small-star steps on tables; nothing of the size of
-   the corpus reaches the driver.
+5. Parts are joined by large-star and small-star steps on tables, or on the driver if the
+   links of a round are few (see ``components``); nothing of the size of the corpus
+   reaches the driver.
 
 Null ids and texts without words take part as documents of their own, without a class
 mate.  Repeated rows are one row each.  An id that is repeated with other texts is a
@@ -77,6 +78,15 @@ def shingled(texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.ndar
     return words, hashes, *weighted(*shingles(words, hashes, SHINGLE))
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Numbers from 0 up, in as few bytes each as the largest takes."""
+    return counts.astype(np.min_scalar_type(int(counts.max())).newbyteorder("<")).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // CHUNK}").astype(np.int64)
+
+
 def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """This task's document frequencies, as chunks of the table."""
     table, n = np.zeros(1 << DF_BITS, np.int64), 0
@@ -86,7 +96,7 @@ def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += part.num_rows
     if n:
         starts = np.arange(0, 1 << DF_BITS, CHUNK)
-        counts = [table[s : s + CHUNK].astype("<i8").tobytes() for s in starts]
+        counts = [packed(table[s : s + CHUNK]) for s in starts]
         yield pa.RecordBatch.from_arrays([pa.array(starts // CHUNK), pa.array(np.full(len(starts), n) * (starts == 0)), pa.array(counts, pa.binary())], ["chunk", "n", "counts"])
 
 
@@ -96,11 +106,11 @@ def summed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs: dict[int, int] = {}
     for batch in rows:
         for c, n, raw in zip(*(batch.column(k).to_pylist() for k in ("chunk", "n", "counts"))):
-            tables[c] = tables.get(c, 0) + np.frombuffer(raw, "<i8")
+            tables[c] = tables.get(c, 0) + unpacked(raw)
             docs[c] = docs.get(c, 0) + n
     if tables:
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(tables), pa.int64()), pa.array([docs[c] for c in tables], pa.int64()), pa.array([t.astype("<i8").tobytes() for t in tables.values()], pa.binary())], ["chunk", "n", "counts"]
+            [pa.array(list(tables), pa.int64()), pa.array([docs[c] for c in tables], pa.int64()), pa.array([packed(t) for t in tables.values()], pa.binary())], ["chunk", "n", "counts"]
         )
 
 
@@ -125,18 +135,19 @@ class Idf:
 
 
 def inverse_frequencies(texts: DataFrame) -> Idf:
-    """From all documents; what reaches the driver are the 8 MB of the table."""
+    """From all documents; what reaches the driver are the 8 MB of the table at most."""
     schema = "chunk bigint, n bigint, counts binary"
     parts = texts.select("text").mapInArrow(frequencies, schema)
     # the sums of a few tasks each, then those of all, so that no task gathers more than it can hold
     some = parts.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16))).repartition("chunk", "salt").drop("salt").mapInArrow(summed, schema)
-    rows = some.repartition("chunk").mapInArrow(summed, schema).toLocalIterator()
+    # in one job: an iterator would run one for each partition, one after the other
+    rows = some.repartition("chunk").mapInArrow(summed, schema).toArrow()
     table, docs = np.zeros(1 << DF_BITS, np.int64), 0
-    for r in rows:
-        table[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] += np.frombuffer(bytes(r.counts), "<i8")
-        docs += r.n
+    for chunk, n, raw in zip(*(rows.column(k) for k in ("chunk", "n", "counts"))):
+        table[chunk.as_py() * CHUNK : (chunk.as_py() + 1) * CHUNK] += unpacked(raw.as_py())
+        docs += n.as_py()
     out = Idf(docs, table)
-    del table
+    del table, rows
     release()
     return out
 
@@ -187,7 +198,7 @@ def sampled(shared):
 
 
 def verified(shared, threshold: float):
-    """Of pairs with texts those with a weighted Jaccard similarity of at least the threshold."""
+    """The parts of pairs whose texts have a weighted Jaccard similarity of at least the threshold."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = shared.value
@@ -204,15 +215,15 @@ def verified(shared, threshold: float):
             common = np.bincount(pair[both], np.minimum(weight[both], weight[both + 1]), n)
             union = total[:n] + total[n:] - common
             good = common >= threshold * union - 1e-9
-            yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(good)), part.column("b").filter(pa.array(good))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(good)) for k in ("part_a", "part_b")], ["a", "b"])
 
     return run
 
 
 def links_of(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
-    """The verified pairs of nodes."""
+    """The parts of the verified pairs of nodes."""
     a, b = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(verified(shared, threshold), "a string, b string")
+    return pairs.join(a, "a").join(b, "b").select("part_a", "part_b", "text_a", "text_b").mapInArrow(verified(shared, threshold), "a string, b string")
 
 
 def weights_of(shared):
@@ -227,6 +238,19 @@ def weights_of(shared):
     return run
 
 
+def whole_weights(shared):
+    """The weight of each text, and the first half of the node's key."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            _, _, h, doc, count = shingled(text_bytes(part.column("text"), lower=True))
+            weight = np.bincount(doc, shared.value.of(h, count), part.num_rows)
+            key = np.array([int(n[:16], 16) for n in part.column("node").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(key), pa.array(weight)], ["node", "k", "weight"])
+
+    return run
+
+
 def common_weights(texts: DataFrame, shared) -> DataFrame:
     """node, its weight and how much of it lies on shingles that other nodes of the table have too.
 
@@ -235,27 +259,30 @@ def common_weights(texts: DataFrame, shared) -> DataFrame:
     """
     rows = texts.mapInArrow(weights_of(shared), "h bigint, k bigint, w float")
     alone = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.min("w").alias("w")).where("n = 1").groupBy("k").agg(F.sum(F.col("w").cast("double")).alias("alone"))
-    total = rows.groupBy("k").agg(F.sum(F.col("w").cast("double")).alias("weight"))
-    key = F.conv(F.substring("node", 1, 16), 16, -10).cast("bigint").alias("k")
-    found = texts.select("node", key).join(total, "k").join(alone, "k", "left")
+    found = texts.mapInArrow(whole_weights(shared), "node string, k bigint, weight double").join(alone, "k", "left")
     return found.select("node", "weight", (F.col("weight") - F.coalesce("alone", F.lit(0.0))).alias("common"))
 
 
 def joined_parts(buckets: DataFrame, bands: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
     """node and part (the smallest node that it is linked to, over any number of links) of all nodes in buckets."""
     parts = buckets.select("node").distinct().withColumn("part", F.col("node"))
+    counted = [F.expr("(n * n - within) div 2").alias("pairs"), F.col("n").alias("members")]
     least = F.least("common_a", "common_b")
     possible = least >= (threshold - 1e-6) * (F.col("weight_a") + F.col("weight_b") - least)
     weighed = buckets.withColumns({"weight": F.lit(1.0), "common": F.lit(1.0)})
     for turn in range(PIVOTS + 1):
-        placed = weighed.join(parts, "node")
-        by_part = placed.groupBy("band", "key", "part").agg(F.count("*").alias("n"))
-        sizes = by_part.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("parts")).where("parts > 1")
-        open_buckets = written(sizes, "open-buckets")
-        left = open_buckets.agg(F.sum(F.expr("(n * n - within) div 2")).alias("pairs"), F.sum("n").alias("members")).first()
+        if turn:
+            placed = weighed.join(parts, "node")
+            by_part = placed.groupBy("band", "key", "part").agg(F.count("*").alias("n"))
+            sizes = by_part.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("parts")).where("parts > 1")
+            open_buckets = sizes = written(sizes, "open-buckets")
+        else:  # each node is a part
+            placed = weighed.withColumn("part", F.col("node"))
+            sizes = placed.groupBy("band", "key").agg(F.count("*").alias("n"), F.count("*").alias("within"))
+        left = sizes.select(*counted).agg(F.sum("pairs").alias("pairs"), F.sum("members").alias("members")).first()
         if not left.pairs:
             break
-        member = written(placed.join(open_buckets.select("band", "key"), ["band", "key"]), "open-members")
+        member = written(placed.join(open_buckets.select("band", "key"), ["band", "key"]), "open-members") if turn else placed
         if turn == 1:
             some = texts.join(member.select("node").distinct(), "node")
             common = written(common_weights(some, shared), "common-weights").where(F.col("common") >= (threshold - 1e-6) * F.col("weight"))
@@ -274,13 +301,12 @@ def joined_parts(buckets: DataFrame, bands: DataFrame, texts: DataFrame, shared,
             # written, so that both sides of the join are plain shuffles: a hot bucket is split by the skew join
             best = written(two.groupBy("band", "key").agg(F.max(order).alias("p")), "pivots")
             pairs = one.join(best.select("band", "key", "p.node_b", "p.part_b", "p.weight_b", "p.common_b"), ["band", "key"]).where((F.col("part_a") != F.col("part_b")) & possible)
-            if turn:  # a pivot of one round is none of the next
-                weighed = written(weighed.join(best.select("band", "key", F.col("p.node_b").alias("node")), ["band", "key", "node"], "left_anti"), "weighed")
-        pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-        links = links_of(pairs, texts, shared, threshold)
-        for k in "ab":
-            links = links.join(parts.select(F.col("node").alias(k), F.col("part").alias(f"part_{k}")), k)
-        label = components(links.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
+            if turn:  # a pivot of one round is none of the next, and a bucket in one part stays so
+                weighed = member.drop("part").join(best.select("band", "key", F.col("p.node_b").alias("node")), ["band", "key", "node"], "left_anti")
+        ends = [F.struct(F.col(f"node_{k}").alias("node"), F.col(f"part_{k}").alias("part")) for k in "ab"]
+        pairs = pairs.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y"))
+        pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.part").alias("part_a"), F.col("y.part").alias("part_b")).distinct()
+        label = components(links_of(pairs, texts, shared, threshold))
         parts = written(parts.join(label.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("label", "part").alias("part")), "parts")
         if last:
             break

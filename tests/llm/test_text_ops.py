@@ -674,3 +674,39 @@ def test_queries_look_once_in_each_table_of_a_group(spark):
     score = unit @ unit[::50].T
     score[np.arange(0, 2000, 50), np.arange(40)] = -2
     assert sum(len(got[50 * q] & set(np.argsort(-score[:, q])[:5].tolist())) for q in range(30)) / 150 >= 0.95
+
+
+def test_few_links_take_no_star_and_many_have_the_same_labels(spark, monkeypatch):
+    import larkspur.llm.components as module
+
+    r = random.Random(6)
+    links = [(f"{r.randrange(300):03}", f"{r.randrange(300):03}") for _ in range(200)] + [(f"n{i:02}", f"n{i + 1:02}") for i in range(40)] + [("z", "z")]
+    label = {x: x for link in links[:-1] for x in link if link[0] != link[1]}
+    for _ in links:
+        for a, b in links[:-1]:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    table = spark.createDataFrame(links, "a string, b string")
+    monkeypatch.setattr(module, "FEW", 0, raising=False)
+    assert {x.node: x.label for x in components(table).collect()} == label
+    monkeypatch.undo()
+    monkeypatch.setattr(module, "_star", None)
+    assert {x.node: x.label for x in components(table).collect()} == label
+    assert components(table.where("a = b")).collect() == []
+
+
+def test_frequencies_take_few_jobs(spark):
+    for name, value in (("spark.sql.shuffle.partitions", "40"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        spark.conf.set(name, value)
+    try:
+        spark.sparkContext.setJobGroup("frequencies", "")
+        idf = near_dup.inverse_frequencies(docs(spark, ["a b c d e f g"] * 300 + ["a b c d e"] * 5))
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("frequencies")) < 10  # one for each partition before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    _, _, h, doc, count = near_dup.shingled([b"a b c d e f g", b"x y z v w"])
+    floor = near_dup.FLOOR
+    want = [1 + np.log((1 + floor) / (n / 305 + floor)) / np.log((1 + floor) / floor) for n in (305, 300, 300, 1)]
+    assert np.allclose(sorted(idf.of(h, count)), sorted(want), atol=0.01)
