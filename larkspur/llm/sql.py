@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from larkspur.llm.licenses import TEMPLATES, THRESHOLD, bigram_sets, bounds
+from larkspur.llm.quality import RULES as RULES13
+from larkspur.llm.quality import STOP_WORDS, in_case
 from larkspur.llm.queries import RULES
 from larkspur.llm.url_filter import LOWER, UPPER
 
@@ -55,5 +57,36 @@ FROM docs d LEFT JOIN best b ON b.n = d.n
 """
 
 
+def _rules() -> tuple[str, str]:
+    """The failing rules as list entries, and the condition that none fails."""
+    fails = []
+    for r in RULES13:
+        by = r.per or "1"
+        sides = [f"{r.measure} < {r.low}::DECIMAL(18, 6) * {by}"] * (r.low is not None) + [f"{r.measure} > {r.high}::DECIMAL(18, 6) * {by}"] * (r.high is not None)
+        fails.append((r.name, f"({' OR '.join(sides)})"))
+    return ", ".join(f"CASE WHEN {x} THEN '{n}' END" for n, x in fails), " AND ".join(f"NOT {x}" for _, x in fails)
+
+
+STOPS = ", ".join(f"'{x}'" for x in sorted(set().union(*map(in_case, STOP_WORDS))))
+OP13 = f"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+words AS (SELECT n, unnest(regexp_extract_all(t, '[^ \\x09-\\x0D]+')) AS w, generate_subscripts(regexp_extract_all(t, '[^ \\x09-\\x0D]+'), 1) AS i FROM docs),
+lined AS (SELECT n, unnest(string_split(t, chr(10))) AS x FROM docs),
+lines AS (SELECT n, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM lined WHERE regexp_matches(x, '[^ \\x09-\\x0D]') GROUP BY n),
+windows AS (SELECT n, i, w, lead(w) OVER s AS w2, lead(w, 2) OVER s AS w3 FROM words WINDOW s AS (PARTITION BY n ORDER BY i)),
+counted AS (SELECT n, i, count(*) OVER (PARTITION BY n, w, w2, w3) AS many FROM windows WHERE w3 IS NOT NULL),
+covered AS (SELECT n, count(DISTINCT i + d) AS n_repeat_words FROM counted, range(3) AS r(d) WHERE many > 1 GROUP BY n),
+sums AS (SELECT n, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars, count(*) FILTER (w IN ({STOPS})) AS n_stop_words FROM words GROUP BY n),
+every AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_stop_words, 0) AS n_stop_words
+  FROM docs LEFT JOIN sums USING (n) LEFT JOIN lines USING (n) LEFT JOIN covered USING (n)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, list_filter([{_rules()[0]}], lambda x: x IS NOT NULL) AS failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {_rules()[1]} AS kept
+FROM every
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": OP2, "op4_url_filter": OP4}
+    return {"op2_license_scan": OP2, "op4_url_filter": OP4, "op13_quality_rules": OP13}
