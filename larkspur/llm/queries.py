@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontaminate, html_text, licenses, near_dup, neighbours, packing, quality, spelling, substrings, token_counts, toxicity, url_filter
+from larkspur.llm import decontaminate, dialogues, html_text, licenses, near_dup, neighbours, packing, quality, spelling, substrings, token_counts, toxicity, url_filter
 from larkspur.llm.store import table
 
 #: Host, path and verdict of the rules that the url query applies.
@@ -63,9 +63,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), drop_every=199)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    damaged = dialogues.damage(rows)
+    return dialogues.digests(damaged, dialogues.repair(damaged, rows))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_toxicity, op4_url_filter, op5_decontamination, op6_nearest_neighbours, op7_near_duplicates, op8_main_text, op9_packing, op10_token_counts, op11_spelling_variants, op13_quality_rules)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_toxicity, op4_url_filter, op5_decontamination, op6_nearest_neighbours, op7_near_duplicates, op8_main_text, op9_packing, op10_token_counts, op11_spelling_variants, op12_conversation_repair, op13_quality_rules)}
