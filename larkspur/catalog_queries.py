@@ -1,16 +1,19 @@
 """The registered queries of the schema engine, each with its DuckDB counterpart.
 
-Fixtures are ``VALUES`` lists that both engines read.
+They read the given tables, or the estate of databases that the suppliers keep (``estate``),
+whose templates are ``VALUES`` lists that both engines read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions import fragments, identifiers, types
+from larkspur import estate
+from larkspur.functions import fragments, identifiers, texts, types
 from larkspur.operators import diff, drift, scope, state
 from larkspur.plans import ddl, ordering
 from larkspur.sources import catalog
@@ -50,12 +53,12 @@ STATEMENT_COLUMNS = ["phase", "table_name", "step", "object_name", "risk", "desc
 DEFAULTS = ["getdate()", "(GETUTCDATE())", "CURRENT_TIMESTAMP", "now()", "((0))", "1", "'x'", "N'it''s'", "('A')::text", "newid()", "gen_random_uuid()", "CAST(getdate() AS date)", "curdate()", "NULL", "", "nextval('s')", "-5", "lower('A')", "pending"]
 
 
-def fixture(spark: SparkSession, values: str, columns: list[str]) -> DataFrame:
-    return spark.sql(f"SELECT * FROM ({values}) AS t({', '.join(f'`{c}`' for c in columns)})")
+def fixture(spark: SparkSession, sf_dir: str, values: str, columns: list[str], **how) -> DataFrame:
+    """The estate's rows of a template."""
+    return estate.rows(spark, sf_dir, spark.sql(f"SELECT * FROM ({values}) AS t({', '.join(f'`{c}`' for c in columns)})"), **how)
 
 
-def _duck(values: str, columns: list[str]) -> str:
-    return f"(SELECT * FROM ({values}) AS t({', '.join(columns)}))"
+_duck = estate.relation
 
 
 def introspect_columns(spark, sf_dir):
@@ -74,13 +77,13 @@ def row_size_average(spark, sf_dir):
     return catalog.weighted_row_bytes(row_size_estimate(spark, sf_dir))
 
 
-def _typed(spark) -> DataFrame:
-    t = fixture(spark, TYPES, TYPE_COLUMNS)
+def _typed(spark, sf_dir) -> DataFrame:
+    t = fixture(spark, sf_dir, TYPES, TYPE_COLUMNS)
     return t.withColumns({"kind": types.kind(F.col("data_type"), F.col("dialect"), F.col("length")), "tz": types.zoned(F.col("data_type")), "national": types.national(F.col("data_type"))})
 
 
 def canonical_kinds(spark, sf_dir):
-    return _typed(spark).select("dialect", "data_type", "length", "kind")
+    return _typed(spark, sf_dir).select("dialect", "data_type", "length", "kind")
 
 
 def _rendered(t: DataFrame, target: str):
@@ -89,7 +92,7 @@ def _rendered(t: DataFrame, target: str):
 
 def _map_to(target: str):
     def query(spark, sf_dir):
-        t = _typed(spark)
+        t = _typed(spark, sf_dir)
         return t.select("dialect", "data_type", "length", "prec", "scale", "fsp", _rendered(t, target).alias("type_text"))
 
     return query
@@ -117,65 +120,85 @@ def ident_collisions(spark, sf_dir):
 
 
 def scope_filter(spark, sf_dir):
-    tables = spark.createDataFrame([(t,) for t in TABLES], "table_name string")
+    tables = catalog.parquet_columns(spark, sf_dir, TABLES).select("table_name").distinct()
     return scope.in_scope(tables, ["[c-n]*", "P*"], ["*s", "nat?on"])
 
 
+#: Tables that are live, in the source, and managed by us.
+SIDES = "VALUES " + ", ".join(f"('{side}', '{t}')" for side, ts in (("live", "loan book shelf hall attic"), ("source", "loan book shelf desk"), ("mine", "loan shelf")) for t in ts.split())
+SIDE_COLUMNS = ["side", "table_name"]
+BACKFILL = {
+    "old": "VALUES (1,'t','a',false,0,NULL), (2,'t','b',false,0,NULL), (3,'t','c',false,0,2), (4,'t','d',false,0,3), (1,'t','gone',false,0,NULL)",
+    "now": "VALUES (0,'t','a',true,1,6), (0,'t','b',true,1,6), (0,'t','c',true,1,6), (0,'t','d',true,1,6)",
+}
+BACKFILL_COLUMNS = ["version", "table_name", "column_name", "is_unsigned", "display_width", "datetime_precision"]
+
+
 def managed_set(spark, sf_dir):
-    live, source, mine = (spark.createDataFrame([(x,) for x in xs], "table_name string") for xs in (["a", "b", "c", "d"], ["a", "b", "c"], ["a"]))
+    every = fixture(spark, sf_dir, SIDES, SIDE_COLUMNS)
+    live, source, mine = (every.where(F.col("side") == x).select("table_name") for x in ("live", "source", "mine"))
     return scope.managed(live, source, mine)
 
 
-def _snapshots(spark):
-    return (fixture(spark, SNAPSHOTS[k], SNAPSHOT_COLUMNS).drop("ordinal") for k in ("old", "new"))
+def _snapshots(spark, sf_dir):
+    return (fixture(spark, sf_dir, SNAPSHOTS[k], SNAPSHOT_COLUMNS).drop("ordinal") for k in ("old", "new"))
 
 
 def snapshot_diff_columns(spark, sf_dir):
-    return diff.column_changes(*_snapshots(spark))
+    return diff.column_changes(*_snapshots(spark, sf_dir))
 
 
 def snapshot_diff_tables(spark, sf_dir):
-    return diff.table_changes(*_snapshots(spark))
+    return diff.table_changes(*_snapshots(spark, sf_dir))
 
 
 def snapshot_diff_summary(spark, sf_dir):
-    return diff.summary(diff.column_changes(*_snapshots(spark)))
+    return diff.summary(diff.column_changes(*_snapshots(spark, sf_dir)))
 
 
 def snapshot_backfill(spark, sf_dir):
-    old = spark.sql("SELECT * FROM VALUES (1,'t','a',false,0,CAST(NULL AS INT)), (2,'t','b',false,0,CAST(NULL AS INT)), (3,'t','c',false,0,2), (4,'t','d',false,0,3), (1,'t','gone',false,0,CAST(NULL AS INT)) AS t(version, table_name, column_name, is_unsigned, display_width, datetime_precision)")
-    now = spark.sql("SELECT * FROM VALUES ('t','a',true,1,6), ('t','b',true,1,6), ('t','c',true,1,6), ('t','d',true,1,6) AS t(table_name, column_name, is_unsigned, display_width, datetime_precision)")
-    return diff.backfilled(old, now)
+    old, now = (fixture(spark, sf_dir, BACKFILL[k], BACKFILL_COLUMNS).withColumn("datetime_precision", F.col("datetime_precision").cast("int")) for k in ("old", "now"))
+    return diff.backfilled(old, now.drop("version"))
+
+
+KEY_PAIRS = "VALUES (1,'a,b','B,a'), (2,'a','a,b'), (3,'id','ID')"
 
 
 def pk_set_compare(spark, sf_dir):
-    t = spark.sql("SELECT * FROM VALUES (1,'a,b','B,a'), (2,'a','a,b'), (3,'id','ID') AS t(n, one, two)")
+    t = fixture(spark, sf_dir, KEY_PAIRS, ["n", "one", "two"], ids=("n",))
     return t.select("n", drift.same_key_set(F.split("one", ","), F.split("two", ",")).alias("same_set"), (F.split("one", ",") == F.split("two", ",")).alias("same_order"))
 
 
 def drop_order(spark, sf_dir):
-    return spark.createDataFrame(ordering.drop_levels(TABLES, REFERENCES), "table_name string, level int")
+    columns = catalog.parquet_columns(spark, sf_dir, TABLES)
+    refs = [(r.table_name, r.ref_table) for r in catalog.references(columns).select("table_name", "ref_table").distinct().collect()]  # of a schema's tables
+    return spark.createDataFrame(ordering.drop_levels([r.table_name for r in columns.select("table_name").distinct().collect()], refs), "table_name string, level int")
+
 
+def name_references(spark, sf_dir):
+    return catalog.references(catalog.parquet_columns(spark, sf_dir, TABLES))
 
-def _statements(spark):
-    return fixture(spark, STATEMENTS, STATEMENT_COLUMNS)
+
+def _statements(spark, sf_dir):
+    return fixture(spark, sf_dir, STATEMENTS, STATEMENT_COLUMNS, own=True)
 
 
 def risk_filter(spark, sf_dir):
-    return scope.at_most(_statements(spark), "blocking").select("phase", "object_name", "risk")
+    return scope.at_most(_statements(spark, sf_dir), "blocking").select("phase", "object_name", "risk")
 
 
 def risk_counts(spark, sf_dir):
-    return scope.risk_counts(_statements(spark))
+    return scope.risk_counts(_statements(spark, sf_dir))
 
 
 def plan_order(spark, sf_dir):
-    placed = ordering.ordered(_statements(spark))
+    placed = ordering.ordered(_statements(spark, sf_dir))
     return placed.select("phase", "table_name", "step", "object_name", "phase_no", "step_no")
 
 
 def plan_script(spark, sf_dir):
-    return ordering.script(_statements(spark))
+    """A script for each database."""
+    return ordering.script(_statements(spark, sf_dir), by="database")
 
 
 def _events(spark, sf_dir):
@@ -214,8 +237,17 @@ def schema_fingerprint(spark, sf_dir):
     return c.groupBy("table_name").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", line.alias("line")))), lambda x: x["line"]), "\n"), 256).alias("fingerprint"))
 
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+DEFAULT_ROWS = "VALUES " + ", ".join(f"('loan', {quoted(d)})" for d in DEFAULTS)
+
+
 def default_labels(spark, sf_dir):
-    return spark.createDataFrame([(d, fragments.label(d)) for d in DEFAULTS], "fragment string, label string")
+    """The label of each column's default; each distinct text is parsed once."""
+    t = fixture(spark, sf_dir, DEFAULT_ROWS, ["table_name", "fragment"])
+    return texts.applied(t, "fragment", "label", fragments.label).select("table_name", "fragment", "label")
 
 
 CHECKS = {
@@ -251,39 +283,49 @@ def create_table_ddl(spark, sf_dir):
 
 
 def foreign_key_ddl(spark, sf_dir):
-    """ADD CONSTRAINT of every reference."""
-    t = spark.createDataFrame([(f"fk_{a}_{b}", a, [f"{b}key"], b, [f"{b}key"], "CASCADE" if a == "lineitem" else None, None) for a, b in REFERENCES], "constraint_name string, table_name string, columns array<string>, ref_table string, ref_columns array<string>, on_delete string, on_update string")
+    """ADD CONSTRAINT of every reference that names tell of."""
+    t = name_references(spark, sf_dir).select(
+        F.concat_ws("_", F.lit("fk"), "table_name", "ref_table").alias("constraint_name"), "table_name", F.array("column_name").alias("columns"), "ref_table", F.array("ref_column").alias("ref_columns"),
+        F.when(F.col("table_name") == "lineitem", "CASCADE").alias("on_delete"), F.lit(None).cast("string").alias("on_update"),
+    )
     out = [t.select(F.lit(d).alias("target"), ddl.add_constraint("foreign_key", d, "app").alias("sql")) for d in ("postgres", "mssql", "mysql")]
     return out[0].unionAll(out[1]).unionAll(out[2])
 
 
-NEW_DEFAULTS = [("reader", "barred", "((1))"), ("lo'an", "at", "getdate()"), ("shelf", "code", "'x'")]
+NEW_DEFAULTS = "VALUES " + ", ".join(f"({', '.join(map(quoted, r))})" for r in (("reader", "barred", "((1))"), ("lo'an", "at", "getdate()"), ("shelf", "code", "'x'")))
 
 
 def alter_default_ddl(spark, sf_dir):
     """The statements that set each default and those that drop it."""
-    out = None
+    out, every = None, fixture(spark, sf_dir, NEW_DEFAULTS, ["table_name", "column_name", "fragment"])
     for d in ("postgres", "mssql", "mysql"):
-        rows = [(t, c, fragments.render(fragments.parse_default(x), d)) for t, c, x in NEW_DEFAULTS]
-        t = spark.createDataFrame(rows, "table_name string, column_name string, default string")
+        t = texts.applied(every, "fragment", "default", partial(rendered_default, target=d))
         put = t.select(F.lit(d).alias("target"), F.lit("set").alias("action"), "table_name", F.posexplode(ddl.set_default(d, "app")).alias("place", "sql"))
         one = put.unionAll(t.select(F.lit(d), F.lit("drop"), "table_name", F.lit(0), ddl.drop_default(d, "app")))
         out = one if out is None else out.unionAll(one)
     return out
 
 
+def rendered_default(text: str, target: str) -> str:
+    return fragments.render(fragments.parse_default(text), target)
+
+
+#: What the objects of a database need of a dialect.
+NEEDS = "VALUES " + ", ".join(f"('loan', '{c}')" for c in sorted({c for cs in ddl.CAPABILITIES.values() for c in cs.split()}))
+
+
 def capabilities(spark, sf_dir):
-    """What every dialect lacks of what any has."""
+    """What the objects of each database need that a dialect lacks."""
     rows = [(d, c) for d, cs in ddl.CAPABILITIES.items() for c in cs.split()]
-    have = spark.createDataFrame(rows, "target string, capability string")
-    every = have.select("capability").distinct()
-    wanted = spark.createDataFrame([(d, [c for c in sorted({c for _, c in rows})]) for d in ddl.CAPABILITIES], "target string, capabilities array<string>").select("target", F.explode("capabilities").alias("capability"))
-    return wanted.join(every, "capability", "left_semi").join(have, ["target", "capability"], "left_anti")
+    have = F.broadcast(spark.createDataFrame(rows, "target string, capability string"))  # of all dialects: some eighty
+    needs = fixture(spark, sf_dir, NEEDS, ["table_name", "capability"])
+    wanted = needs.select("table_name", "capability", F.explode(F.array(*map(F.lit, ddl.CAPABILITIES))).alias("target"))
+    return wanted.join(have, ["target", "capability"], "left_anti")
 
 
 _PLAIN = [
     introspect_columns, row_count_exact, row_size_estimate, row_size_average, canonical_kinds, map_types, ident_fold, ident_collisions, scope_filter, managed_set, snapshot_diff_columns, snapshot_diff_tables,
-    snapshot_diff_summary, snapshot_backfill, pk_set_compare, drop_order, risk_filter, risk_counts, plan_order, plan_script, latest_snapshot, list_snapshots,
+    snapshot_diff_summary, snapshot_backfill, pk_set_compare, drop_order, name_references, risk_filter, risk_counts, plan_order, plan_script, latest_snapshot, list_snapshots,
     current_runs, recent_runs, reconcile_runs, schema_fingerprint, default_labels, check_violations, create_table_ddl, foreign_key_ddl, alter_default_ddl, capabilities,
 ]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.catalog_queries import CHECKS, DEFAULTS, REFERENCES, SNAPSHOT_COLUMNS, SNAPSHOTS, STATEMENT_COLUMNS, STATEMENTS, TABLES, TYPE_COLUMNS, TYPES, _duck
+from larkspur.catalog_queries import BACKFILL, BACKFILL_COLUMNS, CHECKS, DEFAULT_ROWS, DEFAULTS, KEY_PAIRS, NEEDS, NEW_DEFAULTS, SIDE_COLUMNS, SIDES, SNAPSHOT_COLUMNS, SNAPSHOTS, STATEMENT_COLUMNS, STATEMENTS, TABLES, TYPE_COLUMNS, TYPES, _duck, quoted
 
 _NAMES = ", ".join(f"'{t}'" for t in TABLES)
 _SCHEMA = f"""(SELECT table_name, ordinal_position::INT AS ordinal, column_name,
@@ -58,9 +58,12 @@ _LAST = """(SELECT user_id AS run_id, ts AS "at", event_id AS seq, CASE WHEN eve
 _RANK = "CASE risk WHEN 'safe' THEN 0 WHEN 'blocking' THEN 1 WHEN 'rebuild' THEN 2 ELSE 3 END"
 _PHASE = "CASE phase WHEN 'create table' THEN 0 WHEN 'drop foreign key' THEN 1 WHEN 'change table' THEN 2 WHEN 'create index' THEN 3 WHEN 'create check' THEN 4 WHEN 'add foreign key' THEN 5 ELSE 6 END"
 _STEP = "CASE step WHEN 'drop check' THEN 0 WHEN 'drop index' THEN 1 WHEN 'add column' THEN 2 WHEN 'change column' THEN 3 WHEN 'drop column' THEN 4 WHEN 'add index' THEN 5 WHEN 'add check' THEN 6 ELSE 7 END"
-_PLAN = _duck(STATEMENTS, STATEMENT_COLUMNS)
-_DROP = f"""WITH RECURSIVE t(name) AS (SELECT unnest([{_NAMES}])), e(child, parent) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in REFERENCES)}),
-d(name, level) AS (SELECT name, 0 FROM t UNION ALL SELECT e.parent, d.level + 1 FROM d JOIN e ON e.child = d.name) SELECT name AS table_name, max(level)::INT AS level FROM d GROUP BY name"""
+_PLAN = _duck(STATEMENTS, STATEMENT_COLUMNS, own=True)
+_BASE = "regexp_replace(column_name, '^[a-z]{1,2}_', '')"
+_REFERENCES = f"""(SELECT c.table_name, c.column_name, p.table_name AS ref_table, p.column_name AS ref_column FROM (SELECT *, {_BASE} AS base FROM {_SCHEMA}) c
+  JOIN (SELECT *, {_BASE} AS base FROM {_SCHEMA} WHERE ordinal = 1) p ON c.base = p.base AND c.table_name <> p.table_name AND regexp_matches(p.base, '(key|_id)$') AND starts_with(p.table_name, regexp_replace(p.base, '(key|_id)$', '')))"""
+_DROP = f"""WITH RECURSIVE e AS (SELECT DISTINCT table_name AS child, ref_table AS parent FROM {_REFERENCES}),
+d(name, level) AS (SELECT DISTINCT table_name, 0 FROM {_SCHEMA} UNION ALL SELECT e.parent, d.level + 1 FROM d JOIN e ON e.child = d.name) SELECT name AS table_name, max(level)::INT AS level FROM d GROUP BY name"""
 _VIOLATIONS = {
     "priority": "o_orderpriority[1:1] NOT IN ('1', '2', '3') OR o_orderpriority[2:2] <> '-'",
     "status": "o_orderstatus NOT IN ('F', 'O')",
@@ -85,10 +88,6 @@ def _native(target: str) -> str:
     return f"CASE data_type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in zip(names, _SQL_TYPES[target]))} END"
 
 
-def _quote(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 def _create(target: str) -> str:
     a, b = {"postgres": '""', "mssql": "[]", "mysql": "``", "sqlite": '""', "clickhouse": "``"}[target]
     typed = _native(target)
@@ -102,11 +101,10 @@ def _create(target: str) -> str:
 
 
 def _foreign_keys() -> str:
-    rows = ", ".join(f"('{a}', '{b}')" for a, b in REFERENCES)
     parts = []
     for target, (a, b) in {"postgres": '""', "mssql": "[]", "mysql": "``"}.items():
-        text = f"ALTER TABLE {a}app{b}.{a}{{0}}{b} ADD CONSTRAINT {a}fk_{{0}}_{{1}}{b} FOREIGN KEY ({a}{{1}}key{b}) REFERENCES {a}app{b}.{a}{{1}}{b} ({a}{{1}}key{b})"
-        parts.append(f"SELECT '{target}' AS target, format('{text}', a, b) || CASE WHEN a = 'lineitem' THEN ' ON DELETE CASCADE' ELSE '' END AS sql FROM (VALUES {rows}) AS t(a, b)")
+        text = f"ALTER TABLE {a}app{b}.{a}{{0}}{b} ADD CONSTRAINT {a}fk_{{0}}_{{1}}{b} FOREIGN KEY ({a}{{2}}{b}) REFERENCES {a}app{b}.{a}{{1}}{b} ({a}{{3}}{b})"
+        parts.append(f"SELECT '{target}' AS target, format('{text}', table_name, ref_table, column_name, ref_column) || CASE WHEN table_name = 'lineitem' THEN ' ON DELETE CASCADE' ELSE '' END AS sql FROM {_REFERENCES}")
     return " UNION ALL ".join(parts)
 
 
@@ -121,16 +119,20 @@ _LACKS = {
 
 
 def _alter_defaults() -> str:
-    rows = [("reader", "barred", {"postgres": "1", "mssql": "1", "mysql": "1"}), ("lo'an", "at", {"postgres": "CURRENT_TIMESTAMP", "mssql": "SYSDATETIME()", "mysql": "CURRENT_TIMESTAMP"}), ("shelf", "code", {"postgres": "'x'", "mssql": "'x'", "mysql": "'x'"})]
-    found = []
-    for t, c, text in rows:
-        for target, (a, b) in {"postgres": '""', "mysql": "``"}.items():
-            head = f"ALTER TABLE {a}app{b}.{a}{t}{b} ALTER COLUMN {a}{c}{b} "
-            found += [(target, "set", t, 0, head + "SET DEFAULT " + text[target]), (target, "drop", t, 0, head + "DROP DEFAULT")]
-        inside = t.replace("'", "''")
-        drop = f"DECLARE @sql nvarchar(max) = (SELECT N'ALTER TABLE [app].[{inside}] DROP CONSTRAINT ' + QUOTENAME(d.name) FROM sys.default_constraints d JOIN sys.columns c ON c.object_id = d.parent_object_id AND c.column_id = d.parent_column_id WHERE d.parent_object_id = OBJECT_ID(N'[app].[{inside}]') AND c.name = N'{c}'); IF @sql IS NOT NULL EXEC sp_executesql @sql"
-        found += [("mssql", "set", t, 0, drop), ("mssql", "drop", t, 0, drop), ("mssql", "set", t, 1, f"ALTER TABLE [app].[{t}] ADD CONSTRAINT [df_{t}_{c}] DEFAULT {text['mssql']} FOR [{c}]")]
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{k}', {_quote(t)}, {n}, {_quote(q)})" for d, k, t, n, q in found) + ") AS t(target, action, table_name, place, sql)"
+    now = {"postgres": "CURRENT_TIMESTAMP", "mssql": "SYSDATETIME()", "mysql": "CURRENT_TIMESTAMP"}
+    rows, parts = _duck(NEW_DEFAULTS, ["table_name", "column_name", "fragment"]), []
+    for target, (a, b) in {"postgres": '""', "mysql": "``", "mssql": "[]"}.items():
+        text = f"CASE column_name WHEN 'barred' THEN '1' WHEN 'at' THEN '{now[target]}' ELSE '''x''' END"
+        head = f"'ALTER TABLE {a}app{b}.{a}' || table_name || '{b} ALTER COLUMN {a}' || column_name || '{b} "
+        inside = "replace(table_name, chr(39), chr(39) || chr(39))"
+        drop = head + "DROP DEFAULT'" if target != "mssql" else (
+            f"'DECLARE @sql nvarchar(max) = (SELECT N''ALTER TABLE [app].[' || {inside} || '] DROP CONSTRAINT '' + QUOTENAME(d.name) FROM sys.default_constraints d JOIN sys.columns c ON c.object_id = d.parent_object_id AND c.column_id = d.parent_column_id "
+            f"WHERE d.parent_object_id = OBJECT_ID(N''[app].[' || {inside} || ']'') AND c.name = N''' || column_name || '''); IF @sql IS NOT NULL EXEC sp_executesql @sql'"
+        )
+        put = f"{head}SET DEFAULT ' || {text}" if target != "mssql" else f"'ALTER TABLE [app].[' || table_name || '] ADD CONSTRAINT [df_' || table_name || '_' || column_name || '] DEFAULT ' || {text} || ' FOR [' || column_name || ']'"
+        steps = [("set", 0, put), ("drop", 0, drop)] if target != "mssql" else [("set", 0, drop), ("set", 1, put), ("drop", 0, drop)]
+        parts += [f"SELECT '{target}' AS target, '{k}' AS action, table_name, {n} AS place, {q} AS sql FROM {rows}" for k, n, q in steps]
+    return " UNION ALL ".join(parts)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -146,28 +148,30 @@ def oracle_sql() -> dict[str, str]:
         "ident_fold": r"SELECT p_partkey, regexp_replace(lower(p_name || ' #' || p_brand), '[^a-z0-9_]', '_', 'g') AS folded, regexp_full_match(p_name || ' #' || p_brand, '[A-Za-z_][A-Za-z0-9_ $#]*') AS valid FROM part",
         "ident_collisions": r"SELECT replace(lower(p_brand), '#', '_') AS folded, count(DISTINCT name) AS names FROM (SELECT p_brand, unnest([p_brand, lower(p_brand), replace(p_brand, '#', '_')]) AS name FROM part) GROUP BY 1 HAVING count(DISTINCT name) > 1",
         "scope_filter": f"SELECT t AS table_name FROM (SELECT unnest([{_NAMES}]) AS t) WHERE (regexp_matches(t, '^[c-n]') OR t LIKE 'p%') AND NOT (t LIKE '%s' OR t LIKE 'nat_on')",
-        "managed_set": "SELECT * FROM (VALUES ('a'), ('d')) AS t(table_name)",
+        "managed_set": f"WITH e AS {_duck(SIDES, SIDE_COLUMNS)} SELECT table_name FROM e WHERE side = 'live' AND (table_name IN (SELECT table_name FROM e WHERE side = 'mine') OR table_name NOT IN (SELECT table_name FROM e WHERE side = 'source'))",
         "snapshot_diff_columns": f"SELECT * FROM {_CHANGES}",
         "snapshot_diff_tables": f"SELECT DISTINCT table_name, 'added' AS change FROM {_NEW} WHERE table_name NOT IN (SELECT table_name FROM {_OLD}) UNION ALL SELECT DISTINCT table_name, 'removed' FROM {_OLD} WHERE table_name NOT IN (SELECT table_name FROM {_NEW})",
         "snapshot_diff_summary": f"SELECT change, count(*) AS n, change = 'removed' AS is_destructive FROM {_CHANGES} GROUP BY change",
-        "snapshot_backfill": "SELECT * FROM (VALUES (1,'t','a',true,1,6), (2,'t','b',false,1,6), (3,'t','c',false,1,2), (4,'t','d',false,0,3), (1,'t','gone',false,0,NULL)) AS t(version, table_name, column_name, is_unsigned, display_width, datetime_precision)",
-        "pk_set_compare": "SELECT n, list_sort(string_split(lower(one), ',')) = list_sort(string_split(lower(two), ',')) AS same_set, one = two AS same_order FROM (VALUES (1,'a,b','B,a'), (2,'a','a,b'), (3,'id','ID')) AS t(n, one, two)",
+        "snapshot_backfill": f"""SELECT o.version, o.table_name, o.column_name, CASE WHEN n.column_name IS NOT NULL AND o.version < 2 THEN n.is_unsigned ELSE o.is_unsigned END AS is_unsigned, CASE WHEN n.column_name IS NOT NULL AND o.version < 4 THEN n.display_width ELSE o.display_width END AS display_width,
+  CASE WHEN n.column_name IS NOT NULL AND o.version < 3 THEN n.datetime_precision ELSE o.datetime_precision END AS datetime_precision FROM {_duck(BACKFILL["old"], BACKFILL_COLUMNS)} o LEFT JOIN {_duck(BACKFILL["now"], BACKFILL_COLUMNS)} n USING (table_name, column_name)""",
+        "pk_set_compare": f"SELECT n, list_sort(string_split(lower(one), ',')) = list_sort(string_split(lower(two), ',')) AS same_set, one = two AS same_order FROM {_duck(KEY_PAIRS, ['n', 'one', 'two'], ids=('n',))}",
         "drop_order": _DROP,
+        "name_references": f"SELECT * FROM {_REFERENCES}",
         "risk_filter": f"SELECT phase, object_name, risk FROM {_PLAN} WHERE {_RANK} <= 1",
         "risk_counts": f"SELECT count(*) FILTER (risk = 'safe') AS safe, count(*) FILTER (risk = 'blocking') AS blocking, count(*) FILTER (risk = 'rebuild') AS rebuild, count(*) FILTER (risk = 'data-loss') AS data_loss, count(*) AS total, bool_or({_RANK} > 2) AS needs_consent FROM {_PLAN}",
         "plan_order": f"SELECT phase, table_name, step, object_name, {_PHASE} AS phase_no, {_STEP} AS step_no FROM {_PLAN}",
-        "plan_script": f"SELECT string_agg('-- [' || risk || '] ' || description || chr(10) || sql || ';' || chr(10) || chr(10), '' ORDER BY {_PHASE}, table_name, {_STEP}, object_name) AS script FROM {_PLAN}",
+        "plan_script": f"SELECT database, string_agg('-- [' || risk || '] ' || description || chr(10) || sql || ';' || chr(10) || chr(10), '' ORDER BY {_PHASE}, table_name, {_STEP}, object_name) AS script FROM {_PLAN} GROUP BY database",
         "latest_snapshot": f"SELECT id, source_identity, captured_at FROM {_EVENTS} WHERE source_type = 'click' AND source_identity IN ('7', '') ORDER BY source_identity = '7' DESC, captured_at DESC, id DESC LIMIT 1",
         "list_snapshots": f"SELECT id, captured_at FROM {_EVENTS} ORDER BY captured_at DESC, id DESC LIMIT 50",
         "current_runs": f"SELECT * FROM {_LAST}",
         "recent_runs": f'SELECT run_id, "at" FROM {_LAST} ORDER BY "at" DESC, run_id DESC LIMIT 20',
         "reconcile_runs": f"SELECT run_id, CASE WHEN stale THEN 'failed' ELSE status END AS status, CASE WHEN stale THEN coalesce(error, 'stale run') ELSE error END AS error FROM (SELECT *, status = 'running' AND \"at\" < TIMESTAMP '2024-01-15' AS stale FROM {_LAST})",
         "schema_fingerprint": f"SELECT table_name, sha256(string_agg(table_name || '|' || ordinal || '|' || column_name || '|' || data_type, chr(10) ORDER BY ordinal)) AS fingerprint FROM {_SCHEMA} GROUP BY table_name",
-        "default_labels": "SELECT * FROM (VALUES " + ", ".join(f"({_quote(d)}, {_quote(w)})" for d, w in zip(DEFAULTS, _LABELS)) + ") AS t(fragment, label)",
+        "default_labels": f"SELECT table_name, fragment, label FROM {_duck(DEFAULT_ROWS, ['table_name', 'fragment'])} JOIN (VALUES " + ", ".join(f"({quoted(d)}, {quoted(w)})" for d, w in zip(DEFAULTS, _LABELS)) + ") AS l(fragment, label) USING (fragment)",
         "check_violations": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) FILTER ({_VIOLATIONS[n]}) AS violations FROM {t}" for n, (t, _) in CHECKS.items()),
         "create_table_ddl": " UNION ALL ".join(map(_create, _SQL_TYPES)),
         "foreign_key_ddl": _foreign_keys(),
         "alter_default_ddl": _alter_defaults(),
-        "capabilities": "SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{c}')" for d, cs in _LACKS.items() for c in cs.split()) + ") AS t(target, capability)",
+        "capabilities": f"SELECT table_name, target, capability FROM {_duck(NEEDS, ['table_name', 'capability'])} JOIN (VALUES " + ", ".join(f"('{d}', '{c}')" for d, cs in _LACKS.items() for c in cs.split()) + ") AS l(target, capability) USING (capability)",
     }
     return out | {f"map_to_{t}": f"SELECT dialect, data_type, length, prec, scale, fsp, {m} AS type_text FROM {_TYPED}" for t, m in _MAP.items()}

@@ -1,4 +1,4 @@
-"""Queries of drift and live differences over small schemas of a lending library, with DuckDB counterparts."""
+"""Queries of drift and live differences over the schemas of an estate of lending libraries, with DuckDB counterparts."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur import estate
 from larkspur.operators import diff, drift
 from larkspur.plans import ddl
 
@@ -65,72 +66,86 @@ def _literal(x: object, spark: bool) -> str:
     return str(x).lower()
 
 
-def values(rows: list[tuple], columns: list[str], spark: bool = False) -> str:
-    """The rows as a relation, in the SQL of either engine."""
-    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(_literal(x, spark) for x in r) + ')' for r in rows)}) AS t({', '.join(columns)}))"
+def listed(rows: list[tuple], spark: bool = False) -> str:
+    return "VALUES " + ", ".join("(" + ", ".join(_literal(x, spark) for x in r) + ")" for r in rows)
 
 
-def fixture(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
-    return spark.sql(values(rows, columns, True)[1:-1])
+def values(rows: list[tuple], columns: list[str]) -> str:
+    """The rows themselves as a DuckDB relation."""
+    return f"(SELECT * FROM ({listed(rows)}) AS t({', '.join(columns)}))"
 
 
-def _sides(spark: SparkSession, pair: str) -> list[DataFrame]:
-    out = [fixture(spark, rows, COLUMNS) for rows in LIVE[pair]]
+#: Objects have names of their own in each database.
+OBJECTS = {"names": ("table_name", "index_name", "ref_table")}
+
+
+def spread(rows: list[tuple], columns: list[str]) -> str:
+    """The estate's rows of a template as a DuckDB relation."""
+    return estate.relation(listed(rows), columns, **OBJECTS)
+
+
+def fixture(spark: SparkSession, sf_dir: str, rows: list[tuple], columns: list[str]) -> DataFrame:
+    template = spark.sql(f"SELECT * FROM ({listed(rows, True)}) AS t({', '.join(columns)})")
+    return estate.rows(spark, sf_dir, template, **OBJECTS)
+
+
+def _sides(spark: SparkSession, sf_dir: str, pair: str) -> list[DataFrame]:
+    out = [fixture(spark, sf_dir, rows, COLUMNS) for rows in LIVE[pair]]
     return [x.withColumn("fsp", F.col("fsp").cast("int")) for x in out]
 
 
 def _over(make: Callable[..., DataFrame], pair: str):
     def query(spark, sf_dir):
-        return make(*_sides(spark, pair), *pair.split("_"))
+        return make(*_sides(spark, sf_dir, pair), *pair.split("_"))
 
     return query
 
 
 def drift_tables(spark, sf_dir):
-    return drift.table_matches(*_sides(spark, "mssql_postgres"))
+    return drift.table_matches(*_sides(spark, sf_dir, "mssql_postgres"))
 
 
 def check_reconciliation(spark, sf_dir):
-    return drift.check_reconciliation(*(fixture(spark, c, ["table_name", "definition"]) for c in CHECKS), True)
+    return drift.check_reconciliation(*(fixture(spark, sf_dir, c, ["table_name", "definition"]) for c in CHECKS), True)
 
 
 def check_counts(spark, sf_dir):
-    return drift.check_reconciliation(*(fixture(spark, c, ["table_name", "definition"]) for c in CHECKS), False)
+    return drift.check_reconciliation(*(fixture(spark, sf_dir, c, ["table_name", "definition"]) for c in CHECKS), False)
 
 
 def _list(column: str, kind: str = "string") -> Column:
     return F.transform(F.filter(F.split(column, ";"), lambda x: x != ""), lambda x: x.cast(kind))
 
 
-def _indexes(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    t = fixture(spark, rows, INDEX_COLUMNS)
+def _indexes(spark: SparkSession, sf_dir: str, rows: list[tuple]) -> DataFrame:
+    t = fixture(spark, sf_dir, rows, INDEX_COLUMNS)
     return t.select("index_name", "table_name", F.split("cols", ";").alias("columns"), "is_unique", _list("inc").alias("include_cols"), F.when(F.col("filtered"), "x > 0").alias("filter"), _list("exprs", "boolean").alias("exprs"), _list("prefixes", "int").alias("prefixes"))
 
 
-def _signed(spark, rows):
+def _signed(spark, sf_dir, rows):
     signature = drift.index_signature(F.col("columns"), F.col("is_unique"), F.col("include_cols"), F.col("filter").isNotNull(), F.col("exprs"), F.col("prefixes"))
-    return _indexes(spark, rows).select(F.lower("table_name").alias("table_name"), signature.alias("signature"))
+    return _indexes(spark, sf_dir, rows).select(F.lower("table_name").alias("table_name"), signature.alias("signature"))
 
 
 def index_changes(spark, sf_dir):
-    return diff.object_changes(_indexes(spark, INDEXES), _indexes(spark, LIVE_INDEXES), ("index_name",), diff.same_index())
+    return diff.object_changes(_indexes(spark, sf_dir, INDEXES), _indexes(spark, sf_dir, LIVE_INDEXES), ("index_name",), diff.same_index())
 
 
 def index_signatures(spark, sf_dir):
-    return _signed(spark, INDEXES)
+    return _signed(spark, sf_dir, INDEXES)
 
 
 def signature_diff(spark, sf_dir):
-    return drift.signature_changes(_signed(spark, INDEXES), _signed(spark, LIVE_INDEXES), ["table_name", "signature"])
+    return drift.signature_changes(_signed(spark, sf_dir, INDEXES), _signed(spark, sf_dir, LIVE_INDEXES), ["table_name", "signature"])
 
 
 def key_signatures(spark, sf_dir):
-    t = fixture(spark, KEYS, KEY_COLUMNS)
+    t = fixture(spark, sf_dir, KEYS, KEY_COLUMNS)
     return t.select(drift.key_signature(F.split("cols", ","), F.split("refs", ","), *[F.col(c) for c in KEY_COLUMNS[2:]]).alias("signature"))
 
 
 def index_ddl(spark, sf_dir):
-    t = _indexes(spark, INDEXES)
+    t = _indexes(spark, sf_dir, INDEXES)
     # dialects without expression parts or prefixes get the other indexes
     plain = t.where((F.size("exprs") == 0) & (F.size("prefixes") == 0))
     no_prefix = t.where(F.size("prefixes") == 0)
@@ -156,7 +171,7 @@ MORE = {"mssql_postgres": {"place": "srid"}, "mysql_mysql": {"f": "computed_stor
 
 def _deltas(pair: str) -> str:
     """Missing and extra columns are joined; the criteria are those of DELTAS, each checked to belong to a pair."""
-    s, t = (values(rows, COLUMNS) for rows in LIVE[pair])
+    s, t = (spread(rows, COLUMNS) for rows in LIVE[pair])
     known = values(DELTAS[pair], ["c", "criteria"])
     return f"""WITH s AS (SELECT lower(table_name) AS t, lower(column_name) AS c FROM {s}), g AS (SELECT lower(table_name) AS t, lower(column_name) AS c FROM {t})
 SELECT t AS table_name, c AS column_name, unnest(string_split(criteria, ',')) AS criterion FROM s JOIN g USING (t, c) JOIN {known} k USING (c)
@@ -168,14 +183,14 @@ def _live(pair: str) -> str:
     for c, k in MORE[pair].items():
         every[c] = f"{every[c]},{k}" if c in every else k
     rows = [(c, k, "; ".join(sorted({drift.REFUSALS[x] for x in k.split(",") if x in drift.REFUSALS}))) for c, k in every.items()]
-    s, t = (values(rows_, COLUMNS) for rows_ in LIVE[pair])
+    s, t = (spread(rows_, COLUMNS) for rows_ in LIVE[pair])
     return f"""WITH s AS (SELECT lower(table_name) AS t, lower(column_name) AS c FROM {s}), g AS (SELECT lower(table_name) AS t, lower(column_name) AS c FROM {t})
 SELECT t AS table_name, c AS column_name, CASE WHEN reason = '' THEN 'change' ELSE 'refuse' END AS change, criteria, reason FROM s JOIN g USING (t, c) JOIN {values(rows, ["c", "criteria", "reason"])} k USING (c)
 UNION ALL SELECT t, c, 'add', '', '' FROM s ANTI JOIN g USING (t, c) WHERE t IN (SELECT t FROM g) UNION ALL SELECT t, c, 'remove', '', '' FROM g ANTI JOIN s USING (t, c) WHERE t IN (SELECT t FROM s)"""
 
 
 def _signatures(rows: list[tuple]) -> str:
-    return f"""(WITH i AS (SELECT *, row_number() OVER () AS n FROM {values(rows, INDEX_COLUMNS)}),
+    return f"""(WITH i AS (SELECT *, row_number() OVER () AS n FROM {spread(rows, INDEX_COLUMNS)}),
 p AS (SELECT n, unnest(string_split(cols, ';')) AS part, unnest(range(1, len(string_split(cols, ';')) + 1)) AS place, string_split(exprs, ';') AS e, string_split(prefixes, ';') AS l FROM i),
 k AS (SELECT n, string_agg(CASE WHEN e[place] = 'true' THEN 'expr:' || trim(part) ELSE lower(part) || CASE WHEN coalesce(try_cast(l[place] AS INT), 0) > 0 THEN '(' || l[place] || ')' ELSE '' END END, ',' ORDER BY place) AS parts FROM p GROUP BY n)
 SELECT lower(table_name) AS table_name, CASE WHEN is_unique THEN 'unique:' ELSE '' END || parts || CASE WHEN inc <> '' THEN '/include:' || replace(lower(inc), ';', ',') ELSE '' END || CASE WHEN filtered THEN '/filtered' ELSE '' END AS signature FROM i JOIN k USING (n))"""
@@ -192,32 +207,32 @@ def _index_ddl() -> str:
         include = f"CASE WHEN inc <> '' THEN ' INCLUDE (' || {names('inc')} || ')' ELSE '' END" if target in ("postgres", "mssql") else "''"
         where = "CASE WHEN filtered THEN ' WHERE x > 0' ELSE '' END" if target != "mysql" else "''"
         has = {"postgres": "prefixes = ''", "mysql": "true"}.get(target, "prefixes = '' AND exprs = ''")
-        listed = f"CASE WHEN index_name = 'd' THEN '(Lower(X)), {a}No{b}' WHEN index_name = 'b' THEN '{a}Hall_No{b}, {a}Email{b}(20)' ELSE {names('cols')} END"
-        parts.append(f"SELECT '{target}' AS target, 'CREATE ' || CASE WHEN is_unique THEN 'UNIQUE ' ELSE '' END || 'INDEX ' || {names('index_name')} || ' ON {schema}' || {names('table_name')} || ' (' || {listed} || ')' || {include} || {where} AS sql FROM {values(INDEXES, INDEX_COLUMNS)} WHERE {has}")
+        listed = f"CASE WHEN starts_with(index_name, 'd_') THEN '(Lower(X)), {a}No{b}' WHEN starts_with(index_name, 'b_') THEN '{a}Hall_No{b}, {a}Email{b}(20)' ELSE {names('cols')} END"
+        parts.append(f"SELECT '{target}' AS target, 'CREATE ' || CASE WHEN is_unique THEN 'UNIQUE ' ELSE '' END || 'INDEX ' || {names('index_name')} || ' ON {schema}' || {names('table_name')} || ' (' || {listed} || ')' || {include} || {where} AS sql FROM {spread(INDEXES, INDEX_COLUMNS)} WHERE {has}")
     return " UNION ALL ".join(parts)
 
 
 def _check_sql(same: str) -> str:
     side = "SELECT lower(table_name) AS table_name, count(*) AS n, list_sort(list(lower(trim(regexp_replace(definition, '\\s+', ' ', 'g'))))) AS texts FROM {} GROUP BY 1"
-    a, b = (side.format(values(c, ["table_name", "definition"])) for c in CHECKS)
+    a, b = (side.format(spread(c, ["table_name", "definition"])) for c in CHECKS)
     return f"""SELECT table_name, coalesce(a.n, 0) AS n_source, coalesce(b.n, 0) AS n_target, CASE WHEN coalesce(a.n, 0) > coalesce(b.n, 0) THEN 'add' WHEN coalesce(a.n, 0) < coalesce(b.n, 0) THEN 'drop' WHEN {same} AND a.texts <> b.texts THEN 'rewritten' ELSE 'same' END AS status
 FROM ({a}) a FULL JOIN ({b}) b USING (table_name)"""
 
 
 def oracle_sql() -> dict[str, str]:
     one, two = _signatures(INDEXES), _signatures(LIVE_INDEXES)
-    s, t = (values(rows, COLUMNS) for rows in LIVE["mssql_postgres"])
+    s, t = (spread(rows, COLUMNS) for rows in LIVE["mssql_postgres"])
     differ = " OR ".join(f"a.{c} IS DISTINCT FROM b.{c}" for c in ("cols", "is_unique", "inc", "filtered")) + " OR CASE WHEN contains(a.exprs, 'true') THEN a.exprs ELSE '' END <> CASE WHEN contains(b.exprs, 'true') THEN b.exprs ELSE '' END OR replace(replace(a.prefixes, '0', ''), ';', '') <> replace(replace(b.prefixes, '0', ''), ';', '')"
     return {
         "drift_tables": f"SELECT table_name, CASE WHEN b.x IS NULL THEN 'missing' WHEN a.x IS NULL THEN 'extra' ELSE 'both' END AS status FROM (SELECT DISTINCT lower(table_name) AS table_name, 1 AS x FROM {s}) a FULL JOIN (SELECT DISTINCT lower(table_name) AS table_name, 1 AS x FROM {t}) b USING (table_name)",
         "check_reconciliation": _check_sql("true"),
         "check_counts": _check_sql("false"),
-        "index_changes": f"""WITH a AS (SELECT * FROM {values(INDEXES, INDEX_COLUMNS)}), b AS (SELECT * FROM {values(LIVE_INDEXES, INDEX_COLUMNS)})
+        "index_changes": f"""WITH a AS (SELECT * FROM {spread(INDEXES, INDEX_COLUMNS)}), b AS (SELECT * FROM {spread(LIVE_INDEXES, INDEX_COLUMNS)})
 SELECT index_name, unnest(['removed', 'added']) AS change FROM a JOIN b USING (index_name) WHERE {differ}
 UNION ALL SELECT index_name, 'removed' FROM a ANTI JOIN b USING (index_name) UNION ALL SELECT index_name, 'added' FROM b ANTI JOIN a USING (index_name)""",
         "index_signatures": f"SELECT * FROM {one}",
         "signature_diff": f"SELECT *, 'missing' AS change FROM {one} a WHERE NOT EXISTS (SELECT 1 FROM {two} b WHERE a.table_name = b.table_name AND a.signature = b.signature) UNION ALL SELECT *, 'extra' FROM {two} a WHERE NOT EXISTS (SELECT 1 FROM {one} b WHERE a.table_name = b.table_name AND a.signature = b.signature)",
         "key_signatures": f"""SELECT (SELECT string_agg(lower(c) || ':' || lower(r), ',' ORDER BY i) FROM (SELECT unnest(string_split(cols, ',')) AS c, unnest(string_split(refs, ',')) AS r, unnest(range(len(string_split(cols, ',')))) AS i)) || '->' ||
-  CASE WHEN trim(coalesce(ref_schema, '')) = '' OR lower(ref_schema) = lower(own_schema) THEN 'self' ELSE lower(trim(ref_schema)) END || '.' || lower(ref_table) || '|' || {_ACTION.format("on_delete")} || '|' || {_ACTION.format("on_update")} AS signature FROM {values(KEYS, KEY_COLUMNS)}""",
+  CASE WHEN trim(coalesce(ref_schema, '')) = '' OR lower(ref_schema) = lower(own_schema) THEN 'self' ELSE lower(trim(ref_schema)) END || '.' || lower(ref_table) || '|' || {_ACTION.format("on_delete")} || '|' || {_ACTION.format("on_update")} AS signature FROM {spread(KEYS, KEY_COLUMNS)}""",
         "index_ddl": _index_ddl(),
     } | {f"drift_{p}": _deltas(p) for p in LIVE} | {f"live_diff_{p}": _live(p) for p in LIVE}

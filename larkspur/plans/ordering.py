@@ -69,45 +69,49 @@ def _in_cycles(tables: list[str], edges: set[tuple[str, str]]) -> set[str]:
     return found
 
 
-def ordered(statements: DataFrame) -> DataFrame:
-    """Statements with their place in the plan: by phase, ``seq`` (if there), table, step and name.
+def ordered(statements: DataFrame, by: str | None = None) -> DataFrame:
+    """Statements with their place in the plan: by phase, ``seq`` (if there), table, step and name, for each ``by``.
 
     ``seq`` puts keys of changed tables before those of new ones, and drops in their order.
     """
+    return placed(statements).orderBy(*[by] * (by is not None), *_order(statements))
+
+
+def placed(statements: DataFrame) -> DataFrame:
     phase, step = F.lit(len(PHASES)), F.lit(len(STEPS))
     for i, p in enumerate(PHASES):
         phase = F.when(F.col("phase") == p, i).otherwise(phase)
     for i, s in enumerate(STEPS):
         step = F.when(F.col("step") == s, i).otherwise(step)
-    return statements.withColumns({"phase_no": phase, "step_no": step}).orderBy(*_order(statements))
+    return statements.withColumns({"phase_no": phase, "step_no": step})
 
 
 def _order(statements: DataFrame) -> list[str]:
     return [c for c in ("phase_no", "seq", "table_name", "step_no", "object_name", "place") if c in statements.columns or c in ("phase_no", "step_no")]
 
 
-def script(statements: DataFrame, unsupported: DataFrame | None = None) -> DataFrame:
-    """The plan as one text: before each statement a comment with risk and description, its ``note``
-    and its ``warnings`` (if there); then what is ``unsupported`` (table_name, description, reason).
+def script(statements: DataFrame, unsupported: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """The plan as one text, or one for each ``by``: before each statement a comment with risk and description, its
+    ``note`` and its ``warnings`` (if there); then what is ``unsupported`` (table_name, description, reason).
 
-    Plans are small.
+    A text's plan is small: it is that of one database.
     """
-    placed = ordered(statements)
     head = F.concat(F.lit("-- ["), F.col("risk"), F.lit("] "), F.col("description"), F.lit("\n"))
     if "note" in statements.columns:
         head = F.concat(head, _comment("note", "note"))
     if "warnings" in statements.columns:
         each = F.transform("warnings", lambda w: F.concat(F.lit("-- warning: "), w, F.lit("\n")))
         head = F.concat(head, F.coalesce(F.array_join(each, ""), F.lit("")))
-    text = F.concat(head, F.col("sql"), F.lit(";\n\n"))
-    out = placed.select(F.struct(*_order(statements), text.alias("text")).alias("r")).agg(_joined().alias("script"))
+    own = [by] * (by is not None)
+    group = lambda df: df.groupBy(*own) if own else df
+    out = group(placed(statements).select(*own, F.struct(*_order(statements), F.concat(head, F.col("sql"), F.lit(";\n\n")).alias("text")).alias("r"))).agg(_joined().alias("script"))
     if unsupported is None:
         return out
-    parts = out.select(F.lit(0).alias("part"), F.col("script").alias("text"))
+    parts = out.select(*own, F.lit(0).alias("part"), F.col("script").alias("text"))
     block = F.concat(F.lit("-- [unsupported] "), F.col("description"), F.lit("\n"), _comment("table", "table_name"), _comment("reason", "reason"), F.lit("\n"))
-    rest = unsupported.select(F.struct("table_name", "description", block.alias("text")).alias("r")).agg(_joined().alias("text"))
-    both = parts.unionAll(rest.select(F.lit(1), "text"))
-    return both.select(F.struct("part", "text").alias("r")).agg(_joined().alias("script"))
+    rest = group(unsupported.select(*own, F.struct("table_name", "description", block.alias("text")).alias("r"))).agg(_joined().alias("text"))
+    both = parts.unionAll(rest.select(*own, F.lit(1), "text"))
+    return group(both.select(*own, F.struct("part", "text").alias("r"))).agg(_joined().alias("script"))
 
 
 def _joined():

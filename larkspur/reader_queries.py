@@ -1,4 +1,4 @@
-"""Queries of the catalog readers over small catalogs of a lending library, with DuckDB counterparts."""
+"""Queries of the catalog readers over the catalogs of an estate of lending libraries, with DuckDB counterparts."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur import estate
 from larkspur.sources import readers
 
 #: Columns and rows of each catalog relation.
@@ -60,11 +61,25 @@ RELATIONS = {
 LIST = ["columns", "ref_columns", "include_cols", "exprs", "prefixes", "enum_values"]
 
 
-def relation(spark: SparkSession, name: str) -> DataFrame:
+#: Columns by which objects are told apart in all databases.
+NAMES = ("table_name", "relname", "referenced_table_name")
+IDS = ("oid", "attrelid", "indexrelid", "indrelid", "conrelid", "confrelid", "object_id", "constraint_object_id", "parent_object_id", "referenced_object_id")
+#: Names of other columns of some relations.
+MORE_NAMES = {"my_checks": ("constraint_name",), "my_constraints": ("constraint_name",), "ms_tables": ("name",)}
+#: Relations of which a database may lack rows.
+LOOSE = ("tables", "columns", "spatial", "probes", "ms_partitions", "ms_checks", "my_references")
+
+
+def _how(name: str) -> dict:
+    return {"names": NAMES + MORE_NAMES.get(name, ()), "ids": IDS, "whole": name not in LOOSE}
+
+
+def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     columns, rows = RELATIONS[name]
     # string literals are written for DuckDB: Spark escapes by backslashes
     rows = re.sub(r"'((?:[^']|'')*)'", lambda m: "'" + m[1].replace("''", "'").replace("\\", "\\\\").replace("'", "\\'") + "'", rows)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
+    template = spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
+    return template if name == "fast_counts" else estate.rows(spark, sf_dir, template, **_how(name))
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -74,7 +89,7 @@ def _plain(df: DataFrame) -> DataFrame:
 
 def _reader(make: Callable[..., DataFrame], *names: str):
     def query(spark, sf_dir):
-        return _plain(make(*(relation(spark, n) for n in names)))
+        return _plain(make(*(relation(spark, sf_dir, n) for n in names)))
 
     return query
 
@@ -82,7 +97,7 @@ def _reader(make: Callable[..., DataFrame], *names: str):
 def _counts(spark, sf_dir):
     from larkspur.catalog_queries import row_count_exact
 
-    return readers.row_count_or_exact(relation(spark, "fast_counts"), row_count_exact(spark, sf_dir))
+    return readers.row_count_or_exact(relation(spark, sf_dir, "fast_counts"), row_count_exact(spark, sf_dir))
 
 
 QUERIES = {
@@ -179,7 +194,7 @@ def oracle_sql() -> dict[str, str]:
     from larkspur.catalog_sql import _COUNTS
 
     def with_relations(sql: str) -> str:
-        used = [f"{n}({c}) AS (VALUES {v})" for n, (c, v) in RELATIONS.items() if n in sql]
+        used = [f"{n} AS (SELECT * FROM (VALUES {v}) AS t({c}))" if n == "fast_counts" else f"{n} AS {estate.relation(f'VALUES {v}', c.split(', '), **_how(n))}" for n, (c, v) in RELATIONS.items() if n in sql]
         return f"WITH {', '.join(used)} " + (", " + sql.removeprefix("WITH ") if sql.startswith("WITH ") else sql)
 
     out = {name: with_relations(sql) for name, sql in SQL.items()}

@@ -68,3 +68,17 @@ def key_facts(columns: DataFrame, counts: DataFrame, threshold: int) -> DataFram
     return keys.join(counts, "table_name").select(
         "table_name", "key_size", (F.col("key_size") > 0).alias("has_key"), single.alias("has_single_key"), (F.col("row_count") > threshold).alias("is_large"), (single & F.coalesce(F.col("key_type").isin(*PAGED), F.lit(False))).alias("supports_keyset")
     )
+
+
+def references(columns: DataFrame) -> DataFrame:
+    """References that names tell of: a column named as the first column of a table that its stem names.
+
+    Prefixes of one or two letters don't count, and the stem is what precedes ``key`` or
+    ``_id``: ``o_custkey`` references the first column ``c_custkey`` of ``customer``.
+    """
+    base = F.regexp_replace("column_name", r"^[a-z]{1,2}_", "")
+    stem = F.regexp_replace("base", "(key|_id)$", "")
+    child = columns.select("table_name", "column_name", base.alias("base"))
+    parent = columns.where("ordinal = 1").select(F.col("table_name").alias("ref_table"), F.col("column_name").alias("ref_column"), base.alias("base"))
+    parent = parent.where(F.col("ref_table").startswith(stem) & (stem != F.col("base")))
+    return child.join(parent, "base").where("table_name != ref_table").select("table_name", "column_name", "ref_table", "ref_column")
