@@ -21,7 +21,7 @@ LACKS = 11
 
 
 def rows(spark: SparkSession, sf_dir: str, template: DataFrame, names: tuple[str, ...] = NAMES, ids: tuple[str, ...] = (), whole: bool = False, own: bool = False) -> DataFrame:
-    """The template's rows for each supplier; all of them if ``whole``, with database and row (unique) if ``own``."""
+    """The template's rows for each supplier; all of them if ``whole``, with database and row_id if ``own``."""
     listed = [{"n_": i} | r.asDict() for i, r in enumerate(template.collect())]  # a literal's rows: no job runs
     kind = T.ArrayType(T.StructType([T.StructField("n_", T.IntegerType()), *template.schema.fields]))
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
@@ -37,7 +37,7 @@ def rows(spark: SparkSession, sf_dir: str, template: DataFrame, names: tuple[str
             value = (value + F.col("s_suppkey") * STEP).cast(t)
         out.append(value.alias(c))
     if own:
-        out += [F.col("s_suppkey").alias("database"), (F.col("s_suppkey") * STEP + F.col("n_")).alias("row")]
+        out += [F.col("s_suppkey").alias("database"), (F.col("s_suppkey") * STEP + F.col("n_")).alias("row_id")]
     return every.select(*out)
 
 
@@ -52,6 +52,6 @@ def relation(values: str, columns: list[str], names: tuple[str, ...] = NAMES, id
         else:
             out.append(c)
     if own:
-        out += ["s_suppkey AS database", f'(s_suppkey * {STEP} + n_)::BIGINT AS "row"']
+        out += ["s_suppkey AS database", f'(s_suppkey * {STEP} + n_)::BIGINT AS row_id']
     where = "" if whole else f" WHERE (s_suppkey + 3 * n_) % {LACKS} <> 0"
     return f"(SELECT {', '.join(out)} FROM supplier, (SELECT *, row_number() OVER () - 1 AS n_ FROM ({values}) AS v_({', '.join(columns)})) AS t_{where})"

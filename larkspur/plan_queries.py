@@ -1,10 +1,11 @@
 """Queries of plans, validation, manifests and mapping losses, with their DuckDB counterparts.
 
-The fixtures are of a reading room's catalog; both engines read the same ``VALUES``.
+The templates are of a reading room's catalog, of which each supplier keeps one (``estate``).
 """
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur import catalog_queries
@@ -30,7 +31,7 @@ LOSSY_COLUMNS = ["dialect", "data_type", "said", "length", "prec", "scale", "fsp
 
 
 def mapping_warnings(spark, sf_dir):
-    t = fixture(spark, LOSSY, LOSSY_COLUMNS)
+    t = fixture(spark, sf_dir, LOSSY, LOSSY_COLUMNS)
     t = t.withColumns({"kind": types.kind(F.col("data_type"), F.col("dialect"), F.col("length")), "tz": types.zoned(F.col("data_type")), "national": types.national(F.col("data_type"))})
     facts = types.Facts(*[F.col(c) for c in ("kind", "length", "prec", "scale", "unsigned", "tz", "national", "fsp")], F.lit(None).cast("string"))
     utc = (F.col("dialect") == "mysql") & (F.col("data_type") == "timestamp")
@@ -70,14 +71,18 @@ SELECT dialect, data_type, kind, length, target, (row_number() OVER (PARTITION B
 DECLARED = [("INTEGER", "bigint"), ("int4", "integer"), ("VARCHAR(20)", "varchar"), ("FLOATING POINT", "bigint"), ("native character(70)", "text"), ("my blob", "blob"), ("DOUBLE UNSIGNED", "double"), ("", "text"), ("STRING", "raw"), ("decimal(10, 5)", "decimal"), ("Real", "double"), ("longtext", "text"), ("varying character(9)", "varchar"), ("uuid", "uuid"), ("MONEY", "raw"), (" datetime ", "timestamp")]
 
 
+DECLARATIONS = "VALUES " + ", ".join(f"('loan', '{d}')" for d, _ in DECLARED)
+
+
 def sqlite_kinds(spark, sf_dir):
-    return spark.createDataFrame([(d,) for d, _ in DECLARED], "declaration string").select("declaration", types.sqlite_kind(F.col("declaration")).alias("kind"))
+    t = fixture(spark, sf_dir, DECLARATIONS, ["table_name", "declaration"])
+    return t.select("table_name", "declaration", types.sqlite_kind(F.col("declaration")).alias("kind"))
 
 
 _SQLITE = (
-    "SELECT declaration, CASE WHEN n IN ('integer', 'int', 'bigint', 'int8', 'rowid') THEN 'bigint' WHEN n = 'int4' THEN 'integer' WHEN n IN ('varchar', 'nvarchar', 'character varying', 'varying character') THEN 'varchar' WHEN n IN ('real', 'double', 'float', 'double precision') THEN 'double' "
+    "SELECT table_name, declaration, CASE WHEN n IN ('integer', 'int', 'bigint', 'int8', 'rowid') THEN 'bigint' WHEN n = 'int4' THEN 'integer' WHEN n IN ('varchar', 'nvarchar', 'character varying', 'varying character') THEN 'varchar' WHEN n IN ('real', 'double', 'float', 'double precision') THEN 'double' "
     "WHEN n IN ('decimal', 'numeric') THEN 'decimal' WHEN n IN ('datetime', 'timestamp') THEN 'timestamp' WHEN n IN ('uuid', 'json', 'date', 'time', 'blob', 'text') THEN n WHEN n = '' THEN 'text' WHEN contains(n, 'int') THEN 'bigint' WHEN regexp_matches(n, 'char|clob|text') THEN 'text' "
-    "WHEN contains(n, 'blob') THEN 'blob' WHEN regexp_matches(n, 'real|floa|doub') THEN 'double' ELSE 'raw' END AS kind FROM (SELECT declaration, trim(string_split(lower(trim(declaration)), '(')[1]) AS n FROM (VALUES " + ", ".join(f"('{d}')" for d, _ in DECLARED) + ") AS t(declaration))"
+    "WHEN contains(n, 'blob') THEN 'blob' WHEN regexp_matches(n, 'real|floa|doub') THEN 'double' ELSE 'raw' END AS kind FROM (SELECT table_name, declaration, trim(string_split(lower(trim(declaration)), '(')[1]) AS n FROM " + _duck(DECLARATIONS, ["table_name", "declaration"]) + ")"
 )
 
 #: table, column, old and new type, nullability and default, criteria, other attributes (lists by commas)
@@ -87,15 +92,15 @@ CHANGED = """VALUES
 CHANGED_COLUMNS = ["table_name", "column_name", "old_type", "new_type", "old_nullable", "new_nullable", "old_default", "new_default", "criteria", "attributes"]
 
 
-def _changed(spark):
+def _changed(spark, sf_dir):
     lists = {c: F.filter(F.split(c, ","), lambda x: x != "") for c in ("criteria", "attributes")}
-    return fixture(spark, CHANGED, CHANGED_COLUMNS).withColumns(lists)
+    return fixture(spark, sf_dir, CHANGED, CHANGED_COLUMNS).withColumns(lists)
 
 
 def column_change_plan(spark, sf_dir):
     out = None
     for target in TARGETS:
-        one = changes.expanded(_changed(spark), target).withColumn("target", F.lit(target))
+        one = changes.expanded(_changed(spark, sf_dir), target).withColumn("target", F.lit(target))
         out = one if out is None else out.unionAll(one)
     return out
 
@@ -211,8 +216,14 @@ script AS (SELECT (SELECT string_agg('-- [' || risk || '] ' || description || ch
 
 def create_plan(spark, sf_dir):
     """The order of a plan that creates a schema: schema, tables, indexes, keys, checks; each in the source's order."""
-    rows = [("schema", 0, "app")] + [("table", i, t) for i, t in enumerate(TABLES)] + [("foreign key", i, f"fk_{a}_{b}") for i, (a, b) in enumerate(catalog_queries.REFERENCES)] + [("check", i, n) for i, n in enumerate(sorted(catalog_queries.CHECKS))] + [("index", i, f"ix_{b}") for i, (_, b) in enumerate(catalog_queries.REFERENCES)]
-    return ordering.create_order(spark.createDataFrame(rows, "kind string, source_place int, object_name string"))
+    tables = catalog.parquet_columns(spark, sf_dir, TABLES).where("ordinal = 1").select(F.lit("table").alias("kind"), "table_name")
+    refs = catalog_queries.name_references(spark, sf_dir)
+    rest = refs.select(F.lit("foreign key"), F.concat_ws("_", F.lit("fk"), "table_name", "ref_table")).unionAll(refs.select(F.lit("index"), F.concat_ws("_", F.lit("ix"), "table_name", "column_name")))
+    checks = spark.range(1).select(F.explode(F.expr("map_from_entries(array(" + ", ".join(f"struct('{n}', 'check')" for n in sorted(catalog_queries.CHECKS)) + "))")).alias("object_name", "kind"))
+    schema = spark.range(1).select(F.lit("schema").alias("kind"), F.lit("app").alias("object_name"))
+    every = tables.toDF("kind", "object_name").unionAll(rest).unionAll(checks.select("kind", "object_name")).unionAll(schema)
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("object_name")) - 1
+    return ordering.create_order(every.withColumn("source_place", place))
 
 
 BAD = {
@@ -227,12 +238,12 @@ def _list(c: str):
 
 
 def invalid_definitions(spark, sf_dir):
-    t = fixture(spark, BAD["tables"], ["table_name", "columns", "key"])
+    t = fixture(spark, sf_dir, BAD["tables"], ["table_name", "columns", "key"])
     part = lambda c, i: F.element_at(F.split(c, ":"), i)
     t = t.withColumns({"columns": F.transform(_list("columns"), lambda c: F.struct(part(c, 1).alias("name"), part(c, 2).alias("data_type"), (part(c, 3) == "i").alias("is_identity"), (part(c, 4) == "d").alias("has_default"), (part(c, 4) == "c").alias("is_computed"))), "key": _list("key")})
-    ix = fixture(spark, BAD["indexes"], ["index_name", "table_name", "columns", "exprs", "prefixes", "include_cols"])
+    ix = fixture(spark, sf_dir, BAD["indexes"], ["index_name", "table_name", "columns", "exprs", "prefixes", "include_cols"])
     ix = ix.withColumns({"columns": _list("columns"), "exprs": F.transform(_list("exprs"), lambda x: x == "true"), "prefixes": _list("prefixes").cast("array<int>"), "include_cols": _list("include_cols")})
-    fk = fixture(spark, BAD["keys"], ["fk_name", "table_name", "columns", "ref_table", "ref_columns", "on_delete", "on_update"]).withColumns({"columns": _list("columns"), "ref_columns": _list("ref_columns")})
+    fk = fixture(spark, sf_dir, BAD["keys"], ["fk_name", "table_name", "columns", "ref_table", "ref_columns", "on_delete", "on_update"]).withColumns({"columns": _list("columns"), "ref_columns": _list("ref_columns")})
     out = validation.indexes(ix).select(F.lit("index").alias("what"), F.lit("").alias("target"), "name", "place", "violation")
     for target in types.TARGETS:
         out = out.unionAll(validation.tables(t, target).select(F.lit("table"), F.lit(target), "name", "place", "violation"))
@@ -263,12 +274,12 @@ def _invalid_sql() -> str:
     ]
     parts = []
     for what, rules, source, name, target in (
-        ("table", t, f"{_duck(BAD['tables'], ['table_name', 'columns', 'key'])}, {dialects}", "table_name", "target"),
-        ("index", ix, _duck(BAD["indexes"], ["index_name", "table_name", "columns", "exprs", "prefixes", "include_cols"]), "index_name", "''"),
-        ("foreign key", fk, f"{_duck(BAD['keys'], ['fk_name', 'table_name', 'columns', 'ref_table', 'ref_columns', 'on_delete', 'on_update'])}, {dialects}", "fk_name", "target"),
+        ("table", t, f"{_duck(BAD['tables'], ['table_name', 'columns', 'key'], own=True)}, {dialects}", "table_name", "target"),
+        ("index", ix, _duck(BAD["indexes"], ["index_name", "table_name", "columns", "exprs", "prefixes", "include_cols"], own=True), "index_name", "''"),
+        ("foreign key", fk, f"{_duck(BAD['keys'], ['fk_name', 'table_name', 'columns', 'ref_table', 'ref_columns', 'on_delete', 'on_update'], own=True)}, {dialects}", "fk_name", "target"),
     ):
-        parts += [f"SELECT '{what}' AS what, {target} AS target, {name} AS name, {i} AS rule, '{why}' AS violation FROM {source} WHERE {when}" for i, (when, why) in enumerate(rules)]
-    return f"SELECT what, target, name, (row_number() OVER (PARTITION BY what, target, name ORDER BY rule) - 1)::INT AS place, violation FROM ({' UNION ALL '.join(parts)})"
+        parts += [f"SELECT '{what}' AS what, {target} AS target, {name} AS name, row_id, {i} AS rule, '{why}' AS violation FROM {source} WHERE {when}" for i, (when, why) in enumerate(rules)]
+    return f"SELECT what, target, name, (row_number() OVER (PARTITION BY what, target, row_id ORDER BY rule) - 1)::INT AS place, violation FROM ({' UNION ALL '.join(parts)})"
 
 
 def table_predicates(spark, sf_dir):
@@ -290,11 +301,16 @@ NAMED_COLUMNS = ["table_name", "schema_name", "object_name", "parts", "exprs", "
 
 
 def normalized_objects(spark, sf_dir):
-    t = fixture(spark, NAMED, NAMED_COLUMNS).withColumns({"parts": F.split("parts", ","), "exprs": F.transform(F.split("exprs", ","), lambda x: x == "true")})
+    t = fixture(spark, sf_dir, NAMED, NAMED_COLUMNS).withColumns({"parts": F.split("parts", ","), "exprs": F.transform(F.split("exprs", ","), lambda x: x == "true")})
     out = changes.retargeted(changes.normalized(t, identifiers.folded, ("table_name", "object_name"), {"parts": "exprs"}), "app")
     return out.withColumn("parts", F.array_join("parts", "|")).drop("exprs")
 
 
+def _fold(name: str) -> str:
+    word = f"regexp_replace(lower({name}), '[^\\p{{L}}\\p{{Nd}}_]', '_', 'g')"
+    return f"CASE WHEN regexp_matches({name}, '^[0-9]') THEN 'col_' || {word} ELSE {word} END"
+
+
 LIVE = "VALUES ('loan', 'due', 'ix_due', 'fk_reader', 'foreign_key', 'app'), ('o''hara', 'a', 'ix', 'pk', 'primary_key', 'it''s')"
 LIVE_COLUMNS = ["table_name", "column_name", "index_name", "constraint_name", "constraint_kind", "schema_name"]
 EVOLVED = [(d, op) for d in ("postgres", "mssql", "mysql") for op in ("create_schema", "drop_schema", "drop_table", "truncate_table", "drop_index", "drop_constraint", "drop_column")] + [("sqlite", op) for op in ("drop_table", "truncate_table", "drop_index", "drop_column")] + [("clickhouse", op) for op in ("drop_schema", "drop_column")]
@@ -302,7 +318,7 @@ EVOLVED = [(d, op) for d in ("postgres", "mssql", "mysql") for op in ("create_sc
 
 def evolution_batches(spark, sf_dir):
     """The statements of each operation on each dialect."""
-    registry, t, out = api.Registry(), fixture(spark, LIVE, LIVE_COLUMNS), None
+    registry, t, out = api.Registry(), fixture(spark, sf_dir, LIVE, LIVE_COLUMNS), None
     for d, op in EVOLVED:
         one = registry.apply(op, t, d).select(F.lit(d).alias("target"), F.lit(op).alias("operation"), "table_name", "place", "sql", "best_effort")
         out = one if out is None else out.unionAll(one)
@@ -357,10 +373,12 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     from larkspur import catalog_sql
-    from larkspur.catalog_sql import _COUNTS, _LAST, _SCHEMA
+    from larkspur.catalog_sql import _COUNTS, _LAST, _REFERENCES, _SCHEMA
 
-    objects = {"schema": ["app"], "table": TABLES, "index": [f"ix_{b}" for _, b in catalog_queries.REFERENCES], "foreign key": [f"fk_{a}_{b}" for a, b in catalog_queries.REFERENCES], "check": sorted(catalog_queries.CHECKS)}
-    plan = " UNION ALL ".join(f"SELECT {i} AS phase_no, unnest(range({len(names)}))::INT AS source_place, unnest({names}) AS object_name, '{kind}' AS kind" for i, (kind, names) in enumerate(objects.items()))
+    plan = " UNION ALL ".join([
+        "SELECT 0 AS phase_no, 'schema' AS kind, 'app' AS object_name", f"SELECT 1, 'table', table_name FROM {_SCHEMA} WHERE ordinal = 1", f"SELECT 2, 'index', 'ix_' || table_name || '_' || column_name FROM {_REFERENCES}",
+        f"SELECT 3, 'foreign key', 'fk_' || table_name || '_' || ref_table FROM {_REFERENCES}", *[f"SELECT 4, 'check', '{n}'" for n in catalog_queries.CHECKS],
+    ])
     one, two = ("sha256(to_json({n: " + str(i) + ", name: '" + n + "'})::VARCHAR)" for n, i in (("a", 1), ("b", 2)))
     return {
         "mapping_warnings": _warnings_sql(),
@@ -372,11 +390,12 @@ def oracle_sql() -> dict[str, str]:
         "sync_manifest": _SYNC + f"SELECT 'mssql' AS source_dialect, 'postgres' AS target_dialect, 'sha256:' || sha256((SELECT string_agg(h, chr(10) ORDER BY h) FROM (SELECT unnest([{one}, {two}]) AS h))) AS source_fingerprint, 'sha256:' || sha256(script) AS plan_fingerprint, (SELECT count(*) FROM p) AS statement_count, (SELECT count(*) FROM u) AS unsupported_count FROM script",
         "create_manifest": f"""SELECT 'spark' AS source_dialect, 'postgres' AS target_dialect, 'fail' AS unknown_type_policy, (SELECT 'sha256:' || sha256(string_agg(h, chr(10) ORDER BY h)) FROM (SELECT sha256(to_json({{column_name: column_name, data_type: data_type, ordinal: ordinal, table_name: table_name}})::VARCHAR) AS h FROM {_SCHEMA})) AS source_fingerprint,
   (SELECT 'sha256:' || sha256(string_agg(sql, ';' || chr(10) || chr(10) ORDER BY table_name)) FROM ({catalog_sql.oracle_sql()["create_table_ddl"]}) WHERE target = 'postgres') AS plan_fingerprint, {len(TABLES)}::BIGINT AS table_count, (SELECT count(*) FROM ({_warnings_sql()}) WHERE target = 'postgres') AS warning_count""",
-        "create_plan": f"SELECT kind, object_name, (row_number() OVER (ORDER BY phase_no, source_place) - 1)::INT AS place FROM ({plan})",
+        "create_plan": f"SELECT kind, object_name, (row_number() OVER (ORDER BY phase_no, object_name) - 1)::INT AS place FROM ({plan})",
         "invalid_definitions": _invalid_sql(),
         "table_predicates": f"SELECT table_name, key_size, key_size > 0 AS has_key, key_size = 1 AS has_single_key, row_count > 1000 AS is_large, key_size = 1 AND first IN ('int', 'bigint') AS supports_keyset FROM (SELECT table_name, any_value(row_count) AS row_count, max(CASE WHEN ordinal = 1 THEN data_type END) AS first, CASE WHEN {_TWO} THEN 2 ELSE 1 END AS key_size FROM {_SCHEMA} s JOIN {_COUNTS} c USING (table_name) GROUP BY table_name)",
         "run_by_id": f'SELECT run_id, "at", status FROM {_LAST} WHERE run_id = 7',
-        "normalized_objects": "SELECT * FROM (VALUES ('loan_desk', 'app', 'col_2nd_key', 'a|lower(B)', 'app'), ('reader', NULL, 'größe', 'x_y', NULL)) AS t(table_name, schema_name, object_name, parts, ref_schema)",
+        "normalized_objects": f"""SELECT {_fold("table_name")} AS table_name, CASE WHEN schema_name IS NOT NULL THEN 'app' END AS schema_name, {_fold("object_name")} AS object_name,
+  array_to_string([CASE WHEN split_part(exprs, ',', i) = 'true' THEN split_part(parts, ',', i) ELSE {_fold("split_part(parts, ',', i)")} END FOR i IN range(1, len(string_split(parts, ',')) + 1)], '|') AS parts, CASE WHEN ref_schema IS NOT NULL THEN 'app' END AS ref_schema FROM {_duck(NAMED, NAMED_COLUMNS)}""",
         "evolution_batches": _evolution_sql(),
         "schema_artifact": f"SELECT table_name, to_json(list({{ordinal: ordinal, column_name: column_name, data_type: data_type}} ORDER BY ordinal))::VARCHAR AS columns FROM {_SCHEMA} GROUP BY table_name",
     }
