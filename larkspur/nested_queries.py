@@ -80,8 +80,59 @@ def _losses() -> str:
     return " UNION ALL ".join(f"SELECT p_partkey, '{names[t]}' AS target, '{why.replace(chr(39), chr(39) * 2)}' AS reason FROM {_KINDS} WHERE {when}" for ts, when, why in _LOST for t in ts)
 
 
+#: dialect, declared type, subtype, srid, and whether the part's brand and name are its members, by p_partkey % 12.
+OTHERS = [
+    ("postgres", "'geometry(Point,' || p_size || ')'", "NULL", "NULL", False), ("postgres", "'geography'", "'ST_Polygon'", "p_size", False), ("postgres", "'GEOMETRY(ST_MultiPoint)'", "'point'", "NULL", False), ("postgres", "'geometry'", "NULL", "NULL", False),
+    ("mysql", "'point'", "NULL", "p_size", False), ("mysql", "'geometrycollection'", "NULL", "0", False), ("mssql", "'geography'", "NULL", "p_size", False), ("mysql", "'enum'", "NULL", "NULL", True), ("mysql", "'set'", "NULL", "NULL", True),
+    ("mysql", "'enum'", "NULL", "NULL", False), ("postgres", "'_varchar'", "NULL", "NULL", False), ("postgres", "'numeric[]'", "NULL", "NULL", False),
+]
+
+
+def _other(i: int) -> str:
+    return "CASE p_partkey % 12 " + " ".join(f"WHEN {n} THEN {(chr(39) + o[0] + chr(39)) if i == 0 else o[i]}" for n, o in enumerate(OTHERS)) + " END"
+
+
+_MEMBERED = "p_partkey % 12 IN (7, 8)"
+
+
+def _others(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    facts = part.select("p_partkey", "p_size", F.expr(_other(0)).alias("dialect"), F.expr(_other(1)).alias("data_type"), F.expr(_other(2)).cast("string").alias("subtype"), F.expr(_other(3)).cast("int").alias("srid"), F.when(F.expr(_MEMBERED), F.array("p_brand", "p_name")).alias("members"))
+    none = F.lit(None).cast("int")
+    k = kinds.declared(F.col("data_type"), F.col("dialect"), F.when(F.expr("p_partkey % 12 = 10"), F.col("p_size")), F.when(F.expr("p_partkey % 12 = 11"), F.col("p_size")), F.lit(2), none, F.lit(False), F.col("members"), F.col("subtype"), F.col("srid"))
+    return facts.withColumn("k", k)
+
+
+def spatial_kinds(spark, sf_dir):
+    """Family, subtype, srid and array levels of each part's declared type."""
+    k = F.col("k")
+    return _others(spark, sf_dir).select("p_partkey", "data_type", k["kind"].alias("kind"), k["family"].alias("family"), k["subtype"].alias("subtype"), k["srid"].alias("srid"), k["depth"].alias("depth"))
+
+
+def member_maps(spark, sf_dir):
+    """Each part's spatial type, enum, set or array on every target."""
+    return _others(spark, sf_dir).select("p_partkey", *[kinds.render(t, F.col("k")).alias(t) for t in types.TARGETS])
+
+
+_SPATIAL = f"""(SELECT *, p_partkey % 12 AS n, {_other(1)} AS data_type, CASE p_partkey % 12 WHEN 0 THEN 'Point' WHEN 1 THEN 'Polygon' WHEN 2 THEN 'MultiPoint' WHEN 4 THEN 'Point' WHEN 5 THEN 'GeometryCollection' ELSE '' END AS sub,
+  CASE WHEN p_partkey % 12 IN (0, 1, 4, 6) THEN p_size ELSE 0 END AS srid, CASE WHEN p_partkey % 12 IN (1, 6) THEN 'geography' ELSE 'geometry' END AS family FROM part)"""
+
+
+def _member_maps() -> str:
+    pg = "CASE WHEN sub = '' AND srid = 0 THEN family ELSE family || '(' || CASE sub WHEN '' THEN 'Geometry' ELSE sub END || CASE WHEN srid > 0 THEN ',' || srid ELSE '' END || ')' END"
+    listed = "'(''' || p_brand || ''',''' || p_name || ''')'"
+    sets = {
+        "postgres": f"CASE WHEN n < 7 THEN {pg} WHEN n < 10 THEN 'text' WHEN n = 10 THEN format('character varying({{}})[]', p_size) ELSE format('numeric({{}},2)[]', p_size) END",
+        "mssql": "CASE WHEN n < 7 THEN upper(family) WHEN n = 7 THEN format('NVARCHAR({})', greatest(length(p_brand), length(p_name))) WHEN n = 8 THEN format('NVARCHAR({})', length(p_brand) + length(p_name) + 1) WHEN n = 9 THEN 'NVARCHAR(255)' ELSE 'NVARCHAR(MAX)' END",
+        "mysql": f"CASE WHEN n < 7 THEN CASE sub WHEN '' THEN 'GEOMETRY' ELSE upper(sub) END || CASE WHEN srid > 0 THEN ' SRID ' || srid ELSE '' END WHEN n = 7 THEN 'ENUM' || {listed} WHEN n = 8 THEN 'SET' || {listed} WHEN n > 9 THEN 'JSON' END",
+        "sqlite": "CASE WHEN n < 7 THEN 'BLOB' ELSE 'TEXT' END",
+        "clickhouse": "CASE WHEN n = 7 THEN 'Enum8(''' || p_brand || ''' = 1, ''' || p_name || ''' = 2)' WHEN n < 10 THEN 'String' WHEN n = 10 THEN 'Array(String)' ELSE format('Array(Decimal({}, 2))', p_size) END",
+    }
+    return "SELECT p_partkey, " + ", ".join(f"{sql} AS {t}" for t, sql in sets.items()) + f" FROM {_SPATIAL}"
+
+
 def queries():
-    return {f.__name__: f for f in (clickhouse_kinds, clickhouse_maps, clickhouse_losses)}
+    return {f.__name__: f for f in (clickhouse_kinds, clickhouse_maps, clickhouse_losses, spatial_kinds, member_maps)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -89,4 +140,6 @@ def oracle_sql() -> dict[str, str]:
         "clickhouse_kinds": f"SELECT p_partkey, data_type, kind, length, precision, scale, depth, fsp, zoned, unsigned, members, raw FROM {_KINDS}",
         "clickhouse_maps": _maps(),
         "clickhouse_losses": _losses(),
+        "spatial_kinds": f"SELECT p_partkey, data_type, CASE WHEN n < 7 THEN 'spatial' WHEN n IN (7, 9) THEN 'enum' WHEN n = 8 THEN 'set' WHEN n = 10 THEN 'varchar' ELSE 'decimal' END AS kind, CASE WHEN n < 7 THEN family END AS family, CASE WHEN n < 7 THEN lower(sub) END AS subtype, CASE WHEN n < 7 THEN srid END AS srid, CASE WHEN n > 9 THEN 1 ELSE 0 END AS depth FROM {_SPATIAL}",
+        "member_maps": _member_maps(),
     }

@@ -113,8 +113,10 @@ def _column_change_sql() -> str:
         table, col = f"'ALTER TABLE {a}' || table_name || '{b}'", f"'{a}' || column_name || '{b}'"
         drop = f"{table} || ' ALTER COLUMN ' || {col} || ' DROP DEFAULT'"
         put = f"{table} || ' ALTER COLUMN ' || {col} || ' SET DEFAULT ' || new_default"
-        retype = {"postgres": f"{table} || ' ALTER COLUMN ' || {col} || ' TYPE ' || new_type", "mssql": f"{table} || ' ALTER COLUMN ' || {col} || ' ' || new_type", "mysql": f"{table} || ' MODIFY COLUMN ' || {col} || ' ' || new_type"}[t]
-        nulls = f"{retype} || CASE WHEN new_nullable THEN ' NULL' ELSE ' NOT NULL' END"
+        literal = "CASE WHEN new_type = 'text' THEN '(' || new_default || ')' ELSE new_default END"
+        whole = f"new_type || CASE WHEN new_nullable THEN '' ELSE ' NOT NULL' END || coalesce(' DEFAULT ' || {literal}, '')"
+        retype = {"postgres": f"{table} || ' ALTER COLUMN ' || {col} || ' TYPE ' || new_type", "mssql": f"{table} || ' ALTER COLUMN ' || {col} || ' ' || new_type || CASE WHEN new_nullable THEN ' NULL' ELSE ' NOT NULL' END", "mysql": f"{table} || ' MODIFY COLUMN ' || {col} || ' ' || {whole}"}[t]
+        nulls = retype
         if t == "postgres":
             nulls = f"{table} || ' ALTER COLUMN ' || {col} || CASE WHEN new_nullable THEN ' DROP NOT NULL' ELSE ' SET NOT NULL' END"
         if t == "mssql":

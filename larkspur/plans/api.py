@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.plans import ddl
+from larkspur.plans import ddl, definitions
 
 BATCH = "array<struct<sql:string,best_effort:boolean>>"
 #: Operation to the statements' Column, of (target, schema, cascade).
@@ -55,6 +55,7 @@ def _set_default(target: str, schema: str, cascade: bool) -> Column:
 #: What creates and changes objects, by name.
 OPERATIONS: dict[str, Operation] = {
     "create_schema": lambda t, s, c: batch(ddl.create_schema(t)),
+    "create_table": lambda t, s, c: batch(F.coalesce("sql", F.raise_error(F.concat_ws(", ", F.lit(f"{t} can't define"), "violations")).cast("string"))),
     "create_index": lambda t, s, c: batch(ddl.create_index(t, s)),
     **{f"add_{k}": (lambda k: lambda t, s, c: batch(ddl.add_constraint(k, t, s)))(k) for k in ("primary_key", "unique", "foreign_key", "check")},
     "drop_schema": lambda t, s, c: batch(_cascading(ddl.drop("schema", t), t, c)),
@@ -63,8 +64,8 @@ OPERATIONS: dict[str, Operation] = {
     "drop_constraint": lambda t, s, c: batch(ddl.drop("constraint", t, s)),
     "add_column": lambda t, s, c: batch(ddl.add_column(t, s)),
     "drop_column": lambda t, s, c: batch(ddl.drop("column", t, s)),
-    "alter_column_type": lambda t, s, c: batch(ddl.alter_type(t, s)),
-    "alter_column_nullability": lambda t, s, c: batch(ddl.alter_nullability(t, s)),
+    "alter_column_type": lambda t, s, c: batch(definitions.alter_type(t, s)),
+    "alter_column_nullability": lambda t, s, c: batch(definitions.alter_nullability(t, s)),
     "set_column_default": _set_default,
     "drop_column_default": lambda t, s, c: batch(ddl.drop_default(t, s)),
     "truncate_table": _truncate,
@@ -97,11 +98,18 @@ class Registry:
     def apply(self, operation: str, objects: DataFrame, dialect: str, schema: str = "", cascade: bool = False) -> DataFrame:
         """The objects' names with the statements of the operation: place, sql, and whether its failure may be ignored.
 
-        Statements of one object belong on one connection.
+        Statements of one object belong on one connection.  Tables are created, and columns added and
+        changed, from the facts of columns (``definitions``); a rendered ``definition`` is taken as it is.
         """
         target = self.resolve(dialect)
         found = self.operations[target].get(operation)
         if found is None:
             raise ValueError(f"{target} doesn't support {operation}")
+        if operation == "create_table":
+            objects = definitions.create_tables(objects, target, schema)
+        elif "type_text" in objects.columns:
+            objects = definitions.with_facts(objects)
+            if operation == "add_column" and "definition" not in objects.columns:
+                objects = objects.withColumn("definition", definitions.column(target))
         names = [c for c in ("schema_name", "table_name", "column_name", "index_name", "constraint_name") if c in objects.columns]
         return objects.select(*names, F.posexplode(found(target, schema, cascade)).alias("place", "s")).select(*names, "place", "s.sql", "s.best_effort")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.plans import ddl, ordering
+from larkspur.plans import ddl, definitions, ordering
 
 #: Criteria of a drift that stand for a change of the type.
 TYPE_CRITERIA = ("type", "max_length", "precision", "scale", "tz_class")
@@ -31,6 +31,8 @@ def expanded(changes: DataFrame, target: str, schema: str = "") -> DataFrame:
     empty, says what differs instead; ``attributes`` names the other attributes that differ.
 
     A default goes before its column's type changes, and in SQL Server before it is replaced.
+    Other facts of ``definitions`` that are there (identity, on_update) are kept where MySQL
+    repeats the definition.
     """
     criteria = F.coalesce("criteria", F.array().cast("array<string>")) if "criteria" in changes.columns else F.array().cast("array<string>")
     attributes = F.col("attributes") if "attributes" in changes.columns else F.array().cast("array<string>")
@@ -44,15 +46,15 @@ def expanded(changes: DataFrame, target: str, schema: str = "") -> DataFrame:
     defaults = differs(F.trim(F.coalesce("old_default", F.lit(""))) != F.trim(F.coalesce("new_default", F.lit(""))), "default")
     first = had & (retyped | F.lit(target == "mssql") & defaults)
     again = defaults | first
-    rows = changes.withColumns({"type_text": F.col("new_type"), "is_nullable": F.col("new_nullable"), "default": F.col("new_default")})
+    rows = definitions.with_facts(changes.withColumns({"type_text": F.col("new_type"), "is_nullable": F.col("new_nullable"), "default": F.col("new_default")}))
     name, none = F.col("column_name"), F.lit(None)
     says = lambda verb, what: F.concat(F.lit(f"{verb} column "), name, F.lit(f" {what}"))
     safe, drops = F.lit("safe"), ddl.drop_default(target, schema)
     found = F.array_compact(
         F.array(
             F.when(first, _statement(says("drop", "default"), safe, none, drops)),
-            F.when(retyped, _statement(says("change", "type"), F.lit("rebuild"), F.lit("may rewrite the table; fails on values that can't be cast"), ddl.alter_type(target, schema))),
-            F.when(nulls, _statement(says("change", "nullability"), F.when(F.col("new_nullable"), "safe").otherwise("blocking"), F.when(~F.col("new_nullable"), "checks the rows that are there"), ddl.alter_nullability(target, schema))),
+            F.when(retyped, _statement(says("change", "type"), F.lit("rebuild"), F.lit("may rewrite the table; fails on values that can't be cast"), definitions.alter_type(target, schema))),
+            F.when(nulls, _statement(says("change", "nullability"), F.when(F.col("new_nullable"), "safe").otherwise("blocking"), F.when(~F.col("new_nullable"), "checks the rows that are there"), definitions.alter_nullability(target, schema))),
             F.when(again & ~has & ~first, _statement(says("drop", "default"), safe, none, drops)),
             F.when(again & has, _statement(says("change", "default"), safe, none, F.element_at(ddl.set_default(target, schema), -1))),
         )

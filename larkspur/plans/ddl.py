@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: What quotes a name.
 QUOTES = {"postgres": '""', "mssql": "[]", "mysql": "``", "sqlite": '""', "clickhouse": "``"}
 
-#: What each dialect can create and change.
+#: What each dialect can create and change.
 CAPABILITIES = {
     "postgres": "schema table column primary_key identity default computed index standalone_key unique check index_expression index_include index_filter drop_schema drop_table drop_index drop_constraint add_column drop_column alter_column truncate cascade",
     "mssql": "schema table column primary_key identity default computed index standalone_key unique check index_include index_filter drop_schema drop_table drop_index drop_constraint add_column drop_column alter_column truncate",
@@ -15,6 +16,7 @@ CAPABILITIES = {
     "sqlite": "table column primary_key identity default index index_filter drop_table drop_index add_column drop_column truncate",
     "clickhouse": "schema table column primary_key drop_schema drop_table add_column drop_column truncate",
 }
+#: Other names of the dialects.
 ALIASES = {"postgresql": "postgres", "pg": "postgres", "sqlserver": "mssql", "sql-server": "mssql", "sql_server": "mssql", "mariadb": "mysql", "maria": "mysql", "sqlite3": "sqlite", "click-house": "clickhouse"}
 
 
@@ -162,22 +164,6 @@ def add_column(target: str, schema: str = "") -> Column:
     return F.concat(F.lit("ALTER TABLE "), qualified(schema, F.col("table_name"), target), F.lit(" ADD " if target == "mssql" else " ADD COLUMN "), F.col("definition"))
 
 
-def alter_type(target: str, schema: str = "") -> Column:
-    need(target, "alter_column")
-    table, name = qualified(schema, F.col("table_name"), target), quoted(F.col("column_name"), target)
-    verb, word = {"postgres": (" ALTER COLUMN ", " TYPE "), "mssql": (" ALTER COLUMN ", " "), "mysql": (" MODIFY COLUMN ", " ")}[target]
-    return F.concat(F.lit("ALTER TABLE "), table, F.lit(verb), name, F.lit(word), F.col("type_text"))
-
-
-def alter_nullability(target: str, schema: str = "") -> Column:
-    need(target, "alter_column")
-    table, name = qualified(schema, F.col("table_name"), target), quoted(F.col("column_name"), target)
-    if target == "postgres":
-        return F.concat(F.lit("ALTER TABLE "), table, F.lit(" ALTER COLUMN "), name, F.when(F.col("is_nullable"), " DROP NOT NULL").otherwise(" SET NOT NULL"))
-    verb = " ALTER COLUMN " if target == "mssql" else " MODIFY COLUMN "
-    return F.concat(F.lit("ALTER TABLE "), table, F.lit(verb), name, F.lit(" "), F.col("type_text"), F.when(F.col("is_nullable"), " NULL").otherwise(" NOT NULL"))
-
-
 def _text(value: Column) -> Column:
     """A SQL Server string of the value."""
     return F.concat(F.lit("N'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
