@@ -158,29 +158,30 @@ OBJECTS = {
 OBJECT_COLUMNS = ["table_name", "kind", "object_name", "add_sql", "drop_sql", "ref_table"]
 
 
-def _room(spark):
-    sides = [{"columns": fixture(spark, ROOM[k], ROOM_COLUMNS), "objects": fixture(spark, OBJECTS[k], OBJECT_COLUMNS)} for k in ("old", "new")]
-    return changes.sync_plan(*sides, "postgres")
+def _room(spark, sf_dir):
+    whole = {"whole": True, "own": True}
+    sides = [{"columns": fixture(spark, sf_dir, ROOM[k], ROOM_COLUMNS, **whole), "objects": fixture(spark, sf_dir, OBJECTS[k], OBJECT_COLUMNS, **whole)} for k in ("old", "new")]
+    return changes.sync_plan(*sides, "postgres", by="database")
 
 
 def sync_plan(spark, sf_dir):
-    """The whole plan from one state of the reading room to the next."""
-    plan, _ = _room(spark)
-    return ordering.ordered(plan).select("phase_no", "seq", "table_name", "step_no", "object_name", "place", "risk", "description", "sql")
+    """The whole plan from one state of each reading room to the next."""
+    plan, _ = _room(spark, sf_dir)
+    return ordering.ordered(plan, by="database").select("database", "phase_no", "seq", "table_name", "step_no", "object_name", "place", "risk", "description", "sql")
 
 
 def sync_unsupported(spark, sf_dir):
-    return _room(spark)[1]
+    return _room(spark, sf_dir)[1]
 
 
 def sync_script(spark, sf_dir):
-    return ordering.script(*_room(spark))
+    return ordering.script(*_room(spark, sf_dir), by="database")
 
 
 def sync_manifest(spark, sf_dir):
-    plan, unsupported = _room(spark)
-    source = fixture(spark, "VALUES ('a', 1), ('b', 2)", ["name", "n"])
-    return changes.manifest(ordering.script(plan, unsupported), source, {"statement_count": plan, "unsupported_count": unsupported}, source_dialect="mssql", target_dialect="postgres")
+    plan, unsupported = _room(spark, sf_dir)
+    source = fixture(spark, sf_dir, "VALUES ('a', 1), ('b', 2)", ["table_name", "n"])
+    return changes.manifest(ordering.script(plan, unsupported, by="database"), source, {"statement_count": plan, "unsupported_count": unsupported}, source_dialect="mssql", target_dialect="postgres")
 
 
 def create_manifest(spark, sf_dir):
@@ -191,8 +192,8 @@ def create_manifest(spark, sf_dir):
     return changes.manifest(script, catalog_queries.introspect_columns(spark, sf_dir), {"table_count": ddl_rows, "warning_count": lost}, source_dialect="spark", target_dialect="postgres", unknown_type_policy="fail")
 
 
-_R = {k: _duck(v, [c if c != "default" else '"default"' for c in ROOM_COLUMNS]) for k, v in ROOM.items()}
-_O = {k: _duck(v, OBJECT_COLUMNS) for k, v in OBJECTS.items()}
+_R = {k: _duck(v, [c if c != "default" else '"default"' for c in ROOM_COLUMNS], whole=True) for k, v in ROOM.items()}
+_O = {k: _duck(v, OBJECT_COLUMNS, whole=True) for k, v in OBJECTS.items()}
 _SYNC = f"""WITH oc AS {_R["old"]}, nc AS {_R["new"]}, oo AS {_O["old"]}, no_ AS {_O["new"]},
 made AS (SELECT DISTINCT table_name FROM nc WHERE table_name NOT IN (SELECT table_name FROM oc)), gone AS (SELECT DISTINCT table_name FROM oc WHERE table_name NOT IN (SELECT table_name FROM nc)),
 def AS (SELECT *, concat_ws(' ', '"' || column_name || '"', type_text, CASE WHEN NOT is_nullable THEN 'NOT NULL' END, 'DEFAULT ' || "default") AS d FROM nc),
@@ -208,11 +209,11 @@ UNION ALL SELECT 2, 0, table_name, 2, column_name, 0, CASE WHEN is_nullable OR "
 UNION ALL SELECT 2, 0, n.table_name, 3, n.column_name, 0, 'rebuild', 'may rewrite the table; fails on values that can''t be cast', 'change column ' || n.column_name || ' type', 'ALTER TABLE "' || n.table_name || '" ALTER COLUMN "' || n.column_name || '" TYPE ' || n.type_text FROM nc n JOIN oc o USING (table_name, column_name) WHERE n.type_text <> o.type_text
 UNION ALL SELECT 2, 0, table_name, 4, column_name, 0, 'data-loss', 'drops the column''s data', 'drop column ' || column_name, 'ALTER TABLE "' || table_name || '" DROP COLUMN "' || column_name || '"' FROM oc WHERE table_name NOT IN (SELECT * FROM gone) AND (table_name, column_name) NOT IN (SELECT (table_name, column_name) FROM nc)
 UNION ALL SELECT CASE WHEN kind = 'foreign key' THEN 5 WHEN NOT is_new THEN 2 WHEN kind = 'index' THEN 3 ELSE 4 END, CASE WHEN kind = 'foreign key' AND is_new THEN 1 ELSE 0 END, table_name, CASE WHEN kind = 'foreign key' OR is_new THEN 7 WHEN kind = 'index' THEN 5 ELSE 6 END, object_name, 0, 'blocking', NULL, 'add ' || kind || ' ' || object_name, add_sql FROM adds
-UNION ALL SELECT 6, i, t, 7, t, 0, 'data-loss', 'drops the table''s data', 'drop table ' || t, 'DROP TABLE IF EXISTS "' || t || '"' FROM (VALUES (0, 'lamp'), (3, 'desk'), (4, 'drawer')) AS l(i, t) WHERE t IN (SELECT * FROM gone)
+UNION ALL SELECT 6, i, t, 7, t, 0, 'data-loss', 'drops the table''s data', 'drop table ' || t, 'DROP TABLE IF EXISTS "' || t || '"' FROM (SELECT i, table_name AS t FROM gone JOIN (VALUES (0, 'lamp_'), (3, 'desk_'), (4, 'drawer_')) AS l(i, t) ON starts_with(table_name, t))
 UNION ALL SELECT 6, i, table_name, 7, object_name, 0, 'safe', NULL, 'drop foreign key ' || object_name || ' of a cycle', drop_sql FROM oo JOIN (VALUES (1, 'fk_has'), (2, 'fk_in')) AS c(i, k) ON k = object_name),
 u AS (SELECT table_name, 'change primary key' AS description, 'from (' || o.key || ') to (' || n.key || ')' AS reason FROM (SELECT table_name, string_agg(column_name, ',' ORDER BY key_position) FILTER (key_position > 0) AS key FROM oc GROUP BY 1) o JOIN (SELECT table_name, string_agg(column_name, ',' ORDER BY key_position) FILTER (key_position > 0) AS key FROM nc GROUP BY 1) n USING (table_name) WHERE o.key <> n.key),
-script AS (SELECT (SELECT string_agg('-- [' || risk || '] ' || description || chr(10) || coalesce('-- note: ' || note || chr(10), '') || sql || ';' || chr(10) || chr(10), '' ORDER BY phase_no, seq, table_name, step_no, object_name, place) FROM p) ||
-  (SELECT string_agg('-- [unsupported] ' || description || chr(10) || '-- table: ' || table_name || chr(10) || '-- reason: ' || reason || chr(10) || chr(10), '' ORDER BY table_name, description) FROM u) AS script)
+script AS (SELECT database, coalesce((SELECT string_agg('-- [' || risk || '] ' || description || chr(10) || coalesce('-- note: ' || note || chr(10), '') || sql || ';' || chr(10) || chr(10), '' ORDER BY phase_no, seq, table_name, step_no, object_name, place) FROM p WHERE ends_with(p.table_name, '_' || database)), '') ||
+  coalesce((SELECT string_agg('-- [unsupported] ' || description || chr(10) || '-- table: ' || table_name || chr(10) || '-- reason: ' || reason || chr(10) || chr(10), '' ORDER BY table_name, description) FROM u WHERE ends_with(u.table_name, '_' || database)), '') AS script FROM (SELECT s_suppkey AS database FROM supplier))
 """
 
 
@@ -381,17 +382,16 @@ def oracle_sql() -> dict[str, str]:
         "SELECT 0 AS phase_no, 'schema' AS kind, 'app' AS object_name", f"SELECT 1, 'table', table_name FROM {_SCHEMA} WHERE ordinal = 1", f"SELECT 2, 'index', 'ix_' || table_name || '_' || column_name FROM {_REFERENCES}",
         f"SELECT 3, 'foreign key', 'fk_' || table_name || '_' || ref_table FROM {_REFERENCES}", *[f"SELECT 4, 'check', '{n}'" for n in catalog_queries.CHECKS],
     ])
-    one, two = ("sha256(to_json({n: " + str(i) + ", name: '" + n + "'})::VARCHAR)" for n, i in (("a", 1), ("b", 2)))
     return {
         "mapping_warnings": _warnings_sql(),
         "sqlite_kinds": _SQLITE,
         "column_change_plan": _column_change_sql(),
-        "sync_plan": _SYNC + "SELECT phase_no, seq, table_name, step_no, object_name, place, risk, description, sql FROM p",
-        "sync_unsupported": _SYNC + "SELECT * FROM u",
-        "sync_script": _SYNC + "SELECT script FROM script",
-        "sync_manifest": _SYNC + f"SELECT 'mssql' AS source_dialect, 'postgres' AS target_dialect, 'sha256:' || sha256((SELECT string_agg(h, chr(10) ORDER BY h) FROM (SELECT unnest([{one}, {two}]) AS h))) AS source_fingerprint, 'sha256:' || sha256(script) AS plan_fingerprint, (SELECT count(*) FROM p) AS statement_count, (SELECT count(*) FROM u) AS unsupported_count FROM script",
+        "sync_plan": _SYNC + "SELECT regexp_extract(table_name, '([0-9]+)$', 1)::BIGINT AS database, phase_no, seq, table_name, step_no, object_name, place, risk, description, sql FROM p",
+        "sync_unsupported": _SYNC + "SELECT *, regexp_extract(table_name, '([0-9]+)$', 1)::BIGINT AS database FROM u",
+        "sync_script": _SYNC + "SELECT database, script FROM script",
+        "sync_manifest": _SYNC + f"SELECT 'mssql' AS source_dialect, 'postgres' AS target_dialect, 'sha256:' || sha256((SELECT string_agg(h, chr(10) ORDER BY h) FROM (SELECT sha256(to_json({{n: n, table_name: table_name}})::VARCHAR) AS h FROM {_duck("VALUES ('a', 1), ('b', 2)", ['table_name', 'n'])}))) AS source_fingerprint, (SELECT 'sha256:' || sha256(string_agg(h, chr(10) ORDER BY h)) FROM (SELECT sha256(script) AS h FROM script)) AS plan_fingerprint, (SELECT count(*) FROM p) AS statement_count, (SELECT count(*) FROM u) AS unsupported_count",
         "create_manifest": f"""SELECT 'spark' AS source_dialect, 'postgres' AS target_dialect, 'fail' AS unknown_type_policy, (SELECT 'sha256:' || sha256(string_agg(h, chr(10) ORDER BY h)) FROM (SELECT sha256(to_json({{column_name: column_name, data_type: data_type, ordinal: ordinal, table_name: table_name}})::VARCHAR) AS h FROM {_SCHEMA})) AS source_fingerprint,
-  (SELECT 'sha256:' || sha256(string_agg(sql, ';' || chr(10) || chr(10) ORDER BY table_name)) FROM ({catalog_sql.oracle_sql()["create_table_ddl"]}) WHERE target = 'postgres') AS plan_fingerprint, {len(TABLES)}::BIGINT AS table_count, (SELECT count(*) FROM ({_warnings_sql()}) WHERE target = 'postgres') AS warning_count""",
+  (SELECT 'sha256:' || sha256(sha256(string_agg(sql, ';' || chr(10) || chr(10) ORDER BY table_name))) FROM ({catalog_sql.oracle_sql()["create_table_ddl"]}) WHERE target = 'postgres') AS plan_fingerprint, {len(TABLES)}::BIGINT AS table_count, (SELECT count(*) FROM ({_warnings_sql()}) WHERE target = 'postgres') AS warning_count""",
         "create_plan": f"SELECT kind, object_name, (row_number() OVER (ORDER BY phase_no, object_name) - 1)::INT AS place FROM ({plan})",
         "invalid_definitions": _invalid_sql(),
         "table_predicates": f"SELECT table_name, key_size, key_size > 0 AS has_key, key_size = 1 AS has_single_key, row_count > 1000 AS is_large, key_size = 1 AND first IN ('int', 'bigint') AS supports_keyset FROM (SELECT table_name, any_value(row_count) AS row_count, max(CASE WHEN ordinal = 1 THEN data_type END) AS first, CASE WHEN {_TWO} THEN 2 ELSE 1 END AS key_size FROM {_SCHEMA} s JOIN {_COUNTS} c USING (table_name) GROUP BY table_name)",

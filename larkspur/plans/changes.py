@@ -67,13 +67,16 @@ def expanded(changes: DataFrame, target: str, schema: str = "") -> DataFrame:
 PLAN = ("phase", "seq", "table_name", "step", "object_name", "place", "risk", "note", "description", "sql")
 
 
-def sync_plan(old: dict[str, DataFrame], new: dict[str, DataFrame], target: str, schema: str = "") -> tuple[DataFrame, DataFrame]:
+def sync_plan(old: dict[str, DataFrame], new: dict[str, DataFrame], target: str, schema: str = "", by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The statements that make ``old`` into ``new``, for ``ordering.ordered``, and what is unsupported.
 
     Both hold ``columns`` (table_name, ordinal, column_name, type_text, is_nullable, default,
     is_identity, key_position) and ``objects`` (table_name, kind, object_name, add_sql, drop_sql,
     ref_table), where kind is index, check or foreign key.  An object whose text differs is
     dropped and added.  Adding objects blocks; dropping tables and columns loses data.
+
+    ``by`` is a column of both that names the database of a table (of names that no other
+    database has): the results have it too, and each database's drops are ordered apart.
     """
     oc, nc = old["columns"], new["columns"]
     old_tables, new_tables = (c.select("table_name").distinct() for c in (oc, nc))
@@ -122,17 +125,17 @@ def sync_plan(old: dict[str, DataFrame], new: dict[str, DataFrame], target: str,
     for i, some in enumerate((on_kept, on_new)):
         out = out.unionAll(rows(some.where(is_key), "add foreign key", lit(""), F.col("object_name"), lit("blocking"), no_note, describe("add"), F.col("add_sql"), seq=lit(i)))
 
-    # tables that go are few names
-    spark = oc.sparkSession
-    names = [r.table_name for r in gone.collect()]
-    refs = old["objects"].where(is_key & F.col("table_name").isin(names)).select("object_name", "table_name", "ref_table").collect()
-    acts = [(i, a, t, key) for i, (a, t, key) in enumerate(ordering.drop_actions(names, [tuple(r) for r in refs]))]
-    last = spark.createDataFrame(acts, "seq int, act string, table_name string, object_name string")
+    own = [by] * (by is not None)
+    going = oc.select(*own, "table_name").distinct().join(gone, "table_name", "left_semi")
+    last = ordering.drops(going, old["objects"].where(is_key).join(gone, "table_name", "left_semi"), by)
     cuts = last.where("act = 'drop foreign key'").join(old["objects"].where(is_key).select("table_name", "object_name", "drop_sql"), ["table_name", "object_name"])
     out = out.unionAll(rows(cuts, "drop table", lit(""), F.col("object_name"), lit("safe"), no_note, F.concat(says("drop foreign key", "object_name"), lit(" of a cycle")), F.col("drop_sql"), seq=F.col("seq")))
     goes = last.where("act = 'drop table'")
     out = out.unionAll(rows(goes, "drop table", lit(""), F.col("table_name"), lit("data-loss"), lit("drops the table's data"), says("drop table", "table_name"), ddl.drop("table", target, schema), seq=F.col("seq")))
-    return out, unsupported
+    if by is None:
+        return out, unsupported
+    databases = oc.select("table_name", by).unionAll(nc.select("table_name", by)).distinct()
+    return out.join(databases, "table_name"), unsupported.join(databases, "table_name")
 
 
 def retargeted(objects: DataFrame, schema: str, columns: tuple[str, ...] = ("schema_name", "ref_schema")) -> DataFrame:
@@ -160,9 +163,9 @@ def fingerprint(text: Column) -> Column:
 
 
 def manifest(script: DataFrame, source: DataFrame, counted: dict[str, DataFrame], **facts) -> DataFrame:
-    """One row: the facts of a run, fingerprints of the script and of the source's relation, and how many rows ``counted`` has.
+    """One row: the facts of a run, fingerprints of the scripts and of the source's relation, and how many rows ``counted`` has.
 
-    The source's rows are hashed each and the sorted hashes together, so that their order doesn't count.
+    Scripts and the source's rows are hashed each and the sorted hashes together, so that their order doesn't count.
     """
 
     def parts(script: Column, source: Column, which: str = "") -> list[Column]:
@@ -170,7 +173,8 @@ def manifest(script: DataFrame, source: DataFrame, counted: dict[str, DataFrame]
 
     none = F.lit(None)
     lines = source.select(F.sha2(F.to_json(F.struct(*sorted(source.columns)), {"ignoreNullFields": "false"}), 256).alias("h"))
-    every = script.select(*parts(F.col("script"), none)).unionAll(lines.agg(*parts(none, fingerprint(F.array_join(F.sort_array(F.collect_list("h")), "\n")))))
+    together = fingerprint(F.array_join(F.sort_array(F.collect_list("h")), "\n"))
+    every = script.select(F.sha2("script", 256).alias("h")).agg(*parts(together, none)).unionAll(lines.agg(*parts(none, together)))
     for name, df in counted.items():
         every = every.unionAll(df.agg(*parts(none, none, name)))
-    return every.agg(*[F.first(F.lit(v)).alias(k) for k, v in facts.items()], F.max("source").alias("source_fingerprint"), fingerprint(F.max("script")).alias("plan_fingerprint"), *[F.max(c).alias(c) for c in counted])
+    return every.agg(*[F.first(F.lit(v)).alias(k) for k, v in facts.items()], F.max("source").alias("source_fingerprint"), F.max("script").alias("plan_fingerprint"), *[F.max(c).alias(c) for c in counted])

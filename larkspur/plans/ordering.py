@@ -30,6 +30,29 @@ def drop_actions(tables: list[str], references: list[tuple[str, str, str]]) -> l
     return out
 
 
+def drops(tables: DataFrame, references: DataFrame, by: str | None = None) -> DataFrame:
+    """seq, act, table_name and object_name of ``drop_actions`` for the tables of each ``by`` (a database; all together if None).
+
+    References have table_name, object_name and ref_table.  A database's tables are few; databases are worked on apart.
+    """
+    group, none = by or "all_", F.lit(None).cast("string")
+    if by is None:
+        tables, references = tables.withColumn(group, F.lit(1)), references.withColumn(group, F.lit(1))
+    rows = tables.select(group, "table_name", none.alias("object_name"), none.alias("ref_table")).unionAll(references.select(group, "table_name", "object_name", "ref_table"))
+
+    def run(key, frame):
+        import pandas as pd
+
+        is_key = frame["object_name"].notna()
+        refs = list(frame[is_key][["object_name", "table_name", "ref_table"]].itertuples(index=False, name=None))
+        acts = drop_actions(sorted(frame[~is_key]["table_name"]), refs)
+        return pd.DataFrame([(key[0], i, *a) for i, a in enumerate(acts)], columns=[group, "seq", "act", "table_name", "object_name"])
+
+    kind = dict(tables.dtypes)[group]
+    out = rows.groupBy(group).applyInPandas(run, f"{group} {kind}, seq int, act string, table_name string, object_name string")
+    return out if by else out.drop(group)
+
+
 def drop_levels(tables: list[str], references: list[tuple[str, str]]) -> list[tuple[str, int]]:
     """Tables with the round in which they are dropped: children before the tables that they reference.
 
