@@ -331,12 +331,12 @@ _PLAIN = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from larkspur import definition_queries, drift_queries, expression_queries, nested_queries, plan_queries, reader_queries, verify_queries
+    from larkspur import catalog_more_queries, definition_queries, drift_queries, expression_queries, nested_queries, plan_queries, reader_queries, verify_queries
 
-    return {f.__name__: f for f in _PLAIN} | {f"map_to_{t}": _map_to(t) for t in types.TARGETS} | drift_queries.queries() | reader_queries.queries() | plan_queries.queries() | nested_queries.queries() | definition_queries.queries() | verify_queries.queries() | expression_queries.queries()
+    return {f.__name__: f for f in _PLAIN} | {f"map_to_{t}": _map_to(t) for t in types.TARGETS} | drift_queries.queries() | reader_queries.queries() | plan_queries.queries() | nested_queries.queries() | definition_queries.queries() | verify_queries.queries() | expression_queries.queries() | catalog_more_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from larkspur import catalog_sql, definition_queries, drift_queries, expression_queries, nested_queries, plan_queries, reader_queries, verify_queries
+    from larkspur import catalog_more_queries, catalog_sql, definition_queries, drift_queries, expression_queries, nested_queries, plan_queries, reader_queries, verify_queries
 
-    return catalog_sql.oracle_sql() | drift_queries.oracle_sql() | reader_queries.oracle_sql() | plan_queries.oracle_sql() | nested_queries.oracle_sql() | definition_queries.oracle_sql() | verify_queries.oracle_sql() | expression_queries.oracle_sql()
+    return catalog_sql.oracle_sql() | drift_queries.oracle_sql() | reader_queries.oracle_sql() | plan_queries.oracle_sql() | nested_queries.oracle_sql() | definition_queries.oracle_sql() | verify_queries.oracle_sql() | expression_queries.oracle_sql() | catalog_more_queries.oracle_sql()

@@ -66,6 +66,18 @@ def same_index() -> Column:
     return reduce(lambda a, b: a & b, [*plain, text("old") == text("new"), padded("exprs", False), padded("prefixes", 0)])
 
 
+def same_foreign_key() -> Column:
+    """Whether ``old`` and ``new`` are the same key: actions in any case, without blanks around them; a null one is a blank one."""
+    action = lambda side, c: F.lower(F.trim(F.coalesce(F.col(f"{side}.{c}"), F.lit(""))))
+    plain = [F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in ("columns", "ref_schema", "ref_table", "ref_columns")]
+    return reduce(lambda a, b: a & b, [*plain, *[action("old", c) == action("new", c) for c in ("on_delete", "on_update")]])
+
+
+def same_check() -> Column:
+    """Whether ``old`` and ``new`` are the same check: its text without blanks around it."""
+    return F.trim(F.coalesce("old.definition", F.lit(""))) == F.trim(F.coalesce("new.definition", F.lit("")))
+
+
 #: Facts that a snapshot of an older version doesn't have, by the version that brought them.
 SINCE = {"is_unsigned": 2, "on_update_expr": 2, "enum_values": 2, "datetime_precision": 3, "display_width": 4}
 
@@ -90,6 +102,16 @@ def only_kinds(changes: DataFrame, kinds: list[str], kind: str = "object_kind")
     return changes.where(F.col(kind).isin("table", "column", *kinds))
 
 
+def changed_tables(changes: DataFrame, kinds: list[str]) -> DataFrame:
+    """table_name and the number of changes of each kind (column, index, foreign key, check) of the tables that still differ.
+
+    ``changes`` has table_name and object_kind.  Tables of which only objects that aren't managed differ are gone.
+    """
+    count = lambda kind: F.count_if(F.col("object_kind") == kind)
+    every = only_kinds(changes, kinds).groupBy("table_name")
+    return every.agg(count("column").alias("columns"), count("index").alias("indexes"), count("foreign key").alias("foreign_keys"), count("check").alias("checks"))
+
+
 def summary(changes: DataFrame) -> DataFrame:
     """Counts of changes, and whether they remove something."""
     return changes.groupBy("change").agg(F.count("*").alias("n")).withColumn("is_destructive", F.col("change") == "removed")

@@ -155,15 +155,17 @@ def live_changes(source: DataFrame, target: DataFrame, source_dialect: str, targ
     """table_name, column_name, change (add, remove, change or refuse), criteria and reason of every column that differs, in tables of both sides."""
     a, b = (lambda c: F.col(f"s.{c}")), (lambda c: F.col(f"t.{c}"))
     trimmed = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    expression = lambda c: F.lower(F.regexp_replace(trimmed(c), r"[\s()\[\]`\"]", ""))  # noqa: E731  as two catalogs may write one expression
     same = F.lit(source_dialect == target_dialect)
     virtual = F.lit(target_dialect in ("mysql", "mssql"))
     more = F.array_compact(
         F.array(
             F.when(a("is_computed") & b("is_computed") & virtual & (a("computed_persisted") != b("computed_persisted")), "computed_storage"),
             F.when(trimmed(a("on_update")) != trimmed(b("on_update")), "on_update"),
-            F.when(a("srid") != b("srid"), "srid"),
-            F.when(same & (a("enum_values") != b("enum_values")), "enum_values"),
-            F.when(same & (a("display_width") != b("display_width")), "display_width"),
+            F.when(~a("srid").eqNullSafe(b("srid")), "srid"),
+            F.when(same & ~a("enum_values").eqNullSafe(b("enum_values")), "enum_values"),
+            F.when(same & ~a("display_width").eqNullSafe(b("display_width")), "display_width"),
+            *([F.when(same & a("is_computed") & b("is_computed") & (expression(a("computed_expr")) != expression(b("computed_expr"))), "computed_expression")] if "computed_expr" in source.columns and "computed_expr" in target.columns else []),
         )
     )
     pairs = matched(source, target)

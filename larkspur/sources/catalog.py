@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions import types
+
 COLUMNS = "table_name string, ordinal int, column_name string, data_type string, is_nullable boolean"
 
 #: The catalog query of each database, for all tables of a schema at once.
@@ -45,6 +47,42 @@ def row_bytes(data_type: Column) -> Column:
     return F.lit(16) + own.otherwise(4096)
 
 
+#: Type names by how their values are held in memory.
+HELD = {
+    "scalar": "int integer bigint smallint tinyint int2 int4 int8 serial bigserial smallserial mediumint float real double float4 float8 money smallmoney bit bool boolean",
+    "decimal": "decimal numeric number", "time": "date time datetime datetime2 datetimeoffset smalldatetime timestamp timestamptz timetz", "uuid": "uniqueidentifier uuid",
+    "binary": "image bytea blob mediumblob longblob varbinary binary tinyblob", "text": "text ntext mediumtext longtext json jsonb xml varchar nvarchar char nchar tinytext character",
+    "spatial": "geometry geography point linestring polygon multipoint multilinestring multipolygon geometrycollection",
+}
+#: Bytes of headers, of a value of unknown length, of a spatial value; the longest length that counts.
+TEXT_HEADER, BYTES_HEADER, UNKNOWN, SPATIAL, MOST = 16, 24, 4096, 512, 8000
+
+
+def declared_bytes(data_type: Column, length: Column, precision: Column) -> Column:
+    """Estimated bytes of a value of a declared type, without the slot that holds it."""
+    names = F.create_map(*[F.lit(x) for held, words in HELD.items() for w in words.split() for x in (w, held)])
+    held = F.try_element_at(names, types.base_name(data_type))
+    n = F.coalesce(length, F.lit(0)).cast("long")
+    data = F.when((n <= 0) | (n > MOST), UNKNOWN).otherwise(n)
+    digits = F.greatest(F.coalesce(precision, F.lit(0)) + 2, F.lit(20))
+    return (
+        F.when(held == "decimal", TEXT_HEADER + digits).when(held == "time", 24).when(held == "uuid", TEXT_HEADER + 36).when(held == "binary", BYTES_HEADER + data)
+        .when(held == "text", TEXT_HEADER + data).when(held == "spatial", TEXT_HEADER + SPATIAL).otherwise(8).cast("long")
+    )
+
+
+def declared_row_bytes(columns: DataFrame) -> DataFrame:
+    """Estimated bytes of a row of each table (table_name, data_type, length, precision): 24, 16 for each column, and its values."""
+    value = declared_bytes(F.col("data_type"), F.col("length"), F.col("precision"))
+    return columns.groupBy("table_name").agg(F.count("*").alias("n_columns"), (F.lit(24) + F.sum(value + 16)).alias("row_bytes"))
+
+
+def health(tables: DataFrame, counts: DataFrame) -> DataFrame:
+    """n_tables, n_empty and row_count of each database (database, table_name) of tables with counts (table_name, row_count); tables that aren't counted are unknown."""
+    both = tables.join(counts, "table_name", "left")
+    return both.groupBy("database").agg(F.count("*").alias("n_tables"), F.count_if(F.col("row_count") == 0).alias("n_empty"), F.count_if(F.col("row_count").isNull()).alias("n_unknown"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"))
+
+
 def sizes(columns: DataFrame, rows: DataFrame) -> DataFrame:
     """Estimated bytes of a row (24 and its values) and of each table."""
     width = columns.groupBy("table_name").agg((F.lit(24) + F.sum(row_bytes(F.col("data_type")))).alias("row_bytes"), F.count("*").alias("n_columns"))
