@@ -14,11 +14,13 @@
    every task (``MOST_SENT``).
 4. What recurs too little to be counted, as on a host with few pages, is left to lists:
    elements that are never main text by their kind (scripts, menus, forms, ...) or by what
-   their class, id or role says (adverts, cookie notices, comments, ...) are left out, and
-   if the page has ``article`` elements, or else a ``main`` element, only their text is
-   kept.  Words say nothing of prose elements, of ``article`` and ``main`` and what they
-   are in, of what holds a paragraph or heading inside an article, and of what holds most
-   of the text of a page: there only the counts decide.
+   their class, id or role says (adverts, cookie notices, comments, ...) are left out.
+   Words say nothing of prose elements, of ``main`` and what it or a plain article is in,
+   and of what holds most of the text of its article, or outside articles of the page;
+   readers' remarks may be longer than their article.  If there is a ``main`` with prose,
+   only its text is kept; of it the ``article`` elements, but for those of less than a
+   quarter of the largest one's text, and none of them if there is more prose beside
+   them than in the largest: then they are teasers.
 
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined in page order by one space.  Tags that are cut off or unclosed end
@@ -75,6 +77,12 @@ HINTS = frozenset(
     "sidebar menu nav navbar navigation topnav breadcrumb breadcrumbs pagination pager footer masthead toolbar comment comments disqus respond reply replies share sharing social related recommended widget "
     "search login complementary contentinfo skip copyright".split()
 )
+#: Of these the words of readers' remarks, which may be longer than what they are about.
+REMARK = frozenset("comment comments disqus respond reply replies".split())
+#: Times the rest of its article's text that an element of remarks may hold and still be taken for remarks.
+REMARKS = 8
+#: An article is a teaser beside one of more than so many times its text.
+TEASER = 4
 ROOTS = frozenset(["article", "main"])
 #: The templates of all hosts are sent to every task if they are at most so many hashes, else joined.
 MOST_SENT = 2_000_000
@@ -83,7 +91,7 @@ EXTRACTED = "page_id bigint, url string, text string, n_chars bigint, n_template
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "sum", "gone", "silent", "root", "hash", "candidate", "filled", "hinted", "holds")
+    __slots__ = ("tag", "parent", "sum", "gone", "silent", "root", "hash", "candidate", "filled", "hinted", "remark", "holds")
 
     def __init__(self, tag: str, parent: _Node | None, label: str, gone: bool, hinted: bool = False):
         self.tag, self.parent = tag, parent
@@ -95,8 +103,9 @@ class _Node:
             self.root = "article"
         self.candidate = tag not in ("html", "body", "article", "main") and tag not in INLINE and tag not in UNSEEN and not (tag in PROSE and self.root)
         self.filled = False
-        self.hinted = hinted and tag not in PROSE and tag not in ROOTS
-        self.holds = False  # an article or main
+        self.hinted = hinted and tag not in PROSE and tag != "main"
+        self.remark = self.hinted and not REMARK.isdisjoint(label.lower().replace("-", " ").replace("_", " ").split())
+        self.holds = False  # main, or an article that no word counts against
         self.sum = hashlib.blake2b(f"<{tag} {label}>".encode("utf-8", "replace"), digest_size=8)
         self.hash = 0
 
@@ -116,28 +125,47 @@ def _marked(tag: str, attributes: str, inside_root: bool) -> tuple[str, bool, bo
     return label, gone, hinted
 
 
-def _unhinted(kept: list[tuple[str, _Node]]) -> list[tuple[str, _Node]]:
-    """The blocks that aren't in an element whose words count against it."""
+class _Block:
+    """A block's text with its outermost article, and the elements that words count against, each with the article that it is in."""
+
+    __slots__ = ("text", "node", "article", "main", "prose", "hinted")
+
+    def __init__(self, text: str, node: _Node):
+        self.text, self.node = text, node
+        self.article: _Node | None = None
+        self.main = self.prose = False
+        chain: list[_Node] = []
+        at: _Node | None = node
+        while at:
+            self.prose = self.prose or at.tag in PARAGRAPHS
+            self.main = self.main or at.tag == "main"
+            if at.hinted and not at.holds:
+                chain.append(at)
+            if at.tag == "article":
+                self.article = at
+            at = at.parent
+        self.hinted = [(n, self.article if n.root == "article" and n is not self.article else None) for n in chain]
+
+
+def _unhinted(blocks: list[_Block]) -> list[_Block]:
+    """The blocks that aren't in an element whose words count against it: one that doesn't hold most of its article's text, with a paragraph or heading, or of the page's."""
     size: Counter[int] = Counter()
     prose: set[int] = set()
-    inside: list[list[_Node]] = []
-    for text, node in kept:
-        hinted, paragraph = [], False
-        while node:
-            paragraph = paragraph or node.tag in PARAGRAPHS
-            if node.hinted and not node.holds:
-                hinted.append(node)
-                size[id(node)] += len(text)
-                if paragraph:
-                    prose.add(id(node))
-            node = node.parent
-        inside.append(hinted)
-    every = sum(len(t) for t, _ in kept)
-
-    def against(node: _Node) -> bool:
-        return id(node) not in prose if node.root == "article" else 2 * size[id(node)] <= every
-
-    return [x for x, hinted in zip(kept, inside) if not any(against(n) for n in hinted)]
+    for b in blocks:
+        size[0] += len(b.text)
+        if b.prose:
+            prose |= {id(n) for n, _ in b.hinted}
+        if b.article:
+            size[id(b.article)] += len(b.text)
+        for n, _ in b.hinted:
+            if n is not b.article:
+                size[id(n)] += len(b.text)
+
+    def against(node: _Node, article: _Node | None) -> bool:
+        own, whole = size[id(node)], size[id(article) if article else 0]
+        return 2 * own <= whole or article is not None and id(node) not in prose or node.remark and own <= REMARKS * (whole - own)
+
+    return [b for b in blocks if not any(against(*x) for x in b.hinted)]
 
 
 def parsed_page(page: str) -> tuple[list[tuple[str, _Node]], list[int]]:
@@ -216,7 +244,7 @@ def parsed_page(page: str) -> tuple[list[tuple[str, _Node]], list[int]]:
             if tag == "body":
                 continue
             stack.append(_Node(tag, stack[-1], label, gone, hinted))
-            if tag in ROOTS:
+            if tag in ROOTS and not hinted:
                 for n in stack[:-1]:
                     n.holds = True
             open_tags[tag] += 1
@@ -241,13 +269,20 @@ def in_templates(node: _Node | None, templates: frozenset[int] | set[int]) -> bo
 
 
 def main_blocks(kept: list[tuple[str, _Node]]) -> list[str]:
-    """Of the blocks that no template has, the texts that kinds, words and ``article`` or ``main`` leave."""
-    kept = _unhinted([(t, n) for t, n in kept if not n.gone])
-    for root in ("article", "main"):
-        if any(n.root == root for _, n in kept):
-            kept = [(t, n) for t, n in kept if n.root == root or root == "main" and n.root]
-            break
-    return [t for t, _ in kept]
+    """Of the blocks that no template has, the texts that kinds, words and ``main`` or ``article`` leave."""
+    blocks = [_Block(t, n) for t, n in kept if not n.gone]
+    if any(b.main and (b.prose or b.article) for b in blocks) or not any(b.article for b in blocks) and any(b.main for b in blocks):
+        blocks = [b for b in blocks if b.main]
+    blocks = _unhinted(blocks)
+    size: Counter[int] = Counter()
+    for b in blocks:
+        size[id(b.article) if b.article else 0] += len(b.text) if b.article or b.prose else 0
+    largest = max((n for a, n in size.items() if a), default=0)
+    if size[0] > largest > 0:  # the text is beside them: they are teasers
+        blocks = [b for b in blocks if not b.article]
+    elif largest:
+        blocks = [b for b in blocks if b.article and TEASER * size[id(b.article)] >= largest]
+    return [b.text for b in blocks]
 
 
 def blocks_of(page: str) -> list[str]:

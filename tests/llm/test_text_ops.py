@@ -513,6 +513,30 @@ def test_words_of_classes_do_not_drop_prose(page, text):
     assert " ".join(html_text.blocks_of(page)) == text
 
 
+LONG = "<p>A long paragraph of the post, with many words.</p>"
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<article>{LONG}<section class='comments'><p>Great post!</p></section></article>", "A long paragraph of the post, with many words."),
+        (f"<article>{LONG}<div class='advert'><p>Buy now!</p></div><div class='cookie-notice'><p>We use them</p></div><div id='related'><h3>More</h3></div></article>", "A long paragraph of the post, with many words."),
+        (f"<article>{LONG}<div id='comments'>" + "".join(f"<article class='comment'><p>Remark {i}</p></article>" for i in range(20)) + "</div></article>", "A long paragraph of the post, with many words."),
+        (f"<article>{LONG}</article><div id='comments'>" + "".join(f"<article class='comment'><p>Remark {i}</p></article>" for i in range(20)) + "</div>", "A long paragraph of the post, with many words."),
+        (f"<div class='post'>{LONG}</div><article><h3>Teaser</h3></article><article><p>Other Teaser.</p></article>", "A long paragraph of the post, with many words."),
+        ("<main><p>A main text.</p></main><article><p>A card of more words than that.</p></article>", "A main text."),
+        (f"<main><article>{LONG}</article><article><p>Card</p></article></main>", "A long paragraph of the post, with many words."),
+        ("<article><p>First of two</p></article><article><p>Second of two</p></article>", "First of two Second of two"),
+        (f"<main>Search</main><article>{LONG}</article>", "A long paragraph of the post, with many words."),
+        (f"<article class='post has-sidebar'>{LONG}</article>", "A long paragraph of the post, with many words."),
+        (f"<div class='page sidebar-left'><article>{LONG}</article></div>" + "<div>Unmarked words of the site. </div>" * 9, "A long paragraph of the post, with many words."),
+    ],
+)
+def test_articles_and_what_is_beside_them(page, text):
+    assert " ".join(html_text.blocks_of(page)) == text
+    assert " ".join(html_text.blocks_of(f"<body><header><p>Site</p></header>{page}<footer>F</footer></body>")) == text
+
+
 def test_ties_of_many_classes_go_to_the_smallest_ids(spark):
     # a hundred different vectors of each of two directions: scores are 1 or 0
     ids = list(range(1, 201))
