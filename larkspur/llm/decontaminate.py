@@ -7,7 +7,9 @@ match of unmarked words is marked as a tile in both texts, again and again, unti
 match of at least ``seed`` words is left.  A document is contaminated by an item of
 which tiles cover at least ``threshold``; the order of the tiles does not matter, so
 passages that were cut up and reordered count too.  An item with fewer than ``seed``
-words is one seed by itself; items without words match nothing.
+words is one seed by itself; items without words match nothing.  Where both repeat
+words, so that pairs of seeds are many, the longest matches are found by halving
+their length instead of from a list of the pairs.
 
 The benchmark is handled in blocks of at most ``block_words`` words: each block's seeds
 and texts are broadcast, which bounds what an executor holds, and what one block found is
@@ -33,10 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.store import arrow_rows, written
-from larkspur.llm.textblock import PUNCT, Block, Words, slices, text_bytes, window_hashes
+from larkspur.llm.textblock import PUNCT, Block, Words, mix, slices, text_bytes, window_hashes
 
 SEED = 5
 THRESHOLD = 0.8
+#: Pairs of seeds of a document and an item beyond which they aren't listed; the tiles are the same.
+MOST_PAIRS = 10_000
 FOUND = [T.StructField("_items", T.ArrayType(T.LongType())), T.StructField("_coverage", T.DoubleType())]
 
 
@@ -49,32 +53,54 @@ class Benchmark:
         self.ids = [i for i, _ in items]
         self.n_words = np.diff(words.ptr)
         self.size = np.minimum(self.n_words, seed)  # of an item's seeds
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # size -> hashes, sorted, and the words that they begin at
+        self.seeds: dict[int, tuple[np.ndarray, ...]] = {}  # size -> hashes and items, sorted, the number of seeds of each, and where they are in the last, the words that they begin at
         for size in np.unique(self.size[self.size > 0]).tolist():
             runs = window_hashes(hashes, size)
             at = np.flatnonzero((words.doc[: len(runs)] == words.doc[size - 1 :]) & (self.size[words.doc[: len(runs)]] == size))
-            at = at[np.argsort(runs[at], kind="stable")]
-            self.seeds[size] = runs[at], at
+            at = at[np.argsort(runs[at], kind="stable")]  # of one hash by item, then by place
+            new = np.ones(len(at), bool)
+            new[1:] = (runs[at[1:]] != runs[at[:-1]]) | (words.doc[at[1:]] != words.doc[at[:-1]])
+            first = np.flatnonzero(new)
+            self.seeds[size] = runs[at[first]], words.doc[at[first]], np.diff(np.append(first, len(at))), first, at
 
     def coverage(self, words: Words, hashes: np.ndarray) -> dict[int, dict[int, float]]:
         """For each document the items that it shares seeds with, and the share of their words under tiles."""
         out: dict[int, dict[int, float]] = defaultdict(dict)
-        mine = self.words
-        for size, (seeds, begin) in self.seeds.items():
+        for size, (seeds, items, many, start, begin) in self.seeds.items():
             runs = window_hashes(hashes, size)
             first, last = np.searchsorted(seeds, runs), np.searchsorted(seeds, runs, side="right")
             hit = np.flatnonzero((last > first) & (words.doc[: len(runs)] == words.doc[size - 1 :]))
             n = last[hit] - first[hit]
             at = np.repeat(hit, n)
-            seed = begin[np.repeat(first[hit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            shared: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-            for d, k, i, j in zip(words.doc[at].tolist(), mine.doc[seed].tolist(), at.tolist(), seed.tolist()):
-                if all(word(words, i + x) == word(mine, j + x) for x in range(size)):
-                    shared[d, k].append((i, j))
-            for (d, k), pairs in shared.items():
-                out[d][k] = sum(n for _, _, n in tiles(pairs, size)) / int(self.n_words[k])
+            which = np.repeat(first[hit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            order = np.lexsort((at, items[which], words.doc[at]))
+            at, which = at[order], which[order]
+            doc, item = words.doc[at], items[which]
+            cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (item[1:] != item[:-1])) + 1 if len(at) else []
+            for i, w in zip(np.split(at, cuts), np.split(which, cuts)) if len(at) else []:
+                d, k = int(words.doc[i[0]]), int(items[w[0]])
+                covered = self._in_pairs(words, i, w, size, many, start, begin) if many[w].sum() <= MOST_PAIRS else self._in_runs(words, i, k, size)
+                if covered:
+                    out[d][k] = covered / int(self.n_words[k])
         return out
 
+    def _in_pairs(self, words: Words, at: np.ndarray, which: np.ndarray, size: int, many: np.ndarray, start: np.ndarray, begin: np.ndarray) -> int:
+        """The words under tiles, from all pairs of seeds."""
+        n = many[which]
+        seed = begin[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        pairs = [(i, j) for i, j in zip(np.repeat(at, n).tolist(), seed.tolist()) if all(word(words, i + x) == word(self.words, j + x) for x in range(size))]
+        return sum(n for _, _, n in tiles(pairs, size))
+
+    def _in_runs(self, words: Words, at: np.ndarray, item: int, size: int) -> int:
+        """The same from the words that seeds cover, without a pair for each two places: texts may repeat a word thousands of times."""
+        ids: dict[bytes, int] = {}
+        pattern = np.array([ids.setdefault(word(self.words, j), len(ids)) for j in range(self.words.ptr[item], self.words.ptr[item + 1])], np.int64)
+        at = np.unique(at)
+        covered = np.unique(np.concatenate([at + x for x in range(size)]))
+        text = [ids.get(word(words, i), -1) for i in covered.tolist()]
+        apart = np.flatnonzero(np.diff(covered) > 1) + 1
+        return sum(n for _, _, n in longest_first(np.insert(np.array(text, np.int64), apart, -1), pattern, size))
+
 
 def word(words: Words, i: int) -> bytes:
     return words.block.data[words.start[i] : words.start[i] + words.length[i]].tobytes()
@@ -122,6 +148,52 @@ def tiles(seeds: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]
     return out
 
 
+def longest_first(text: np.ndarray, pattern: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """The tiles of ``tiles`` of two sequences of numbers; negative ones match nothing.
+
+    The longest common run of unmarked numbers is found by halving: runs of a length
+    are hashed, and looked up in those of the pattern.  Memory grows with the sum of the lengths.
+    """
+    text, pattern = text.copy(), pattern.copy()
+    out: list[tuple[int, int, int]] = []
+
+    def starts(x: np.ndarray, n: int) -> np.ndarray:
+        """Where runs of n begin that hold no negative number."""
+        bad = np.concatenate([[0], np.cumsum(x < 0)])
+        return np.flatnonzero(bad[n:] == bad[:-n])
+
+    def found(n: int, salt: int) -> tuple[int, int] | None:
+        """The first common run of n: where it begins in either."""
+        if n > min(len(text), len(pattern)):
+            return None
+        i, j = starts(text, n), starts(pattern, n)
+        if not len(i) or not len(j):
+            return None
+        a, b = (window_hashes(mix(x.astype(np.uint64) + np.uint64(salt)), n)[k] for x, k in ((text, i), (pattern, j)))
+        same = np.flatnonzero(np.isin(a, b))
+        return (int(i[same[0]]), int(j[np.flatnonzero(b == a[same[0]])[0]])) if len(same) else None
+
+    most, salt = min(len(text), len(pattern)), 1
+    while True:
+        low, high, best = size - 1, most, None  # a run of low is there, none of more than high
+        while low < high:
+            n = (low + high + 1) // 2
+            here = found(n, salt)
+            if here:
+                low, best = n, here
+            else:
+                high = n - 1
+        if best is None:
+            return out
+        i, j = best
+        if not np.array_equal(text[i : i + low], pattern[j : j + low]):
+            salt += 1  # hashes that collided don't under another salt
+            continue
+        out.append((i, j, low))
+        text[i : i + low] = pattern[j : j + low] = -1
+        most = low
+
+
 def judge(shared, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         benchmark: Benchmark = shared.value

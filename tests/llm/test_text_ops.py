@@ -223,6 +223,31 @@ def test_tiles_are_greedy_and_apart():
         assert got == want
 
 
+def test_tiles_without_pairs_are_the_same(monkeypatch):
+    r = random.Random(16)
+    for n in range(300):
+        letters = "ab" if n % 2 else "abcd"
+        a, b = ([r.choice(letters) for _ in range(r.randint(1, 40))] for _ in range(2))
+        size = r.choice([1, 2, 3, 5])
+        seeds = [(i, j) for i in range(len(a) - size + 1) for j in range(len(b) - size + 1) if a[i : i + size] == b[j : j + size]]
+        got = decontaminate.longest_first(np.array([ord(x) for x in a]), np.array([ord(x) for x in b]), size)
+        assert got == decontaminate.tiles(seeds, size)
+    texts = [" ".join(r.choice(["la", "lala", "so"]) for _ in range(300)) for _ in range(12)] + ["x " * 400, "so so la"]
+    items = [(i, " ".join(r.choice(["la", "lala"]) for _ in range(r.randint(3, 60))).encode()) for i in range(10)] + [(10, b"x " * 30), (11, b"so")]
+    every = []
+    for most in (0, 10**9):
+        monkeypatch.setattr(decontaminate, "MOST_PAIRS", most)
+        words = decontaminate.Words(decontaminate.Block([t.encode() for t in texts]), decontaminate.PUNCT)
+        every.append(decontaminate.Benchmark(items, 5).coverage(words, words.hashes()))
+    assert every[0] == every[1] and every[0][12][10] == 1.0
+
+
+def test_one_word_thousands_of_times():
+    words = decontaminate.Words(decontaminate.Block([b"buy " * 20_000, b"buy now " * 10_000]), decontaminate.PUNCT)
+    found = decontaminate.Benchmark([(1, b"buy " * 5000), (2, b"now " * 9 + b"buy " * 9)], 5).coverage(words, words.hashes())
+    assert found == {0: {0: 1.0, 1: 0.5}}
+
+
 def test_contaminated_documents_are_found(spark):
     r = random.Random(7)
     items = [" ".join(some_words(r, r.randint(12, 40), 5000)) for _ in range(20)] + ["two words", "", None]
