@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.catalog_queries import TYPE_COLUMNS, TYPES, _duck, fixture
+from larkspur.functions import kinds
 from larkspur.operators import diff, state
 from larkspur.plans import live
 from larkspur.sources import catalog
@@ -142,8 +143,43 @@ _HEALTH = f"""SELECT database, count(*) AS n_tables, count(*) FILTER (n = 0) AS
 FROM {_duck("VALUES ('loan'), ('hall'), ('desk')", ["table_name"], own=True)} t LEFT JOIN (SELECT 'loan_' || l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1) l ON k = table_name) GROUP BY database"""
 
 
+def key_records(spark, sf_dir):
+    """The columns of each table's key, in its order."""
+    columns = fixture(spark, sf_dir, COLUMNS, COLUMN_FACTS)
+    keys = _cut(fixture(spark, sf_dir, KEYS, ["table_name", "cols"]), columns="cols")
+    return catalog.key_columns(columns.select("table_name", "column_name", "ordinal", "data_type"), keys)
+
+
+_RECORDS = f"""SELECT table_name, column_name, place, ordinal, data_type FROM (SELECT table_name, unnest(string_split(cols, ',')) AS column_name, (generate_subscripts(string_split(cols, ','), 1) - 1)::INT AS place FROM {_duck(KEYS, ["table_name", "cols"])})
+JOIN {_duck(COLUMNS, COLUMN_FACTS)} USING (table_name, column_name)"""
+
+
+def artifact_columns(spark, sf_dir):
+    """Columns that were written as JSON and read back."""
+    columns = fixture(spark, sf_dir, COLUMNS, COLUMN_FACTS)
+    return catalog.from_artifact(catalog.artifact(columns), "ordinal int, column_name string, data_type string, max_length int, precision int, scale int, is_nullable boolean, default_expr string")
+
+
+#: SQLite declarations by p_partkey % 8, and what each says: kind, length, precision, scale, fractional digits.
+LITE = [
+    ("'VARCHAR(' || p_size || ')'", "varchar", "p_size", "NULL", "NULL", "NULL"), ("'decimal( ' || p_size || ' , 2)'", "decimal", "NULL", "p_size", "2", "NULL"), ("'FLOATING POINT'", "bigint", "NULL", "NULL", "NULL", "NULL"), ("'DATETIME(' || (p_size % 7) || ')'", "timestamp", "NULL", "NULL", "NULL", "p_size % 7"),
+    ("'native character(' || p_size || ')'", "text", "p_size", "NULL", "NULL", "NULL"), ("'UNSIGNED BIG INT'", "bigint", "NULL", "NULL", "NULL", "NULL"), ("'real(' || p_size || ',1)'", "double", "NULL", "p_size", "1", "NULL"), ("p_brand", "raw", "NULL", "NULL", "NULL", "NULL"),
+]
+
+
+def _lite(i: int) -> str:
+    return "CASE p_partkey % 8 " + " ".join(f"WHEN {n} THEN {(chr(39) + r[1] + chr(39)) if i == 1 else r[i]}" for n, r in enumerate(LITE)) + " END"
+
+
+def sqlite_facts(spark, sf_dir):
+    """Kind and sizes of each part's SQLite declaration."""
+    k = F.col("k")
+    t = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(_lite(0)).alias("declaration")).withColumn("k", kinds.sqlite_declared(F.col("declaration")))
+    return t.select("p_partkey", "declaration", *[k[c].alias(c) for c in ("kind", "length", "precision", "scale", "fsp", "unsigned")])
+
+
 def queries():
-    return {f.__name__: f for f in (live_tables, foreign_key_changes, check_changes, managed_changes, run_log, declared_widths, health)}
+    return {f.__name__: f for f in (live_tables, foreign_key_changes, check_changes, managed_changes, run_log, declared_widths, health, key_records, artifact_columns, sqlite_facts)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -157,4 +193,7 @@ def oracle_sql() -> dict[str, str]:
         "run_log": _runs_sql(),
         "declared_widths": f"SELECT 'd_' || database AS table_name, count(*) AS n_columns, (24 + sum(16 + {_WIDTH}))::BIGINT AS row_bytes FROM {_duck(TYPES, TYPE_COLUMNS, own=True)} GROUP BY database",
         "health": _HEALTH,
+        "key_records": _RECORDS,
+        "artifact_columns": f"SELECT * FROM {_duck(COLUMNS, COLUMN_FACTS)}",
+        "sqlite_facts": f"SELECT p_partkey, {_lite(0)} AS declaration, {_lite(1)} AS kind, {_lite(2)} AS length, {_lite(3)} AS precision, {_lite(4)} AS scale, {_lite(5)} AS fsp, p_partkey % 8 = 5 AS unsigned FROM part",
     }

@@ -47,6 +47,23 @@ def declared(data_type: Column, dialect: Column, length: Column, precision: Colu
     )
 
 
+def sqlite_declared(declaration: Column) -> Column:
+    """The kind of a SQLite column with the sizes that its declaration names.
+
+    One number is a length, or a decimal's precision or a time's fractional digits; two are precision and scale.
+    """
+    kind = types.sqlite_kind(declaration)
+    one, two = (F.regexp_extract(declaration, p, 1) for p in (r"\(\s*(\d+)", r"\(\s*\d+\s*,\s*(\d+)"))
+    number = lambda text: F.when(text != "", text.try_cast("int"))
+    sized = kind.isin("varchar", "char", "text", "binary", "varbinary", "blob", "bitstring", "varbitstring")
+    decimal = kind.isin("decimal", "double", "real")
+    low = F.lower(declaration)
+    return struct(
+        kind=kind, length=F.when(sized, number(one)), precision=F.when(decimal, number(one)), scale=F.when(decimal, number(two)), fsp=F.when(kind.isin("time", "timestamp"), number(one)), unsigned=low.rlike(r"\bunsigned\b"), zoned=F.lit(False),
+        raw=F.when(kind == "raw", F.trim(declaration)),
+    )
+
+
 def quoted(text: Column, target: str) -> Column:
     """A member as a literal."""
     text = F.replace(text, F.lit("\\"), F.lit("\\\\"))

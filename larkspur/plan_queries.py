@@ -363,8 +363,7 @@ def _evolution_sql() -> str:
 
 def schema_artifact(spark, sf_dir):
     """The columns of each table as JSON."""
-    c = catalog_queries.introspect_columns(spark, sf_dir)
-    return c.groupBy("table_name").agg(F.to_json(F.sort_array(F.collect_list(F.struct("ordinal", "column_name", "data_type")))).alias("columns"))
+    return catalog.artifact(catalog_queries.introspect_columns(spark, sf_dir))
 
 
 _QUERIES = [mapping_warnings, sqlite_kinds, column_change_plan, sync_plan, sync_unsupported, sync_script, sync_manifest, create_manifest, create_plan, invalid_definitions, table_predicates, run_by_id, normalized_objects, evolution_batches, schema_artifact]

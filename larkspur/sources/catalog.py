@@ -108,6 +108,26 @@ def key_facts(columns: DataFrame, counts: DataFrame, threshold: int) -> DataFram
     )
 
 
+def key_columns(columns: DataFrame, keys: DataFrame) -> DataFrame:
+    """The columns (table_name, column_name, ...) of each table's key (table_name, columns in the key's order), with their place in it.
+
+    Names are matched in their own case; a name of the key that no column has gives no row.
+    """
+    each = keys.select("table_name", F.posexplode("columns").alias("place", "column_name"))
+    return each.join(columns, ["table_name", "column_name"])
+
+
+def artifact(columns: DataFrame) -> DataFrame:
+    """The columns of each table as JSON, in order."""
+    facts = [c for c in columns.columns if c != "table_name"]
+    return columns.groupBy("table_name").agg(F.to_json(F.sort_array(F.collect_list(F.struct("ordinal", *[c for c in facts if c != "ordinal"])))).alias("columns"))
+
+
+def from_artifact(artifacts: DataFrame, facts: str = "ordinal int, column_name string, data_type string") -> DataFrame:
+    """The columns that ``artifact`` wrote; facts that an older artifact doesn't have are null."""
+    return artifacts.select("table_name", F.inline(F.from_json("columns", f"array<struct<{', '.join(':'.join(f.split()) for f in facts.split(', '))}>>")))
+
+
 def references(columns: DataFrame) -> DataFrame:
     """References that names tell of: a column named as the first column of a table that its stem names.
 
