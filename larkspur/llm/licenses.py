@@ -10,8 +10,8 @@ sets of adjacent word pairs.  With a threshold t it needs
 so a unit outside the bounds of every template is dropped, and another is compared
 with the templates whose bounds it meets.  Texts and units without any of the anchor
 words, of which every unit that reaches the threshold must hold one, aren't cut up.
-Templates are literals of the query (at most ``max_templates`` short texts); no join is
-made.
+Templates are one literal of the query (at most ``max_templates`` texts), which functions
+of higher order go through; no join is made.
 
 A document gets the template with the highest coefficient of its units (ties: the
 first in alphabetical order), or null.
@@ -27,7 +27,7 @@ columns are ignored, an empty table gives no rows.
 
 from __future__ import annotations
 
-import functools
+import json
 import math
 import re
 
@@ -117,6 +117,14 @@ def anchors(sets: list[tuple[str, list[str]]], threshold: float) -> list[str]:
     return sorted(w for w in found if not any(v in w for v in found if v != w))
 
 
+def holds_any(text: Column, words: list[str]) -> Column:
+    """Whether the text holds one of the words; a balanced tree, as a long chain of OR is too deep to plan."""
+    some = [F.contains(text, F.lit(w)) for w in words] or [F.lit(False)]
+    while len(some) > 1:
+        some = [some[i] | some[i + 1] if i + 1 < len(some) else some[i] for i in range(0, len(some), 2)]
+    return some[0]
+
+
 def _bound(value: Column, use) -> Column:
     """``use`` of the value, which is computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -137,7 +145,17 @@ def linked(pairs: Column) -> Column:
     return _bound(F.array_sort(F.transform(pairs, lambda p, i: F.struct(p.alias("pair"), i.alias("at")))), beside)
 
 
-def best_window(text: Column, order: int, name: str, b: list[str], threshold: float) -> Column:
+#: A template's place, name, pairs, their number, and the numbers of pairs that a unit may have.
+TEMPLATE = "array<struct<order:int,name:string,n:int,low:int,high:int,pairs:array<string>>>"
+
+
+def literal(sets: list[tuple[str, list[str]]], threshold: float) -> Column:
+    """The templates as one literal, so that the plan doesn't grow with their number."""
+    rows = [dict(zip(("order", "name", "n", "low", "high", "pairs"), (i, name, len(b), *bounds(len(b), threshold), b))) for i, (name, b) in enumerate(sets)]
+    return F.from_json(F.lit(json.dumps(rows)), TEMPLATE)
+
+
+def best_window(text: Column, template: Column, threshold: float) -> Column:
     """(shared, score, order, name) of the window with the best score of a template, null if none reaches the threshold.
 
     All windows are judged, in one pass from each start.  A window begins with a pair of the
@@ -146,9 +164,7 @@ def best_window(text: Column, order: int, name: str, b: list[str], threshold: fl
     bounds allow: at the latest where the text has that many first places of pairs, counted
     from a start that is one, or last ones.
     """
-    _, high = bounds(len(b), threshold)
-    n = len(b)
-    template = F.array(*[F.lit(x) for x in b])
+    high, n = template["high"], template["n"]
 
     def judged(places: Column) -> Column:
         held = F.filter(places, lambda x: x["held"])
@@ -165,32 +181,30 @@ def best_window(text: Column, order: int, name: str, b: list[str], threshold: fl
             fresh = x["before"] < at
             size = so_far["size"] + fresh.cast("int")
             shared = so_far["shared"] + (fresh & x["held"]).cast("int")
-            rated = F.struct((shared * 2.0 / (size + F.lit(n))).alias("score"), shared.alias("shared"))
+            rated = F.struct((shared * 2.0 / (size + n)).alias("score"), shared.alias("shared"))
             return F.struct(size.alias("size"), shared.alias("shared"), F.greatest(so_far["best"], rated).alias("best"))
 
         none = F.struct(F.lit(0).alias("size"), F.lit(0).alias("shared"), F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("shared")).alias("best"))
         return F.aggregate(reach, none, wider, lambda x: x["best"])
 
-    marked = F.transform(text["places"], lambda x: F.struct(x["at"].alias("at"), x["before"].alias("before"), x["after"].alias("after"), F.array_contains(template, x["pair"]).alias("held")))
-    return _bound(_bound(marked, judged), lambda w: F.when(w["score"] >= threshold, F.struct(w["shared"].alias("shared"), w["score"].alias("score"), F.lit(-order).alias("order"), F.lit(name).alias("name"))))
+    marked = F.transform(text["places"], lambda x: F.struct(x["at"].alias("at"), x["before"].alias("before"), x["after"].alias("after"), F.array_contains(template["pairs"], x["pair"]).alias("held")))
+    return _bound(_bound(marked, judged), lambda w: F.when(w["score"] >= threshold, F.struct(w["shared"].alias("shared"), w["score"].alias("score"), (-template["order"]).alias("order"), template["name"].alias("name"))))
 
 
 def windows_of(pairs: Column, sets: list[tuple[str, list[str]]], threshold: float) -> Column:
     """The best windows of the templates that reach the threshold with one, null if too few pairs are shared; ``pairs`` with repeats, in order, a lambda's variable."""
 
-    def tried(shared: Column) -> Column:
-        enough = [F.get(shared, F.lit(i)) >= bounds(len(b), threshold)[0] for i, (_, b) in enumerate(sets)]
-
+    def tried(enough: Column) -> Column:
         def every(places: Column) -> Column:
             of = lambda kept: F.transform(F.filter(places, kept), lambda x: x["at"])
             text = F.struct(places.alias("places"), of(lambda x: x["before"] < 0).alias("firsts"), of(lambda x: x["after"].isNull()).alias("lasts"))
-            return _bound(text, lambda t: F.array_compact(F.array(*[F.when(enough[i], best_window(t, i, name, b, threshold)) for i, (name, b) in enumerate(sets)])))
+            return _bound(text, lambda t: F.array_compact(F.transform(enough, lambda x: best_window(t, x, threshold))))
 
-        return F.when(functools.reduce(Column.__or__, enough), _bound(linked(pairs), every))
+        return F.when(F.size(enough) > 0, _bound(linked(pairs), every))
 
     if not sets:
         return F.lit(None)
-    return _bound(F.array(*[F.size(F.array_intersect(pairs, F.array(*[F.lit(x) for x in b]))) for _, b in sets]), tried)
+    return _bound(F.filter(literal(sets, threshold), lambda t: F.size(F.array_intersect(pairs, t["pairs"])) >= t["low"]), tried)
 
 
 def scan(
@@ -199,25 +213,20 @@ def scan(
     """doc_id, license, score (null without one) and n_matches (pairs of a distinct unit and a template, and templates that a window fits) of every document."""
     sets = bigram_sets(templates)
     if len(sets) > max_templates:
-        raise ValueError(f"{len(sets)} templates; they are literals of the query, at most max_templates = {max_templates}")
-    sized = [(name, b, *bounds(len(b), threshold)) for name, b in sets]
-    least, most = min((x[2] for x in sized), default=0), max((x[3] for x in sized), default=-1)
+        raise ValueError(f"{len(sets)} templates; they are a literal of the query, at most max_templates = {max_templates}")
+    sized = [bounds(len(b), threshold) for _, b in sets]
+    least, most = min((x for x, _ in sized), default=0), max((x for _, x in sized), default=-1)
     known = F.array(*[F.lit(p) for p in sorted({p for _, b in sets for p in b})])
 
     def matches(pairs: Column) -> Column:
-        tried = []
-        for name, b, low, high in sized:
-            dice = F.size(F.array_intersect(pairs, F.array(*[F.lit(p) for p in b]))) * 2.0 / (F.size(pairs) + F.lit(len(b)))
-            tried.append(F.when(F.size(pairs).between(low, high) & (dice >= threshold), F.struct(dice.alias("score"), F.lit(name).alias("name"))))
-        return F.array_compact(F.array(*tried))
+        fits = F.filter(literal(sets, threshold), lambda t: F.size(pairs).between(t["low"], t["high"]))
+        rated = F.transform(fits, lambda t: F.struct((F.size(F.array_intersect(pairs, t["pairs"])) * 2.0 / (F.size(pairs) + t["n"])).alias("score"), t["name"].alias("name")))
+        return F.filter(rated, lambda x: x["score"] >= threshold)
 
     words = anchors(sets, threshold)
 
     def anchored(lowered: Column) -> Column:
-        out = F.lit(False)
-        for w in words:
-            out = out | F.contains(lowered, F.lit(w))
-        return out
+        return holds_any(lowered, words)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     units = F.array_distinct(F.transform(F.concat(F.split(text, "\n"), F.array(text)), normalised))
@@ -233,11 +242,9 @@ def scan(
 
     long = bigram_sets(passages)
     if len(sets) + len(long) > max_templates:
-        raise ValueError(f"{len(sets) + len(long)} templates; they are literals of the query, at most max_templates = {max_templates}")
+        raise ValueError(f"{len(sets) + len(long)} templates; they are a literal of the query, at most max_templates = {max_templates}")
     anchor_words = anchors(sets + long, threshold)
-    held = F.lit(False)
-    for w in anchor_words:
-        held = held | F.contains(F.lower(text), F.lit(w))
+    held = holds_any(F.lower(text), anchor_words)
 
     def windows(of: list[tuple[str, list[str]]]) -> Column:
         words = F.split(normalised(text), " ")
