@@ -20,6 +20,7 @@ CLASSES = {"ok": "boolean", "first": "textual"}
         ("CASE WHEN soundex(a) = 'b' THEN 1 END", None, None, None),
         ("CASE WHEN a) THEN 1 END", None, None, None),
         ("", None, None, None),
+        ("now() AT TIME ZONE 'CET'", "CURRENT_TIMESTAMP AT TIME ZONE 'CET'", None, None),
         ("at_ AT TIME ZONE 'Europe/Paris' > now() AT TIME ZONE 'utc'", "\"at_\" AT TIME ZONE 'Europe/Paris' > (CURRENT_TIMESTAMP AT TIME ZONE 'UTC')", None, None),
         ("(ok = 0) OR NOT (ok <> 1)", '("ok" = false) OR (NOT ("ok" <> true))', "([ok] = 0) OR (NOT ([ok] <> 1))", "(`ok` = 0) OR (NOT (`ok` <> 1))"),
     ],
