@@ -132,22 +132,29 @@ def criteria(source_dialect: str, target_dialect: str) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def storage_differs(target_dialect: str) -> Column:
+    """Whether only one of two computed columns is stored, where the target has both kinds."""
+    a, b = (lambda c: F.col(f"s.{c}")), (lambda c: F.col(f"t.{c}"))
+    return F.lit(target_dialect in ("mysql", "mssql")) & a("is_computed") & b("is_computed") & (a("computed_persisted") != b("computed_persisted"))
+
+
 def column_deltas(source: DataFrame, target: DataFrame, source_dialect: str, target_dialect: str) -> DataFrame:
     """(table_name, column_name, criterion) for each way in which a target column isn't the source's; missing and extra columns too."""
     missing, extra = F.col("t.table_name").isNull(), F.col("s.table_name").isNull()
-    found = F.when(missing, F.array(F.lit("missing"))).when(extra, F.array(F.lit("extra"))).otherwise(criteria(source_dialect, target_dialect))
+    every = F.array_compact(F.array_append(criteria(source_dialect, target_dialect), F.when(storage_differs(target_dialect), "computed_storage")))
+    found = F.when(missing, F.array(F.lit("missing"))).when(extra, F.array(F.lit("extra"))).otherwise(every)
     return matched(source, target).select(F.col("_t").alias("table_name"), F.col("_c").alias("column_name"), F.explode(found).alias("criterion"))
 
 
-#: Why a live change of a column is refused, by what changes.
+#: Why a live change of a column is refused, by what changes.
 REFUSALS = {
-    "identity": "identity changes are not supported by deterministic sync",
-    "computed": "computed-column changes are not supported by deterministic sync",
-    "computed_storage": "computed-column changes are not supported by deterministic sync",
-    "on_update": "ON UPDATE clause changes are detected but not rendered by deterministic sync",
-    "enum_values": "ENUM/SET value-list changes are detected but not rendered by deterministic sync",
-    "srid": "spatial SRID changes are detected but not rendered by deterministic sync",
-    "display_width": "display-width changes are detected but not rendered by deterministic sync",
+    "identity": "a column can't start or stop numbering itself in place",
+    "computed": "a computed column is dropped and added, not changed",
+    "computed_storage": "a computed column is dropped and added, not changed",
+    "on_update": "no statement changes what an update sets",
+    "enum_values": "no statement changes the members of an enum or set",
+    "srid": "no statement changes a spatial reference",
+    "display_width": "no statement changes a display width",
 }
 
 
@@ -157,10 +164,9 @@ def live_changes(source: DataFrame, target: DataFrame, source_dialect: str, targ
     trimmed = lambda c: F.trim(F.coalesce(c, F.lit("")))
     expression = lambda c: F.lower(F.regexp_replace(trimmed(c), r"[\s()\[\]`\"]", ""))  # noqa: E731  as two catalogs may write one expression
     same = F.lit(source_dialect == target_dialect)
-    virtual = F.lit(target_dialect in ("mysql", "mssql"))
     more = F.array_compact(
         F.array(
-            F.when(a("is_computed") & b("is_computed") & virtual & (a("computed_persisted") != b("computed_persisted")), "computed_storage"),
+            F.when(storage_differs(target_dialect), "computed_storage"),
             F.when(trimmed(a("on_update")) != trimmed(b("on_update")), "on_update"),
             F.when(~a("srid").eqNullSafe(b("srid")), "srid"),
             F.when(same & ~a("enum_values").eqNullSafe(b("enum_values")), "enum_values"),
