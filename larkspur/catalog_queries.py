@@ -100,13 +100,17 @@ def _map_to(target: str):
 
 def map_types(spark, sf_dir):
     """Every column of every table with its type on each target."""
+    return _mapped(spark, sf_dir).drop("ordinal")
+
+
+def _mapped(spark, sf_dir) -> DataFrame:
     none, no = F.lit(None).cast("int"), F.lit(False)
     c = catalog.parquet_columns(spark, sf_dir, TABLES)
     inner = F.regexp_extract("data_type", r"^array<(.*)>$", 1)
     c = c.withColumns({"kind": types.kind(F.col("data_type"), F.lit("spark"), none), "element_kind": types.kind(inner, F.lit("spark"), none)})
     rest = (none, none, none, no, no, no, none)
     out = [types.render(t, F.col("kind"), *rest, types.render(t, F.col("element_kind"), *rest)).alias(t) for t in types.TARGETS]
-    return c.select("table_name", "column_name", "kind", *out)
+    return c.select("table_name", "ordinal", "column_name", "kind", *out)
 
 
 def ident_fold(spark, sf_dir):
@@ -273,7 +277,7 @@ def check_violations(spark, sf_dir):
 def create_table_ddl(spark, sf_dir):
     """CREATE TABLE of every table on every dialect; the first column is the key."""
     out = None
-    mapped = map_types(spark, sf_dir).join(introspect_columns(spark, sf_dir).select("table_name", "column_name", "ordinal"), ["table_name", "column_name"])
+    mapped = _mapped(spark, sf_dir)
     for t in types.TARGETS:
         key = F.when(F.col("ordinal") == 1, 1)
         c = mapped.select("table_name", "column_name", "ordinal", key.alias("key_position"), ddl.column_definition(F.col("column_name"), F.col(t), F.col("ordinal") > 1, F.lit(None).cast("string"), t).alias("definition"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +19,17 @@ JDBC_COLUMNS = {
 }
 
 
+def opened(spark: SparkSession, sf_dir: str, tables: list[str]) -> dict[str, DataFrame]:
+    """The tables by name.  Each table's footers are read by a job of its own, so some are opened at once."""
+    with ThreadPoolExecutor(8) as pool:
+        return dict(zip(tables, pool.map(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), tables)))
+
+
 def parquet_columns(spark: SparkSession, sf_dir: str, tables: list[str]) -> DataFrame:
     """One row for each column of the tables; only file footers are read."""
     rows = []
-    for name in sorted(tables):
-        for i, f in enumerate(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema):
+    for name, df in sorted(opened(spark, sf_dir, tables).items()):
+        for i, f in enumerate(df.schema):
             rows.append((name, i + 1, f.name, f.dataType.simpleString(), f.nullable))
     return spark.createDataFrame(rows, COLUMNS)
 
@@ -35,8 +43,8 @@ def jdbc_columns(spark: SparkSession, dialect: str, url: str, schema: str, **opt
 def row_counts(spark: SparkSession, sf_dir: str, tables: list[str]) -> DataFrame:
     """Exact row counts, one scan of footers for each table."""
     out = None
-    for name in sorted(tables):
-        one = spark.read.parquet(f"{sf_dir}/{name}.parquet").agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+    for name, df in sorted(opened(spark, sf_dir, tables).items()):
+        one = df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
         out = one if out is None else out.unionAll(one)
     return out
 
