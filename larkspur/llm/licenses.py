@@ -204,7 +204,11 @@ def windows_of(pairs: Column, sets: list[tuple[str, list[str]]], threshold: floa
 
     if not sets:
         return F.lit(None)
-    return _bound(F.filter(literal(sets, threshold), lambda t: F.size(F.array_intersect(pairs, t["pairs"])) >= t["low"]), tried)
+    # what the text shares with any template is little, mostly too little for all of them
+    known = F.from_json(F.lit(json.dumps(sorted({p for _, b in sets for p in b}))), "array<string>")
+    least = min(bounds(len(b), threshold)[0] for _, b in sets)
+    enough = lambda shared: F.filter(literal(sets, threshold), lambda t: F.size(F.array_intersect(shared, t["pairs"])) >= t["low"])
+    return _bound(F.array_intersect(pairs, known), lambda shared: F.when(F.size(shared) >= least, _bound(enough(shared), tried)))
 
 
 def scan(
