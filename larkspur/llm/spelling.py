@@ -16,7 +16,9 @@
    they end; roots are found by doubling the steps.
 
 Nothing is gathered in one task or on the driver: keys of many words are split by the
-skew join, as a join is all that is done with them.
+skew join, as a join is all that is done with them.  All joins sort and merge by hint, as
+Spark takes the vocabulary for its compressed files and the keyed rows for no more than
+it, so that it would broadcast millions of them by way of the driver.
 
 Runs of ``[A-Za-z\\u00C0-\\u00FF]`` count, A-Z lowered.  With ``drop_every``, the run of a
 document whose unsigned crc32 h of ``<doc_id>:<run>`` it divides loses the letter h %
@@ -139,7 +141,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     first = [f"(band <= {j} or ({flips} & {low << (WIDTH * j)}L) != 0)" for j in range(BANDS - 1)]
     first.append("(side = 0 or left(word_a, s div 2) != left(word_b, s div 2))")
     near = f"bit_count({flips}) <= 2 and (size_b > s or word_a < word_b) and {' and '.join(first)} and levenshtein(word_a, word_b, 1) = 1"
-    return left.join(right, (left["key"] == right["key"]) & F.expr(near)).select(F.col("word_a").alias("a"), F.col("n_a"), F.col("word_b").alias("b"), F.col("n_b"))
+    return left.join(right.hint("merge"), (left["key"] == right["key"]) & F.expr(near)).select(F.col("word_a").alias("a"), F.col("n_a"), F.col("word_b").alias("b"), F.col("n_b"))
 
 
 def forms(words: DataFrame, ratio: int) -> DataFrame:
@@ -158,7 +160,7 @@ def roots(found: DataFrame) -> DataFrame:
     chain = written(found.where("form is not null").select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         on = chain.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        longer = written(chain.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
+        longer = written(chain.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
         forget(chain)
         if longer.where("moved").isEmpty():
             return longer.select("word", "root")
@@ -169,5 +171,5 @@ def variants(docs: DataFrame, least_letters: int = 6, least_n: int = 5, ratio: i
     """word, form (null if none), root, n, n_near and form_n of every word of the vocabulary."""
     words = written(vocabulary(docs, least_letters, least_n, drop_every, id_col, text_col), "spelling-words")
     found = written(forms(words, ratio), "spelling-forms")
-    out = words.select("word", "n").join(found, "word", "left").join(roots(found), "word", "left")
+    out = words.select("word", "n").join(found.hint("merge"), "word", "left").join(roots(found).hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"), "form_n")

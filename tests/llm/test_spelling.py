@@ -4,6 +4,7 @@ import re
 import zlib
 
 from larkspur.llm import spelling
+from larkspur.llm.store import written
 
 
 def words_of(rows, drop):
@@ -96,3 +97,13 @@ def test_held_words_and_empty_tables(spark, monkeypatch):
     rows = [(1, "abcdefg " * 1000 + "x" * 50_000 + " " + ("x" * 49_999 + " ") * 6)] * 5
     check(spark, rows)
     assert spelling.variants(table(spark, rows).limit(0)).count() == 0
+
+
+def test_nothing_is_broadcast(spark):
+    """Files of a vocabulary are small beside its rows, and these beside its keys: none of them may go through the driver."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    docs = table(spark, [(1, "abcdef " * 25 + "abcdeg " * 5)])
+    words = written(spelling.vocabulary(docs), "spelling-words")
+    for df in (spelling.near_pairs(words), spelling.variants(docs)):
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+    assert [tuple(x) for x in spelling.near_pairs(words).collect()] == [("abcdef", 25, "abcdeg", 5)]
