@@ -7,6 +7,7 @@ text is parsed once, in tasks, and joined back.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,3 +27,15 @@ def applied(df: DataFrame, column: str, into: str, fn: Callable[[str], object],
 
     distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
     return df.join(distinct.mapInArrow(run, f"`{column}` string, `{into}` {kind}"), column, "left")
+
+
+def once(df: DataFrame, columns: list[str], rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``df`` with what ``rule`` makes of the distinct values of ``columns`` (nulls count): none, one or more rows for each.
+
+    For declared types, whose rules are long expressions: a catalog has few of them, however
+    many columns it has, so that the rules' rows are broadcast.  They must keep ``columns``.
+    """
+    known = {c: f"{c}_of_rule" for c in columns}
+    found = rule(df.select(*columns).distinct()).withColumnsRenamed(known)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in known.items()])
+    return df.join(F.broadcast(found), same).drop(*known.values())

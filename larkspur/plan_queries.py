@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur import catalog_queries
 from larkspur.catalog_queries import TABLES, _duck, fixture
-from larkspur.functions import identifiers, types
+from larkspur.functions import identifiers, texts, types
 from larkspur.operators import state
 from larkspur.plans import api, changes, ordering, validation
 from larkspur.sources import catalog
@@ -31,13 +31,19 @@ LOSSY_COLUMNS = ["dialect", "data_type", "said", "length", "prec", "scale", "fsp
 
 
 def mapping_warnings(spark, sf_dir):
+    """What each column's mapping loses on each target; each distinct declaration is judged once."""
     t = fixture(spark, sf_dir, LOSSY, LOSSY_COLUMNS)
+    facts = [c for c in LOSSY_COLUMNS if c != "said"]
+    return texts.once(t.select(*facts), facts, _lost).select("dialect", "data_type", "kind", "length", "target", "place", "reason")
+
+
+def _lost(t):
     t = t.withColumns({"kind": types.kind(F.col("data_type"), F.col("dialect"), F.col("length")), "tz": types.zoned(F.col("data_type")), "national": types.national(F.col("data_type"))})
     facts = types.Facts(*[F.col(c) for c in ("kind", "length", "prec", "scale", "unsigned", "tz", "national", "fsp")], F.lit(None).cast("string"))
     utc = (F.col("dialect") == "mysql") & (F.col("data_type") == "timestamp")
-    every = t.withColumn("losses", F.map_from_arrays(F.array(*map(F.lit, types.TARGETS)), F.array(*[types.losses(target, facts, utc) for target in types.TARGETS])))
-    each = every.select("dialect", "data_type", "kind", "length", F.explode("losses").alias("target", "reasons"))
-    return each.select("dialect", "data_type", "kind", "length", "target", F.posexplode("reasons").alias("place", "reason"))
+    every = F.map_from_arrays(F.array(*map(F.lit, types.TARGETS)), F.array(*[types.losses(target, facts, utc) for target in types.TARGETS]))
+    each = t.select("*", F.explode_outer(every).alias("target", "reasons"))  # outer: else Spark filters by the whole map's size, with all rules again
+    return each.select("*", F.posexplode_outer("reasons").alias("place", "reason")).drop("reasons", "tz", "national").where("place IS NOT NULL")
 
 
 #: (targets, condition, reason) in the order in which the rules are read.

@@ -1,8 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur import plan_queries
+from larkspur.functions import texts
 from larkspur.plans import api, ordering
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_keys_of_cycles_are_dropped_before_their_tables():
     refs = [("has", "desk", "drawer"), ("in", "drawer", "desk"), ("on", "lamp", "desk"), ("self", "lamp", "lamp")]
@@ -20,3 +24,17 @@ def test_a_dialect_of_ones_own(spark):
         with pytest.raises(ValueError):
             bad()
     assert r.apply("truncate_table", t, "pg", "s", cascade=True).first().sql == 'TRUNCATE TABLE "s"."a" CASCADE'
+
+
+def test_losses_are_judged_once_for_each_declaration(spark):
+    """However many suppliers there are: the rules stand above the aggregate of distinct declarations, and nowhere else."""
+    df = plan_queries.mapping_warnings(spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    rules = [i for i, line in enumerate(plan) if "fractional seconds are cut" in line]
+    assert len(rules) == 1 and any("HashAggregate" in line for line in plan[rules[0] :])
+
+
+def test_rules_on_distinct_values_keep_nulls_and_repeats(spark):
+    t = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, None, 5), (4, "b", 5), (5, "b", 5)], "id int, x string, y int")
+    rule = lambda d: d.select("*", F.explode(F.when(F.col("x") == "a", F.array(F.lit(1), F.lit(2))).when(F.col("x").isNull(), F.array(F.lit(3)))).alias("z"))
+    assert sorted((r.id, r.z) for r in texts.once(t, ["x", "y"], rule).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
