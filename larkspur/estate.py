@@ -25,6 +25,9 @@ def rows(spark: SparkSession, sf_dir: str, template: DataFrame, names: tuple[str
     listed = [{"n_": i} | r.asDict() for i, r in enumerate(template.collect())]  # a literal's rows: no job runs
     kind = T.ArrayType(T.StructType([T.StructField("n_", T.IntegerType()), *template.schema.fields]))
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
+    cores = spark.sparkContext.defaultParallelism
+    if suppliers.rdd.getNumPartitions() < cores:  # their file is small beside what is made of it: else one task has it all
+        suppliers = suppliers.repartition(cores, "s_suppkey")
     every = suppliers.select("s_suppkey", F.inline(F.from_json(F.lit(json.dumps(listed)), kind)))
     if not whole:
         every = every.where(f"(s_suppkey + 3 * n_) % {LACKS} != 0")

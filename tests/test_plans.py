@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur import plan_queries
+from larkspur import catalog_queries, plan_queries
 from larkspur.functions import texts
 from larkspur.plans import api, ordering
 
@@ -38,3 +38,8 @@ def test_rules_on_distinct_values_keep_nulls_and_repeats(spark):
     t = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, None, 5), (4, "b", 5), (5, "b", 5)], "id int, x string, y int")
     rule = lambda d: d.select("*", F.explode(F.when(F.col("x") == "a", F.array(F.lit(1), F.lit(2))).when(F.col("x").isNull(), F.array(F.lit(3)))).alias("z"))
     assert sorted((r.id, r.z) for r in texts.once(t, ["x", "y"], rule).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
+
+
+def test_an_estates_rows_are_dealt_over_all_cores(spark):
+    t = catalog_queries.fixture(spark, SF, catalog_queries.TYPES, catalog_queries.TYPE_COLUMNS, own=True)
+    assert t.select(F.spark_partition_id().alias("p")).distinct().count() > 1
