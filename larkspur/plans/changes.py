@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.plans import ddl, definitions, ordering
@@ -23,7 +23,7 @@ def _statement(description: Column, risk: Column, note: Column, sql: Column) ->
     return F.struct(description.alias("description"), risk.alias("risk"), note.cast("string").alias("note"), sql.alias("sql"))
 
 
-def expanded(changes: DataFrame, target: str, schema: str = "") -> DataFrame:
+def expanded(changes: DataFrame, target: str, schema: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
     """The statements that change columns, in order (``place``), with what no statement can do as risk ``unsupported``.
 
     ``changes`` has table_name, column_name, and type, nullable and default before (``old_``) and
@@ -32,7 +32,7 @@ def expanded(changes: DataFrame, target: str, schema: str = "") -> DataFrame:
 
     A default goes before its column's type changes, and in SQL Server before it is replaced.
     Other facts of ``definitions`` that are there (identity, on_update) are kept where MySQL
-    repeats the definition.
+    repeats the definition.  Columns of ``keep`` stay.
     """
     criteria = F.coalesce("criteria", F.array().cast("array<string>")) if "criteria" in changes.columns else F.array().cast("array<string>")
     attributes = F.col("attributes") if "attributes" in changes.columns else F.array().cast("array<string>")
@@ -61,10 +61,20 @@ def expanded(changes: DataFrame, target: str, schema: str = "") -> DataFrame:
     )
     why = F.concat_ws(", ", F.when(F.size(attributes) > 0, attributes).otherwise(criteria))
     cannot = F.array(_statement(F.concat(F.lit("change column "), name), F.lit("unsupported"), F.concat(F.lit(f"no statement on {target} for: "), why), none.cast("string")))
-    return rows.select("table_name", "column_name", F.posexplode(F.when(F.size(found) > 0, found.cast(f"array<{STATEMENT}>")).otherwise(cannot.cast(f"array<{STATEMENT}>"))).alias("place", "s")).select("table_name", "column_name", "place", "s.*")
+    return rows.select(*keep, "table_name", "column_name", F.posexplode_outer(F.when(F.size(found) > 0, found.cast(f"array<{STATEMENT}>")).otherwise(cannot.cast(f"array<{STATEMENT}>"))).alias("place", "s")).select(*keep, "table_name", "column_name", "place", "s.*")
 
 
 PLAN = ("phase", "seq", "table_name", "step", "object_name", "place", "risk", "note", "description", "sql")
+#: Facts of the columns and objects that a plan compares.
+COLUMN_FACTS = ("ordinal", "type_text", "is_nullable", "default", "is_identity", "key_position")
+OBJECT_FACTS = ("drop_sql", "ref_table")
+
+
+def _sides(old: DataFrame, new: DataFrame, keys: list[str], facts: tuple[str, ...]) -> DataFrame:
+    """A row for each key of both, dealt by table, with its facts before and after as structs ``o`` and ``n``: null where it isn't there."""
+    both = old.select(*keys, *facts, F.lit(False).alias("is_new")).unionAll(new.select(*keys, *facts, F.lit(True)))
+    fact = F.struct(*facts)
+    return both.repartition("table_name").groupBy(*keys).agg(F.max(F.when(~F.col("is_new"), fact)).alias("o"), F.max(F.when(F.col("is_new"), fact)).alias("n"))
 
 
 def sync_plan(old: dict[str, DataFrame], new: dict[str, DataFrame], target: str, schema: str = "", by: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -77,65 +87,65 @@ def sync_plan(old: dict[str, DataFrame], new: dict[str, DataFrame], target: str,
 
     ``by`` is a column of both that names the database of a table (of names that no other
     database has): the results have it too, and each database's drops are ordered apart.
-    """
-    oc, nc = old["columns"], new["columns"]
-    old_tables, new_tables = (c.select("table_name").distinct() for c in (oc, nc))
-    made, gone, kept = new_tables.join(old_tables, "table_name", "left_anti"), old_tables.join(new_tables, "table_name", "left_anti"), new_tables.join(old_tables, "table_name", "left_semi")
-    no_note = F.lit(None).cast("string")
 
-    def rows(df: DataFrame, phase: str, step: Column, name: Column, risk: Column, note: Column, description: Column, sql: Column, seq: Column | None = None, place: Column | None = None) -> DataFrame:
+    Old and new rows are put together by grouping and windows on the table, not by joins of
+    the catalogs.  The joins that are left sort and merge by hint: catalogs that are made of
+    small files look small to Spark, and would go through the driver.
+    """
+    own, lit, no_note = [by] * (by is not None), F.lit, F.lit(None).cast("string")
+    sides = _sides(old["columns"], new["columns"], [*own, "table_name", "column_name"], COLUMN_FACTS)
+    table = Window.partitionBy(*own, "table_name")
+    was, stays = F.max(F.col("o").isNotNull()), F.max(F.col("n").isNotNull())
+    columns = sides.withColumns({"was": was.over(table), "stays": stays.over(table)})
+    tables = sides.groupBy(*own, "table_name").agg(was.alias("was"), stays.alias("stays"))
+    of_new = columns.where("n IS NOT NULL").select(*own, "table_name", "column_name", "was", F.col("o").isNull().alias("is_added"), "n.*")
+
+    def rows(df: DataFrame, phase: Column, step: Column, name: Column, risk: Column, note: Column, description: Column, sql: Column, seq: Column | None = None, place: Column | None = None) -> DataFrame:
         zero = F.lit(0)
-        return df.select(F.lit(phase).alias("phase"), (zero if seq is None else seq).alias("seq"), "table_name", step.alias("step"), name.alias("object_name"), (zero if place is None else place).alias("place"), risk.alias("risk"), note.alias("note"), description.alias("description"), sql.alias("sql"))
+        return df.select(phase.alias("phase"), (zero if seq is None else seq).alias("seq"), "table_name", step.alias("step"), name.alias("object_name"), (zero if place is None else place).alias("place"), risk.alias("risk"), note.alias("note"), description.alias("description"), sql.alias("sql"), *own)
 
     says = lambda word, c: F.concat(F.lit(word + " "), F.col(c))
-    lit = F.lit
     definition = ddl.column_definition(F.col("column_name"), F.col("type_text"), F.col("is_nullable"), F.col("default"), target)
-    creates = ddl.create_tables(nc.join(made, "table_name", "left_semi").withColumn("definition", definition), target, schema)
-    out = rows(creates, "create table", lit(""), F.col("table_name"), lit("safe"), no_note, says("create table", "table_name"), F.col("sql"))
+    creates = ddl.create_tables(of_new.where("NOT was").withColumn("definition", definition), target, schema, tuple(own))
+    out = rows(creates, lit("create table"), lit(""), F.col("table_name"), lit("safe"), no_note, says("create table", "table_name"), F.col("sql"))
 
-    both = ["table_name", "column_name"]
     risk = ordering.add_column_risk(F.col("is_nullable"), filled(F.col("default")), F.col("is_identity"))
-    added = nc.join(kept, "table_name", "left_semi").join(oc, both, "left_anti").withColumn("definition", definition).withColumn("risk", risk)
-    out = out.unionAll(rows(added, "change table", lit("add column"), F.col("column_name"), F.col("risk"), F.when(F.col("risk") == "blocking", "needs a value for the rows that are there"), says("add column", "column_name"), ddl.add_column(target, schema)))
-    dropped = oc.join(kept, "table_name", "left_semi").join(nc, both, "left_anti")
-    out = out.unionAll(rows(dropped, "change table", lit("drop column"), F.col("column_name"), lit("data-loss"), lit("drops the column's data"), says("drop column", "column_name"), ddl.drop("column", target, schema)))
-    facts = lambda c, side: c.select(*both, F.col("type_text").alias(f"{side}_type"), F.col("is_nullable").alias(f"{side}_nullable"), F.col("default").alias(f"{side}_default"))
-    pairs = facts(oc, "old").join(facts(nc, "new"), both)
+    added = of_new.where("was AND is_added").withColumn("definition", definition).withColumn("risk", risk)
+    out = out.unionAll(rows(added, lit("change table"), lit("add column"), F.col("column_name"), F.col("risk"), F.when(F.col("risk") == "blocking", "needs a value for the rows that are there"), says("add column", "column_name"), ddl.add_column(target, schema)))
+    dropped = columns.where("stays AND n IS NULL")
+    out = out.unionAll(rows(dropped, lit("change table"), lit("drop column"), F.col("column_name"), lit("data-loss"), lit("drops the column's data"), says("drop column", "column_name"), ddl.drop("column", target, schema)))
+    facts = lambda side, name: [F.col(f"{side}.{c}").alias(f"{name}_{c.removeprefix('is_').removesuffix('_text')}") for c in ("type_text", "is_nullable", "default")]
+    pairs = sides.where("o IS NOT NULL AND n IS NOT NULL").select(*own, "table_name", "column_name", *facts("o", "old"), *facts("n", "new"))
     differ = (F.col("old_type") != F.col("new_type")) | (F.col("old_nullable") != F.col("new_nullable")) | ~F.col("old_default").eqNullSafe(F.col("new_default"))
-    changed = expanded(pairs.where(differ), target, schema)
-    out = out.unionAll(rows(changed.where("risk <> 'unsupported'"), "change table", lit("change column"), F.col("column_name"), F.col("risk"), F.col("note"), F.col("description"), F.col("sql"), place=F.col("place")))
-    unsupported = changed.where("risk = 'unsupported'").select("table_name", "description", F.col("note").alias("reason"))
-    keys = lambda c: c.where("key_position IS NOT NULL").groupBy("table_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("key_position", "column_name"))), lambda k: k["column_name"]), ",").alias("key"))
-    rekeyed = kept.join(keys(oc).withColumnRenamed("key", "was"), "table_name", "left").join(keys(nc), "table_name", "left").where(~F.col("was").eqNullSafe(F.col("key")))
-    unsupported = unsupported.unionAll(rekeyed.select("table_name", lit("change primary key").alias("description"), F.concat(lit("from ("), F.coalesce("was", lit("")), lit(") to ("), F.coalesce("key", lit("")), lit(")")).alias("reason")))
-
-    on = ["table_name", "kind", "object_name"]
-    adds, drops = new["objects"].join(old["objects"], [*on, "add_sql"], "left_anti"), old["objects"].join(new["objects"], [*on, "add_sql"], "left_anti")
-    drops = drops.join(gone, "table_name", "left_anti")  # they go with their tables
-    is_key = F.col("kind") == "foreign key"
-    on_new = adds.join(made, "table_name", "left_semi")
-    on_kept = adds.join(made, "table_name", "left_anti")
+    changed = expanded(pairs.where(differ), target, schema, tuple(own))
+    out = out.unionAll(rows(changed.where("risk <> 'unsupported'"), lit("change table"), lit("change column"), F.col("column_name"), F.col("risk"), F.col("note"), F.col("description"), F.col("sql"), place=F.col("place")))
+    unsupported = changed.where("risk = 'unsupported'").select("table_name", "description", F.col("note").alias("reason"), *own)
+    key = lambda side: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(f"{side}.key_position").isNotNull(), F.struct(F.col(f"{side}.key_position").alias("at"), "column_name")))), lambda k: k["column_name"]), ",")
+    rekeyed = sides.groupBy(*own, "table_name").agg(was.alias("was"), stays.alias("stays"), key("o").alias("before"), key("n").alias("after")).where("was AND stays AND before <> after")
+    unsupported = unsupported.unionAll(rekeyed.select("table_name", lit("change primary key").alias("description"), F.concat(lit("from ("), "before", lit(") to ("), "after", lit(")")).alias("reason"), *own))
+
+    on = ["table_name", "kind", "object_name", "add_sql"]
+    objects = _sides(old["objects"], new["objects"], on, OBJECT_FACTS).join(tables.hint("merge"), "table_name", "inner" if own else "left")
+    objects = objects.withColumns({"made": F.coalesce(~F.col("was"), lit(False)), "gone": F.coalesce(~F.col("stays"), lit(False))})
+    is_key, unlike = F.col("kind") == "foreign key", F.col("add_sql").isNull()
     describe = lambda verb: F.concat(lit(verb + " "), F.col("kind"), lit(" "), F.col("object_name"))
-    step = lambda verb: F.concat(lit(verb + " "), F.col("kind"))
-    out = out.unionAll(rows(drops.where(is_key), "drop foreign key", lit(""), F.col("object_name"), lit("safe"), no_note, describe("drop"), F.col("drop_sql")))
-    out = out.unionAll(rows(drops.where(~is_key), "change table", step("drop"), F.col("object_name"), lit("safe"), no_note, describe("drop"), F.col("drop_sql")))
-    out = out.unionAll(rows(on_kept.where(~is_key), "change table", step("add"), F.col("object_name"), lit("blocking"), no_note, describe("add"), F.col("add_sql")))
-    for kind in ("index", "check"):
-        out = out.unionAll(rows(on_new.where(F.col("kind") == kind), f"create {kind}", lit(""), F.col("object_name"), lit("blocking"), no_note, describe("add"), F.col("add_sql")))
-    for i, some in enumerate((on_kept, on_new)):
-        out = out.unionAll(rows(some.where(is_key), "add foreign key", lit(""), F.col("object_name"), lit("blocking"), no_note, describe("add"), F.col("add_sql"), seq=lit(i)))
-
-    own = [by] * (by is not None)
-    going = oc.select(*own, "table_name").distinct().join(gone, "table_name", "left_semi")
-    last = ordering.drops(going, old["objects"].where(is_key).join(gone, "table_name", "left_semi"), by)
-    cuts = last.where("act = 'drop foreign key'").join(old["objects"].where(is_key).select("table_name", "object_name", "drop_sql"), ["table_name", "object_name"])
-    out = out.unionAll(rows(cuts, "drop table", lit(""), F.col("object_name"), lit("safe"), no_note, F.concat(says("drop foreign key", "object_name"), lit(" of a cycle")), F.col("drop_sql"), seq=F.col("seq")))
-    goes = last.where("act = 'drop table'")
-    out = out.unionAll(rows(goes, "drop table", lit(""), F.col("table_name"), lit("data-loss"), lit("drops the table's data"), says("drop table", "table_name"), ddl.drop("table", target, schema), seq=F.col("seq")))
-    if by is None:
-        return out, unsupported
-    databases = oc.select("table_name", by).unionAll(nc.select("table_name", by)).distinct()
-    return out.join(databases, "table_name"), unsupported.join(databases, "table_name")
+    step = lambda verb, when: F.when(when, F.concat(lit(verb + " "), F.col("kind"))).otherwise("")
+    drops = objects.where(F.col("o").isNotNull() & (F.col("n").isNull() | unlike) & ~F.col("gone"))  # others go with their tables
+    out = out.unionAll(rows(drops, F.when(is_key, "drop foreign key").otherwise("change table"), step("drop", ~is_key), F.col("object_name"), lit("safe"), no_note, describe("drop"), F.col("o.drop_sql")))
+    adds = objects.where(F.col("n").isNotNull() & (F.col("o").isNull() | unlike))
+    phase = F.when(is_key, "add foreign key").when(~F.col("made"), "change table").when(F.col("kind").isin("index", "check"), F.concat(lit("create "), F.col("kind")))
+    out = out.unionAll(rows(adds.where(phase.isNotNull()), phase, step("add", ~is_key & ~F.col("made")), F.col("object_name"), lit("blocking"), no_note, describe("add"), F.col("add_sql"), seq=F.when(is_key & F.col("made"), 1).otherwise(0)))
+
+    going = tables.where("was AND NOT stays").select(*own, "table_name")
+    refs = objects.where(F.col("o").isNotNull() & is_key & F.col("gone")).select(*own, "table_name", "object_name", "o.*")
+    cuts = refs.select(lit("drop foreign key").alias("act"), "table_name", "object_name", "drop_sql")
+    last = ordering.drops(going, refs, by).join(cuts.hint("merge"), ["act", "table_name", "object_name"], "left")
+    goes = F.col("act") == "drop table"
+    name = F.when(goes, F.col("table_name")).otherwise(F.col("object_name"))
+    says_it = F.when(goes, says("drop table", "table_name")).otherwise(F.concat(says("drop foreign key", "object_name"), lit(" of a cycle")))
+    sql = F.when(goes, ddl.drop("table", target, schema)).otherwise(F.col("drop_sql"))
+    out = out.unionAll(rows(last, lit("drop table"), lit(""), name, F.when(goes, "data-loss").otherwise("safe"), F.when(goes, "drops the table's data"), says_it, sql, seq=F.col("seq")))
+    return out, unsupported
 
 
 def retargeted(objects: DataFrame, schema: str, columns: tuple[str, ...] = ("schema_name", "ref_schema")) -> DataFrame:

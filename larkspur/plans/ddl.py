@@ -58,17 +58,17 @@ def column_definition(name: Column, type_text: Column, nullable: Column, default
     return F.concat_ws(" ", quoted(name, target), type_text, F.when(~nullable, "NOT NULL"), F.when(default.isNotNull(), F.concat(F.lit("DEFAULT "), default)))
 
 
-def create_tables(columns: DataFrame, target: str, schema: str = "") -> DataFrame:
-    """table_name and CREATE TABLE text, of table_name, ordinal, definition and key_position (null outside the primary key)."""
+def create_tables(columns: DataFrame, target: str, schema: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
+    """table_name and CREATE TABLE text, of table_name, ordinal, definition and key_position (null outside the primary key); with what a table has in ``keep``."""
     need(target, "table")
-    parts = columns.groupBy("table_name").agg(F.sort_array(F.collect_list(F.struct("ordinal", "definition"))).alias("defs"), F.sort_array(F.collect_list(F.when(F.col("key_position").isNotNull(), F.struct("key_position", "column_name")))).alias("keys"))
+    parts = columns.groupBy(*keep, "table_name").agg(F.sort_array(F.collect_list(F.struct("ordinal", "definition"))).alias("defs"), F.sort_array(F.collect_list(F.when(F.col("key_position").isNotNull(), F.struct("key_position", "column_name")))).alias("keys"))
     key = listed(F.transform("keys", lambda k: k["column_name"]), target)
     body = F.array_join(F.transform("defs", lambda d: F.concat(F.lit("  "), d["definition"])), ",\n")
     inline = F.when((F.size("keys") > 0) & F.lit(target != "clickhouse"), F.concat(F.lit(",\n  PRIMARY KEY ("), key, F.lit(")"))).otherwise("")
     tail = F.lit({"mysql": " ENGINE=InnoDB"}.get(target, ""))
     if target == "clickhouse":
         tail = F.concat(F.lit(" ENGINE = MergeTree ORDER BY "), F.when(F.size("keys") > 0, F.concat(F.lit("("), key, F.lit(")"))).otherwise("tuple()"))
-    return parts.select("table_name", F.concat(F.lit("CREATE TABLE "), qualified(schema, F.col("table_name"), target), F.lit(" (\n"), body, inline, F.lit("\n)"), tail).alias("sql"))
+    return parts.select(*keep, "table_name", F.concat(F.lit("CREATE TABLE "), qualified(schema, F.col("table_name"), target), F.lit(" (\n"), body, inline, F.lit("\n)"), tail).alias("sql"))
 
 
 def index_parts(target: str) -> Column:

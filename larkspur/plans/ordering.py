@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,16 +43,19 @@ def drops(tables: DataFrame, references: DataFrame, by: str | None = None) -> Da
         tables, references = tables.withColumn(group, F.lit(1)), references.withColumn(group, F.lit(1))
     rows = tables.select(group, "table_name", none.alias("object_name"), none.alias("ref_table")).unionAll(references.select(group, "table_name", "object_name", "ref_table"))
 
-    def run(key, frame):
-        import pandas as pd
-
-        is_key = frame["object_name"].notna()
-        refs = list(frame[is_key][["object_name", "table_name", "ref_table"]].itertuples(index=False, name=None))
-        acts = drop_actions(sorted(frame[~is_key]["table_name"]), refs)
-        return pd.DataFrame([(key[0], i, *a) for i, a in enumerate(acts)], columns=[group, "seq", "act", "table_name", "object_name"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for key, listed in zip(*(c.to_pylist() for c in batch.columns)):
+                refs = [(r["object_name"], r["table_name"], r["ref_table"]) for r in listed if r["object_name"] is not None]
+                acts = drop_actions(sorted(r["table_name"] for r in listed if r["object_name"] is None), refs)
+                found += [(key, i, *a) for i, a in enumerate(acts)]
+            kinds = (batch.column(0).type, pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)], [group, "seq", "act", "table_name", "object_name"])
 
     kind = dict(tables.dtypes)[group]
-    out = rows.groupBy(group).applyInPandas(run, f"{group} {kind}, seq int, act string, table_name string, object_name string")
+    listed = rows.groupBy(group).agg(F.collect_list(F.struct("table_name", "object_name", "ref_table")).alias("listed"))
+    out = listed.mapInArrow(run, f"`{group}` {kind}, seq int, act string, table_name string, object_name string")
     return out if by else out.drop(group)
 
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from larkspur import catalog_queries, plan_queries
 from larkspur.functions import texts
-from larkspur.plans import api, ordering
+from larkspur.plans import api, changes, ordering
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +43,19 @@ def test_rules_on_distinct_values_keep_nulls_and_repeats(spark):
 def test_an_estates_rows_are_dealt_over_all_cores(spark):
     t = catalog_queries.fixture(spark, SF, catalog_queries.TYPES, catalog_queries.TYPE_COLUMNS, own=True)
     assert t.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_a_sync_plan_broadcasts_no_catalog(spark):
+    """Catalogs that are made of small files look small, but no side of them may go through the driver."""
+    plan = plan_queries.sync_plan(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Scan parquet") <= 30
+    by = lambda i, t, sql: (i, t, "foreign key", "fk", sql, "DROP fk", "u")
+    names = "database int, table_name string, ordinal int, column_name string, type_text string, is_nullable boolean, default string, is_identity boolean, key_position int"
+    columns = lambda *ts: spark.createDataFrame([(1, t, 1, "a", "int", True, None, False, None) for t in ts], names)
+    objects = lambda *rows: spark.createDataFrame(rows, "database int, table_name string, kind string, object_name string, add_sql string, drop_sql string, ref_table string")
+    old = {"columns": columns("t", "u"), "objects": objects(by(1, "t", None), by(1, "gone", "ADD"))}
+    new = {"columns": columns("t", "v"), "objects": objects(by(1, "t", None), by(1, "v", "ADD v"))}
+    for key in ("database", None):
+        got = {(r.phase, r.seq, r.table_name, r.sql) for r in changes.sync_plan(old, new, "postgres", by=key)[0].collect()}
+        want = {("add foreign key", 0, "t", None), ("add foreign key", 1, "v", "ADD v"), ("create table", 0, "v", 'CREATE TABLE "v" (\n  "a" int\n)'), ("drop foreign key", 0, "t", "DROP fk"), ("drop table", 0, "u", 'DROP TABLE IF EXISTS "u"')}
+        assert got == want | ({("drop foreign key", 0, "gone", "DROP fk")} if key is None else set())
